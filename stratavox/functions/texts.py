@@ -8,6 +8,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 FENCE = r"(?s)```([A-Za-z0-9_+-]*)[ \t]*\r?\n(.*?)```"
 
@@ -40,7 +41,7 @@ def keyed_list(text: Column, key: str) -> Column:
     return F.from_json(F.get_json_object(text, f"$.{key}"), "array<string>")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def first_balanced_object(texts: pd.Series) -> pd.Series:
     """The first ``{...}`` with balanced braces outside of strings that parses as JSON."""
 

@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 SCHEMA = (
     "value double, mean double, std double, lo double, hi double, mode double, probs map<string,double>, dip_mean double, azimuth_mean double, dip_std double, azimuth_kappa double, name string, params map<string,double>"
@@ -49,7 +50,7 @@ def nominal_category(u: Column) -> Column:
     return F.get(F.filter(F.map_keys(u["probs"]), lambda k: F.element_at(u["probs"], k) == best), F.lit(0))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def truncated_variance(mean: pd.Series, std: pd.Series, lo: pd.Series, hi: pd.Series) -> pd.Series:
     """Variance of a normal cut off at both ends."""
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import assays, logs, rows
+from . import assays, geology, logs, rows
 
-QUERIES = {**assays.QUERIES, **logs.QUERIES, **rows.QUERIES}
-ORACLES = {**assays.ORACLES, **logs.ORACLES, **rows.ORACLES}
+QUERIES = {**assays.QUERIES, **geology.QUERIES, **logs.QUERIES, **rows.QUERIES}
+ORACLES = {**assays.ORACLES, **geology.ORACLES, **logs.ORACLES, **rows.ORACLES}
