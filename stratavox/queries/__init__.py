@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import assays, geology, logs, rows
+from . import assays, geology, logs, reports, rows
 
-QUERIES = {**assays.QUERIES, **geology.QUERIES, **logs.QUERIES, **rows.QUERIES}
-ORACLES = {**assays.ORACLES, **geology.ORACLES, **logs.ORACLES, **rows.ORACLES}
+QUERIES = {**assays.QUERIES, **geology.QUERIES, **logs.QUERIES, **reports.QUERIES, **rows.QUERIES}
+ORACLES = {**assays.ORACLES, **geology.ORACLES, **logs.ORACLES, **reports.ORACLES, **rows.ORACLES}
