@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SpanHasher, map_batches, partitions, word_bounds, written
+from .common import SpanHasher, map_batches, packed, partitions, unpacked, word_bounds, written
 
 
 @dataclass(frozen=True)
@@ -155,8 +155,8 @@ def surroundings(docs: DataFrame, hits: DataFrame, settings: WindowSettings) ->
             for k in range(0, batch.num_rows, 200):
                 part = batch.slice(k, 200)
                 rows, fps, around, skips, packed, firsts = [], [], [], [], [], []
-                for row, (text, places) in enumerate(zip(part.column(2), part.column(3), strict=True)):
-                    probe, whole = windows.hashes((text.as_py() or "").encode().split())
+                for row, (text, places) in enumerate(zip(unpacked(part.column(2)), part.column(3), strict=True)):
+                    probe, whole = windows.hashes(text.split())
                     _, least = windows.chosen(probe)
                     for at in places.values.to_numpy().tolist():
                         low, high = max(0, at - width), min(at, len(least) - 1)
@@ -178,6 +178,7 @@ def surroundings(docs: DataFrame, hits: DataFrame, settings: WindowSettings) ->
                     taken = pa.array(rows)
                     yield pa.RecordBatch.from_arrays([pa.array(fps, pa.int64()), pa.array(around, pa.int64()), pa.array(skips, pa.int32()), pa.array(packed, pa.binary()), part.column(0).take(taken), part.column(1).take(taken), pa.array(firsts, pa.int32())], names=names)
 
+    docs = packed(docs)
     joined = docs.join(hits, docs["doc_id"].eqNullSafe(hits["doc_id"]) & (docs["th"] == hits["th"])).select(docs["doc_id"], docs["th"], "text", "places")
     return joined.mapInArrow(run, "fp long, around long, skip int, windows binary, doc_id long, th long, first int")
 
@@ -238,12 +239,13 @@ def dedup_substrings(docs: DataFrame, settings: WindowSettings = WindowSettings(
     """
     docs = keyed(docs, doc_id, text)
     spans = repeated_windows(docs, settings)
+    docs = packed(docs)
     joined = docs.join(spans, docs["doc_id"].eqNullSafe(spans["doc_id"]) & (docs["th"] == spans["th"]), "left").select(docs["doc_id"], "text", "spans")
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         counts, kept = [], []
-        for t, s in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            words = (t or "").encode().split()
+        for t, s in zip(unpacked(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+            words = t.split()
             left = _kept(words, s, settings.window)
             counts.append((len(words), len(words) - len(left)))
             kept.append(b" ".join(left))
