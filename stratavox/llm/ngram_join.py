@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SpanHasher, connected_components, written
+from .common import SpanHasher, connected_components, packed, unpacked, written
 
 
 @dataclass(frozen=True)
@@ -40,6 +40,8 @@ class JaccardSettings:
     #: Largest size that may be light.
     max_light: int = 24
     rounds: int = 4
+    #: Classes whose sets are fetched are sent to all executors up to this number, else joined by shuffle.
+    broadcast_classes: int = 100_000
     #: Counters of the sketch that estimates how common an n-gram is.
     sketch_bits: int = 19
     seed: int = 41
@@ -222,19 +224,22 @@ def heavy_lists(docs: DataFrame, least: int, levels: np.ndarray, settings: Jacca
 
 
 def class_sets(docs: DataFrame, wanted: DataFrame, settings: JaccardSettings) -> DataFrame:
-    """``id, grams`` of the wanted classes (``id, doc_id``), each from one of its documents."""
+    """``id, grams`` of the wanted classes (``id, doc_id``), each from one of its documents; a repeated row repeats its set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(settings)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                sets = [shingler.grams(t.as_py()) for t in part.column(1)]
+                sets = [shingler.grams(t.decode()) for t in unpacked(part.column(1))]
                 own = set_hashes(sets)[:, 0] == part.column(0).to_numpy()
                 yield pa.RecordBatch.from_arrays([part.column(0), lists_of(sets)], names=["id", "grams"]).filter(pa.array(own))
 
+    docs = packed(docs)
+    if wanted.count() <= settings.broadcast_classes:
+        wanted = F.broadcast(wanted)
     found = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["doc_id"])).select("id", "text")
-    return found.mapInArrow(run, "id long, grams array<long>").dropDuplicates(["id"])
+    return found.mapInArrow(run, "id long, grams array<long>")
 
 
 def compare(pairs: DataFrame, sets: DataFrame, settings: JaccardSettings) -> DataFrame:
@@ -267,6 +272,22 @@ def open_pairs(pairs: DataFrame, done: DataFrame, settings: JaccardSettings) ->
     return pairs.join(done, ["a", "b"], "left_anti")
 
 
+def likely_pairs(pairs: DataFrame, held: DataFrame, settings: JaccardSettings) -> DataFrame:
+    """The pairs ``a, b`` that share enough of their listed n-grams to link.
+
+    Of the two, take the set whose listed n-grams end first in the order. All it shares
+    among them is listed on both sides, so the overlap is at most the number shared on
+    lists and what it has beyond its listed n-grams.
+    """
+    a = held.select("gram", F.col("id").alias("a"), F.col("size").alias("size_a"), F.col("grams").alias("grams_a"))
+    b = held.select("gram", F.col("id").alias("b"), F.col("size").alias("size_b"), F.col("grams").alias("grams_b"))
+    met = pairs.join(a, "a").join(b, ["gram", "b"]).groupBy("a", "b")
+    met = met.agg(F.first("size_a").alias("size_a"), F.first("size_b").alias("size_b"), F.sum(F.least("grams_a", "grams_b")).alias("shared"))
+    need = F.ceil(settings.percent * (F.col("size_a") + F.col("size_b")) / F.lit(100 + settings.percent))
+    beyond = F.ceil(settings.percent * F.greatest("size_a", "size_b") / F.lit(100)) - 1
+    return met.where(F.col("shared") + beyond >= need).select("a", "b")
+
+
 def heavy_links(docs: DataFrame, owners: DataFrame, bound: int, levels: np.ndarray, settings: JaccardSettings) -> DataFrame:
     """``a, b``: links that make the components of pairs with a heavy set.
 
@@ -275,12 +296,17 @@ def heavy_links(docs: DataFrame, owners: DataFrame, bound: int, levels: np.ndarr
     spark = docs.sparkSession
     lists = heavy_lists(docs, settings.heavy_from(bound), levels, settings)
     same = Window.partitionBy("gram")
-    lists = lists.withColumns({"lo": F.min("id").over(same), "hi": F.max("id").over(same), "n": F.count("*").over(same)})
-    lists = written(lists.where("lo <> hi").select("gram", "id", "size", "place", "n").distinct(), "heavy-lists")
+    lists = lists.withColumns({"lo": F.min("id").over(same), "hi": F.max("id").over(same), "n": F.count("*").over(same), "members": F.sum(F.pmod(F.xxhash64("id"), F.lit(2**31))).over(same)})
+    # Copies share whole rows of n-grams: lists with the same members become one, with each
+    # member's first place. Should different lists meet here, there are only more candidates.
+    lists = lists.where("lo <> hi").dropDuplicates(["gram", "id"]).groupBy(F.xxhash64("members", "n", "lo", "hi").alias("gram"), "id").agg(F.first("size").alias("size"), F.min("place").alias("place"), F.count("*").alias("grams"), F.sum(F.log2("n")).alias("shared"))
+    lists = written(lists, "heavy-lists")
     # A member that shares most of its n-grams with many others is the likely centre of its copies.
-    central = lists.groupBy("id").agg((F.sum(F.log2("n")) / F.first("size")).alias("weight"))
-    lists = written(lists.join(central, "id").select("gram", "id", "size", "place", "weight", F.col("id").alias("component")), "heavy-lists")
-    sets = written(class_sets(docs, owners.join(central, "id").select("id", "doc_id"), settings), "class-sets")
+    central = lists.groupBy("id").agg((F.sum("shared") / F.first("size")).alias("weight"))
+    lists = written(lists.join(central, "id").select("gram", "id", "size", "place", "grams", "weight", F.col("id").alias("component")), "heavy-lists")
+    held = lists.select("gram", "id", "size", "grams")
+    # Sets are fetched only for classes that stand in a pair to compare.
+    sets = spark.createDataFrame([], "id long, grams array<long>")
     links = done = spark.createDataFrame([], "a long, b long")
 
     def side(of: DataFrame, name: str, *more: F.Column) -> DataFrame:  # type: ignore[name-defined]
@@ -298,7 +324,11 @@ def heavy_links(docs: DataFrame, owners: DataFrame, bound: int, levels: np.ndarr
             pairs = side(lists.join(most, "gram").where("component <> most"), "a").join(side(lists, "b"), "gram")
         todo = written(open_pairs(pairs.where("component_a <> component_b"), done, settings), "heavy-candidates")
         if todo.take(1):
-            links = links.unionAll(written(compare(todo, sets, settings), "heavy-links"))
+            likely = written(likely_pairs(todo, held, settings), "heavy-likely")
+            wanted = likely.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(sets, "id", "left_anti")
+            wanted = written(owners.join(wanted, "id").select("id", "doc_id"), "wanted-classes")
+            sets = sets.unionAll(written(class_sets(docs, wanted, settings), "class-sets"))
+            links = links.unionAll(written(compare(likely, sets, settings), "heavy-links"))
             done = done.unionAll(todo)
         if turn < settings.rounds:
             parts = connected_components(links).select("id", F.col("component").alias("root"))
@@ -306,7 +336,7 @@ def heavy_links(docs: DataFrame, owners: DataFrame, bound: int, levels: np.ndarr
             lists = lists.join(parts, "id", "left").join(led, "gram")
             # A pivot has met its whole list: in the next round another member leads.
             weight = F.when(F.col("id") == F.col("led"), F.lit(-1.0)).otherwise(F.col("weight"))
-            lists = written(lists.select("gram", "id", "size", "place", weight.alias("weight"), F.coalesce("root", "id").alias("component")), "heavy-lists")
+            lists = written(lists.select("gram", "id", "size", "place", "grams", weight.alias("weight"), F.coalesce("root", "id").alias("component")), "heavy-lists")
             if not lists.take(1):
                 break
     return links
