@@ -268,7 +268,7 @@ def test_every_query_with_sql_matches_it(spark, sf_dir):
         want = sorted((tuple(plain(row[k]) for k in order) for row in result.fetchall()), key=str)
         got = sorted((tuple(plain(row[n]) for n in names) for row in found.collect()), key=str)
         assert len(got) == len(want), name
-        close = [all(abs(a - b) <= 0.02 if isinstance(a, float) and isinstance(b, float) else a == b for a, b in zip(x, y, strict=True)) for x, y in zip(got, want, strict=True)]
+        close = [all(a == b or (isinstance(a, float) and isinstance(b, float) and abs(a - b) <= 0.02) for a, b in zip(x, y, strict=True)) for x, y in zip(got, want, strict=True)]
         assert all(close), name
 
 
