@@ -200,7 +200,10 @@ def light_links(sets: DataFrame, bound: int, settings: JaccardSettings) -> DataF
 
 
 def heavy_lists(docs: DataFrame, least: int, levels: np.ndarray, settings: JaccardSettings) -> DataFrame:
-    """``gram, id, size, place``: the rarest n-grams of each set of at least ``least``, with their place in the order."""
+    """``gram, id, size, place``: the rarest n-grams of each set of at least ``least``, with their place in the order.
+
+    The order is by level, then by unsigned hash, as ``Shingler.grams`` sorts.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(settings)
@@ -214,7 +217,7 @@ def heavy_lists(docs: DataFrame, least: int, levels: np.ndarray, settings: Jacca
                     n = settings.prefix(len(g))
                     level = levels[cell_of(g, settings.sketch_bits)]
                     rare = np.flatnonzero(level == 0)
-                    grams.append(g[rare[:n]] if len(rare) >= n else g[np.lexsort((g, level))[:n]])
+                    grams.append(g[rare[:n]] if len(rare) >= n else g[np.lexsort((g.view(np.uint64), level))[:n]])
                     counts.append(n)
                 sizes = np.array([len(g) for g in sets], np.int32)
                 columns = np.concatenate(grams), np.repeat(set_hashes(sets)[:, 0], counts), np.repeat(sizes, counts), np.concatenate([np.arange(n, dtype=np.int32) for n in counts])
