@@ -24,8 +24,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
-    return ngram_join.keep_one(docs)
+    """One document of each group of near duplicates: 5-word n-grams, Jaccard similarity from 0.8."""
+    return ngram_join.keep_one(docs, ngram_join.JaccardSettings(words=5, percent=80))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

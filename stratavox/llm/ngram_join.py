@@ -104,12 +104,12 @@ def described_sets(docs: DataFrame, settings: JaccardSettings) -> DataFrame:
     """Each row's set size and 128-bit hash, small sets in full, and each task's n-gram counts.
 
     Counts come as one more row of a task, with ``cells``: a sketch of fixed size over all
-    n-grams of the task.
+    n-grams of the task. ``docs`` has ``doc_id, text, th``.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(settings)
-        names = ["doc_id", "n_shingles", "h1", "h2", "grams", "cells"]
+        names = ["doc_id", "th", "n_shingles", "h1", "h2", "grams", "cells"]
         total = np.zeros(1 << settings.sketch_bits, np.int32)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
@@ -119,12 +119,12 @@ def described_sets(docs: DataFrame, settings: JaccardSettings) -> DataFrame:
                     np.add.at(total, cell_of(s, settings.sketch_bits), 1)
                 h = set_hashes(sets)
                 small = lists_of([s if len(s) <= settings.max_light else s[:0] for s in sets])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(h[:, 0]), pa.array(h[:, 1]), small, pa.nulls(len(sets), pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(h[:, 0]), pa.array(h[:, 1]), small, pa.nulls(len(sets), pa.binary())], names=names)
         if total.any():
             none = pa.nulls(1, pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(1, pa.list_(pa.int64())), pa.array([total.tobytes()], pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([none, none, none, none, none, pa.nulls(1, pa.list_(pa.int64())), pa.array([total.tobytes()], pa.binary())], names=names)
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, grams array<long>, cells binary")
+    return docs.mapInArrow(run, "doc_id long, th long, n_shingles long, h1 long, h2 long, grams array<long>, cells binary")
 
 
 def gram_levels(described: DataFrame, settings: JaccardSettings) -> np.ndarray:
@@ -345,6 +345,30 @@ def heavy_links(docs: DataFrame, owners: DataFrame, bound: int, levels: np.ndarr
     return links
 
 
+def joined_rows(docs: DataFrame, settings: JaccardSettings, doc_id: str, text: str) -> DataFrame:
+    """``doc_id, th, n_shingles, first, class_id`` of every row.
+
+    ``th`` is a hash of the text. ``first (no_id, doc_id, th)`` names the least row of the
+    component, one without doc_id only where there is no other; it is null for an empty set.
+    """
+    docs = taken(docs, doc_id, text)
+    described = written(described_sets(docs.withColumn("th", F.xxhash64("text")), settings), "sets")
+    rows = described.where("cells is null").select("doc_id", "th", "n_shingles", "h1", "h2", "grams")
+    least_row = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th"))
+    classes = rows.where("n_shingles > 0").groupBy("h1", "h2").agg(least_row.alias("first"), F.first("n_shingles").alias("n_shingles"), F.first("grams").alias("grams"))
+    classes = written(classes, "classes").withColumn("id", F.col("h1"))
+    small = F.col("n_shingles") <= 2 * settings.max_light
+    sizes = {r.n_shingles: r.n for r in classes.where(small).groupBy("n_shingles").agg(F.count("*").alias("n")).collect()}
+    bound = light_boundary(sizes, settings)
+    owners = classes.select("id", F.col("first.doc_id").alias("doc_id"))
+    links = light_links(classes, bound, settings).unionAll(heavy_links(docs, owners, bound, gram_levels(described, settings), settings))
+    parts = connected_components(links)
+    named = classes.join(parts, "id", "left").select("h1", "h2", "first", F.coalesce("component", "id").alias("component"))
+    least = named.groupBy("component").agg(F.min("first").alias("least"))
+    named = written(named.join(least, "component").select("h1", "h2", F.col("first.doc_id").alias("class_id"), F.col("least").alias("first")), "components")
+    return rows.select("doc_id", "th", "n_shingles", "h1", "h2").join(named, ["h1", "h2"], "left").select("doc_id", "th", "n_shingles", "first", "class_id")
+
+
 def join_documents(docs: DataFrame, settings: JaccardSettings = JaccardSettings(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id, class_id`` of every row.
 
@@ -355,32 +379,29 @@ def join_documents(docs: DataFrame, settings: JaccardSettings = JaccardSettings(
     its component. Sets are told apart by 128-bit hashes, classes on lists by 64 bits.
     Other columns are not read.
     """
-    docs = taken(docs, doc_id, text)
-    described = written(described_sets(docs, settings), "sets")
-    rows = described.where("cells is null").select("doc_id", "n_shingles", "h1", "h2", "grams")
-    classes = rows.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("class_id"), F.first("n_shingles").alias("n_shingles"), F.first("grams").alias("grams"))
-    classes = written(classes, "classes").withColumn("id", F.col("h1"))
-    small = F.col("n_shingles") <= 2 * settings.max_light
-    sizes = {r.n_shingles: r.n for r in classes.where(small).groupBy("n_shingles").agg(F.count("*").alias("n")).collect()}
-    bound = light_boundary(sizes, settings)
-    owners = classes.select("id", F.col("class_id").alias("doc_id"))
-    links = light_links(classes, bound, settings).unionAll(heavy_links(docs, owners, bound, gram_levels(described, settings), settings))
-    parts = connected_components(links)
-    named = classes.join(parts, "id", "left").select("h1", "h2", "class_id", F.coalesce("component", "id").alias("component"))
-    least = named.groupBy("component").agg(F.min("class_id").alias("component_id"))
-    named = written(named.join(least, "component").select("h1", "h2", "class_id", "component_id"), "components")
-    out = rows.select("doc_id", "n_shingles", "h1", "h2").join(named, ["h1", "h2"], "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"))
+    out = joined_rows(docs, settings, doc_id, text)
+    return out.select("doc_id", "n_shingles", F.coalesce("first.doc_id", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"))
 
 
 def keep_one(docs: DataFrame, settings: JaccardSettings = JaccardSettings(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The row with the smallest doc_id of each component, with all columns.
+    """One row of each component, with all columns: the one with the smallest doc_id.
 
-    Rows without words are components of their own and stay, as do rows without doc_id
-    whose component holds no other. Of repeated rows with that smallest doc_id one stays.
+    Rows are known by doc_id and text, so another text under a dropped doc_id stays. Among
+    texts with that smallest doc_id, and in a component without any doc_id, the one with
+    the least hash stays; of rows with both equal one stays. Rows without words are
+    components of their own and stay.
     """
-    found = written(join_documents(docs, settings, doc_id, text), "join")
-    gone = found.where("n_shingles > 0 and component_id is not null and not (doc_id <=> component_id)").select(F.col("doc_id").alias("__gone"), "n_shingles").where("__gone is not null")
-    left = docs.join(gone.select("__gone").distinct(), F.col(f"`{doc_id}`").cast("long") == F.col("__gone"), "left_anti")
-    again = found.where("n_shingles > 0 and doc_id <=> component_id").groupBy("doc_id").count().where("count > 1")
-    return left.dropDuplicates([doc_id, text]) if again.take(1) else left
+    found = written(joined_rows(docs, settings, doc_id, text).where("n_shingles > 0"), "join")
+    first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("th") == F.col("first.th"))
+    key = [F.col("doc_id").alias("__d"), F.col("th").alias("__t")]
+    hashed = docs.withColumn("__th", F.xxhash64(F.col(f"`{text}`")))
+
+    def among(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+        return rows.join(keys, F.col(f"`{doc_id}`").cast("long").eqNullSafe(F.col("__d")) & (F.col("__th") == F.col("__t")), how)
+
+    left = among(hashed, found.where(~first).select(*key).distinct(), "left_anti")
+    again = found.where(first).groupBy(*key).count().where("count > 1").select("__d", "__t")
+    if again.take(1):
+        again = written(again, "repeated")
+        left = among(left, again, "left_anti").unionAll(among(left, again, "left_semi").dropDuplicates([doc_id, "__th"]))
+    return left.drop("__th")

@@ -2,6 +2,7 @@
 
 import random
 
+import corpus_pipeline
 from stratavox.llm import ngram_join
 
 
@@ -37,3 +38,20 @@ def test_join_orders_all_sets_alike(spark):
     for k, x in enumerate(sets):
         want[k] = next((want[j] for j in range(k) if 100 * len({*x} & {*sets[j]}) >= 85 * len({*x} | {*sets[j]})), k)
     assert got == want and want[1] == 0
+
+
+def test_pipeline_drops_copies_with_a_fifth_of_new_text(spark):
+    words = [f"w{k}" for k in range(200)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:182] + [f"new{k}" for k in range(18)]))]
+    left = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert [r.doc_id for r in left.collect()] == [1]
+
+
+def test_keep_one_knows_rows_by_id_and_text(spark):
+    rng = random.Random(5)
+    text = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(60))
+    copied, bare, clean, twins = text(), text(), text(), text()
+    rows = [(1, copied), (5, copied + " end"), (5, clean), (None, bare), (None, bare + " end"), (None, bare), (None, copied), (7, twins), (7, twins + " end"), (8, twins), (9, ""), (9, ""), (9, None)]
+    left = [(r.doc_id, r.text) for r in ngram_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(d or 0 for d, _ in left) == [0, 1, 5, 7, 9, 9, 9]
+    assert (1, copied) in left and (5, clean) in left and sum(d is None and t.startswith(bare) for d, t in left) == 1
