@@ -3,9 +3,9 @@
 Addresses and numbers are found by patterns. A term then counts as revealing when the
 corpus shows that knowing it tells most of what there is to know about an entity: its
 disclosure is the pointwise mutual information of term and entity, estimated from the
-documents in which both stand together, as a share of the entity's own information. Terms
-above a threshold are removed, those above a lower one generalised, wherever they stand
-beside the entity.
+documents that hold both, as a share of the entity's own information. Terms are all words
+and numbers of whole texts. Those above a threshold are removed, those above a lower one
+generalised, wherever they stand in a document that holds the entity.
 
 Everything is built from DataFrame and SQL functions.
 """
@@ -30,18 +30,17 @@ PATTERNS = {
 }
 IP = r"^0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])(?:\.0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])){3}$"
 SPAN = "array<struct<start:int,end:int,value:string>>"
+#: A term is a maximal run of letters, marks and digits.
+TERM = r"[\p{L}\p{M}\p{N}]"
 
 
 @dataclass(frozen=True)
 class DisclosureRules:
-    #: Characters on either side of an entity in which terms stand beside it.
-    reach: int = 60
-    least_letters: int = 4
-    #: Documents in which term and entity must stand together before an estimate counts.
+    #: Documents that must hold both term and entity before an estimate counts.
     support: int = 2
     remove: float = 0.8
     generalise: float = 0.5
-    #: Candidate terms are sent to all executors up to this number, else joined by shuffle.
+    #: Entities, candidate terms and told terms are sent to all executors up to this number, else joined by shuffle.
     broadcast_terms: int = 50_000
 
 
@@ -72,58 +71,70 @@ def _valid(kind: str, found: str) -> str:
     return f"filter({found}, x -> {tests[kind]})"
 
 
-def base_spans(docs: DataFrame, rules: DisclosureRules) -> DataFrame:
-    """``doc_id, th, email, ip, card, phone, mentions``: spans by kind, and every span with the text beside it.
+def base_spans(docs: DataFrame) -> DataFrame:
+    """``doc_id, th, email, ip, card, phone, entities, text``: spans by kind, and distinct entities.
 
-    ``th`` is a hash of the text, so that rows with equal doc_id don't mix. A null text is empty.
+    ``th`` is a hash of the text, so that rows with equal doc_id don't mix. A null text is
+    empty; texts without entities are null, for no term of theirs is looked for.
     """
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     for kind, (test, pattern) in PATTERNS.items():
         found = F.expr(_valid(kind, spans("text", pattern)))
         out = out.withColumn(kind, F.when(F.col("text").rlike(test), found).otherwise(F.expr(f"cast(array() as {SPAN})")))
     entity = {"email": "lower(x.value)", "ip": "x.value", "card": "regexp_replace(x.value, '[^0-9]', '')", "phone": "regexp_replace(x.value, '[^0-9]', '')"}
-    beside = [
-        f"transform({kind}, x -> named_struct('entity', concat('{kind}:', {entity[kind]}), "
-        f"'left', substr(text, greatest(1, x.start - {rules.reach} + 1), least(x.start, {rules.reach})), 'left_at', greatest(0, x.start - {rules.reach}), "
-        f"'right', substr(text, x.end + 1, {rules.reach}), 'right_at', x.end))"
-        for kind in PATTERNS
-    ]
-    return out.withColumn("mentions", F.expr(f"concat({', '.join(beside)})")).drop("text")
+    named = [f"transform({kind}, x -> concat('{kind}:', {entity[kind]}))" for kind in PATTERNS]
+    out = out.withColumn("entities", F.expr(f"array_distinct(concat({', '.join(named)}))"))
+    return out.withColumn("text", F.when(F.size("entities") > 0, F.col("text")))
 
 
-def _terms(rules: DisclosureRules) -> str:
-    return rf"\p{{L}}{{{rules.least_letters},}}+"
+def told_spans(text: str, told: str) -> str:
+    """SQL of all places of the terms in the map ``told``, in order: ``start, end, removed``."""
+    quoted = f"{TERM}++".replace("\\", "\\\\")
+    empty = "cast(array() as array<struct<start:int,end:int,removed:boolean>>)"
+    return (
+        f"aggregate(arrays_zip(split({text}, '{quoted}', -1), regexp_extract_all({text}, '{quoted}', 0)), named_struct('at', 0, 'found', {empty}), "
+        f"(a, x) -> named_struct('at', a.at + length(x['0']) + coalesce(length(x['1']), 0), 'found', if(x['1'] is null or {told}[lower(x['1'])] is null, a.found, "
+        f"concat(a.found, array(named_struct('start', a.at + length(x['0']), 'end', a.at + length(x['0']) + length(x['1']), 'removed', {told}[lower(x['1'])]))))), "
+        "a -> a.found)"
+    )
+
 
+def terms_of(text: str) -> Column:
+    """The distinct terms of a text, in lower case."""
+    return F.array_distinct(F.transform(F.filter(F.split(text, TERM.replace("[", "[^", 1) + "+"), lambda x: x != ""), F.lower))
 
-def beside_entities(base: DataFrame, rules: DisclosureRules) -> DataFrame:
-    """``doc_id, th, entity, term, start, end``: whole words within reach of each mention."""
-    rows = base.where(F.size("mentions") > 0).select("doc_id", "th", F.explode("mentions").alias("m")).select("doc_id", "th", "m.*")
-    word = _terms(rules)
-    both = F.concat(F.expr(spans("left", word, "left_at")), F.expr(spans("right", word, "right_at")))
-    rows = rows.select("doc_id", "th", "entity", "left_at", "right_at", F.length("right").alias("n"), F.explode(both).alias("w"))
-    # A word at the outer edge may be cut off.
-    cut = ((F.col("w.start") == F.col("left_at")) & (F.col("left_at") > 0)) | ((F.col("w.end") == F.col("right_at") + F.col("n")) & (F.col("n") == rules.reach))
-    return rows.where(~cut).select("doc_id", "th", "entity", F.lower("w.value").alias("term"), F.col("w.start").alias("start"), F.col("w.end").alias("end"))
 
+def sent(rows: DataFrame, rules: DisclosureRules) -> DataFrame:
+    return F.broadcast(rows) if rows.count() <= rules.broadcast_terms else rows
 
-def disclosures(docs: DataFrame, base: DataFrame, beside: DataFrame, rules: DisclosureRules) -> DataFrame:
-    """``entity, term, disclosure`` of terms at or above the lower threshold, from counts over all documents."""
+
+def disclosures(docs: DataFrame, base: DataFrame, rules: DisclosureRules) -> tuple[DataFrame, DataFrame]:
+    """``entity, term, disclosure`` of terms at or above the lower threshold, from counts over all documents.
+
+    Also ``doc_id, th, entity, term`` of every term of the documents that hold an entity
+    which could have such terms.
+    """
     total = base.count()
-    holders = base.where(F.size("mentions") > 0).select("doc_id", "th", F.explode(F.array_distinct(F.expr("transform(mentions, m -> m.entity)"))).alias("entity"))
-    entities = holders.groupBy("entity").agg(F.count("*").alias("n_entity"))
-    pairs = beside.select("doc_id", "th", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_both"))
+    holders = base.where(F.size("entities") > 0).select("doc_id", "th", F.explode("entities").alias("entity"), "text")
+    # An entity of fewer documents has no term with enough support.
+    entities = holders.groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= rules.support)
+    entities = sent(written(entities, "pii-entities"), rules)
+    held = holders.join(entities.select("entity"), "entity").select("doc_id", "th", "entity", F.explode(terms_of("text")).alias("term"))
+    pairs = held.groupBy("entity", "term").agg(F.count("*").alias("n_both"))
     pairs = written(pairs.where(F.col("n_both") >= rules.support), "pii-pairs")
+    counts = docs.select(F.explode(terms_of("text")).alias("term"))
     terms = pairs.select("term").distinct()
+    # Too many terms to send: all are counted, since a shuffle of counts by task is less than one of all words.
     if terms.count() <= rules.broadcast_terms:
-        terms = F.broadcast(terms)
-    words = F.array_distinct(F.split(F.lower("text"), r"\P{L}+"))
-    counts = docs.select(F.explode(words).alias("term")).where(F.length("term") >= rules.least_letters).join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
+        counts = counts.join(F.broadcast(terms), "term", "left_semi")
+    counts = counts.groupBy("term").agg(F.count("*").alias("n_term"))
     known = pairs.join(entities, "entity").join(counts, "term")
     n = F.lit(float(max(total, 1)))
     # Twice the support in the smallest corpus keeps an entity's information above zero.
     own = F.greatest(F.log2(n / F.col("n_entity")), F.lit(1e-9))
     shared = F.log2(F.col("n_both") * n / (F.col("n_term") * F.col("n_entity")))
-    return known.select("entity", "term", (shared / own).alias("disclosure")).where(F.col("disclosure") >= rules.generalise)
+    told = known.select("entity", "term", (shared / own).alias("disclosure")).where(F.col("disclosure") >= rules.generalise)
+    return sent(written(told, "pii-told"), rules), held
 
 
 def find(docs: DataFrame, rules: DisclosureRules = DisclosureRules(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -134,13 +145,13 @@ def find(docs: DataFrame, rules: DisclosureRules = DisclosureRules(), doc_id: st
     long texts are searched whole.
     """
     docs = columns(docs, doc_id, text).toDF("doc_id", "text")
-    base = written(base_spans(docs, rules), "pii-spans")
-    beside = written(beside_entities(base, rules), "pii-beside")
-    told = disclosures(docs, base, beside, rules)
-    terms = beside.join(told, ["entity", "term"]).groupBy("doc_id", "th", "start", "end").agg(F.max("disclosure").alias("d"))
-    terms = terms.groupBy("doc_id", "th").agg(F.sort_array(F.collect_list(F.struct("start", "end", (F.col("d") >= rules.remove).alias("removed")))).alias("terms"))
-    terms = terms.select(F.col("doc_id").alias("__d"), F.col("th").alias("__t"), "terms")
-    joined = base.drop("mentions").join(terms, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("th") == F.col("__t")), "left").drop("__d", "__t")
+    base = written(base_spans(docs), "pii-spans")
+    told, held = disclosures(docs, base, rules)
+    terms = held.join(told, ["entity", "term"]).groupBy("doc_id", "th", "term").agg(F.max("disclosure").alias("d"))
+    terms = terms.groupBy("doc_id", "th").agg(F.map_from_entries(F.collect_list(F.struct("term", (F.col("d") >= rules.remove).alias("removed")))).alias("told"))
+    terms = terms.select(F.col("doc_id").alias("__d"), F.col("th").alias("__t"), "told")
+    joined = base.drop("entities").join(terms, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("th") == F.col("__t")), "left").drop("__d", "__t")
+    joined = joined.withColumn("terms", F.when(F.col("told").isNotNull(), F.expr(told_spans("text", "told")))).drop("text", "told")
     empty = F.expr("cast(array() as array<struct<start:int,end:int,removed:boolean>>)")
     # A term inside an address or number goes with it.
     whole = F.expr("filter(coalesce(terms, none), t -> not exists(concat(email, ip, card, phone), x -> x.start < t.end and t.start < x.end))")

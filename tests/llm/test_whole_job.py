@@ -1,9 +1,11 @@
 """Cases in which an operator once did less than its whole job."""
 
+import math
 import random
+import re
 
 import corpus_pipeline
-from stratavox.llm import ngram_join
+from stratavox.llm import ngram_join, pii
 
 
 def word_source(rng, shingler):
@@ -55,3 +57,32 @@ def test_keep_one_knows_rows_by_id_and_text(spark):
     left = [(r.doc_id, r.text) for r in ngram_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
     assert sorted(d or 0 for d, _ in left) == [0, 1, 5, 7, 9, 9, 9]
     assert (1, copied) in left and (5, clean) in left and sum(d is None and t.startswith(bare) for d, t in left) == 1
+
+
+def test_pii_terms_of_whole_documents(spark):
+    """Terms far from the entity, short names and numbers are told, and marked wherever they stand."""
+    rng = random.Random(6)
+    prose = lambda n: " ".join(f"p{rng.randrange(300):03d}x" for _ in range(n))
+    rows = [(k, f"Zebrafish 88123 {prose(40)} mail to ann@x.org now {prose(40)} yours, Wu and zebrafish") for k in range(4)]
+    rows += [(4, f"zebrafish {prose(20)}")] + [(10 + k, f"yours now {prose(60)}") for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    text = dict(rows)
+    for r in pii.find(docs).collect():
+        named = [text[r.doc_id][t.start : t.end] for t in r.terms]
+        if r.doc_id < 4:
+            assert [w for w in named if w.lower() in ("zebrafish", "88123", "wu")] == ["Zebrafish", "88123", "Wu", "zebrafish"]
+            assert "yours" not in named and "now" not in named
+        else:
+            assert not named
+    # Disclosures are those of counts over whole documents.
+    base = pii.base_spans(docs).cache()
+    told = {(r.entity, r.term): r.disclosure for r in pii.disclosures(docs, base, pii.DisclosureRules())[0].collect()}
+    assert told == {(r.entity, r.term): r.disclosure for r in pii.disclosures(docs, base, pii.DisclosureRules(broadcast_terms=0))[0].collect()}
+    words = [{*re.findall(r"[^\W_]+", t.lower())} for _, t in rows]
+    want = {}
+    for w in set().union(*words[:4]):
+        both, n = sum(w in x for x in words[:4]), sum(w in x for x in words)
+        d = math.log2(both * len(rows) / (n * 4)) / math.log2(len(rows) / 4)
+        if both >= 2 and d >= 0.5:
+            want["email:ann@x.org", w] = d
+    assert told.keys() == want.keys() and all(abs(told[k] - want[k]) < 1e-9 for k in want)
