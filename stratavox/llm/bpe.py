@@ -12,10 +12,8 @@ from __future__ import annotations
 
 import hashlib
 import os
-from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -40,14 +38,21 @@ class BpeSettings:
     window: int = 16
     #: Mean bytes of a chunk, a power of two.
     chunk: int = 1024
-    #: Bytes of chunks, and number of words, whose encoding a task remembers.
+    #: Bytes of memory for remembered chunks, and number of words, whose encoding a task remembers.
     remembered: int = 24_000_000
-    words: int = 500_000
+    words: int = 100_000
     seed: int = 3
 
 
+#: Bytes that a dictionary entry of two byte strings takes besides their content.
+ENTRY = 170
+
+
 class ChunkEncoder:
-    """Encodes and decodes texts in one task, remembering chunks."""
+    """Encodes and decodes texts in one task, remembering chunks.
+
+    Ids are held as bytes, four for each, so that what is remembered has a known size.
+    """
 
     def __init__(self, settings: BpeSettings) -> None:
         from tokenizers import Tokenizer
@@ -62,10 +67,10 @@ class ChunkEncoder:
         if settings.ranks:
             self.fast = self._ranked(settings.ranks)
         self.bytes_of = self._token_bytes()
-        self.length_of = [len(b) for b in self.bytes_of]
+        self.length_of = np.array([len(b) for b in self.bytes_of], np.int64)
         self.hasher = SpanHasher(settings.seed)
-        self.known: dict[bytes, tuple[list[int], list[int]]] = {}
-        self.word: dict[bytes, list[int]] = {}
+        self.known: dict[bytes, bytes] = {}
+        self.word: dict[bytes, bytes] = {}
         self.size = 0
         self.encoded = self.reused = 0
 
@@ -90,8 +95,8 @@ class ChunkEncoder:
             out[k] = token.encode() if token in self.added else bytes(byte[c] for c in token)
         return out
 
-    def plain(self, data: bytes) -> list[int]:
-        """Encoding of bytes that hold no added token.
+    def plain(self, data: bytes) -> bytes:
+        """Ids of bytes that hold no added token.
 
         Beyond the Latin ranges the two libraries may class characters by different
         editions of Unicode; such data goes to the tokenizer file's own library.
@@ -99,65 +104,70 @@ class ChunkEncoder:
         if self.fast and (data.isascii() or len(data.translate(None, BEYOND_LATIN)) == len(data)):
             for x in LOOSE:
                 if x in data:
-                    return self.fast.encode_ordinary(data.decode())
+                    return packed_ids(self.fast.encode_ordinary(data.decode()))
             return self.spaced(data)
-        return self.whole.encode(data.decode(), add_special_tokens=False).ids
+        return packed_ids(self.whole.encode(data.decode(), add_special_tokens=False).ids)
 
-    def spaced(self, data: bytes) -> list[int]:
-        """Encoding of bytes in which every space starts a pre-token: word by word, words remembered."""
+    def spaced(self, data: bytes) -> bytes:
+        """Ids of bytes in which every space starts a pre-token: word by word, words remembered."""
         first, *words = data.split(b" ")
-        out, known = list(self.fast.encode_ordinary(first.decode())) if first else [], self.word
+        known = self.word
+        out = [packed_ids(self.fast.encode_ordinary(first.decode()))] if first else []
         for w in words:
             ids = known.get(w)
             if ids is None:
-                if len(known) > self.settings.words:
+                if len(known) >= self.settings.words:
                     known.clear()
-                ids = known[w] = self.fast.encode_ordinary(" " + w.decode())
-            out += ids
-        return out
-
-    def chunk(self, data: bytes) -> tuple[list[int], list[int]]:
-        """Tokens of a chunk, and where in it each ends."""
+                ids = packed_ids(self.fast.encode_ordinary(" " + w.decode()))
+                if len(w) <= 64:
+                    known[w] = ids
+            out.append(ids)
+        return b"".join(out)
+
+    def chunk(self, data: bytes) -> np.ndarray:
+        """Ids of a chunk."""
         found = self.known.get(data)
         if found is None:
-            if self.size > self.settings.remembered:
+            found = self.plain(data)
+            size = len(data) + len(found) + ENTRY
+            if self.size + size > self.settings.remembered:
                 self.known.clear()
                 self.size = 0
-            ids = self.plain(data)
-            found = self.known[data] = ids, list(accumulate(map(self.length_of.__getitem__, ids)))
-            self.size += len(data)
+            self.known[data] = found
+            self.size += size
             self.encoded += len(data)
         else:
             self.reused += len(data)
-        return found
+        return np.frombuffer(found, "<u4")
 
     def cuts(self, data: bytes) -> tuple[list[int], np.ndarray]:
         """Chunk bounds from the rolling hash, and the places where a pre-token surely starts."""
         raw = np.frombuffer(data, np.uint8)
         w = self.settings.window
         prefix = self.hasher.prefix(raw)
-        at = np.arange(len(raw) - w)
+        at = np.arange(max(0, len(raw) - w))
         rolling = self.hasher.spans(prefix, at, at + w)
         places = at[(rolling & np.uint64(self.settings.chunk - 1)) == 0] + w
         places = places[(raw[places] & 0xC0) != 0x80]
         safe = np.flatnonzero((raw[1:-1] == 32) & PLAIN[raw[:-2]] & PLAIN[raw[2:]]) + 1
         return [0, *places.tolist(), len(raw)], safe
 
-    def piece(self, data: bytes) -> list[int]:
-        """Encoding of a stretch between added tokens, from chunks with repaired joins."""
-        if len(data) <= self.settings.chunk:
-            return self.plain(data) if data else []
-        bounds, safe_places = self.cuts(data)
-        safe = safe_places.tolist()
-        out: list[int] = []
+    def piece(self, data: bytes) -> bytes:
+        """Ids of a stretch between added tokens, from chunks with repaired joins."""
+        if not data:
+            return b""
+        bounds, safe = self.cuts(data)
+        low = np.searchsorted(safe, np.array(bounds[:-1]) + 1).tolist()
+        high = (np.searchsorted(safe, bounds[1:]) - 1).tolist()
+        out = []
         done = 0  # bytes whose tokens are final; then comes an open stretch up to the next agreement
-        for a, b in zip(bounds, bounds[1:], strict=False):
-            ids, ends = self.chunk(data[a:b])
-            low, high = bisect_left(safe, a + 1), bisect_left(safe, b) - 1
-            if low > high:
+        for k, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)):
+            ids = self.chunk(data[a:b])
+            if low[k] > high[k]:
                 continue  # no agreement within this chunk: the open stretch grows over it
-            left, right = safe[low] - a, safe[high] - a
-            i, j = bisect_left(ends, left), bisect_left(ends, right)
+            ends = self.length_of[ids].cumsum()
+            left, right = int(safe[low[k]]) - a, int(safe[high[k]]) - a
+            i, j = np.searchsorted(ends, (left, right)).tolist()
             if done == a == 0:
                 left, i = 0, -1
             elif ends[i] != left:
@@ -165,28 +175,35 @@ class ChunkEncoder:
             if ends[j] != right:
                 continue
             if done < a + left:
-                out += self.plain(data[done : a + left])
-            out += ids[i + 1 : j + 1]
+                out.append(self.plain(data[done : a + left]))
+            out.append(ids[i + 1 : j + 1].tobytes())
             done = a + right
         if done < len(data):
-            out += self.plain(data[done:])
-        return out
+            out.append(self.plain(data[done:]))
+        return b"".join(out)
 
     def encode(self, text: str) -> list[int]:
-        """Ids of a whole text; added tokens in it are split off first, leftmost first."""
-        out: list[int] = []
+        return np.frombuffer(self.packed(text), "<u4").tolist()
+
+    def packed(self, text: str) -> bytes:
+        """Ids of a whole text, four bytes each; added tokens in it are split off first, leftmost first."""
+        out = []
         at = 0
         while True:
             found = [(k, -len(t), t) for t in self.added if (k := text.find(t, at)) >= 0]
             if not found:
-                return out + self.piece(text[at:].encode())
+                return b"".join([*out, self.piece(text[at:].encode())])
             k, _, token = min(found)
-            out += self.piece(text[at:k].encode())
-            out.append(self.added[token])
+            out += [self.piece(text[at:k].encode()), packed_ids([self.added[token]])]
             at = k + len(token)
 
-    def decode(self, ids: list[int]) -> str:
-        return b"".join(map(self.bytes_of.__getitem__, ids)).decode(errors="replace")
+    def decode(self, ids: bytes) -> str:
+        """Text of packed ids."""
+        return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode(errors="replace")
+
+
+def packed_ids(ids: list[int]) -> bytes:
+    return np.array(ids, "<u4").tobytes()
 
 
 def coded(docs: DataFrame, settings: BpeSettings, doc_id: str = "doc_id", text: str = "text", full: bool = False) -> DataFrame:
@@ -199,18 +216,18 @@ def coded(docs: DataFrame, settings: BpeSettings, doc_id: str = "doc_id", text:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = ChunkEncoder(settings)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
+            for at in range(0, batch.num_rows, 100):
                 part = batch.slice(at, 500)
-                ids = [encoder.encode(t.as_py() or "") for t in part.column(1)]
-                decoded = [encoder.decode(x) for x in ids]
+                ids = [encoder.packed(t.as_py() or "") for t in part.column(1)]
+                decoded = [encoder.decode(x) for x in ids] if full else map(encoder.decode, ids)
                 arrays = [
                     part.column(0),
-                    pa.array([len(x) for x in ids], pa.int64()),
-                    pa.array([hashlib.sha256(np.array(x, "<u4").tobytes()).hexdigest() for x in ids], pa.string()),
+                    pa.array([len(x) // 4 for x in ids], pa.int64()),
+                    pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()),
                     pa.array([hashlib.sha256(x.encode()).hexdigest() for x in decoded], pa.string()),
                 ]
                 if full:
-                    arrays += [pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())]
+                    arrays += [pa.array([np.frombuffer(x, "<i4") for x in ids], pa.list_(pa.int32())), pa.array(decoded, pa.string())]
                 yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: len(arrays)])
 
     taken = columns(docs, doc_id, text).toDF("doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
