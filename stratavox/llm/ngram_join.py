@@ -9,11 +9,19 @@ Documents with equal sets are one class first. Classes are then split by set siz
 
 The boundary is the one of least estimated cost, from the histogram of all sizes.
 
-A list may hold a third of all classes, so pairs within it are not enumerated. In rounds,
-each list compares its members with one pivot, the member that shares most with others;
-links join members into components, and only lists with several components go on. When
-few members are left open, all their pairs across components are compared. So
-every pair that could join two components is checked.
+A list may hold a third of all classes, so pairs within it are not enumerated. Each list
+compares its members with one pivot, which is linear in the list. What the pivot leaves open
+is settled by differences: let D(x) be the n-grams that x and the pivot p do not share. If
+neither D(x) and D(y) meet nor x links with p, then x does not link with y, for x is at least
+as similar to p as to y. More exactly, a link of x and y needs
+
+    |D(x) & D(y)| >= (e(x) + e(y)) / 2,   e(z) = |D(z)| - c |z|,   c = (100 - percent) / (100 + percent)
+
+so the members' differences go to inverted lists in their turn, each with as many n-grams as
+a link can't miss, and the next round works on those. What copies have in common is no longer
+in them, so few members meet again. Lists whose members are all of one component, and members
+that can't hold the overlap from their place in a list on, are left out. Should lists still be
+open after ``rounds`` rounds, the pairs left on them are compared one by one.
 """
 
 from __future__ import annotations
@@ -26,7 +34,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import SpanHasher, connected_components, packed, unpacked, written
@@ -39,11 +47,15 @@ class JaccardSettings:
     percent: int = 85
     #: Largest size that may be light.
     max_light: int = 24
-    rounds: int = 4
+    #: Rounds of pivots before the pairs of the lists that are still open are compared.
+    rounds: int = 8
     #: Classes whose sets are fetched are sent to all executors up to this number, else joined by shuffle.
     broadcast_classes: int = 100_000
     #: Counters of the sketch that estimates how common an n-gram is.
     sketch_bits: int = 19
+    sketch_slices: int = 64
+    #: Classes that a task remembers having listed, so that copies are listed once a task.
+    remembered: int = 100_000
     seed: int = 41
 
     def overlap(self, a: int, b: int) -> int:
@@ -96,6 +108,15 @@ def set_hashes(sets: list[np.ndarray]) -> np.ndarray:
     return np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), np.int64).reshape(-1, 2)
 
 
+def class_ids(h: np.ndarray, clashing: list[int]) -> np.ndarray:
+    """Ids of classes: the first half of the hash, the second for the few classes that share a first half."""
+    return np.where(np.isin(h[:, 0], clashing), h[:, 1], h[:, 0]) if clashing else h[:, 0]
+
+
+def class_id(clashing: list[int]) -> Column:
+    return F.when(F.col("h1").isin(clashing), F.col("h2")).otherwise(F.col("h1")) if clashing else F.col("h1")
+
+
 def taken(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
 
@@ -103,8 +124,8 @@ def taken(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 def described_sets(docs: DataFrame, settings: JaccardSettings) -> DataFrame:
     """Each row's set size and 128-bit hash, small sets in full, and each task's n-gram counts.
 
-    Counts come as one more row of a task, with ``cells``: a sketch of fixed size over all
-    n-grams of the task. ``docs`` has ``doc_id, text, th``.
+    Counts come as more rows of a task, with ``cells``: the slices, numbered by ``h1``, of a
+    sketch of fixed size over all n-grams of the task. ``docs`` has ``doc_id, text, th``.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,8 +142,10 @@ def described_sets(docs: DataFrame, settings: JaccardSettings) -> DataFrame:
                 small = lists_of([s if len(s) <= settings.max_light else s[:0] for s in sets])
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(h[:, 0]), pa.array(h[:, 1]), small, pa.nulls(len(sets), pa.binary())], names=names)
         if total.any():
-            none = pa.nulls(1, pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, none, none, pa.nulls(1, pa.list_(pa.int64())), pa.array([total.tobytes()], pa.binary())], names=names)
+            n = settings.sketch_slices
+            none = pa.nulls(n, pa.int64())
+            cells = pa.array([x.tobytes() for x in np.split(total, n)], pa.binary())
+            yield pa.RecordBatch.from_arrays([none, none, none, pa.array(np.arange(n)), none, pa.nulls(n, pa.list_(pa.int64())), cells], names=names)
 
     return docs.mapInArrow(run, "doc_id long, th long, n_shingles long, h1 long, h2 long, grams array<long>, cells binary")
 
@@ -130,21 +153,26 @@ def described_sets(docs: DataFrame, settings: JaccardSettings) -> DataFrame:
 def gram_levels(described: DataFrame, settings: JaccardSettings) -> np.ndarray:
     """How common n-grams are, by sketch cell: 0 up to the usual count, then by powers of two.
 
-    The counts only order the n-grams, so collisions cost time and never a link. They are
-    added up in groups of tasks; the driver gets a few sketches of fixed size.
+    The counts only order the n-grams, so collisions cost time and never a link. Slices are
+    added up apart from each other, one batch at a time; the driver gets one sketch of fixed size.
     """
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << settings.sketch_bits, np.int64)
+        sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for x in batch.column(0):
-                total += np.frombuffer(x.as_py(), np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array([np.minimum(total, 2**31 - 1).astype(np.int32).tobytes()], pa.binary())], names=["cells"])
-
-    sums = described.where("cells is not null").select("cells").coalesce(8).mapInArrow(add, "cells binary")
-    total = np.zeros(1 << settings.sketch_bits, np.int64)
-    for row in sums.toLocalIterator():
-        total += np.frombuffer(row.cells, np.int32)
+            for k, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                own = np.frombuffer(x.as_py(), np.int32)
+                sums[k] = sums[k] + own if k in sums else own.astype(np.int64)
+        if sums:
+            cells = [np.minimum(x, 2**31 - 1).astype(np.int32).tobytes() for x in sums.values()]
+            yield pa.RecordBatch.from_arrays([pa.array([*sums], pa.int64()), pa.array(cells, pa.binary())], names=["slice", "cells"])
+
+    slices = described.where("cells is not null").select(F.col("h1").alias("slice"), "cells")
+    sums = slices.repartition(settings.sketch_slices, "slice").mapInArrow(add, "slice long, cells binary")
+    total = np.zeros((settings.sketch_slices, (1 << settings.sketch_bits) // settings.sketch_slices), np.int64)
+    for row in sums.collect():
+        total[row.slice] = np.frombuffer(row.cells, np.int32)
+    total = total.ravel()
     usual = max(4.0, 4 * total.mean())
     return np.maximum(0, np.ceil(np.log2(np.maximum(total, 1) / usual))).astype(np.uint8)
 
@@ -199,150 +227,154 @@ def light_links(sets: DataFrame, bound: int, settings: JaccardSettings) -> DataF
     return rows.join(star, ["k1", "k2"]).where("id <> b").select(F.col("id").alias("a"), "b").distinct()
 
 
-def heavy_lists(docs: DataFrame, least: int, levels: np.ndarray, settings: JaccardSettings) -> DataFrame:
-    """``gram, id, size, place``: the rarest n-grams of each set of at least ``least``, with their place in the order.
+def heavy_lists(docs: DataFrame, least: int, levels: np.ndarray, settings: JaccardSettings, clashing: list[int]) -> DataFrame:
+    """``key, id, size, place``: the rarest n-grams of each set of at least ``least``, with their place in the order.
 
-    The order is by level, then by unsigned hash, as ``Shingler.grams`` sorts.
+    The order is by level, then by unsigned hash, as ``Shingler.grams`` sorts. A task lists
+    a class again only after it has met many others.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(settings)
+        listed: set[int] = set()
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 sets = [s for t in batch.column(1).slice(at, 500) if len(s := shingler.grams(t.as_py())) >= least]
-                if not sets:
-                    continue
-                grams, counts = [], []
-                for g in sets:
+                grams, counts, ids, sizes = [], [], [], []
+                for g, k in zip(sets, class_ids(set_hashes(sets), clashing).tolist(), strict=True):
+                    if k in listed:
+                        continue
+                    if len(listed) >= settings.remembered:
+                        listed.clear()
+                    listed.add(k)
                     n = settings.prefix(len(g))
                     level = levels[cell_of(g, settings.sketch_bits)]
                     rare = np.flatnonzero(level == 0)
                     grams.append(g[rare[:n]] if len(rare) >= n else g[np.lexsort((g.view(np.uint64), level))[:n]])
                     counts.append(n)
-                sizes = np.array([len(g) for g in sets], np.int32)
-                columns = np.concatenate(grams), np.repeat(set_hashes(sets)[:, 0], counts), np.repeat(sizes, counts), np.concatenate([np.arange(n, dtype=np.int32) for n in counts])
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["gram", "id", "size", "place"])
+                    ids.append(k)
+                    sizes.append(len(g))
+                if ids:
+                    columns = np.concatenate(grams), np.repeat(np.array(ids, np.int64), counts), np.repeat(np.array(sizes, np.int32), counts), np.concatenate([np.arange(n, dtype=np.int32) for n in counts])
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["key", "id", "size", "place"])
 
-    return docs.mapInArrow(run, "gram long, id long, size int, place int")
+    return docs.mapInArrow(run, "key long, id long, size int, place int")
 
 
-def class_sets(docs: DataFrame, wanted: DataFrame, settings: JaccardSettings) -> DataFrame:
-    """``id, grams`` of the wanted classes (``id, doc_id``), each from one of its documents; a repeated row repeats its set."""
+def class_sets(docs: DataFrame, wanted: DataFrame, settings: JaccardSettings, clashing: list[int]) -> DataFrame:
+    """``id, grams`` of the wanted classes (``id, d, t``: one row of each by doc_id and hash of the text)."""
+    small = wanted.count() <= settings.broadcast_classes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(settings)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                sets = [shingler.grams(t.decode()) for t in unpacked(part.column(1))]
-                own = set_hashes(sets)[:, 0] == part.column(0).to_numpy()
-                yield pa.RecordBatch.from_arrays([part.column(0), lists_of(sets)], names=["id", "grams"]).filter(pa.array(own))
+                sets = [shingler.grams(t) for t in (part.column(1).to_pylist() if small else map(bytes.decode, unpacked(part.column(1))))]
+                yield pa.RecordBatch.from_arrays([pa.array(class_ids(set_hashes(sets), clashing)), lists_of(sets)], names=["id", "grams"])
+
+    rows = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
+    if not small:
+        rows = packed(rows)
+    found = rows.join(F.broadcast(wanted) if small else wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")))
+    sets = written(found.select("id", "text").mapInArrow(run, "id long, grams array<long>"), "class-sets")
+    if sets.groupBy("id").count().where("count > 1").take(1):  # repeated rows repeat their set
+        sets = written(sets.groupBy("id").agg(F.first("grams").alias("grams")), "class-sets")
+    return sets
 
-    docs = packed(docs)
-    if wanted.count() <= settings.broadcast_classes:
-        wanted = F.broadcast(wanted)
-    found = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["doc_id"])).select("id", "text")
-    return found.mapInArrow(run, "id long, grams array<long>")
 
+def compare(pairs: DataFrame, sets: DataFrame, levels: np.ndarray, settings: JaccardSettings) -> DataFrame:
+    """Exact comparison of the pairs ``id, pivot``: ``pivot, id, linked, delta, excess, grams``.
 
-def compare(pairs: DataFrame, sets: DataFrame, settings: JaccardSettings) -> DataFrame:
-    """The pairs ``a, b`` whose sets link, by exact comparison."""
+    ``delta`` is the size of the difference, ``excess`` is e of the module's text times
+    ``100 + percent``, ``grams`` the n-grams of the difference that go to lists: those that
+    the pivot lacks first, each part by level and hash.
+    """
+    more, less = 100 + settings.percent, 100 - settings.percent
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = x.values.to_numpy(), y.values.to_numpy()
-                both = np.sort(np.concatenate([x, y]))
-                shared = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * shared >= settings.percent * (len(both) - shared))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    left = sets.select(F.col("id").alias("a"), F.col("grams").alias("ga"))
-    right = sets.select(F.col("id").alias("b"), F.col("grams").alias("gb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ga", "gb").mapInArrow(run, "a long, b long")
-
-
-def open_pairs(pairs: DataFrame, done: DataFrame, settings: JaccardSettings) -> DataFrame:
-    """Distinct pairs that may link and were not compared.
-
-    On the first n-gram that linked sets share, what stands from it on in either set must
-    hold the whole overlap. Pairs that fail this on a list are met on another or can't link.
+            linked, deltas, excesses, grams = [], [], [], []
+            for x, p in zip(batch.column(2), batch.column(3), strict=True):
+                x, p = x.values.to_numpy().view(np.uint64), p.values.to_numpy().view(np.uint64)
+                at = np.minimum(np.searchsorted(p, x), len(p) - 1)
+                hit = p[at] == x
+                shared = int(hit.sum())
+                other = np.ones(len(p), bool)
+                other[at[hit]] = False
+                delta = len(x) + len(p) - 2 * shared
+                excess = more * delta - less * len(x)
+                link = 100 * shared >= settings.percent * (len(x) + len(p) - shared)
+                # The least excess of a partner: of one that the pivot does not link, or of any that is near enough.
+                partner = less * len(p) + 1 if link else max(2 * settings.percent - less * len(p), excess + (-200 * less * len(x)) // settings.percent)
+                need = max(1, -(-(excess + partner) // (2 * more)))
+                parts = []
+                for own in (x[~hit], p[other]):
+                    level = levels[cell_of(own.view(np.int64), settings.sketch_bits)]
+                    parts.append(own[np.lexsort((own, level))] if level.any() else own)
+                linked.append(link)
+                deltas.append(delta)
+                excesses.append(excess)
+                grams.append(np.concatenate(parts)[: max(0, delta - need + 1)].view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_()), pa.array(deltas, pa.int64()), pa.array(excesses, pa.int64()), lists_of(grams)], names=["pivot", "id", "linked", "delta", "excess", "grams"])
+
+    left = sets.select("id", F.col("grams").alias("gx"))
+    right = sets.select(F.col("id").alias("pivot"), F.col("grams").alias("gp"))
+    return pairs.join(left, "id").join(right, "pivot").select("pivot", "id", "gx", "gp").mapInArrow(run, "pivot long, id long, linked boolean, delta long, excess long, grams array<long>")
+
+
+LIST = ("key", "id", "component", "reach", "excess")
+
+
+def open_lists(lists: DataFrame) -> DataFrame:
+    """The members that may link with one of another component on their list, and the list's ``members``.
+
+    Two members may link if their excesses together are at most the reach of both.
     """
-    need = F.ceil(settings.percent * (F.col("size_a") + F.col("size_b")) / F.lit(100 + settings.percent))
-    reach = F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b"))
-    pairs = pairs.where(reach >= need).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return pairs.join(done, ["a", "b"], "left_anti")
-
+    other = F.col("component")
+    whole = lists.groupBy("key").agg(F.min(other).alias("lo"), F.max(other).alias("hi"), F.min("excess").alias("least"), F.max(F.col("reach") - F.col("excess")).alias("most"), F.count("*").alias("members")).where("lo <> hi")
+    return lists.join(whole, "key").where("excess <= most and excess + least <= reach").select(*LIST, "members")
 
-def likely_pairs(pairs: DataFrame, held: DataFrame, settings: JaccardSettings) -> DataFrame:
-    """The pairs ``a, b`` that share enough of their listed n-grams to link.
 
-    Of the two, take the set whose listed n-grams end first in the order. All it shares
-    among them is listed on both sides, so the overlap is at most the number shared on
-    lists and what it has beyond its listed n-grams.
-    """
-    a = held.select("gram", F.col("id").alias("a"), F.col("size").alias("size_a"), F.col("grams").alias("grams_a"))
-    b = held.select("gram", F.col("id").alias("b"), F.col("size").alias("size_b"), F.col("grams").alias("grams_b"))
-    met = pairs.join(a, "a").join(b, ["gram", "b"]).groupBy("a", "b")
-    met = met.agg(F.first("size_a").alias("size_a"), F.first("size_b").alias("size_b"), F.sum(F.least("grams_a", "grams_b")).alias("shared"))
-    need = F.ceil(settings.percent * (F.col("size_a") + F.col("size_b")) / F.lit(100 + settings.percent))
-    beyond = F.ceil(settings.percent * F.greatest("size_a", "size_b") / F.lit(100)) - 1
-    return met.where(F.col("shared") + beyond >= need).select("a", "b")
+def open_pairs(lists: DataFrame) -> DataFrame:
+    """All pairs ``id, pivot`` of different components that may link on a list."""
+    a = lists.select("key", "id", F.col("component").alias("ca"), F.col("reach").alias("ra"), F.col("excess").alias("ea"))
+    b = lists.select("key", F.col("id").alias("pivot"), F.col("component").alias("cb"), F.col("reach").alias("rb"), F.col("excess").alias("eb"))
+    pairs = a.join(b, "key").where("ca < cb and ea + eb <= ra and ea + eb <= rb")
+    return pairs.select("id", "pivot").distinct()
 
 
-def heavy_links(docs: DataFrame, owners: DataFrame, bound: int, levels: np.ndarray, settings: JaccardSettings) -> DataFrame:
+def heavy_links(docs: DataFrame, owners: DataFrame, bound: int, levels: np.ndarray, settings: JaccardSettings, clashing: list[int]) -> DataFrame:
     """``a, b``: links that make the components of pairs with a heavy set.
 
-    ``owners (id, doc_id)`` names one document of each class.
+    ``owners (id, d, t)`` names one row of each class.
     """
-    spark = docs.sparkSession
-    lists = heavy_lists(docs, settings.heavy_from(bound), levels, settings)
-    same = Window.partitionBy("gram")
-    lists = lists.withColumns({"lo": F.min("id").over(same), "hi": F.max("id").over(same), "n": F.count("*").over(same), "members": F.sum(F.pmod(F.xxhash64("id"), F.lit(2**31))).over(same)})
-    # Copies share whole rows of n-grams: lists with the same members become one, with each
-    # member's first place. Should different lists meet here, there are only more candidates.
-    lists = lists.where("lo <> hi").dropDuplicates(["gram", "id"]).groupBy(F.xxhash64("members", "n", "lo", "hi").alias("gram"), "id").agg(F.first("size").alias("size"), F.min("place").alias("place"), F.count("*").alias("grams"), F.sum(F.log2("n")).alias("shared"))
-    lists = written(lists, "heavy-lists")
+    more = 2 * (100 + settings.percent)
+    lists = written(heavy_lists(docs, settings.heavy_from(bound), levels, settings, clashing), "heavy-lists")
+    reach = (F.col("size") - F.col("place")) * F.lit(more)
+    lists = lists.select("key", "id", F.col("id").alias("component"), reach.cast("long").alias("reach"), (F.col("size") * F.lit(2 * settings.percent)).cast("long").alias("excess"))
+    lists = written(open_lists(lists).distinct(), "heavy-lists")
     # A member that shares most of its n-grams with many others is the likely centre of its copies.
-    central = lists.groupBy("id").agg((F.sum("shared") / F.first("size")).alias("weight"))
-    lists = written(lists.join(central, "id").select("gram", "id", "size", "place", "grams", "weight", F.col("id").alias("component")), "heavy-lists")
-    held = lists.select("gram", "id", "size", "grams")
-    # Sets are fetched only for classes that stand in a pair to compare.
-    sets = spark.createDataFrame([], "id long, grams array<long>")
-    links = done = spark.createDataFrame([], "a long, b long")
-
-    def side(of: DataFrame, name: str, *more: F.Column) -> DataFrame:  # type: ignore[name-defined]
-        return of.select("gram", F.col("id").alias(name), F.col("size").alias(f"size_{name}"), F.col("place").alias(f"place_{name}"), F.col("component").alias(f"component_{name}"), *more)
-
-    for turn in range(settings.rounds + 1):
-        if turn < settings.rounds:
-            lead = F.max_by(F.struct("id", "size", "place", "component"), F.struct("weight", -F.col("id")))
-            led = lists.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), lead.alias("p")).where("lo <> hi").select("gram", "p.*")
-            pairs = side(lists, "a").join(side(led, "b"), "gram")
-        else:
-            # Components are whole but for members that met no pivot of theirs: these few meet all others.
-            parts = lists.groupBy("gram", "component").agg(F.count("*").alias("c"))
-            most = parts.groupBy("gram").agg(F.max_by("component", F.struct("c", "component")).alias("most"), F.count("*").alias("parts")).where("parts > 1")
-            pairs = side(lists.join(most, "gram").where("component <> most"), "a").join(side(lists, "b"), "gram")
-        todo = written(open_pairs(pairs.where("component_a <> component_b"), done, settings), "heavy-candidates")
-        if todo.take(1):
-            likely = written(likely_pairs(todo, held, settings), "heavy-likely")
-            wanted = likely.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(sets, "id", "left_anti")
-            wanted = written(owners.join(wanted, "id").select("id", "doc_id"), "wanted-classes")
-            sets = sets.unionAll(written(class_sets(docs, wanted, settings), "class-sets"))
-            links = links.unionAll(written(compare(likely, sets, settings), "heavy-links"))
-            done = done.unionAll(todo)
-        if turn < settings.rounds:
-            parts = connected_components(links).select("id", F.col("component").alias("root"))
-            led = led.select("gram", F.col("id").alias("led"))
-            lists = lists.join(parts, "id", "left").join(led, "gram")
-            # A pivot has met its whole list: in the next round another member leads.
-            weight = F.when(F.col("id") == F.col("led"), F.lit(-1.0)).otherwise(F.col("weight"))
-            lists = written(lists.select("gram", "id", "size", "place", "grams", weight.alias("weight"), F.coalesce("root", "id").alias("component")), "heavy-lists")
-            if not lists.take(1):
-                break
-    return links
+    central = lists.groupBy("id").agg((F.sum(F.log2("members")) / F.first("excess")).alias("weight"))
+    weighted = lists.join(central, "id")
+    sets = class_sets(docs, written(owners.join(central.select("id"), "id"), "wanted-classes"), settings, clashing)
+    links = docs.sparkSession.createDataFrame([], "a long, b long")
+    for _ in range(settings.rounds):
+        led = weighted.groupBy("key").agg(F.max_by("id", F.struct("weight", -F.col("id"))).alias("pivot"))
+        pairs = written(weighted.join(led, "key").where("id <> pivot").select("id", "pivot").distinct(), "heavy-pairs")
+        if not pairs.take(1):
+            return links
+        compared = written(compare(pairs, sets, levels, settings), "heavy-compared")
+        parts = connected_components(links.unionAll(compared.where("linked").select(F.col("id").alias("a"), F.col("pivot").alias("b"))))
+        links = parts.select(F.col("id").alias("a"), F.col("component").alias("b"))
+        named = compared.join(parts, "id", "left").select("pivot", "id", F.coalesce("component", "id").alias("component"), "delta", "excess", F.posexplode("grams").alias("place", "gram"))
+        named = named.select(F.xxhash64("pivot", "gram").alias("key"), "id", "component", ((F.col("delta") - F.col("place")) * F.lit(more)).alias("reach"), "excess")
+        lists = written(open_lists(open_lists(named).select(*LIST)), "heavy-lists")
+        # The member nearest to the last pivot leads.
+        weighted = lists.withColumn("weight", -F.col("excess"))
+    pairs = written(open_pairs(lists), "heavy-pairs")
+    found = compare(pairs, sets, levels, settings).where("linked").select(F.col("id").alias("a"), F.col("pivot").alias("b"))
+    return links.unionAll(written(found, "heavy-links"))
 
 
 def joined_rows(docs: DataFrame, settings: JaccardSettings, doc_id: str, text: str) -> DataFrame:
@@ -356,12 +388,16 @@ def joined_rows(docs: DataFrame, settings: JaccardSettings, doc_id: str, text: s
     rows = described.where("cells is null").select("doc_id", "th", "n_shingles", "h1", "h2", "grams")
     least_row = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th"))
     classes = rows.where("n_shingles > 0").groupBy("h1", "h2").agg(least_row.alias("first"), F.first("n_shingles").alias("n_shingles"), F.first("grams").alias("grams"))
-    classes = written(classes, "classes").withColumn("id", F.col("h1"))
+    classes = written(classes, "classes")
+    clashing = [r.h1 for r in classes.groupBy("h1").count().where("count > 1").limit(1001).collect()]
+    if len(clashing) > 1000:
+        raise RuntimeError("too many sets share half of their hash")
+    classes = classes.withColumn("id", class_id(clashing))
     small = F.col("n_shingles") <= 2 * settings.max_light
     sizes = {r.n_shingles: r.n for r in classes.where(small).groupBy("n_shingles").agg(F.count("*").alias("n")).collect()}
     bound = light_boundary(sizes, settings)
-    owners = classes.select("id", F.col("first.doc_id").alias("doc_id"))
-    links = light_links(classes, bound, settings).unionAll(heavy_links(docs, owners, bound, gram_levels(described, settings), settings))
+    owners = classes.select("id", F.col("first.doc_id").alias("d"), F.col("first.th").alias("t"))
+    links = light_links(classes, bound, settings).unionAll(heavy_links(docs, owners, bound, gram_levels(described, settings), settings, clashing))
     parts = connected_components(links)
     named = classes.join(parts, "id", "left").select("h1", "h2", "first", F.coalesce("component", "id").alias("component"))
     least = named.groupBy("component").agg(F.min("first").alias("least"))
@@ -376,7 +412,8 @@ def join_documents(docs: DataFrame, settings: JaccardSettings = JaccardSettings(
     with the same set. Null and empty texts and texts without words have an empty set,
     link with nothing and are their own component. Rows with equal doc_id and different
     texts are nodes of their own; a null doc_id links its neighbours and has the ids of
-    its component. Sets are told apart by 128-bit hashes, classes on lists by 64 bits.
+    its component. Sets are told apart by 128-bit hashes, on lists by the
+    first half of it, or the second where two sets share the first.
     Other columns are not read.
     """
     out = joined_rows(docs, settings, doc_id, text)

@@ -4,6 +4,8 @@ import math
 import random
 import re
 
+import numpy as np
+
 import corpus_pipeline
 from stratavox.llm import ngram_join, pii
 
@@ -86,3 +88,34 @@ def test_pii_terms_of_whole_documents(spark):
         if both >= 2 and d >= 0.5:
             want["email:ann@x.org", w] = d
     assert told.keys() == want.keys() and all(abs(told[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_join_of_one_large_group_of_near_copies(spark):
+    """2,000 variants of one text, most pairs near the limit: brute force by a matrix of shared n-grams."""
+    rng, base = random.Random(15), [f"b{k}" for k in range(150)]
+    rows = []
+    for k in range(2000):
+        words = list(base)
+        for _ in range(rng.choice([1, 2, 3, 4, 5, 6])):
+            at = rng.randrange(150)
+            words[at] = rng.choice([f"n{k}x{at}", f"c{at}", f"c{at}"])
+        rows.append((k, " ".join(words)))
+    sets = []
+    for _, t in rows:
+        w = t.split()
+        sets.append({tuple(w[i : i + 4]) for i in range(len(w) - 3)})
+    grams = {g: k for k, g in enumerate(sorted(set().union(*sets)))}
+    held = np.zeros((len(rows), len(grams)), np.float32)
+    for k, s in enumerate(sets):
+        held[k, [grams[g] for g in s]] = 1
+    shared, size = held @ held.T, held.sum(1)
+    linked = 100 * shared >= 85 * (size[:, None] + size[None, :] - shared)
+    want, least = {}, np.arange(len(rows))
+    while (new := np.where(linked, least[None, :], len(rows)).min(1)).tolist() != least.tolist():
+        least = new
+    want = dict(enumerate(least.tolist()))
+    assert 0.02 < linked.mean() < 0.6 and len(set(want.values())) > 20
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for rounds in (8, 1):
+        got = {r.doc_id: r.component_id for r in ngram_join.join_documents(docs, ngram_join.JaccardSettings(rounds=rounds)).collect()}
+        assert got == want
