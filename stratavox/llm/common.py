@@ -119,7 +119,20 @@ class SpanHasher:
 
     def spans(self, prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Hash of ``data[start:end]`` for each pair."""
-        x = (prefix[end] - prefix[start]) * self.down[start]
+        return self._mixed((prefix[end] - prefix[start]) * self.down[start])
+
+    def runs(self, values: np.ndarray, k: int) -> np.ndarray:
+        """Hash of each run of ``k`` neighbouring 64-bit values."""
+        n = len(values)
+        if n < k:
+            return np.empty(0, np.uint64)
+        if n >= len(self.up):
+            self._grow(2 * n)
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(values * self.up[:n], out=sums[1:])
+        return self._mixed((sums[k:] - sums[:-k]) * self.down[: n - k + 1])
+
+    def _mixed(self, x: np.ndarray) -> np.ndarray:
         x ^= x >> np.uint64(32)
         x *= self.mix
         x ^= x >> np.uint64(29)

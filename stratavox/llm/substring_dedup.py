@@ -2,15 +2,17 @@
 
 Windows of ``window`` words are sampled by content: of each window's sub-windows of
 ``probe`` words, the one of least hash is chosen, so equal windows choose equal probes and
-few words are chosen at all. The index keeps the fingerprints of chosen probes, with their
-places, in immutable runs sorted by fingerprint (bucketed tables of the warehouse). A new
+few words are chosen at all. The index keeps the fingerprints of chosen probes in immutable
+runs sorted by fingerprint (bucketed tables of the warehouse), each fingerprint once with its
+count, so a very common one is one row; their places lie beside them in plain files. A new
 batch of documents becomes a run, is merge-joined with the older runs, and the runs are
 compacted into one when there are too many. Fingerprints found twice name the places that
 may lie in a repeated window.
 
-Those places are verified: the hashes of all windows around a place are compared within
-its fingerprint. First whole surroundings are counted, so that any number of exact copies
-becomes one row; only differing surroundings are compared window by window.
+Those places are verified: all windows around a place are compared within its fingerprint by
+a second 64-bit hash, independent of the first. First whole surroundings are counted, so that
+any number of exact copies becomes one row; only differing surroundings are compared window by
+window.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ import hashlib
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -55,16 +58,13 @@ class Windows:
 
     def __init__(self, settings: WindowSettings) -> None:
         self.s = settings
-        self.probe, self.whole = SpanHasher(settings.seed), SpanHasher(settings.seed + 1)
+        self.word, self.probe, self.whole = (SpanHasher(settings.seed + k) for k in range(3))
 
     def hashes(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Hash of the probe, and of the window, that begins at each word."""
         data, start, end = word_bounds(words)
-        out = []
-        for hasher, k in ((self.probe, self.s.probe), (self.whole, self.s.window)):
-            n = max(0, len(words) - k + 1)
-            out.append(hasher.spans(hasher.prefix(data), start[:n], end[k - 1 :]) if n else np.empty(0, np.uint64))
-        return out[0], out[1]
+        own = self.word.spans(self.word.prefix(data), start, end)
+        return self.probe.runs(own, self.s.probe), self.whole.runs(own, self.s.window)
 
     def chosen(self, probes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places of chosen probes; of equal least hashes all are chosen. And each window's least hash."""
@@ -105,41 +105,49 @@ def probes_of(docs: DataFrame, settings: WindowSettings) -> DataFrame:
 
 @dataclass
 class FingerprintIndex:
-    """Sorted immutable runs of fingerprints with their places."""
+    """Sorted immutable runs of distinct fingerprints with their counts, and the places of all."""
 
     spark: SparkSession
     settings: WindowSettings
     buckets: int
     runs: list[str] = field(default_factory=list)
+    stored: list[DataFrame] = field(default_factory=list)
 
-    def _write(self, rows: DataFrame) -> str:
+    def _write(self, counts: DataFrame) -> str:
         name = f"fingerprints_{uuid.uuid4().hex}"
-        rows.repartition(self.buckets, "fp").write.bucketBy(self.buckets, "fp").sortBy("fp").saveAsTable(name)
+        counts.write.bucketBy(self.buckets, "fp").sortBy("fp").saveAsTable(name)
         return name
 
+    def _drop(self) -> None:
+        for name in self.runs:
+            self.spark.sql(f"DROP TABLE {name}")
+
     def places(self) -> DataFrame:
-        """All places of all runs."""
-        out = self.spark.table(self.runs[0])
-        for name in self.runs[1:]:
-            out = out.unionAll(self.spark.table(name))
-        return out
+        """``fp, doc_id, th, at`` of all batches."""
+        return reduce(DataFrame.unionAll, self.stored)
 
     def ingest(self, probes: DataFrame) -> DataFrame:
         """Adds a batch as a run; the fingerprints (``fp``) that it holds twice or shares with an older run."""
-        new = self._write(probes)
-        count = self.spark.table(new).groupBy("fp").agg(F.count("*").alias("n"))
+        self.stored.append(written(probes, "places"))
+        new = self._write(self.stored[-1].groupBy("fp").agg(F.count("*").alias("n")))
+        count = self.spark.table(new)
         found = count.where("n > 1").select("fp")
         for old in self.runs:
             found = found.unionAll(count.select("fp").join(self.spark.table(old).select("fp").hint("merge"), "fp", "left_semi"))
         found = written(found.distinct(), "shared")
         self.runs.append(new)
         if len(self.runs) > self.settings.runs:
-            whole = self._write(self.places())
-            for name in self.runs:
-                self.spark.sql(f"DROP TABLE {name}")
+            whole = reduce(DataFrame.unionAll, map(self.spark.table, self.runs))
+            whole = self._write(whole.groupBy("fp").agg(F.sum("n").alias("n")))
+            self._drop()
             self.runs = [whole]
         return found
 
+    def close(self) -> None:
+        """Drops the runs."""
+        self._drop()
+        self.runs = []
+
 
 def surroundings(docs: DataFrame, hits: DataFrame, settings: WindowSettings) -> DataFrame:
     """``fp, around, windows, doc_id, th, first``: hashes of the windows that chose each hit, from window ``first`` on.
@@ -194,6 +202,7 @@ def repeated_windows(docs: DataFrame, settings: WindowSettings) -> DataFrame:
         shared = found if shared is None else shared.unionAll(found)
     hits = index.places().join(shared.distinct(), "fp", "left_semi").groupBy("doc_id", "th").agg(F.collect_set("at").alias("places"))
     around = written(surroundings(docs, hits, settings), "surroundings")
+    index.close()
 
     classes = around.groupBy("fp", "around").agg(F.count("*").alias("n"), F.first("skip").alias("skip"), F.first("windows").alias("windows"))
     classes = written(classes, "surrounding-classes")
