@@ -51,10 +51,10 @@ class JaccardSettings:
     rounds: int = 8
     #: Classes whose sets are fetched are sent to all executors up to this number, else joined by shuffle.
     broadcast_classes: int = 100_000
-    #: Counters of the sketch that estimates how common an n-gram is.
-    sketch_bits: int = 19
-    sketch_slices: int = 64
-    #: Classes that a task remembers having listed, so that copies are listed once a task.
+    #: N-grams that tasks count at a time to find common ones, and how many of the most common are ordered by count.
+    counted: int = 4_000_000
+    common: int = 1 << 19
+    #: Classes that a task remembers having met, so that copies are counted and listed once a task.
     remembered: int = 100_000
     seed: int = 41
 
@@ -94,8 +94,39 @@ class Shingler:
         return np.unique(self.hasher.spans(self.hasher.prefix(raw), starts[: len(ends) - k + 1], ends[k - 1 :])).view(np.int64)
 
 
-def cell_of(grams: np.ndarray, bits: int) -> np.ndarray:
-    return ((grams.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
+class Rarity:
+    """The order of n-grams: level 0 for most, above it by the logarithm of how many sets hold a common one.
+
+    It only decides which n-grams are listed, so it costs time and never a link if counts are rough.
+    """
+
+    def __init__(self, grams: np.ndarray, counts: np.ndarray) -> None:
+        order = np.argsort(grams.view(np.uint64))
+        self.grams = grams.view(np.uint64)[order]
+        self.level = np.ceil(np.log2(np.maximum(counts, 1))).astype(np.uint8)[order]
+
+    def of(self, grams: np.ndarray) -> np.ndarray:
+        """Levels of sorted n-grams."""
+        if not len(self.grams):
+            return np.zeros(len(grams), np.uint8)
+        own = grams.view(np.uint64)
+        at = np.minimum(np.searchsorted(self.grams, own), len(self.grams) - 1)
+        return np.where(self.grams[at] == own, self.level[at], 0).astype(np.uint8)
+
+
+class Met:
+    """Classes that a task has met lately."""
+
+    def __init__(self, size: int) -> None:
+        self.size, self.ids = size, set()
+
+    def new(self, k: int) -> bool:
+        if k in self.ids:
+            return False
+        if len(self.ids) >= self.size:
+            self.ids.clear()
+        self.ids.add(k)
+        return True
 
 
 def lists_of(arrays: list[np.ndarray]) -> pa.Array:
@@ -122,59 +153,45 @@ def taken(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def described_sets(docs: DataFrame, settings: JaccardSettings) -> DataFrame:
-    """Each row's set size and 128-bit hash, small sets in full, and each task's n-gram counts.
+    """Each row's set size and 128-bit hash, small sets in full, and n-grams that a task meets in several sets.
 
-    Counts come as more rows of a task, with ``cells``: the slices, numbered by ``h1``, of a
-    sketch of fixed size over all n-grams of the task. ``docs`` has ``doc_id, text, th``.
+    The latter are more rows, the n-gram as ``h1`` with the number of sets in ``often``; they
+    are counted among ``counted`` n-grams at a time. ``docs`` has ``doc_id, text, th``.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(settings)
-        names = ["doc_id", "th", "n_shingles", "h1", "h2", "grams", "cells"]
-        total = np.zeros(1 << settings.sketch_bits, np.int32)
+        shingler, met = Shingler(settings), Met(settings.remembered)
+        names = ["doc_id", "th", "n_shingles", "h1", "h2", "grams", "often"]
+        held: list[np.ndarray] = []
+
+        def common() -> pa.RecordBatch:
+            grams, counts = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            grams, counts = grams[counts > 1], counts[counts > 1]
+            none = pa.nulls(len(grams), pa.int64())
+            return pa.RecordBatch.from_arrays([none, none, none, pa.array(grams), none, pa.nulls(len(grams), pa.list_(pa.int64())), pa.array(counts, pa.int64())], names=names)
+
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 sets = [shingler.grams(t.as_py()) for t in part.column(1)]
-                for s in sets:
-                    np.add.at(total, cell_of(s, settings.sketch_bits), 1)
                 h = set_hashes(sets)
+                held += [s for s, k in zip(sets, h[:, 0].tolist(), strict=True) if met.new(k)]
                 small = lists_of([s if len(s) <= settings.max_light else s[:0] for s in sets])
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(h[:, 0]), pa.array(h[:, 1]), small, pa.nulls(len(sets), pa.binary())], names=names)
-        if total.any():
-            n = settings.sketch_slices
-            none = pa.nulls(n, pa.int64())
-            cells = pa.array([x.tobytes() for x in np.split(total, n)], pa.binary())
-            yield pa.RecordBatch.from_arrays([none, none, none, pa.array(np.arange(n)), none, pa.nulls(n, pa.list_(pa.int64())), cells], names=names)
-
-    return docs.mapInArrow(run, "doc_id long, th long, n_shingles long, h1 long, h2 long, grams array<long>, cells binary")
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(h[:, 0]), pa.array(h[:, 1]), small, pa.nulls(len(sets), pa.int64())], names=names)
+                if sum(map(len, held)) > settings.counted:
+                    yield common()
+        if held:
+            yield common()
 
+    return docs.mapInArrow(run, "doc_id long, th long, n_shingles long, h1 long, h2 long, grams array<long>, often long")
 
-def gram_levels(described: DataFrame, settings: JaccardSettings) -> np.ndarray:
-    """How common n-grams are, by sketch cell: 0 up to the usual count, then by powers of two.
 
-    The counts only order the n-grams, so collisions cost time and never a link. Slices are
-    added up apart from each other, one batch at a time; the driver gets one sketch of fixed size.
-    """
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for k, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                own = np.frombuffer(x.as_py(), np.int32)
-                sums[k] = sums[k] + own if k in sums else own.astype(np.int64)
-        if sums:
-            cells = [np.minimum(x, 2**31 - 1).astype(np.int32).tobytes() for x in sums.values()]
-            yield pa.RecordBatch.from_arrays([pa.array([*sums], pa.int64()), pa.array(cells, pa.binary())], names=["slice", "cells"])
-
-    slices = described.where("cells is not null").select(F.col("h1").alias("slice"), "cells")
-    sums = slices.repartition(settings.sketch_slices, "slice").mapInArrow(add, "slice long, cells binary")
-    total = np.zeros((settings.sketch_slices, (1 << settings.sketch_bits) // settings.sketch_slices), np.int64)
-    for row in sums.collect():
-        total[row.slice] = np.frombuffer(row.cells, np.int32)
-    total = total.ravel()
-    usual = max(4.0, 4 * total.mean())
-    return np.maximum(0, np.ceil(np.log2(np.maximum(total, 1) / usual))).astype(np.uint8)
+def rarity(described: DataFrame, settings: JaccardSettings) -> Rarity:
+    """The order, from at most ``common`` of the most common n-grams."""
+    counts = described.where("often is not null").groupBy(F.col("h1").alias("gram")).agg(F.sum("often").alias("n"))
+    top = counts.orderBy(F.desc("n"), "gram").limit(settings.common).toArrow()
+    return Rarity(top.column("gram").to_numpy(), top.column("n").to_numpy())
 
 
 def light_boundary(sizes: dict[int, int], settings: JaccardSettings) -> int:
@@ -227,38 +244,32 @@ def light_links(sets: DataFrame, bound: int, settings: JaccardSettings) -> DataF
     return rows.join(star, ["k1", "k2"]).where("id <> b").select(F.col("id").alias("a"), "b").distinct()
 
 
-def heavy_lists(docs: DataFrame, least: int, levels: np.ndarray, settings: JaccardSettings, clashing: list[int]) -> DataFrame:
-    """``key, id, size, place``: the rarest n-grams of each set of at least ``least``, with their place in the order.
+def heavy_lists(docs: DataFrame, least: int, order: Rarity, settings: JaccardSettings, clashing: list[int]) -> DataFrame:
+    """``key, id, size, place, weight``: the rarest n-grams of each set of at least ``least``, with their place in the order.
 
-    The order is by level, then by unsigned hash, as ``Shingler.grams`` sorts. A task lists
-    a class again only after it has met many others.
+    The order is by level, then by unsigned hash, as ``Shingler.grams`` sorts. ``weight`` is
+    the share of common n-grams, in thousandths.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(settings)
-        listed: set[int] = set()
+        shingler, met = Shingler(settings), Met(settings.remembered)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 sets = [s for t in batch.column(1).slice(at, 500) if len(s := shingler.grams(t.as_py())) >= least]
-                grams, counts, ids, sizes = [], [], [], []
+                grams, rows = [], []
                 for g, k in zip(sets, class_ids(set_hashes(sets), clashing).tolist(), strict=True):
-                    if k in listed:
+                    if not met.new(k):
                         continue
-                    if len(listed) >= settings.remembered:
-                        listed.clear()
-                    listed.add(k)
-                    n = settings.prefix(len(g))
-                    level = levels[cell_of(g, settings.sketch_bits)]
+                    n, level = settings.prefix(len(g)), order.of(g)
                     rare = np.flatnonzero(level == 0)
                     grams.append(g[rare[:n]] if len(rare) >= n else g[np.lexsort((g.view(np.uint64), level))[:n]])
-                    counts.append(n)
-                    ids.append(k)
-                    sizes.append(len(g))
-                if ids:
-                    columns = np.concatenate(grams), np.repeat(np.array(ids, np.int64), counts), np.repeat(np.array(sizes, np.int32), counts), np.concatenate([np.arange(n, dtype=np.int32) for n in counts])
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["key", "id", "size", "place"])
+                    rows.append((k, len(g), 1000 * (len(g) - len(rare)) // len(g), n))
+                if rows:
+                    ids, sizes, weights, counts = np.array(rows, np.int64).T
+                    columns = np.concatenate(grams), np.repeat(ids, counts), np.repeat(sizes, counts).astype(np.int32), np.concatenate([np.arange(n, dtype=np.int32) for n in counts]), np.repeat(weights, counts).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["key", "id", "size", "place", "weight"])
 
-    return docs.mapInArrow(run, "key long, id long, size int, place int")
+    return docs.mapInArrow(run, "key long, id long, size int, place int, weight int")
 
 
 def class_sets(docs: DataFrame, wanted: DataFrame, settings: JaccardSettings, clashing: list[int]) -> DataFrame:
@@ -283,7 +294,7 @@ def class_sets(docs: DataFrame, wanted: DataFrame, settings: JaccardSettings, cl
     return sets
 
 
-def compare(pairs: DataFrame, sets: DataFrame, levels: np.ndarray, settings: JaccardSettings) -> DataFrame:
+def compare(pairs: DataFrame, sets: DataFrame, order: Rarity, settings: JaccardSettings) -> DataFrame:
     """Exact comparison of the pairs ``id, pivot``: ``pivot, id, linked, delta, excess, grams``.
 
     ``delta`` is the size of the difference, ``excess`` is e of the module's text times
@@ -310,7 +321,7 @@ def compare(pairs: DataFrame, sets: DataFrame, levels: np.ndarray, settings: Jac
                 need = max(1, -(-(excess + partner) // (2 * more)))
                 parts = []
                 for own in (x[~hit], p[other]):
-                    level = levels[cell_of(own.view(np.int64), settings.sketch_bits)]
+                    level = order.of(own)
                     parts.append(own[np.lexsort((own, level))] if level.any() else own)
                 linked.append(link)
                 deltas.append(delta)
@@ -323,17 +334,31 @@ def compare(pairs: DataFrame, sets: DataFrame, levels: np.ndarray, settings: Jac
     return pairs.join(left, "id").join(right, "pivot").select("pivot", "id", "gx", "gp").mapInArrow(run, "pivot long, id long, linked boolean, delta long, excess long, grams array<long>")
 
 
-LIST = ("key", "id", "component", "reach", "excess")
+LIST = ("key", "id", "component", "reach", "excess", "weight")
 
 
 def open_lists(lists: DataFrame) -> DataFrame:
-    """The members that may link with one of another component on their list, and the list's ``members``.
+    """The members that may link with one of another component on their list.
 
     Two members may link if their excesses together are at most the reach of both.
     """
-    other = F.col("component")
-    whole = lists.groupBy("key").agg(F.min(other).alias("lo"), F.max(other).alias("hi"), F.min("excess").alias("least"), F.max(F.col("reach") - F.col("excess")).alias("most"), F.count("*").alias("members")).where("lo <> hi")
-    return lists.join(whole, "key").where("excess <= most and excess + least <= reach").select(*LIST, "members")
+    whole = lists.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("excess").alias("least"), F.max(F.col("reach") - F.col("excess")).alias("most")).where("lo <> hi")
+    return lists.join(whole, "key").where("excess <= most and excess + least <= reach").select(*LIST)
+
+
+def first_lists(docs: DataFrame, bound: int, order: Rarity, settings: JaccardSettings, clashing: list[int]) -> DataFrame:
+    """Open lists of the sets' own n-grams.
+
+    Most n-grams stand in one set alone and go first. Sets that link are of the same or of
+    neighbouring classes of size, so a list of many sizes is split into one for each two of them.
+    """
+    entries = written(heavy_lists(docs, settings.heavy_from(bound), order, settings, clashing), "heavy-entries")
+    several = entries.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("key")
+    reach = ((F.col("size") - F.col("place")) * F.lit(2 * (100 + settings.percent))).cast("long")
+    lists = entries.join(several, "key").select("key", "id", F.col("id").alias("component"), reach.alias("reach"), (F.col("size") * F.lit(2 * settings.percent)).cast("long").alias("excess"), F.col("weight").cast("long").alias("weight"), "size")
+    step = F.floor(F.log(F.col("size").cast("double")) / F.lit(-math.log(settings.percent / 100) + 1e-9)).cast("long")
+    lists = lists.select(*LIST, F.explode(F.array(step, step + 1)).alias("step")).withColumn("key", F.xxhash64("key", "step"))
+    return written(open_lists(lists), "heavy-lists")
 
 
 def open_pairs(lists: DataFrame) -> DataFrame:
@@ -344,36 +369,29 @@ def open_pairs(lists: DataFrame) -> DataFrame:
     return pairs.select("id", "pivot").distinct()
 
 
-def heavy_links(docs: DataFrame, owners: DataFrame, bound: int, levels: np.ndarray, settings: JaccardSettings, clashing: list[int]) -> DataFrame:
+def heavy_links(docs: DataFrame, owners: DataFrame, bound: int, order: Rarity, settings: JaccardSettings, clashing: list[int]) -> DataFrame:
     """``a, b``: links that make the components of pairs with a heavy set.
 
     ``owners (id, d, t)`` names one row of each class.
     """
-    more = 2 * (100 + settings.percent)
-    lists = written(heavy_lists(docs, settings.heavy_from(bound), levels, settings, clashing), "heavy-lists")
-    reach = (F.col("size") - F.col("place")) * F.lit(more)
-    lists = lists.select("key", "id", F.col("id").alias("component"), reach.cast("long").alias("reach"), (F.col("size") * F.lit(2 * settings.percent)).cast("long").alias("excess"))
-    lists = written(open_lists(lists).distinct(), "heavy-lists")
-    # A member that shares most of its n-grams with many others is the likely centre of its copies.
-    central = lists.groupBy("id").agg((F.sum(F.log2("members")) / F.first("excess")).alias("weight"))
-    weighted = lists.join(central, "id")
-    sets = class_sets(docs, written(owners.join(central.select("id"), "id"), "wanted-classes"), settings, clashing)
+    lists = first_lists(docs, bound, order, settings, clashing)
+    sets = class_sets(docs, written(owners.join(lists.select("id").distinct(), "id"), "wanted-classes"), settings, clashing)
     links = docs.sparkSession.createDataFrame([], "a long, b long")
     for _ in range(settings.rounds):
-        led = weighted.groupBy("key").agg(F.max_by("id", F.struct("weight", -F.col("id"))).alias("pivot"))
-        pairs = written(weighted.join(led, "key").where("id <> pivot").select("id", "pivot").distinct(), "heavy-pairs")
+        led = lists.groupBy("key").agg(F.max_by("id", F.struct("weight", -F.col("id"))).alias("pivot"))
+        pairs = written(lists.join(led, "key").where("id <> pivot").select("id", "pivot").distinct(), "heavy-pairs")
         if not pairs.take(1):
             return links
-        compared = written(compare(pairs, sets, levels, settings), "heavy-compared")
+        compared = written(compare(pairs, sets, order, settings), "heavy-compared")
         parts = connected_components(links.unionAll(compared.where("linked").select(F.col("id").alias("a"), F.col("pivot").alias("b"))))
         links = parts.select(F.col("id").alias("a"), F.col("component").alias("b"))
         named = compared.join(parts, "id", "left").select("pivot", "id", F.coalesce("component", "id").alias("component"), "delta", "excess", F.posexplode("grams").alias("place", "gram"))
-        named = named.select(F.xxhash64("pivot", "gram").alias("key"), "id", "component", ((F.col("delta") - F.col("place")) * F.lit(more)).alias("reach"), "excess")
-        lists = written(open_lists(open_lists(named).select(*LIST)), "heavy-lists")
+        reach = (F.col("delta") - F.col("place")) * F.lit(2 * (100 + settings.percent))
         # The member nearest to the last pivot leads.
-        weighted = lists.withColumn("weight", -F.col("excess"))
+        named = named.select(F.xxhash64("pivot", "gram").alias("key"), "id", "component", reach.alias("reach"), "excess", (-F.col("excess")).alias("weight"))
+        lists = written(open_lists(open_lists(named)), "heavy-lists")
     pairs = written(open_pairs(lists), "heavy-pairs")
-    found = compare(pairs, sets, levels, settings).where("linked").select(F.col("id").alias("a"), F.col("pivot").alias("b"))
+    found = compare(pairs, sets, order, settings).where("linked").select(F.col("id").alias("a"), F.col("pivot").alias("b"))
     return links.unionAll(written(found, "heavy-links"))
 
 
@@ -385,7 +403,7 @@ def joined_rows(docs: DataFrame, settings: JaccardSettings, doc_id: str, text: s
     """
     docs = taken(docs, doc_id, text)
     described = written(described_sets(docs.withColumn("th", F.xxhash64("text")), settings), "sets")
-    rows = described.where("cells is null").select("doc_id", "th", "n_shingles", "h1", "h2", "grams")
+    rows = described.where("often is null").select("doc_id", "th", "n_shingles", "h1", "h2", "grams")
     least_row = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th"))
     classes = rows.where("n_shingles > 0").groupBy("h1", "h2").agg(least_row.alias("first"), F.first("n_shingles").alias("n_shingles"), F.first("grams").alias("grams"))
     classes = written(classes, "classes")
@@ -397,7 +415,7 @@ def joined_rows(docs: DataFrame, settings: JaccardSettings, doc_id: str, text: s
     sizes = {r.n_shingles: r.n for r in classes.where(small).groupBy("n_shingles").agg(F.count("*").alias("n")).collect()}
     bound = light_boundary(sizes, settings)
     owners = classes.select("id", F.col("first.doc_id").alias("d"), F.col("first.th").alias("t"))
-    links = light_links(classes, bound, settings).unionAll(heavy_links(docs, owners, bound, gram_levels(described, settings), settings, clashing))
+    links = light_links(classes, bound, settings).unionAll(heavy_links(docs, owners, bound, rarity(described, settings), settings, clashing))
     parts = connected_components(links)
     named = classes.join(parts, "id", "left").select("h1", "h2", "first", F.coalesce("component", "id").alias("component"))
     least = named.groupBy("component").agg(F.min("first").alias("least"))
