@@ -34,7 +34,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import SpanHasher, connected_components, packed, unpacked, written
@@ -245,10 +245,10 @@ def light_links(sets: DataFrame, bound: int, settings: JaccardSettings) -> DataF
 
 
 def heavy_lists(docs: DataFrame, least: int, order: Rarity, settings: JaccardSettings, clashing: list[int]) -> DataFrame:
-    """``key, id, size, place, weight``: the rarest n-grams of each set of at least ``least``, with their place in the order.
+    """``key, id, size, place, weight, common``: the rarest n-grams of each set of at least ``least``, with their place in the order.
 
     The order is by level, then by unsigned hash, as ``Shingler.grams`` sorts. ``weight`` is
-    the share of common n-grams, in thousandths.
+    the share of common n-grams, in thousandths; ``common`` n-grams are surely held by several sets.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,45 +256,59 @@ def heavy_lists(docs: DataFrame, least: int, order: Rarity, settings: JaccardSet
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 sets = [s for t in batch.column(1).slice(at, 500) if len(s := shingler.grams(t.as_py())) >= least]
-                grams, rows = [], []
+                grams, common, rows = [], [], []
                 for g, k in zip(sets, class_ids(set_hashes(sets), clashing).tolist(), strict=True):
                     if not met.new(k):
                         continue
                     n, level = settings.prefix(len(g)), order.of(g)
                     rare = np.flatnonzero(level == 0)
-                    grams.append(g[rare[:n]] if len(rare) >= n else g[np.lexsort((g.view(np.uint64), level))[:n]])
+                    chosen = rare[:n] if len(rare) >= n else np.lexsort((g.view(np.uint64), level))[:n]
+                    grams.append(g[chosen])
+                    common.append(level[chosen] > 0)
                     rows.append((k, len(g), 1000 * (len(g) - len(rare)) // len(g), n))
                 if rows:
                     ids, sizes, weights, counts = np.array(rows, np.int64).T
-                    columns = np.concatenate(grams), np.repeat(ids, counts), np.repeat(sizes, counts).astype(np.int32), np.concatenate([np.arange(n, dtype=np.int32) for n in counts]), np.repeat(weights, counts).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["key", "id", "size", "place", "weight"])
+                    columns = np.concatenate(grams), np.repeat(ids, counts), np.repeat(sizes, counts).astype(np.int32), np.concatenate([np.arange(n, dtype=np.int32) for n in counts]), np.repeat(weights, counts).astype(np.int32), np.concatenate(common)
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["key", "id", "size", "place", "weight", "common"])
 
-    return docs.mapInArrow(run, "key long, id long, size int, place int, weight int")
+    return docs.mapInArrow(run, "key long, id long, size int, place int, weight int, common boolean")
 
 
-def class_sets(docs: DataFrame, wanted: DataFrame, settings: JaccardSettings, clashing: list[int]) -> DataFrame:
-    """``id, grams`` of the wanted classes (``id, d, t``: one row of each by doc_id and hash of the text)."""
-    small = wanted.count() <= settings.broadcast_classes
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(settings)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                sets = [shingler.grams(t) for t in (part.column(1).to_pylist() if small else map(bytes.decode, unpacked(part.column(1))))]
-                yield pa.RecordBatch.from_arrays([pa.array(class_ids(set_hashes(sets), clashing)), lists_of(sets)], names=["id", "grams"])
-
-    rows = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
-    if not small:
-        rows = packed(rows)
-    found = rows.join(F.broadcast(wanted) if small else wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")))
-    sets = written(found.select("id", "text").mapInArrow(run, "id long, grams array<long>"), "class-sets")
-    if sets.groupBy("id").count().where("count > 1").take(1):  # repeated rows repeat their set
-        sets = written(sets.groupBy("id").agg(F.first("grams").alias("grams")), "class-sets")
-    return sets
-
-
-def compare(pairs: DataFrame, sets: DataFrame, order: Rarity, settings: JaccardSettings) -> DataFrame:
+@dataclass(frozen=True)
+class Classes:
+    """Where the sets of classes are found: ``owners (id, d, t)`` names one row of each by doc_id and hash of the text."""
+
+    docs: DataFrame
+    owners: DataFrame
+    #: Whether rows of ``docs`` repeat.
+    repeated: bool
+    clashing: list[int]
+
+    def sets(self, wanted: DataFrame, settings: JaccardSettings) -> DataFrame:
+        """``pivot, id, grams`` of the wanted classes (``id, pivots``), once for each pivot."""
+        wanted = written(self.owners.join(wanted, "id"), "wanted-classes")
+        small = wanted.count() <= settings.broadcast_classes
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            shingler = Shingler(settings)
+            for batch in batches:
+                for at in range(0, batch.num_rows, 200):
+                    part = batch.slice(at, 200)
+                    sets = [shingler.grams(t) for t in (part.column(1).to_pylist() if small else map(bytes.decode, unpacked(part.column(1))))]
+                    pivots = part.column(2).to_pylist()
+                    row = np.repeat(np.arange(len(sets)), [len(x) for x in pivots])
+                    yield pa.RecordBatch.from_arrays([pa.array([p for x in pivots for p in x], pa.int64()), part.column(0).take(pa.array(row)), lists_of([sets[k] for k in row])], names=["pivot", "id", "grams"])
+
+        rows = self.docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
+        if not small:
+            rows = packed(rows)
+        found = rows.join(F.broadcast(wanted) if small else wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t"))).select("id", "text", "pivots")
+        if self.repeated:
+            found = found.dropDuplicates(["id"])
+        return found.mapInArrow(run, "pivot long, id long, grams array<long>")
+
+
+def compare(pairs: DataFrame, classes: Classes, order: Rarity, settings: JaccardSettings) -> DataFrame:
     """Exact comparison of the pairs ``id, pivot``: ``pivot, id, linked, delta, excess, grams``.
 
     ``delta`` is the size of the difference, ``excess`` is e of the module's text times
@@ -329,9 +343,11 @@ def compare(pairs: DataFrame, sets: DataFrame, order: Rarity, settings: JaccardS
                 grams.append(np.concatenate(parts)[: max(0, delta - need + 1)].view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_()), pa.array(deltas, pa.int64()), pa.array(excesses, pa.int64()), lists_of(grams)], names=["pivot", "id", "linked", "delta", "excess", "grams"])
 
-    left = sets.select("id", F.col("grams").alias("gx"))
-    right = sets.select(F.col("id").alias("pivot"), F.col("grams").alias("gp"))
-    return pairs.join(left, "id").join(right, "pivot").select("pivot", "id", "gx", "gp").mapInArrow(run, "pivot long, id long, linked boolean, delta long, excess long, grams array<long>")
+    # A set has as many pivots as lists at most.
+    left = classes.sets(pairs.groupBy("id").agg(F.collect_list("pivot").alias("pivots")), settings)
+    leads = pairs.select(F.col("pivot").alias("id")).distinct().withColumn("pivots", F.array("id"))
+    right = classes.sets(leads, settings).select("pivot", F.col("grams").alias("gp"))
+    return left.join(right, "pivot").select("pivot", "id", F.col("grams").alias("gx"), "gp").mapInArrow(run, "pivot long, id long, linked boolean, delta long, excess long, grams array<long>")
 
 
 LIST = ("key", "id", "component", "reach", "excess", "weight")
@@ -349,16 +365,19 @@ def open_lists(lists: DataFrame) -> DataFrame:
 def first_lists(docs: DataFrame, bound: int, order: Rarity, settings: JaccardSettings, clashing: list[int]) -> DataFrame:
     """Open lists of the sets' own n-grams.
 
-    Most n-grams stand in one set alone and go first. Sets that link are of the same or of
-    neighbouring classes of size, so a list of many sizes is split into one for each two of them.
+    Most n-grams stand in one set alone and go first; common ones, that surely don't, are dealt
+    out so that no task has all sets of one. Sets that link are of the same or of neighbouring
+    classes of size, so a list of many sizes is split into one for each two of them.
     """
-    entries = written(heavy_lists(docs, settings.heavy_from(bound), order, settings, clashing), "heavy-entries")
-    several = entries.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("key")
-    reach = ((F.col("size") - F.col("place")) * F.lit(2 * (100 + settings.percent))).cast("long")
-    lists = entries.join(several, "key").select("key", "id", F.col("id").alias("component"), reach.alias("reach"), (F.col("size") * F.lit(2 * settings.percent)).cast("long").alias("excess"), F.col("weight").cast("long").alias("weight"), "size")
+    entries = heavy_lists(docs, settings.heavy_from(bound), order, settings, clashing)
+    same = Window.partitionBy("key", F.when(F.col("common"), F.pmod(F.col("id"), F.lit(256))).otherwise(0))
+    entries = entries.withColumns({"lo": F.min("id").over(same), "hi": F.max("id").over(same), "small": F.min("size").over(same), "large": F.max("size").over(same)}).where("common or lo <> hi")
     step = F.floor(F.log(F.col("size").cast("double")) / F.lit(-math.log(settings.percent / 100) + 1e-9)).cast("long")
-    lists = lists.select(*LIST, F.explode(F.array(step, step + 1)).alias("step")).withColumn("key", F.xxhash64("key", "step"))
-    return written(open_lists(lists), "heavy-lists")
+    wide = F.col("common") | (100 * F.col("small").cast("long") < settings.percent * F.col("large").cast("long"))
+    keys = F.explode(F.when(wide, F.array(F.xxhash64("key", step), F.xxhash64("key", step + 1))).otherwise(F.array("key")))
+    reach = (F.col("size") - F.col("place")).cast("long") * F.lit(2 * (100 + settings.percent))
+    lists = entries.select(keys.alias("key"), "id", F.col("id").alias("component"), reach.alias("reach"), (F.col("size").cast("long") * F.lit(2 * settings.percent)).alias("excess"), F.col("weight").cast("long").alias("weight"))
+    return written(open_lists(written(lists, "heavy-entries")), "heavy-lists")
 
 
 def open_pairs(lists: DataFrame) -> DataFrame:
@@ -369,20 +388,16 @@ def open_pairs(lists: DataFrame) -> DataFrame:
     return pairs.select("id", "pivot").distinct()
 
 
-def heavy_links(docs: DataFrame, owners: DataFrame, bound: int, order: Rarity, settings: JaccardSettings, clashing: list[int]) -> DataFrame:
-    """``a, b``: links that make the components of pairs with a heavy set.
-
-    ``owners (id, d, t)`` names one row of each class.
-    """
-    lists = first_lists(docs, bound, order, settings, clashing)
-    sets = class_sets(docs, written(owners.join(lists.select("id").distinct(), "id"), "wanted-classes"), settings, clashing)
-    links = docs.sparkSession.createDataFrame([], "a long, b long")
+def heavy_links(classes: Classes, bound: int, order: Rarity, settings: JaccardSettings) -> DataFrame:
+    """``a, b``: links that make the components of pairs with a heavy set."""
+    lists = first_lists(classes.docs, bound, order, settings, classes.clashing)
+    links = classes.docs.sparkSession.createDataFrame([], "a long, b long")
     for _ in range(settings.rounds):
         led = lists.groupBy("key").agg(F.max_by("id", F.struct("weight", -F.col("id"))).alias("pivot"))
         pairs = written(lists.join(led, "key").where("id <> pivot").select("id", "pivot").distinct(), "heavy-pairs")
         if not pairs.take(1):
             return links
-        compared = written(compare(pairs, sets, order, settings), "heavy-compared")
+        compared = written(compare(pairs, classes, order, settings), "heavy-compared")
         parts = connected_components(links.unionAll(compared.where("linked").select(F.col("id").alias("a"), F.col("pivot").alias("b"))))
         links = parts.select(F.col("id").alias("a"), F.col("component").alias("b"))
         named = compared.join(parts, "id", "left").select("pivot", "id", F.coalesce("component", "id").alias("component"), "delta", "excess", F.posexplode("grams").alias("place", "gram"))
@@ -391,7 +406,7 @@ def heavy_links(docs: DataFrame, owners: DataFrame, bound: int, order: Rarity, s
         named = named.select(F.xxhash64("pivot", "gram").alias("key"), "id", "component", reach.alias("reach"), "excess", (-F.col("excess")).alias("weight"))
         lists = written(open_lists(open_lists(named)), "heavy-lists")
     pairs = written(open_pairs(lists), "heavy-pairs")
-    found = compare(pairs, sets, order, settings).where("linked").select(F.col("id").alias("a"), F.col("pivot").alias("b"))
+    found = compare(pairs, classes, order, settings).where("linked").select(F.col("id").alias("a"), F.col("pivot").alias("b"))
     return links.unionAll(written(found, "heavy-links"))
 
 
@@ -415,7 +430,8 @@ def joined_rows(docs: DataFrame, settings: JaccardSettings, doc_id: str, text: s
     sizes = {r.n_shingles: r.n for r in classes.where(small).groupBy("n_shingles").agg(F.count("*").alias("n")).collect()}
     bound = light_boundary(sizes, settings)
     owners = classes.select("id", F.col("first.doc_id").alias("d"), F.col("first.th").alias("t"))
-    links = light_links(classes, bound, settings).unionAll(heavy_links(docs, owners, bound, rarity(described, settings), settings, clashing))
+    repeated = bool(rows.groupBy("doc_id", "th").count().where("count > 1").take(1))
+    links = light_links(classes, bound, settings).unionAll(heavy_links(Classes(docs, owners, repeated, clashing), bound, rarity(described, settings), settings))
     parts = connected_components(links)
     named = classes.join(parts, "id", "left").select("h1", "h2", "first", F.coalesce("component", "id").alias("component"))
     least = named.groupBy("component").agg(F.min("first").alias("least"))
