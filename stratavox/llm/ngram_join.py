@@ -20,8 +20,8 @@ as similar to p as to y. More exactly, a link of x and y needs
 so the members' differences go to inverted lists in their turn, each with as many n-grams as
 a link can't miss, and the next round works on those. What copies have in common is no longer
 in them, so few members meet again. Lists whose members are all of one component, and members
-that can't hold the overlap from their place in a list on, are left out. Should lists still be
-open after ``rounds`` rounds, the pairs left on them are compared one by one.
+that can't hold the overlap from their place in a list on, are left out. When all pairs on the
+open lists are but a few times their entries, they are compared one by one, and that is all.
 """
 
 from __future__ import annotations
@@ -47,8 +47,9 @@ class JaccardSettings:
     percent: int = 85
     #: Largest size that may be light.
     max_light: int = 24
-    #: Rounds of pivots before the pairs of the lists that are still open are compared.
+    #: Rounds of pivots at most. They end earlier where the open lists have few pairs for each entry, which are then compared.
     rounds: int = 8
+    pairs_per_entry: int = 4
     #: Classes whose sets are fetched are sent to all executors up to this number, else joined by shuffle.
     broadcast_classes: int = 100_000
     #: N-grams that tasks count at a time to find common ones, and how many of the most common are ordered by count.
@@ -350,16 +351,13 @@ def compare(pairs: DataFrame, classes: Classes, order: Rarity, settings: Jaccard
     return left.join(right, "pivot").select("pivot", "id", F.col("grams").alias("gx"), "gp").mapInArrow(run, "pivot long, id long, linked boolean, delta long, excess long, grams array<long>")
 
 
-LIST = ("key", "id", "component", "reach", "excess", "weight")
-
-
 def open_lists(lists: DataFrame) -> DataFrame:
-    """The members that may link with one of another component on their list.
+    """The members that may link with one of another component on their list, with all columns.
 
     Two members may link if their excesses together are at most the reach of both.
     """
     whole = lists.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("excess").alias("least"), F.max(F.col("reach") - F.col("excess")).alias("most")).where("lo <> hi")
-    return lists.join(whole, "key").where("excess <= most and excess + least <= reach").select(*LIST)
+    return lists.join(whole, "key").where("excess <= most and excess + least <= reach").select(*lists.columns)
 
 
 def first_lists(docs: DataFrame, bound: int, order: Rarity, settings: JaccardSettings, clashing: list[int]) -> DataFrame:
@@ -388,11 +386,20 @@ def open_pairs(lists: DataFrame) -> DataFrame:
     return pairs.select("id", "pivot").distinct()
 
 
+def pairs_exceed(lists: DataFrame, settings: JaccardSettings) -> bool:
+    """Whether the lists have more pairs than a round of pivots is there to avoid."""
+    sizes = lists.groupBy("key").agg(F.count("*").cast("double").alias("n"))
+    total = sizes.agg(F.sum("n").alias("entries"), F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("pairs")).first()
+    return (total.pairs or 0) > settings.pairs_per_entry * (total.entries or 0)
+
+
 def heavy_links(classes: Classes, bound: int, order: Rarity, settings: JaccardSettings) -> DataFrame:
     """``a, b``: links that make the components of pairs with a heavy set."""
     lists = first_lists(classes.docs, bound, order, settings, classes.clashing)
     links = classes.docs.sparkSession.createDataFrame([], "a long, b long")
     for _ in range(settings.rounds):
+        if not pairs_exceed(lists, settings):
+            break
         led = lists.groupBy("key").agg(F.max_by("id", F.struct("weight", -F.col("id"))).alias("pivot"))
         pairs = written(lists.join(led, "key").where("id <> pivot").select("id", "pivot").distinct(), "heavy-pairs")
         if not pairs.take(1):
@@ -400,10 +407,12 @@ def heavy_links(classes: Classes, bound: int, order: Rarity, settings: JaccardSe
         compared = written(compare(pairs, classes, order, settings), "heavy-compared")
         parts = connected_components(links.unionAll(compared.where("linked").select(F.col("id").alias("a"), F.col("pivot").alias("b"))))
         links = parts.select(F.col("id").alias("a"), F.col("component").alias("b"))
-        named = compared.join(parts, "id", "left").select("pivot", "id", F.coalesce("component", "id").alias("component"), "delta", "excess", F.posexplode("grams").alias("place", "gram"))
-        reach = (F.col("delta") - F.col("place")) * F.lit(2 * (100 + settings.percent))
+        more = F.lit(2 * (100 + settings.percent))
+        named = compared.join(parts, "id", "left").select(F.col("pivot").alias("key"), "id", F.coalesce("component", "id").alias("component"), (F.col("delta") * more).alias("reach"), "excess", "grams")
+        # A pivot's members without a possible partner go before their differences are listed.
+        named = written(open_lists(named), "heavy-open").select("key", "id", "component", "reach", "excess", F.posexplode("grams").alias("place", "gram"))
         # The member nearest to the last pivot leads.
-        named = named.select(F.xxhash64("pivot", "gram").alias("key"), "id", "component", reach.alias("reach"), "excess", (-F.col("excess")).alias("weight"))
+        named = named.select(F.xxhash64("key", "gram").alias("key"), "id", "component", (F.col("reach") - F.col("place") * more).alias("reach"), "excess", (-F.col("excess")).alias("weight"))
         lists = written(open_lists(open_lists(named)), "heavy-lists")
     pairs = written(open_pairs(lists), "heavy-pairs")
     found = compare(pairs, classes, order, settings).where("linked").select(F.col("id").alias("a"), F.col("pivot").alias("b"))
