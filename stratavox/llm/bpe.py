@@ -40,7 +40,7 @@ class BpeSettings:
     chunk: int = 1024
     #: Bytes of memory for remembered chunks, and number of words, whose encoding a task remembers.
     remembered: int = 24_000_000
-    words: int = 100_000
+    words: int = 400_000
     seed: int = 3
 
 

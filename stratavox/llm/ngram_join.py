@@ -21,7 +21,8 @@ so the members' differences go to inverted lists in their turn, each with as man
 a link can't miss, and the next round works on those. What copies have in common is no longer
 in them, so few members meet again. Lists whose members are all of one component, and members
 that can't hold the overlap from their place in a list on, are left out. When all pairs on the
-open lists are but a few times their entries, they are compared one by one, and that is all.
+open lists are a bounded number for each entry, or more pivots don't help, those pairs that can
+hold the overlap are compared one by one, and that is all.
 """
 
 from __future__ import annotations
@@ -47,9 +48,10 @@ class JaccardSettings:
     percent: int = 85
     #: Largest size that may be light.
     max_light: int = 24
-    #: Rounds of pivots at most. They end earlier where the open lists have few pairs for each entry, which are then compared.
+    #: Rounds of pivots at most. After the first they end where the open lists have no more pairs for each
+    #: entry than this, or where a round would compare nearly as many sets as the one before.
     rounds: int = 8
-    pairs_per_entry: int = 4
+    pairs_per_entry: int = 64
     #: Classes whose sets are fetched are sent to all executors up to this number, else joined by shuffle.
     broadcast_classes: int = 100_000
     #: N-grams that tasks count at a time to find common ones, and how many of the most common are ordered by count.
@@ -397,13 +399,18 @@ def heavy_links(classes: Classes, bound: int, order: Rarity, settings: JaccardSe
     """``a, b``: links that make the components of pairs with a heavy set."""
     lists = first_lists(classes.docs, bound, order, settings, classes.clashing)
     links = classes.docs.sparkSession.createDataFrame([], "a long, b long")
-    for _ in range(settings.rounds):
-        if not pairs_exceed(lists, settings):
+    last = None
+    for turn in range(settings.rounds):
+        if turn and not pairs_exceed(lists, settings):
             break
         led = lists.groupBy("key").agg(F.max_by("id", F.struct("weight", -F.col("id"))).alias("pivot"))
         pairs = written(lists.join(led, "key").where("id <> pivot").select("id", "pivot").distinct(), "heavy-pairs")
-        if not pairs.take(1):
+        met = pairs.count()
+        if not met:
             return links
+        if last is not None and met > 0.75 * last:
+            break
+        last = met
         compared = written(compare(pairs, classes, order, settings), "heavy-compared")
         parts = connected_components(links.unionAll(compared.where("linked").select(F.col("id").alias("a"), F.col("pivot").alias("b"))))
         links = parts.select(F.col("id").alias("a"), F.col("component").alias("b"))
