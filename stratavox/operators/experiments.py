@@ -2,17 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def _by(label: str, delta: str, digits: int) -> Column:
+    """Line on a gain or loss, null without one."""
+    moved = F.when(F.col(delta) < 0, F.lit("improved")).otherwise(F.lit("worsened"))
+    return F.when(F.col(delta).isNotNull(), F.concat(F.lit(f"{label}: "), moved, F.format_string(f" by %.{digits}f", F.abs(F.col(delta)))))
+
+
 def training_pairs(experiments: DataFrame) -> DataFrame:
-    """``experiment_id, prompt, response``: the question that an experiment asked and what came out."""
-    direction = F.when(F.col("bic_delta") < 0, "improved").otherwise("did not improve")
-    score = F.when(F.col("predicted_value").isNotNull(), F.format_string("\nPredicted value: %.4f", "predicted_value")).otherwise("")
-    prompt = F.concat(F.lit("Hypothesis: "), "hypothesis", F.lit("\nRationale: "), "rationale", F.lit("\nData: "), "data_spec")
-    response = F.concat(F.lit("Result: "), "result_summary", F.lit("\nThe layer "), F.col("feature_layer_name"), F.lit(" "), direction, F.format_string(" the model (BIC delta %.2f).", "bic_delta"), score)
-    return experiments.select("experiment_id", prompt.alias("prompt"), response.alias("response"))
+    """``experiment_id, prompt, response, score``: the question that an experiment asked, what came out, and its predicted value.
+
+    ``data_spec`` is JSON; lines whose value is null (or whose specification is empty) are left out.
+    """
+    # The lines of both texts.
+    spec = F.when(~F.coalesce("data_spec", F.lit("")).isin("", "{}", "null"), F.concat(F.lit("Data specification: "), "data_spec"))
+    prompt = F.concat_ws("\n", F.concat(F.lit("Hypothesis: "), "hypothesis"), F.concat(F.lit("Rationale: "), "rationale"), spec)
+    kept = F.concat(F.lit("Conclusion: Hypothesis supported. Feature '"), F.coalesce("feature_layer_name", F.lit("None")), F.lit("' added to world model."))
+    conclusion = F.when(F.col("admitted"), kept).otherwise(F.lit("Conclusion: Hypothesis not supported or redundant. Feature not added."))
+    response = F.concat_ws("\n", F.concat(F.lit("Analysis result: "), "result_summary"), _by("BIC", "bic_delta", 2), _by("Depth CV-MSE", "cv_mse_delta", 4), conclusion)
+    return experiments.select("experiment_id", prompt.alias("prompt"), response.alias("response"), F.col("predicted_value").alias("score"))
 
 
 def admitted(experiments: DataFrame) -> DataFrame:
@@ -34,8 +45,7 @@ def crossbreed_pairs(experiments: DataFrame, most: int = 5, prefer_orthogonal: b
     """``a, b, mutual_info, score`` of the best pairs of admitted experiments that no record has combined.
 
     The score is the values' sum less the mean of the two look-ups of their mutual
-    information. A pair of low values can't win: with the k-th best value as v, and mutual
-    information never negative, only rows that can reach the k-th best found are paired.
+    information. Every two admitted rows are paired, so the table should be a bounded one.
     """
     kept = admitted(experiments).select("experiment_id", "feature_layer_name", F.coalesce("predicted_value", F.lit(0.0)).alias("value"), "mutual_info")
     a = kept.select(F.col("experiment_id").alias("a"), F.col("feature_layer_name").alias("layer_a"), F.col("value").alias("value_a"), F.col("mutual_info").alias("info_a"))
@@ -64,16 +74,23 @@ def mi_index_for_new(experiments: DataFrame, new: DataFrame) -> DataFrame:
     return both.select(F.concat_ws("_", F.least("experiment_id", "new_id"), F.greatest("experiment_id", "new_id")).alias("pair_id"), F.coalesce(F.try_element_at("info", F.col("feature_layer_name")), F.lit(0.0)).alias("mi"))
 
 
-def crossbreed_prompt(pairs: DataFrame) -> DataFrame:
-    """Adds ``prompt``: the request to combine the two hypotheses."""
-    text = F.format_string("Combine two admitted hypotheses into a new one.\nA: %s\nB: %s\nShared information: %.4f", "hypothesis_a", "hypothesis_b", "mutual_info")
-    return pairs.withColumn("prompt", text)
+def crossbreed_prompt(pairs: DataFrame, experiments: DataFrame) -> DataFrame:
+    """Adds ``prompt`` to pairs of ids ``a, b``: the request to build on both experiments."""
+    # The lines of the request.
+    def part(side: str, number: int) -> Column:
+        return F.format_string(f'Experiment {number}: "%s"\n- Result: %s\n- BIC improvement: %.2f\n- Feature: %s\n\n', f"{side}.hypothesis", f"{side}.result_summary", F.abs(F.coalesce(f"{side}.bic_delta", F.lit(0.0))), f"{side}.feature_layer_name")
+
+    one = experiments.select("experiment_id", F.struct("hypothesis", "result_summary", "bic_delta", "feature_layer_name").alias("x"))
+    both = pairs.join(one.toDF("a", "of_a"), "a").join(one.toDF("b", "of_b"), "b")
+    text = F.concat(F.lit("These experiments both improved the world model:\n\n"), part("of_a", 1), part("of_b", 2), F.lit("Given that both of these patterns exist in the data, what new hypothesis \nwould you propose that combines or builds on these findings?"))
+    return both.select(*pairs.columns, text.alias("prompt"))
 
 
 def export_experiments(experiments: DataFrame) -> DataFrame:
-    """Rows for a JSON sink: id, pair, verdict, gain and time."""
-    pairs = training_pairs(experiments)
-    return experiments.select("experiment_id", "admitted", "bic_delta", "ts").join(pairs, "experiment_id").select("experiment_id", "prompt", "response", "admitted", "bic_delta", "ts")
+    """Rows for a JSON sink: ``id``, pair, verdict, gain and time; a missing text is empty."""
+    pairs = training_pairs(experiments).select("experiment_id", "prompt", "response")
+    texts = [F.coalesce(c, F.lit("")).alias(c) for c in ("prompt", "response")]
+    return experiments.select("experiment_id", "admitted", "bic_delta", "ts").join(pairs, "experiment_id").select(F.col("experiment_id").alias("id"), *texts, "admitted", F.col("bic_delta").alias("mdl_delta"), F.col("ts").alias("timestamp"))
 
 
 def experiment_stats(experiments: DataFrame) -> DataFrame:
@@ -85,8 +102,10 @@ def experiment_stats(experiments: DataFrame) -> DataFrame:
 
 
 def rewrite_record(experiments: DataFrame) -> DataFrame:
-    """``experiment_id, response, as_training, as_knowledge``: the verdict as the response's last line, and where the record is kept."""
-    verdict = F.when(F.col("admitted"), F.format_string("\nVerdict: admitted (BIC delta %.2f)", "bic_delta")).otherwise(F.format_string("\nVerdict: rejected (BIC delta %.2f)", "bic_delta"))
+    """``experiment_id, response, as_training, as_knowledge``: the verdict behind the response, if there is a gain or loss, and where the record is kept."""
+    # The line of the verdict.
+    verdict = F.format_string("\n\nResult: %.4f BIC delta. %s.", "bic_delta", F.when(F.col("admitted"), "Admitted").otherwise("Not admitted"))
+    verdict = F.when(F.col("bic_delta").isNull(), F.lit("")).otherwise(verdict)
     pairs = training_pairs(experiments).select("experiment_id", "response")
     good = F.coalesce(F.col("admitted") & (F.col("bic_delta") < 0), F.lit(False))
     return experiments.select("experiment_id", verdict.alias("verdict"), good.alias("as_knowledge")).join(pairs, "experiment_id").select("experiment_id", F.concat("response", "verdict").alias("response"), F.lit(True).alias("as_training"), "as_knowledge")

@@ -6,10 +6,13 @@ entropy, in_domain``; arrays follow the order of the unit catalogue.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..grid import Grid
+from ..sources.shared import shared_path
 
 
 def total(values: Column) -> Column:
@@ -17,7 +20,7 @@ def total(values: Column) -> Column:
 
 
 def fit_planes(contacts: DataFrame) -> DataFrame:
-    """``pair, n, a, b, c, rms`` of ``z = a x + b y + c`` by least squares; fewer than three contacts (or a flat system) give nulls.
+    """``pair, n, a, b, c, rms`` of ``z = a x + b y + c`` by least squares; one or two contacts are an error, a flat system gives nulls.
 
     Sums are of centred coordinates, so the normal equations are two by two.
     """
@@ -25,6 +28,7 @@ def fit_planes(contacts: DataFrame) -> DataFrame:
     d = contacts.join(means, "pair").select("pair", "n", "mx", "my", "mz", (F.col("x") - F.col("mx")).alias("x"), (F.col("y") - F.col("my")).alias("y"), (F.col("z") - F.col("mz")).alias("z"))
     product = lambda p, q: F.sum(F.col(p) * F.col(q)).alias(f"s{p}{q}")
     s = d.groupBy("pair").agg(F.first("n").alias("n"), F.first("mx").alias("mx"), F.first("my").alias("my"), F.first("mz").alias("mz"), *[product(*pq) for pq in ("xx", "xy", "yy", "xz", "yz", "zz")])
+    s = s.withColumn("n", F.when(F.col("n") < 3, F.raise_error(F.concat(F.lit("fewer than three contacts for "), F.col("pair").cast("string"))).cast("long")).otherwise(F.col("n")))
     det = F.nullif(F.col("sxx") * F.col("syy") - F.col("sxy") * F.col("sxy"), F.lit(0.0))
     s = s.withColumns({"a": F.when(F.col("n") > 2, (F.col("sxz") * F.col("syy") - F.col("syz") * F.col("sxy")) / det), "b": F.when(F.col("n") > 2, (F.col("syz") * F.col("sxx") - F.col("sxz") * F.col("sxy")) / det)})
     rest = F.col("szz") - F.col("a") * F.col("sxz") - F.col("b") * F.col("syz")
@@ -150,7 +154,8 @@ def check_orphan_blobs(field: DataFrame, grid: Grid, rounds: int = 200) -> DataF
 
     Cells of one unit on top of each other are one run; runs, not cells, are joined:
     neighbouring columns' runs of a unit that overlap in height touch. The least run of
-    each component spreads by joins, halving paths, until nothing changes.
+    each component spreads by joins, halving paths, until nothing changes; each round is
+    written to the shared folder. More than ``rounds`` rounds are an error.
     """
     column = Window.partitionBy("ix", "iy", "most_likely").orderBy("iz")
     cells = field.where("most_likely >= 0").select("ix", "iy", "iz", "most_likely")
@@ -167,12 +172,15 @@ def check_orphan_blobs(field: DataFrame, grid: Grid, rounds: int = 200) -> DataF
         step = label.join(near, "run", "left").select("run", F.least("root", F.coalesce("near", "root")).alias("root"))
         jump = step.select(F.col("run").alias("root"), F.col("root").alias("next"))
         label = step.join(jump, "root").select("run", F.col("next").alias("root"))
-        if label.sparkSession.sparkContext.getCheckpointDir():
-            label = label.checkpoint()
-        now = label.agg(F.sum("root")).first()[0]
+        path = shared_path(label.sparkSession, f"blobs-{uuid.uuid4().hex}")
+        label.write.parquet(path)
+        label = label.sparkSession.read.schema(label.schema).parquet(path)
+        now = label.agg(F.sum(F.col("root").cast("decimal(38,0)"))).first()[0]
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError(f"pieces not settled after {rounds} rounds")
     return runs.join(label, "run").groupBy(F.col("most_likely").alias("unit")).agg(F.count_distinct("root").alias("blobs")).where("blobs > 1")
 
 
@@ -209,28 +217,28 @@ def align_fields(reference: DataFrame, candidate: DataFrame, units_a: list[str],
 def divergence(aligned: DataFrame, epsilon: float = 0.01, sample_size: float = 1.0, weighted: bool = True) -> DataFrame:
     """One row: mean smoothed divergence in bits of q from p over the shared cells, times the sample size.
 
-    Weighted (the forward form): each cell counts by what its reference leaves certain, and
+    Weighted (the forward form): each cell counts by what its smoothed reference leaves certain, and
     is capped at log2(1 / epsilon). Without shared cells infinite if the reference has any, else 0.
     """
     k = F.size("p")
     smooth = lambda c: F.transform(c, lambda x: (1 - epsilon) * x + epsilon / k)
     bits = F.aggregate(F.zip_with(smooth("p"), smooth("q"), lambda a, b: a * F.log2(a / b)), F.lit(0.0), lambda s, x: s + x)
     if weighted:
-        bits = F.least(bits * (1 - normalised_entropy(F.col("p"), F.lit(True))), F.log2(F.lit(1 / epsilon)))
+        bits = F.least(bits * (1 - normalised_entropy(smooth("p"), F.lit(True))), F.log2(F.lit(1 / epsilon)))
     sums = aligned.agg(F.avg(F.when(F.col("shared"), bits)).alias("m"), F.coalesce(F.bool_or("in_a"), F.lit(False)).alias("some"))
     return sums.select(F.when(F.col("m").isNotNull(), F.col("m") * sample_size).when(F.col("some"), F.lit(float("inf"))).otherwise(0.0).alias("loss"))
 
 
-def annealed_thresholds(admissions: DataFrame, initial: float, steady: float, steps: int, pool_size: int, warm_up: int) -> DataFrame:
-    """Candidates in order with the threshold each met: infinite until pool and warm-up are full, then linear from initial to steady.
+def annealed_thresholds(candidates: DataFrame, initial: float, steady: float, window: int, least_pool: int, warm_up: int) -> DataFrame:
+    """Adds ``threshold`` and ``admitted`` from the counters that each candidate met: ``pool_size, episode_count, admission_count``.
 
-    ``admissions (stream, seq, score)``; earlier candidates of a stream are counted by a running window.
+    Infinite until pool and warm-up are full, then linear in the admissions from initial to
+    steady; without a window steady at once. Null counters count as 0.
     """
-    before = F.row_number().over(Window.partitionBy("stream").orderBy("seq")) - 1
-    since = F.greatest(F.lit(0), F.col("before") - max(pool_size, warm_up))
-    line = F.lit(initial) + (F.lit(steady) - F.lit(initial)) * F.least(F.lit(1.0), since / max(1, steps))
-    out = admissions.withColumn("before", before)
-    out = out.withColumn("threshold", F.when(F.col("before") < max(pool_size, warm_up), F.lit(float("inf"))).otherwise(line))
+    count = lambda c: F.coalesce(c, F.lit(0))
+    line = F.lit(steady) if window <= 0 else F.lit(initial) + (F.lit(steady) - F.lit(initial)) * F.least(F.lit(1.0), count("admission_count") / window)
+    open_ = (count("pool_size") < least_pool) | (count("episode_count") < warm_up)
+    out = candidates.withColumn("threshold", F.when(open_, F.lit(float("inf"))).otherwise(line))
     return out.withColumn("admitted", F.col("score") <= F.col("threshold"))
 
 

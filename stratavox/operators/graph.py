@@ -79,7 +79,7 @@ def overlies_cycles(edges: DataFrame, checkpoint_every: int = 5, most_rounds: in
 
 
 def stratigraphic_order(units: DataFrame, edges: DataFrame) -> DataFrame:
-    """``graph_id, unit, rank``: from the top down, of free units the smallest (chronology_rank, unit) first.
+    """``graph_id, unit, rank``: from the top down, of free units the smallest (chronology_rank, unit) first; no rank is 0.
 
     ``units (graph_id, unit, chronology_rank, unit_seq)``. Without edges the catalogue's order
     stays. A graph with a cycle has no order and gives no rows. One graph's units are one group.
@@ -91,7 +91,7 @@ def stratigraphic_order(units: DataFrame, edges: DataFrame) -> DataFrame:
     def order(units: pd.Series, pairs: pd.Series) -> pd.Series:
         out = []
         for own, links in zip(units, pairs, strict=True):
-            rank = {u["unit"]: (u["chronology_rank"] if u["chronology_rank"] is not None else float("inf"), u["unit"]) for u in own}
+            rank = {u["unit"]: (u["chronology_rank"] if u["chronology_rank"] is not None else 0, u["unit"]) for u in own}
             if links is None or not len(links):
                 out.append([u["unit"] for u in sorted(own, key=lambda u: u["unit_seq"])])
                 continue

@@ -52,7 +52,8 @@ def unmatched_runs(metrics: DataFrame, runs: DataFrame) -> DataFrame:
 def generation_rates(metrics: DataFrame) -> DataFrame:
     """Adds the three token rates: as logged, else tokens over seconds where the latency is positive."""
     usage = F.col("usage")
-    total = F.coalesce(usage["total_tokens"], usage["prompt_tokens"] + usage["completion_tokens"])
+    some = usage["prompt_tokens"].isNotNull() | usage["completion_tokens"].isNotNull()
+    total = F.coalesce(usage["total_tokens"], F.when(some, F.coalesce(usage["prompt_tokens"], F.lit(0)) + F.coalesce(usage["completion_tokens"], F.lit(0))))
     seconds = F.when(F.col("latency_ms") > 0, F.col("latency_ms") / 1000)
     tokens = (usage["prompt_tokens"], usage["completion_tokens"], total)
     logged = ("prompt_tokens_per_second", "output_tokens_per_second", "total_tokens_per_second")
@@ -67,9 +68,10 @@ def most_frequent(rows: DataFrame, key: str, value: str, position: str, name: st
 
 
 def run_summary(metrics: DataFrame, runs: DataFrame) -> DataFrame:
-    """A row for each run, runs without metrics included: calls, success, retries, tokens, latency, rates and memory.
+    """A row for each run, runs without metrics included: calls, success, phases, retries, tokens, latency, rates and memory.
 
-    Throughput is the ratio of totals; mean and median rates are of single calls.
+    Throughput is the ratio of totals; mean and median rates are of single calls, and a mean
+    rate without samples is 0. ``generation_count`` is the number of calls with a total rate.
     """
     rated = generation_rates(metrics)
     call = F.col("metric_type") == "inference"
@@ -79,7 +81,13 @@ def run_summary(metrics: DataFrame, runs: DataFrame) -> DataFrame:
     aggregates = [
         F.count_if(call).alias("calls"),
         F.count_if(call & F.col("success")).alias("successful_calls"),
+        F.count_if(call & ~F.coalesce("success", F.lit(False))).alias("failed_calls"),
+        F.count_if(phase).alias("phases"),
+        F.coalesce(F.sum(F.when(phase, F.col("duration_ms"))), F.lit(0.0)).alias("phase_duration_ms"),
         F.coalesce(F.sum(F.when(phase, F.col("retry_count"))), F.lit(0)).alias("retries"),
+        F.coalesce(F.sum(of(usage["total_tokens"])), F.lit(0)).alias("total_tokens"),
+        F.count(of(F.col("total_rate"))).alias("generation_count"),
+        F.max(of(F.col("total_rate"))).alias("peak_total_rate"),
         F.coalesce(F.sum(of(usage["prompt_tokens"])), F.lit(0)).alias("prompt_tokens"),
         F.coalesce(F.sum(of(usage["completion_tokens"])), F.lit(0)).alias("completion_tokens"),
         F.coalesce(F.sum(of(F.coalesce(F.col("latency_ms"), F.lit(0.0)))), F.lit(0.0)).alias("latency_ms"),
@@ -87,14 +95,18 @@ def run_summary(metrics: DataFrame, runs: DataFrame) -> DataFrame:
         *[f(of(F.col(c))).alias(f"{n}_{c}") for c in ("gpu_memory_mb", "host_memory_mb") for n, f in (("mean", F.avg), ("peak", F.max))],
     ]
     by_run = rated.groupBy("run_id").agg(*aggregates)
-    out = runs.select("run_id", "task_name", "model_name", "status", "total_wall_clock_seconds").join(by_run, "run_id", "left")
-    counts = ["calls", "successful_calls", "retries", "prompt_tokens", "completion_tokens", "latency_ms"]
+    tags = [normalise_tags(F.col(c)).alias(c) for c in ("hardware_tags", "load_tags") if c in runs.columns]
+    out = runs.select("run_id", "task_name", "model_name", "status", "total_wall_clock_seconds", *tags).join(by_run, "run_id", "left")
+    seen = rated.where(call & F.col("model").isNotNull())
+    for name in [c for c in ("model", "backend") if c in rated.columns]:
+        out = out.join(most_frequent(seen, "run_id", name, "event_id", name), "run_id", "left").withColumn(name, F.coalesce(name, F.lit("unknown")))
+    counts = ["calls", "successful_calls", "failed_calls", "phases", "phase_duration_ms", "retries", "total_tokens", "generation_count", "prompt_tokens", "completion_tokens", "latency_ms", *[f"mean_{r}" for r in RATES]]
     out = out.withColumns({c: F.coalesce(c, F.lit(0)) for c in counts})
     seconds = F.nullif(F.col("latency_ms") / 1000, F.lit(0.0))
     return out.withColumns(
         {
             "success_rate": F.coalesce(F.try_divide("successful_calls", "calls"), F.lit(0.0)),
-            "mean_latency_ms": F.try_divide("latency_ms", "calls"),
+            "mean_latency_ms": F.coalesce(F.try_divide("latency_ms", "calls"), F.lit(0.0)),
             "output_throughput": F.col("completion_tokens") / seconds,
             "total_throughput": (F.col("prompt_tokens") + F.col("completion_tokens")) / seconds,
         }
@@ -167,16 +179,25 @@ def generation_comparison(runs: DataFrame) -> DataFrame:
     return runs.select("run_id", F.posexplode("generations").alias("generation", "g")).select("run_id", "generation", "g.metrics.*")
 
 
-def run_pivot(generations: DataFrame, metrics: list[str], totals: dict[str, str], most: int) -> DataFrame:
-    """Metric rows by generation columns ``g0 ..``, with a total (``sum``, ``mean``, ``max`` or none) and the coverage."""
+def run_pivot(generations: DataFrame, metrics: list[str], totals: dict[str, str], most: int | None = None) -> DataFrame:
+    """Metric rows by generation, with a total (``sum``, ``mean``, ``max`` or none) and the coverage.
+
+    ``values`` is a map by generation; with ``most`` the generations are columns ``g0 ..``
+    instead, and one beyond them is an error. A run's generations are few.
+    """
     values = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics])
     rows = generations.select("run_id", "generation", F.inline(values))
-    cells = [F.max(F.when(F.col("generation") == k, F.col("value"))).alias(f"g{k}") for k in range(most)]
+    if most is None:
+        cells = [F.map_from_entries(F.array_sort(F.collect_list(F.struct("generation", "value")))).alias("values")]
+    else:
+        known = F.when(F.col("generation") < most, F.col("value")).otherwise(F.raise_error(F.lit(f"more than {most} generations")).cast("double"))
+        rows = rows.withColumn("value", known)
+        cells = [F.max(F.when(F.col("generation") == k, F.col("value"))).alias(f"g{k}") for k in range(most)]
     kind = F.create_map(*[F.lit(x) for m, t in totals.items() for x in (m, t)]) if totals else F.create_map().cast("map<string,string>")
     grouped = rows.groupBy("run_id", "metric").agg(*cells, F.sum("value").alias("s"), F.avg("value").alias("a"), F.max("value").alias("m"), F.count("value").alias("k"), F.count("*").alias("n"))
     how = F.try_element_at(kind, F.col("metric"))
     total = F.when(how == "sum", F.col("s")).when(how == "mean", F.col("a")).when(how == "max", F.col("m"))
-    return grouped.select("run_id", "metric", *[f"g{k}" for k in range(most)], total.alias("total"), F.concat(F.col("k"), F.lit(" of "), F.col("n")).alias("coverage"))
+    return grouped.select("run_id", "metric", *(["values"] if most is None else [f"g{k}" for k in range(most)]), total.alias("total"), F.concat(F.col("k"), F.lit(" of "), F.col("n")).alias("coverage"))
 
 
 def episode_metrics(calls: DataFrame) -> DataFrame:
@@ -248,8 +269,11 @@ def run_totals(generations: DataFrame) -> DataFrame:
     return generations.groupBy("run_id").agg(F.sum(F.coalesce("agent_seconds", F.lit(0.0))).alias("agent_seconds"), F.sum(F.coalesce("total_tokens", F.lit(0))).alias("total_tokens"))
 
 
+#: Categories of an early end.
+EARLY_ENDS = ("context_overflow", "repetition_collapse", "wall_clock", "harness_error")
+
+
 def termination_flags(episodes: DataFrame) -> DataFrame:
-    """Adds ``partial, category, reason`` for episodes that ended early, else null."""
-    reason = F.col("termination_reason")
-    category = F.when(reason.isin("context_overflow"), "overflow").when(reason.isin("repetition_loop"), "repetition").when(reason.isin("wall_clock_timeout"), "wall_clock").when(reason.isin("harness_error"), "harness_error")
-    return episodes.withColumns({"partial": category.isNotNull(), "category": category, "reason": F.when(category.isNotNull(), reason)})
+    """Adds ``partial, category, reason`` by ``termination_category``; without an early end both are null."""
+    early = F.coalesce(F.col("termination_category").isin(*EARLY_ENDS), F.lit(False))
+    return episodes.withColumns({"partial": early, "category": F.when(early, F.col("termination_category")), "reason": F.when(early, F.col("termination_reason"))})

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..grid import Grid
@@ -95,7 +95,8 @@ def rf1_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _kl(weighted: bool) -> str:
     bits = f"list_sum(list_transform(range(1, {UNITS} + 1), lambda k: (0.99 * a.probs[k] + 0.01 / {UNITS}) * log2((0.99 * a.probs[k] + 0.01 / {UNITS}) / (0.99 * b.probs[k] + 0.01 / {UNITS}))))"
-    value = f"least({bits} * (1 - a.entropy), log2(100.0))" if weighted else bits
+    entropy = f"list_sum(list_transform(range(1, {UNITS} + 1), lambda k: -(0.99 * a.probs[k] + 0.01 / {UNITS}) * log2(0.99 * a.probs[k] + 0.01 / {UNITS}))) / log2({UNITS})"
+    value = f"least({bits} * (1 - {entropy}), log2(100.0))" if weighted else bits
     return f"WITH {F0}, {F1} SELECT round(avg({value}), 4) AS loss FROM f a JOIN g b ON a.voxel_id = b.voxel_id WHERE a.in_domain AND b.in_domain"
 
 
@@ -167,12 +168,15 @@ def gr8_samples_at(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.samples_at(nodes(spark, sf_dir), edges(spark, sf_dir))
 
 
-@query("SELECT 'node' AS item, c_custkey::VARCHAR AS key, CASE WHEN c_custkey % 5 = 0 THEN 'removed' WHEN c_custkey % 7 = 0 THEN 'added' ELSE 'changed' END AS change FROM customer WHERE c_custkey % 5 = 0 AND c_custkey % 7 <> 0 OR c_custkey % 5 <> 0 AND (c_custkey % 7 = 0 OR c_custkey % 3 = 0)")
+@query(
+    "SELECT 'node' AS item, c_custkey::VARCHAR AS key, CASE WHEN c_custkey % 5 = 0 THEN 'removed' WHEN c_custkey % 7 = 0 THEN 'added' ELSE 'changed' END AS change FROM customer WHERE c_custkey % 5 = 0 AND c_custkey % 7 <> 0 OR c_custkey % 5 <> 0 AND (c_custkey % 7 = 0 OR c_custkey % 3 = 0) "
+    "UNION ALL SELECT 'edge', CASE WHEN s_suppkey % 2 = 0 THEN 'within|s' || s_suppkey || '|u' ELSE 'w' || s_suppkey END, CASE WHEN s_suppkey % 4 = 0 THEN 'removed' ELSE 'added' END FROM supplier WHERE s_suppkey % 4 = 0 AND s_suppkey % 6 <> 0 OR s_suppkey % 4 <> 0 AND s_suppkey % 6 = 0"
+)
 def gr7_graph_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("node_id"), "c_custkey", F.col("c_name").alias("name"))
     a, b = c.where("c_custkey % 7 <> 0"), c.where("c_custkey % 5 <> 0").withColumn("name", F.when(F.col("c_custkey") % 3 == 0, F.upper("name")).otherwise(F.col("name")))
-    none = edges(spark, sf_dir).limit(0)
-    return graph.graph_diff(a.drop("c_custkey"), none, b.drop("c_custkey"), none)
+    within = edges(spark, sf_dir).where("kind = 'within'").withColumn("edge_id", F.when(F.col("edge_seq") % 2 != 0, F.col("edge_id")))
+    return graph.graph_diff(a.drop("c_custkey"), within.where("edge_seq % 6 <> 0"), b.drop("c_custkey"), within.where("edge_seq % 4 <> 0"))
 
 
 @query()
@@ -187,8 +191,10 @@ def rf14_pool_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fields.pool_append(pool, new, 10).select("pool_id", "candidate_id")
 
 
-@query("SELECT o_orderkey AS seq, CASE WHEN b < 3 THEN 'Infinity'::DOUBLE ELSE round(400000 - 200000 * least(1.0, (b - 3) / 5), 2) END AS threshold, o_totalprice <= CASE WHEN b < 3 THEN 'Infinity'::DOUBLE ELSE 400000 - 200000 * least(1.0, (b - 3) / 5) END AS admitted FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS b FROM orders)")
+@query("SELECT seq, CASE WHEN pool < 3 OR n < 2 THEN 'Infinity'::DOUBLE ELSE round(400000 - 200000 * least(1.0, a / 5), 2) END AS threshold, score <= CASE WHEN pool < 3 OR n < 2 THEN 'Infinity'::DOUBLE ELSE 400000 - 200000 * least(1.0, a / 5) END AS admitted FROM (SELECT o_orderkey AS seq, o_totalprice AS score, row_number() OVER w - 1 AS n, count(*) FILTER (WHERE o_totalprice < 150000) OVER w AS a, o_orderkey % 9 AS pool FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey))")
 def rf12_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("stream"), F.col("o_orderkey").alias("seq"), F.col("o_totalprice").alias("score"))
+    """Orders as candidates: a customer's earlier orders are episodes, its cheap ones up to now admissions."""
+    so_far = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("seq"), F.col("o_totalprice").alias("score"), (F.row_number().over(so_far) - 1).alias("episode_count"), F.count_if(F.col("o_totalprice") < 150000).over(so_far).alias("admission_count"), (F.col("o_orderkey") % 9).alias("pool_size"))
     out = fields.annealed_thresholds(rows, 400000.0, 200000.0, 5, 3, 2).select("seq", "threshold", "admitted")
     return out.withColumn("threshold", F.round("threshold", 2))

@@ -26,7 +26,7 @@ def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.select(
         "event_id", "ts", F.lit("inference").alias("metric_type"), F.col("user_id").alias("run_id"), F.col("event_type").alias("model"), (F.col("event_type") != "error").alias("success"), F.col("value").alias("latency_ms"), usage.alias("usage"),
         none.alias("prompt_tokens_per_second"), none.alias("output_tokens_per_second"), none.alias("total_tokens_per_second"), F.when(k % 2 == 0, F.col("value")).alias("gpu_memory_mb"), F.col("value").alias("host_memory_mb"),
-        F.when(F.col("event_type") == "click", k / 100.0).alias("kv_cache_usage_pct"), F.when(F.col("event_type") == "view", k).alias("num_requests_running"), F.when(F.col("event_type") == "view", k % 5).alias("num_requests_waiting"), F.lit(0).alias("retry_count"), k.alias("k"),
+        F.when(F.col("event_type") == "click", k / 100.0).alias("kv_cache_usage_pct"), F.when(F.col("event_type") == "view", k).alias("num_requests_running"), F.when(F.col("event_type") == "view", k % 5).alias("num_requests_waiting"), F.lit(0).alias("retry_count"), none.alias("duration_ms"), k.alias("k"),
     )
 
 
@@ -46,12 +46,12 @@ def mx4_run_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"WITH {CALLS}, r AS (SELECT c_custkey AS run_id FROM customer), g AS (SELECT run_id, count(*) AS calls, count(*) FILTER (WHERE ok) AS good, sum(k) AS k, sum(latency_ms) AS ms, avg({RATE}) AS mean_rate, median({RATE}) AS median_rate, max(latency_ms) AS peak FROM c GROUP BY run_id) "
-    "SELECT r.run_id, coalesce(calls, 0)::BIGINT AS calls, coalesce(good, 0)::BIGINT AS successful_calls, coalesce(k, 0)::BIGINT AS completion_tokens, round(coalesce(ms, 0.0), 3) AS latency_ms, round(coalesce(good / calls, 0.0), 4) AS success_rate, round(k / nullif(ms / 1000, 0), 3) AS output_throughput, round(mean_rate, 3) AS mean_output_rate, round(median_rate, 3) AS median_output_rate, round(peak, 3) AS peak_host_memory_mb FROM r LEFT JOIN g ON r.run_id = g.run_id"
+    f"WITH {CALLS}, r AS (SELECT c_custkey AS run_id FROM customer), g AS (SELECT run_id, count(*) AS calls, count(*) FILTER (WHERE ok) AS good, sum(k) AS k, sum(latency_ms) AS ms, avg({RATE}) AS mean_rate, median({RATE}) AS median_rate, max(latency_ms) AS peak, count({RATE}) AS rated, max({RATE}) AS top_rate FROM c GROUP BY run_id) "
+    "SELECT r.run_id, coalesce(calls, 0)::BIGINT AS calls, coalesce(good, 0)::BIGINT AS successful_calls, coalesce(k, 0)::BIGINT AS completion_tokens, round(coalesce(ms, 0.0), 3) AS latency_ms, round(coalesce(good / calls, 0.0), 4) AS success_rate, round(k / nullif(ms / 1000, 0), 3) AS output_throughput, round(coalesce(mean_rate, 0.0), 3) AS mean_output_rate, coalesce(calls, 0)::BIGINT - coalesce(good, 0)::BIGINT AS failed_calls, 3 * coalesce(k, 0)::BIGINT AS total_tokens, coalesce(rated, 0)::BIGINT AS generation_count, round(3 * top_rate, 3) AS peak_total_rate, round(median_rate, 3) AS median_output_rate, round(peak, 3) AS peak_host_memory_mb FROM r LEFT JOIN g ON r.run_id = g.run_id"
 )
 def mx5_run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = runlogs.run_summary(calls(spark, sf_dir), runs(spark, sf_dir))
-    return out.select("run_id", "calls", "successful_calls", F.col("completion_tokens").cast("long").alias("completion_tokens"), F.round("latency_ms", 3).alias("latency_ms"), F.round("success_rate", 4).alias("success_rate"), *[F.round(c, 3).alias(c) for c in ("output_throughput", "mean_output_rate", "median_output_rate", "peak_host_memory_mb")])
+    return out.select("run_id", "calls", "successful_calls", F.col("completion_tokens").cast("long").alias("completion_tokens"), F.round("latency_ms", 3).alias("latency_ms"), F.round("success_rate", 4).alias("success_rate"), *[F.round(c, 3).alias(c) for c in ("output_throughput", "mean_output_rate", "median_output_rate", "peak_host_memory_mb", "peak_total_rate")], "failed_calls", F.col("total_tokens").cast("long").alias("total_tokens"), "generation_count")
 
 
 @query(f"WITH {CALLS} SELECT model, count(DISTINCT run_id)::BIGINT AS runs, count(*)::BIGINT AS calls, round(avg(latency_ms), 3) AS mean_latency_ms, round(median(latency_ms), 3) AS median_latency_ms, round(sum(k) / (sum(latency_ms) / 1000), 3) AS output_throughput, round(avg({RATE}), 3) AS mean_output_rate FROM c GROUP BY model")

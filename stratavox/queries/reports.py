@@ -33,10 +33,11 @@ def mx14_generation_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"WITH {NUMBERED}, m AS (SELECT run_id, 'price' AS metric, generation, price AS value FROM n UNION ALL SELECT run_id, 'digit', generation, digit FROM n) "
-    "SELECT run_id, metric, round(max(value) FILTER (WHERE generation = 0), 2) AS g0, round(max(value) FILTER (WHERE generation = 1), 2) AS g1, round(max(value) FILTER (WHERE generation = 2), 2) AS g2, round(CASE WHEN metric = 'price' THEN sum(value) ELSE max(value) END, 2) AS total, count(value) || ' of ' || count(*) AS coverage FROM m GROUP BY 1, 2"
+    "SELECT run_id, metric, generation::INT AS generation, round(value, 2) AS value, round(CASE WHEN metric = 'price' THEN sum(value) OVER w ELSE max(value) OVER w END, 2) AS total, count(value) OVER w || ' of ' || count(*) OVER w AS coverage FROM m WINDOW w AS (PARTITION BY run_id, metric)"
 )
 def mx15_run_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(runlogs.run_pivot(generations(spark, sf_dir), ["price", "digit"], {"price": "sum", "digit": "max"}, 3), 2)
+    found = runlogs.run_pivot(generations(spark, sf_dir), ["price", "digit"], {"price": "sum", "digit": "max"})
+    return rounded(found.select("run_id", "metric", F.explode("values").alias("generation", "value"), "total", "coverage"), 2)
 
 
 @query("SELECT (user_id % 9)::INT AS generation_id, count(*)::BIGINT AS episodes, count(*) FILTER (WHERE event_type <> 'error')::BIGINT AS successes, round(sum(value), 3) AS duration_seconds, round(epoch_us(max(ts)) / 1e6 - epoch_us(min(ts)) / 1e6, 1) AS wall_seconds, round(count(*) FILTER (WHERE event_type <> 'error') / count(*), 4) AS success_rate, round(max(value), 3) AS best_score, round(median(value), 3) AS median_context FROM events GROUP BY 1")
@@ -66,10 +67,11 @@ def mx22_run_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(runlogs.run_totals(g), 2)
 
 
-@query("SELECT event_id, event_type IN ('error', 'view') AS partial, CASE event_type WHEN 'error' THEN 'harness_error' WHEN 'view' THEN 'overflow' END AS category FROM events")
+@query("SELECT event_id, event_type IN ('error', 'view') AS partial, CASE event_type WHEN 'error' THEN 'harness_error' WHEN 'view' THEN 'repetition_collapse' END AS category, CASE WHEN event_type IN ('error', 'view') THEN props END AS reason FROM events")
 def mx23_termination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    reason = F.when(F.col("event_type") == "error", "harness_error").when(F.col("event_type") == "view", "context_overflow").otherwise("done")
-    return runlogs.termination_flags(table(spark, sf_dir, "events").withColumn("termination_reason", reason)).select("event_id", "partial", "category")
+    category = F.when(F.col("event_type") == "error", "harness_error").when(F.col("event_type") == "view", "repetition_collapse").when(F.col("event_type") == "click", "finished")
+    episodes = table(spark, sf_dir, "events").withColumns({"termination_category": category, "termination_reason": F.col("props")})
+    return runlogs.termination_flags(episodes).select("event_id", "partial", "category", "reason")
 
 
 @query("SELECT o_orderkey AS spec_id, min(u.c_custkey) OVER (PARTITION BY o.o_custkey) IS NOT NULL AS hit FROM orders o LEFT JOIN (SELECT c_custkey FROM customer WHERE c_custkey % 3 = 0) u ON o.o_custkey = u.c_custkey")

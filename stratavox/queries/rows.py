@@ -73,13 +73,11 @@ def tr9_training_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return training.training_window(exports, 140, 100).select("generation_id", "export_id")
 
 
-@query("SELECT doc_id, lower(left(text, 20)) AS code FROM documents")
+@query("WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g') AS t FROM documents) SELECT doc_id, CASE WHEN t <> '' THEN sha256(t) END AS code FROM t")
 def tx1_code_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document's beginning, set as the second of two fenced blocks."""
-    begin = F.lower(F.left("text", F.lit(20)))
-    answer = F.concat(F.lit("Text\n```json\n{}\n```\nmore\n```python\n"), F.regexp_replace(begin, r"^\s+|\s+$", "x"), F.lit("\n```\nend"))
-    d = table(spark, sf_dir, "documents").select("doc_id", begin.alias("begin"), texts.extract_code_block(answer, ["python", "py"]).alias("code"))
-    return d.select("doc_id", F.when(F.col("code") == F.regexp_replace("begin", r"^\s+|\s+$", "x"), F.col("begin")).alias("code"))
+    """Each whole document, without fences in the given tables, as the second of two fenced blocks."""
+    answer = F.concat(F.lit("Text\n```json\n{}\n```\nmore\n```python\n"), F.coalesce("text", F.lit("")), F.lit("\n```\nend"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(texts.extract_code_block(answer, ["python", "py"]), 256).alias("code"))
 
 
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
@@ -104,7 +102,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers as experiments: the balance is the gain, the nation the layer."""
     key = F.col("s_suppkey")
     return table(spark, sf_dir, "supplier").select(
-        F.format_string("e%05d", key).alias("experiment_id"), F.col("s_name").alias("hypothesis"), F.lit("why").alias("rationale"), F.lit("all").alias("data_spec"), F.lit("done").alias("result_summary"),
+        F.format_string("e%05d", key).alias("experiment_id"), F.col("s_name").alias("hypothesis"), F.lit("why").alias("rationale"), F.when(key % 2 == 0, F.lit('{"part": "all"}')).alias("data_spec"), F.lit("done").alias("result_summary"), F.when(key % 3 != 0, (key % 7 - 3) / 16).alias("cv_mse_delta"),
         F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("feature_layer_name"), (-F.col("s_acctbal")).alias("bic_delta"), (F.col("s_acctbal") / 1000).alias("predicted_value"), (F.col("s_acctbal") > 5000).alias("admitted"),
         F.create_map(F.concat(F.lit("n"), ((F.col("s_nationkey") + 1) % 25).cast("string")), F.lit(0.5)).alias("mutual_info"),
         F.when(key % 2 == 0, F.array(F.format_string("e%05d", key), F.format_string("e%05d", key + 1))).otherwise(F.array().cast("array<string>")).alias("parent_experiments"), F.lit("2024-01-01").alias("ts"),
@@ -119,9 +117,10 @@ def kg3_crossbreed_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(experiments.crossbreed_pairs(records(spark, sf_dir)))
 
 
-@query(f"WITH {RECORDS} SELECT a.id AS a, b.id AS b, round(abs(a.d) + abs(b.d), 4) AS score FROM x a JOIN x b ON a.id < b.id WHERE a.d < 0 AND b.d < 0 ORDER BY score DESC, a, b LIMIT 1")
+@query(f"WITH {RECORDS}, i AS (SELECT least(x.id, 'e00001') || '_' || greatest(x.id, 'e00001') AS pair_id, CASE WHEN x.n = (SELECT (n + 1) % 25 FROM x WHERE id = 'e00001') THEN 0.5 ELSE 0.0 END AS mi FROM x) SELECT a.id AS a, b.id AS b, round(abs(a.d) + abs(b.d) - coalesce(20000 * i.mi, 0), 4) AS score FROM x a JOIN x b ON a.id < b.id LEFT JOIN i ON i.pair_id = a.id || '_' || b.id WHERE a.d < 0 AND b.d < 0 ORDER BY score DESC, a, b LIMIT 1")
 def kg4_crossbreed_best(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = experiments.mi_index_for_new(records(spark, sf_dir), records(spark, sf_dir).where("experiment_id = 'e00001'")).withColumns({"mi": F.lit(0.0), "pos": F.lit(1)})
+    """The index holds the pairs of the first record, on the scale of the gains."""
+    index = experiments.mi_index_for_new(records(spark, sf_dir), records(spark, sf_dir).where("experiment_id = 'e00001'")).withColumns({"mi": 20000 * F.col("mi"), "pos": F.lit(1)})
     return rounded(experiments.crossbreed_best(records(spark, sf_dir), index))
 
 
@@ -131,9 +130,29 @@ def kg5_mi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return experiments.mi_index_for_new(all_records, all_records.where("experiment_id = 'e00001'"))
 
 
-@query(f"WITH {RECORDS} SELECT id AS experiment_id, 'Hypothesis: ' || name || chr(10) || 'Rationale: why' || chr(10) || 'Data: all' AS prompt FROM x")
+PAIR = (
+    "'Hypothesis: ' || name || chr(10) || 'Rationale: why' || CASE WHEN k % 2 = 0 THEN chr(10) || 'Data specification: {\"part\": \"all\"}' ELSE '' END AS prompt, "
+    "'Analysis result: done' || chr(10) || 'BIC: ' || CASE WHEN d < 0 THEN 'improved' ELSE 'worsened' END || printf(' by %.2f', abs(d)) || "
+    "CASE WHEN k % 3 <> 0 THEN chr(10) || 'Depth CV-MSE: ' || CASE WHEN k % 7 < 3 THEN 'improved' ELSE 'worsened' END || printf(' by %.4f', abs((k % 7 - 3) / 16)) ELSE '' END || chr(10) || "
+    "CASE WHEN ok THEN 'Conclusion: Hypothesis supported. Feature ' || chr(39) || 'n' || n || chr(39) || ' added to world model.' ELSE 'Conclusion: Hypothesis not supported or redundant. Feature not added.' END AS response"
+)
+
+
+@query(f"WITH {RECORDS} SELECT id AS experiment_id, {PAIR}, round(v, 6) AS score FROM x")
 def kg1_training_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return experiments.training_pairs(records(spark, sf_dir)).select("experiment_id", "prompt")
+    return rounded(experiments.training_pairs(records(spark, sf_dir)), 6)
+
+
+@query(f"WITH {RECORDS}, p AS (SELECT a.id AS a, b.id AS b, a.d AS da, b.d AS db, a.name AS na, b.name AS nb, a.n AS la, b.n AS lb FROM x a JOIN x b ON b.k = a.k + 1) SELECT a, b, 'These experiments both improved the world model:' || chr(10) || chr(10) || 'Experiment 1: \"' || na || '\"' || chr(10) || '- Result: done' || chr(10) || printf('- BIC improvement: %.2f', abs(da)) || chr(10) || '- Feature: n' || la || chr(10) || chr(10) || 'Experiment 2: \"' || nb || '\"' || chr(10) || '- Result: done' || chr(10) || printf('- BIC improvement: %.2f', abs(db)) || chr(10) || '- Feature: n' || lb || chr(10) || chr(10) || 'Given that both of these patterns exist in the data, what new hypothesis ' || chr(10) || 'would you propose that combines or builds on these findings?' AS prompt FROM p")
+def kg6_crossbreed_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("s_suppkey")
+    pairs = table(spark, sf_dir, "supplier").select(F.format_string("e%05d", key).alias("a"), F.format_string("e%05d", key + 1).alias("b"))
+    return experiments.crossbreed_prompt(pairs, records(spark, sf_dir))
+
+
+@query(f"WITH {RECORDS} SELECT id, {PAIR}, ok AS admitted, round(d, 4) AS mdl_delta, '2024-01-01' AS timestamp FROM x")
+def kg7_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(experiments.export_experiments(records(spark, sf_dir)))
 
 
 @query(f"WITH {RECORDS} SELECT count(*)::BIGINT AS experiments, count(*) FILTER (WHERE ok)::BIGINT AS admitted, round(sum(-d) FILTER (WHERE ok), 3) AS improvement, count(DISTINCT n)::BIGINT AS layers, round(count(*) FILTER (WHERE ok) / count(*), 3) AS admission_rate FROM x")
@@ -141,9 +160,9 @@ def kg8_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(experiments.experiment_stats(records(spark, sf_dir)), 3)
 
 
-@query(f"WITH {RECORDS} SELECT id AS experiment_id, ok AND d < 0 AS as_knowledge FROM x")
+@query(f"WITH {RECORDS}, y AS (SELECT *, {PAIR} FROM x) SELECT id AS experiment_id, response || printf(chr(10) || chr(10) || 'Result: %.4f BIC delta. ', d) || CASE WHEN ok THEN 'Admitted.' ELSE 'Not admitted.' END AS response, ok AND d < 0 AS as_knowledge FROM y")
 def kg9_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return experiments.rewrite_record(records(spark, sf_dir)).select("experiment_id", "as_knowledge")
+    return experiments.rewrite_record(records(spark, sf_dir)).select("experiment_id", "response", "as_knowledge")
 
 
 @query("SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'gaussian' WHEN 1 THEN 'interval' WHEN 2 THEN 'point' ELSE 'distribution' END AS kind, p_size > 5 OR p_partkey % 4 > 1 AS valid, round(CASE p_partkey % 4 WHEN 0 THEN p_retailprice WHEN 1 THEN (5 + p_size) / 2.0 WHEN 2 THEN p_retailprice ELSE (p_size + 2 * p_size) / 2.0 END, 4) AS nominal, round(CASE p_partkey % 4 WHEN 0 THEN pow(p_size - 5, 2) WHEN 2 THEN 0.0 WHEN 3 THEN pow(p_size, 2) / 12 END, 4) AS variance FROM part")
