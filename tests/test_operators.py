@@ -239,14 +239,35 @@ def test_fields(spark):
     assert loss([1.0, 0.0], [0.0, 1.0], epsilon=0.01) == pytest.approx(math.log2(100), rel=1e-2)
     half = spark.createDataFrame([(k, k < 2) for k in range(4)], "voxel_id long, in_domain boolean")
     assert fields.coverage(half.withColumn("in_domain", F.lit(True)), half).first().coverage == 0.5
-    planes = spark.createDataFrame([("p", x, y, 2 * x - y + 3) for x in (0.0, 1.0, 2.0) for y in (0.0, 1.0)] + [("q", 0.0, 0.0, 1.0)], "pair string, x double, y double, z double")
+    planes = spark.createDataFrame([("p", x, y, 2 * x - y + 3) for x in (0.0, 1.0, 2.0) for y in (0.0, 1.0)] + [("flat", 1.0, 1.0, z) for z in (0.0, 1.0, 2.0)], "pair string, x double, y double, z double")
     got = {r.pair: r for r in fields.fit_planes(planes).collect()}
-    assert (got["p"].a, got["p"].b, got["p"].c) == pytest.approx((2, -1, 3)) and got["q"].a is None
+    assert (got["p"].a, got["p"].b, got["p"].c) == pytest.approx((2, -1, 3)) and got["flat"].a is None
+    with pytest.raises(Exception, match="fewer than three contacts"):
+        fields.fit_planes(planes.where("pair = 'flat'").limit(2)).collect()
     blob = [(x, y, z, 0 if (x, y) in ((0, 0), (0, 1), (3, 2)) and z < 3 else 1) for x in range(4) for y in range(3) for z in range(8)]
     frame = spark.createDataFrame(blob, "ix int, iy int, iz int, most_likely int")
     assert [(r.unit, r.blobs) for r in fields.check_orphan_blobs(frame, GRID).collect()] == [(0, 2)]
 
 
+def test_thresholds_and_early_ends(spark):
+    counters = [(1.0, 2, 9, 0), (5.0, 3, 1, 0), (5.0, 3, 2, 0), (5.0, 3, 2, 5), (5.0, 3, None, 5), (3.0, 9, 9, 50)]
+    frame = spark.createDataFrame(counters, "score double, pool_size int, episode_count int, admission_count int")
+    got = [(r.threshold, r.admitted) for r in fields.annealed_thresholds(frame, 8.0, 4.0, 10, 3, 2).collect()]
+    inf = math.inf
+    assert got == [(inf, True), (inf, True), (8.0, True), (6.0, True), (inf, True), (4.0, True)]
+    assert fields.annealed_thresholds(frame, 8.0, 4.0, 0, 0, 0).first().threshold == 4.0
+    ends = spark.createDataFrame([("wall_clock", "late"), ("wall_clock", None), ("done", "fine"), (None, "repetition_collapse")], "termination_category string, termination_reason string")
+    assert [(r.partial, r.category, r.reason) for r in runlogs.termination_flags(ends).collect()] == [(True, "wall_clock", "late"), (True, "wall_clock", None), (False, None, None), (False, None, None)]
+
+
+def test_training_pair_without_parts(spark):
+    row = [("e", "h", None, "{}", "r", None, None, None, None, None)]
+    frame = spark.createDataFrame(row, "experiment_id string, hypothesis string, rationale string, data_spec string, result_summary string, bic_delta double, cv_mse_delta double, feature_layer_name string, admitted boolean, predicted_value double")
+    got = experiments.training_pairs(frame).first()
+    assert got.prompt == "Hypothesis: h" and got.response == "Analysis result: r\nConclusion: Hypothesis not supported or redundant. Feature not added."
+    assert experiments.rewrite_record(frame).first().response == got.response
+
+
 def test_every_query_with_sql_matches_it(spark, sf_dir):
     con = duckdb.connect()
     for path in Path(sf_dir).glob("*.parquet"):
