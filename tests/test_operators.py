@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from stratavox import queries
 from stratavox.functions import texts, uncertainty
 from stratavox.grid import SURVEY_GRID, Grid, grid_cells
-from stratavox.operators import fields, graph, runlogs, scoring, spatial, training
+from stratavox.operators import experiments, fields, graph, runlogs, scoring, spatial, training
 from stratavox.streaming import logs
 
 REPO = Path(__file__).resolve().parent.parent
