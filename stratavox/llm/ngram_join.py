@@ -54,9 +54,12 @@ class JaccardSettings:
     pairs_per_entry: int = 64
     #: Classes whose sets are fetched are sent to all executors up to this number, else joined by shuffle.
     broadcast_classes: int = 100_000
-    #: N-grams that tasks count at a time to find common ones, and how many of the most common are ordered by count.
+    #: N-grams that tasks count at a time to find common ones, how many of the most common are ordered by count,
+    #: and the bits of the filter that tells all common ones.
     counted: int = 4_000_000
-    common: int = 1 << 19
+    common: int = 1 << 17
+    filter_bits: int = 26
+    filter_slices: int = 64
     #: Classes that a task remembers having met, so that copies are counted and listed once a task.
     remembered: int = 100_000
     seed: int = 41
@@ -98,23 +101,49 @@ class Shingler:
 
 
 class Rarity:
-    """The order of n-grams: level 0 for most, above it by the logarithm of how many sets hold a common one.
+    """The order of n-grams: 0 for most, 1 for common ones, above it by the logarithm of the number of sets that hold it.
 
-    It only decides which n-grams are listed, so it costs time and never a link if counts are rough.
+    Common n-grams are told by a Bloom filter, the most common by an exact table. Both are
+    functions of the n-gram alone, so all sets are ordered alike; they only decide which
+    n-grams are listed, so an error costs time and never a link.
     """
 
-    def __init__(self, grams: np.ndarray, counts: np.ndarray) -> None:
+    def __init__(self, grams: np.ndarray, counts: np.ndarray, bits: np.ndarray) -> None:
         order = np.argsort(grams.view(np.uint64))
         self.grams = grams.view(np.uint64)[order]
-        self.level = np.ceil(np.log2(np.maximum(counts, 1))).astype(np.uint8)[order]
-
-    def of(self, grams: np.ndarray) -> np.ndarray:
+        self.level = (1 + np.ceil(np.log2(np.maximum(counts, 1)))).astype(np.uint8)[order]
+        self.bits = bits
+
+    @staticmethod
+    def places(grams: np.ndarray, settings: JaccardSettings) -> list[np.ndarray]:
+        """Two bits within the n-grams' slice of the filter; the slice is that of their highest bits."""
+        h = grams.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        size = np.uint64((1 << settings.filter_bits) // settings.filter_slices)
+        return [((h >> np.uint64(shift)) % size).astype(np.int64) for shift in (40, 16)]
+
+    def common(self, grams: np.ndarray, settings: JaccardSettings) -> np.ndarray:
+        if not len(self.bits):
+            return np.zeros(len(grams), bool)
+        own = (grams.view(np.uint64) >> np.uint64(65 - settings.filter_slices.bit_length())).astype(np.int64)
+        own *= (1 << settings.filter_bits) // settings.filter_slices
+        found = np.ones(len(grams), bool)
+        for place in self.places(grams, settings):
+            at = own + place
+            found &= (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+        return found
+
+    def of(self, grams: np.ndarray, settings: JaccardSettings) -> np.ndarray:
         """Levels of sorted n-grams."""
-        if not len(self.grams):
-            return np.zeros(len(grams), np.uint8)
-        own = grams.view(np.uint64)
-        at = np.minimum(np.searchsorted(self.grams, own), len(self.grams) - 1)
-        return np.where(self.grams[at] == own, self.level[at], 0).astype(np.uint8)
+        out = self.common(grams, settings).astype(np.uint8)
+        if len(self.grams):
+            own = grams.view(np.uint64)
+            at = np.minimum(np.searchsorted(self.grams, own), len(self.grams) - 1)
+            out = np.where(self.grams[at] == own, self.level[at], out)
+        return out
+
+    def surely(self, grams: np.ndarray) -> np.ndarray:
+        """Whether n-grams stand in the table, so that several sets do hold them."""
+        return np.isin(grams.view(np.uint64), self.grams)
 
 
 class Met:
@@ -191,10 +220,40 @@ def described_sets(docs: DataFrame, settings: JaccardSettings) -> DataFrame:
 
 
 def rarity(described: DataFrame, settings: JaccardSettings) -> Rarity:
-    """The order, from at most ``common`` of the most common n-grams."""
+    """The order, from the counts of tasks: a table of at most ``common`` n-grams and a filter of fixed size.
+
+    The filter holds all common n-grams, or, where they are more than a quarter of its bits,
+    those of the highest counts. Its slices are made in tasks.
+    """
     counts = described.where("often is not null").groupBy(F.col("h1").alias("gram")).agg(F.sum("often").alias("n"))
+    counts = written(counts, "common-grams")
     top = counts.orderBy(F.desc("n"), "gram").limit(settings.common).toArrow()
-    return Rarity(top.column("gram").to_numpy(), top.column("n").to_numpy())
+    bits, slices = settings.filter_bits, settings.filter_slices
+    least, held = 2, 0
+    levels = counts.groupBy(F.floor(F.log2("n")).alias("level")).count().orderBy(F.desc("level")).collect()
+    for r in levels:
+        held += r["count"]
+        if held > 1 << (bits - 2):
+            least = 2 << r.level
+            break
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filled: dict[int, np.ndarray] = {}
+        for batch in batches:
+            own = batch.column(1).to_numpy()
+            for k in np.unique(own).tolist():
+                bit = filled.setdefault(k, np.zeros((1 << bits) // slices, np.uint8))
+                for place in Rarity.places(batch.column(0).to_numpy()[own == k], settings):
+                    bit[place] = 1
+        if filled:
+            yield pa.RecordBatch.from_arrays([pa.array([*filled], pa.int64()), pa.array([np.packbits(x, bitorder="little").tobytes() for x in filled.values()], pa.binary())], names=["slice", "bits"])
+
+    # A slice is made in one task and is of fixed size.
+    chosen = counts.where(F.col("n") >= least).select("gram", F.shiftrightunsigned("gram", 65 - slices.bit_length()).alias("slice"))
+    out = np.zeros((slices, (1 << bits) // slices // 8), np.uint8)
+    for row in chosen.repartition(slices, "slice").mapInArrow(fill, "slice long, bits binary").collect():
+        out[row.slice] |= np.frombuffer(row.bits, np.uint8)
+    return Rarity(top.column("gram").to_numpy(), top.column("n").to_numpy(), out.ravel() if levels else np.zeros(0, np.uint8))
 
 
 def light_boundary(sizes: dict[int, int], settings: JaccardSettings) -> int:
@@ -263,11 +322,11 @@ def heavy_lists(docs: DataFrame, least: int, order: Rarity, settings: JaccardSet
                 for g, k in zip(sets, class_ids(set_hashes(sets), clashing).tolist(), strict=True):
                     if not met.new(k):
                         continue
-                    n, level = settings.prefix(len(g)), order.of(g)
+                    n, level = settings.prefix(len(g)), order.of(g, settings)
                     rare = np.flatnonzero(level == 0)
                     chosen = rare[:n] if len(rare) >= n else np.lexsort((g.view(np.uint64), level))[:n]
                     grams.append(g[chosen])
-                    common.append(level[chosen] > 0)
+                    common.append(order.surely(g[chosen]))
                     rows.append((k, len(g), 1000 * (len(g) - len(rare)) // len(g), n))
                 if rows:
                     ids, sizes, weights, counts = np.array(rows, np.int64).T
@@ -338,7 +397,7 @@ def compare(pairs: DataFrame, classes: Classes, order: Rarity, settings: Jaccard
                 need = max(1, -(-(excess + partner) // (2 * more)))
                 parts = []
                 for own in (x[~hit], p[other]):
-                    level = order.of(own)
+                    level = order.of(own, settings)
                     parts.append(own[np.lexsort((own, level))] if level.any() else own)
                 linked.append(link)
                 deltas.append(delta)
