@@ -26,7 +26,7 @@ def sp13_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(spatial.slice_field(geology.field(spark, sf_dir), geology.CELLS, "y").select("voxel_id", "ix", "iz", "entropy"))
 
 
-@query("WITH e AS (SELECT var_pop(s_acctbal / 1000) AS e FROM supplier GROUP BY s_nationkey), t AS (SELECT sum(e) AS total_mse, avg(e) AS mean_mse, count(*) AS k, (SELECT count(*) FROM supplier) AS n FROM e) SELECT round(total_mse, 4) AS total_mse, round(mean_mse, 4) AS mean_mse, round(n * ln(mean_mse) + k * k * ln(n), 4) AS bic FROM t")
+@query("WITH e AS (SELECT var_pop(s_acctbal / 1000) AS e FROM supplier GROUP BY s_nationkey), t AS (SELECT sum(e) AS total_mse, avg(e) AS mean_mse, count(*) AS k, (SELECT count(*) FROM supplier) AS n FROM e) SELECT round(total_mse, 4) AS total_mse, round(mean_mse, 4) AS mean_mse, CASE WHEN mean_mse > 0 THEN round(n * ln(mean_mse) + k * k * ln(n), 4) ELSE 'Infinity'::DOUBLE END AS bic FROM t")
 def sc9_joint_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nations as layers, the spread of their suppliers' balances as errors: one number a layer for the driver."""
     s = table(spark, sf_dir, "supplier")
