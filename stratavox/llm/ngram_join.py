@@ -141,10 +141,6 @@ class Rarity:
             out = np.where(self.grams[at] == own, self.level[at], out)
         return out
 
-    def surely(self, grams: np.ndarray) -> np.ndarray:
-        """Whether n-grams stand in the table, so that several sets do hold them."""
-        return np.isin(grams.view(np.uint64), self.grams)
-
 
 class Met:
     """Classes that a task has met lately."""
@@ -326,7 +322,7 @@ def heavy_lists(docs: DataFrame, least: int, order: Rarity, settings: JaccardSet
                     rare = np.flatnonzero(level == 0)
                     chosen = rare[:n] if len(rare) >= n else np.lexsort((g.view(np.uint64), level))[:n]
                     grams.append(g[chosen])
-                    common.append(order.surely(g[chosen]))
+                    common.append(level[chosen] > 1)  # in the table, so that several sets do hold it
                     rows.append((k, len(g), 1000 * (len(g) - len(rare)) // len(g), n))
                 if rows:
                     ids, sizes, weights, counts = np.array(rows, np.int64).T
