@@ -46,7 +46,7 @@ STAGES = [
     ("bpe", encode),
 ]
 
-#: SQL can't express the host prior, the decontamination and the encoding; tests hold run() against brute force.
+#: SQL can't express the decontamination and the encoding. The stages' operators are tested, stage 3 also as such.
 ORACLE_SQL = None
 
 
