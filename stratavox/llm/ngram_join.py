@@ -472,7 +472,7 @@ def heavy_links(classes: Classes, bound: int, order: Rarity, settings: JaccardSe
         more = F.lit(2 * (100 + settings.percent))
         named = compared.join(parts, "id", "left").select(F.col("pivot").alias("key"), "id", F.coalesce("component", "id").alias("component"), (F.col("delta") * more).alias("reach"), "excess", "grams")
         # A pivot's members without a possible partner go before their differences are listed.
-        named = written(open_lists(named), "heavy-open").select("key", "id", "component", "reach", "excess", F.posexplode("grams").alias("place", "gram"))
+        named = written(open_lists(open_lists(named)), "heavy-open").select("key", "id", "component", "reach", "excess", F.posexplode("grams").alias("place", "gram"))
         # The member nearest to the last pivot leads.
         named = named.select(F.xxhash64("key", "gram").alias("key"), "id", "component", (F.col("reach") - F.col("place") * more).alias("reach"), "excess", (-F.col("excess")).alias("weight"))
         lists = written(open_lists(open_lists(named)), "heavy-lists")
