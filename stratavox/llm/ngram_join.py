@@ -23,6 +23,11 @@ in them, so few members meet again. Lists whose members are all of one component
 that can't hold the overlap from their place in a list on, are left out. When all pairs on the
 open lists are a bounded number for each entry, or more pivots don't help, those pairs that can
 hold the overlap are compared one by one, and that is all.
+
+Short lists have no pivot in any round: their pairs are a bounded number for each entry, and
+most are texts that share a passage and no more. Such pairs are told by a slice of the hash
+space: n-grams of one set that the other lacks there bound the overlap from above, so sets are
+fetched in whole only for pairs that the bound leaves.
 """
 
 from __future__ import annotations
@@ -52,6 +57,10 @@ class JaccardSettings:
     #: entry than this, or where a round would compare nearly as many sets as the one before.
     rounds: int = 8
     pairs_per_entry: int = 64
+    #: Lists of at most so many members are short; their pairs are met without a pivot.
+    short_list: int = 8
+    #: Share of the hash space, as one of this many slices, that bounds a pair's overlap.
+    slices: int = 4
     #: Classes whose sets are fetched are sent to all executors up to this number, else joined by shuffle.
     broadcast_classes: int = 100_000
     #: N-grams that tasks count at a time to find common ones, how many of the most common are ordered by count,
@@ -157,10 +166,24 @@ class Met:
         return True
 
 
-def lists_of(arrays: list[np.ndarray]) -> pa.Array:
+def lists_of(arrays: list[np.ndarray], kind: type = np.int64) -> pa.Array:
     """An Arrow list column; the arrays of one batch are bounded by the batch."""
     ends = np.cumsum([0, *map(len, arrays)], dtype=np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays) if arrays else np.empty(0, np.int64), pa.int64()))
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays) if arrays else np.empty(0, kind)))
+
+
+def slice_of(grams: np.ndarray, settings: JaccardSettings) -> np.ndarray:
+    """Sorted 32-bit values of a set's n-grams in the first slice of the hash space; two n-grams may have one value."""
+    g = grams.view(np.uint64)
+    low = g[: np.searchsorted(g, np.uint64(2**64 // settings.slices - 1), side="right")] if settings.slices > 1 else g
+    return np.sort((low & np.uint64(0xFFFFFFFF)).astype(np.uint32)).view(np.int32)
+
+
+def most_shared(x: np.ndarray, nx: int, y: np.ndarray, ny: int) -> int:
+    """A bound of the overlap of sets of sizes ``nx`` and ``ny`` from their slices: what one lacks isn't shared."""
+    x, y = x.view(np.uint32), y.view(np.uint32)
+    lacks = lambda a, b: int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] != a).sum()) if len(b) else len(a)
+    return min(nx - lacks(x, y), ny - lacks(y, x))
 
 
 def set_hashes(sets: list[np.ndarray]) -> np.ndarray:
@@ -342,10 +365,15 @@ class Classes:
     repeated: bool
     clashing: list[int]
 
-    def sets(self, wanted: DataFrame, settings: JaccardSettings) -> DataFrame:
-        """``pivot, id, grams`` of the wanted classes (``id, pivots``), once for each pivot."""
+    def sets(self, wanted: DataFrame, settings: JaccardSettings, sliced: bool = False) -> DataFrame:
+        """``pivot, id, size, grams`` of the wanted classes (``id, pivots``), once for each pivot.
+
+        ``size`` is that of the whole set; ``sliced`` gives one slice of it, as 32 bits of each n-gram.
+        """
         wanted = written(self.owners.join(wanted, "id"), "wanted-classes")
-        small = wanted.count() <= settings.broadcast_classes
+        small = (wanted.agg(F.sum(F.size("pivots"))).first()[0] or 0) <= settings.broadcast_classes
+
+        kind = np.int32 if sliced else np.int64
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             shingler = Shingler(settings)
@@ -355,7 +383,10 @@ class Classes:
                     sets = [shingler.grams(t) for t in (part.column(1).to_pylist() if small else map(bytes.decode, unpacked(part.column(1))))]
                     pivots = part.column(2).to_pylist()
                     row = np.repeat(np.arange(len(sets)), [len(x) for x in pivots])
-                    yield pa.RecordBatch.from_arrays([pa.array([p for x in pivots for p in x], pa.int64()), part.column(0).take(pa.array(row)), lists_of([sets[k] for k in row])], names=["pivot", "id", "grams"])
+                    sizes = np.array([len(s) for s in sets], np.int64)
+                    if sliced:
+                        sets = [slice_of(s, settings) for s in sets]
+                    yield pa.RecordBatch.from_arrays([pa.array([p for x in pivots for p in x], pa.int64()), part.column(0).take(pa.array(row)), pa.array(sizes[row]), lists_of([sets[k] for k in row], kind)], names=["pivot", "id", "size", "grams"])
 
         rows = self.docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
         if not small:
@@ -363,7 +394,7 @@ class Classes:
         found = rows.join(F.broadcast(wanted) if small else wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t"))).select("id", "text", "pivots")
         if self.repeated:
             found = found.dropDuplicates(["id"])
-        return found.mapInArrow(run, "pivot long, id long, grams array<long>")
+        return found.mapInArrow(run, f"pivot long, id long, size long, grams array<{'int' if sliced else 'long'}>")
 
 
 def compare(pairs: DataFrame, classes: Classes, order: Rarity, settings: JaccardSettings) -> DataFrame:
@@ -402,10 +433,29 @@ def compare(pairs: DataFrame, classes: Classes, order: Rarity, settings: Jaccard
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_()), pa.array(deltas, pa.int64()), pa.array(excesses, pa.int64()), lists_of(grams)], names=["pivot", "id", "linked", "delta", "excess", "grams"])
 
     # A set has as many pivots as lists at most.
-    left = classes.sets(pairs.groupBy("id").agg(F.collect_list("pivot").alias("pivots")), settings)
+    return met_sets(pairs, classes, settings).select("pivot", "id", F.col("grams").alias("gx"), "gp").mapInArrow(run, "pivot long, id long, linked boolean, delta long, excess long, grams array<long>")
+
+
+def met_sets(pairs: DataFrame, classes: Classes, settings: JaccardSettings, sliced: bool = False) -> DataFrame:
+    """``pivot, id, size, grams, np, gp``: both sets of each pair, or their slices."""
+    left = classes.sets(pairs.groupBy("id").agg(F.collect_list("pivot").alias("pivots")), settings, sliced)
     leads = pairs.select(F.col("pivot").alias("id")).distinct().withColumn("pivots", F.array("id"))
-    right = classes.sets(leads, settings).select("pivot", F.col("grams").alias("gp"))
-    return left.join(right, "pivot").select("pivot", "id", F.col("grams").alias("gx"), "gp").mapInArrow(run, "pivot long, id long, linked boolean, delta long, excess long, grams array<long>")
+    right = classes.sets(leads, settings, sliced).select("pivot", F.col("size").alias("np"), F.col("grams").alias("gp"))
+    return left.join(right, "pivot")
+
+
+def likely_pairs(pairs: DataFrame, classes: Classes, settings: JaccardSettings) -> DataFrame:
+    """The pairs ``id, pivot`` that the bound by a slice leaves; no link is among the others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            stays = []
+            for x, nx, p, n in zip(batch.column(2), batch.column(3).to_pylist(), batch.column(4), batch.column(5).to_pylist(), strict=True):
+                stays.append(most_shared(x.values.to_numpy(), nx, p.values.to_numpy(), n) >= settings.overlap(nx, n))
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["id", "pivot"]).filter(pa.array(stays, pa.bool_()))
+
+    met = met_sets(pairs, classes, settings, sliced=True)
+    return met.select("id", "pivot", F.col("grams").alias("gx"), "size", "gp", "np").mapInArrow(run, "id long, pivot long")
 
 
 def open_lists(lists: DataFrame) -> DataFrame:
@@ -443,6 +493,13 @@ def open_pairs(lists: DataFrame) -> DataFrame:
     return pairs.select("id", "pivot").distinct()
 
 
+def short_and_long(lists: DataFrame, settings: JaccardSettings) -> tuple[DataFrame, DataFrame]:
+    """Open pairs of the short lists, and the long lists."""
+    sizes = lists.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > settings.short_list).select("key")
+    long = lists.join(sizes, "key", "left_semi")
+    return written(open_pairs(lists.join(sizes, "key", "left_anti")), "heavy-short-pairs"), written(long, "heavy-long-lists")
+
+
 def pairs_exceed(lists: DataFrame, settings: JaccardSettings) -> bool:
     """Whether the lists have more pairs than a round of pivots is there to avoid."""
     sizes = lists.groupBy("key").agg(F.count("*").cast("double").alias("n"))
@@ -454,6 +511,7 @@ def heavy_links(classes: Classes, bound: int, order: Rarity, settings: JaccardSe
     """``a, b``: links that make the components of pairs with a heavy set."""
     lists = first_lists(classes.docs, bound, order, settings, classes.clashing)
     links = classes.docs.sparkSession.createDataFrame([], "a long, b long")
+    short, lists = short_and_long(lists, settings)
     last = None
     for turn in range(settings.rounds):
         if turn and not pairs_exceed(lists, settings):
@@ -461,9 +519,7 @@ def heavy_links(classes: Classes, bound: int, order: Rarity, settings: JaccardSe
         led = lists.groupBy("key").agg(F.max_by("id", F.struct("weight", -F.col("id"))).alias("pivot"))
         pairs = written(lists.join(led, "key").where("id <> pivot").select("id", "pivot").distinct(), "heavy-pairs")
         met = pairs.count()
-        if not met:
-            return links
-        if last is not None and met > 0.75 * last:
+        if not met or last is not None and met > 0.75 * last:
             break
         last = met
         compared = written(compare(pairs, classes, order, settings), "heavy-compared")
@@ -471,13 +527,16 @@ def heavy_links(classes: Classes, bound: int, order: Rarity, settings: JaccardSe
         links = parts.select(F.col("id").alias("a"), F.col("component").alias("b"))
         more = F.lit(2 * (100 + settings.percent))
         named = compared.join(parts, "id", "left").select(F.col("pivot").alias("key"), "id", F.coalesce("component", "id").alias("component"), (F.col("delta") * more).alias("reach"), "excess", "grams")
-        # A pivot's members without a possible partner go before their differences are listed.
-        named = written(open_lists(open_lists(named)), "heavy-open").select("key", "id", "component", "reach", "excess", F.posexplode("grams").alias("place", "gram"))
+        # A pivot's members without a possible partner go before their differences are listed; few members are met at once.
+        few, named = short_and_long(open_lists(open_lists(named)), settings)
+        named = named.select("key", "id", "component", "reach", "excess", F.posexplode("grams").alias("place", "gram"))
         # The member nearest to the last pivot leads.
         named = named.select(F.xxhash64("key", "gram").alias("key"), "id", "component", (F.col("reach") - F.col("place") * more).alias("reach"), "excess", (-F.col("excess")).alias("weight"))
-        lists = written(open_lists(open_lists(named)), "heavy-lists")
-    pairs = written(open_pairs(lists), "heavy-pairs")
-    found = compare(pairs, classes, order, settings).where("linked").select(F.col("id").alias("a"), F.col("pivot").alias("b"))
+        more_short, lists = short_and_long(written(open_lists(open_lists(named)), "heavy-lists"), settings)
+        short = short.unionAll(few).unionAll(more_short)
+    pairs = written(short.unionAll(open_pairs(lists)).select(F.least("id", "pivot").alias("id"), F.greatest("id", "pivot").alias("pivot")).distinct(), "heavy-pairs")
+    likely = written(likely_pairs(pairs, classes, settings), "heavy-likely")
+    found = compare(likely, classes, order, settings).where("linked").select(F.col("id").alias("a"), F.col("pivot").alias("b"))
     return links.unionAll(written(found, "heavy-links"))
 
 

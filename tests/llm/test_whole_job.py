@@ -119,3 +119,15 @@ def test_join_of_one_large_group_of_near_copies(spark):
     for settings in (ngram_join.JaccardSettings(), ngram_join.JaccardSettings(rounds=3, pairs_per_entry=0)):
         got = {r.doc_id: r.component_id for r in ngram_join.join_documents(docs, settings).collect()}
         assert got == want
+
+
+def test_slices_never_hide_a_link():
+    """The bound of a pair's overlap by a slice is at least the overlap, also where the slice is empty."""
+    rng = np.random.default_rng(3)
+    settings = ngram_join.JaccardSettings()
+    for _ in range(300):
+        both, own, other = (rng.integers(0, 2**64, rng.integers(0, n), np.uint64) for n in (60, 12, 12))
+        x, y = (np.unique(np.concatenate([both, z])).view(np.int64) for z in (own, other))
+        shared = len(np.intersect1d(x, y))
+        bound = ngram_join.most_shared(ngram_join.slice_of(x, settings), len(x), ngram_join.slice_of(y, settings), len(y))
+        assert shared <= bound <= min(len(x), len(y))
