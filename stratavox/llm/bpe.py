@@ -217,7 +217,7 @@ def coded(docs: DataFrame, settings: BpeSettings, doc_id: str = "doc_id", text:
         encoder = ChunkEncoder(settings)
         for batch in batches:
             for at in range(0, batch.num_rows, 100):
-                part = batch.slice(at, 500)
+                part = batch.slice(at, 100)
                 ids = [encoder.packed(t.as_py() or "") for t in part.column(1)]
                 decoded = [encoder.decode(x) for x in ids] if full else map(encoder.decode, ids)
                 arrays = [
