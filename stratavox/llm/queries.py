@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, html_extract, line_dedup, ngram_join, pii, quality_rules, source_audit, substring_dedup, token_counts, toxicity
+from . import bpe, collocations, decontamination, html_extract, line_dedup, line_quality, ngram_join, pii, quality_rules, source_audit, substring_dedup, token_counts, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,7 +69,15 @@ def op11_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_audit.audit(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_html_extraction, op3_decontamination, op4_pii, op5_toxicity, op6_line_dedup, op7_substring_dedup, op8_token_counts, op9_bpe, op10_ngram_join, op11_source_audit)}
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_html_extraction, op3_decontamination, op4_pii, op5_toxicity, op6_line_dedup, op7_substring_dedup, op8_token_counts, op9_bpe, op10_ngram_join, op11_source_audit, op12_collocations, op13_line_quality)}
 
 ORACLES = {
     "op6_line_dedup": r"""
@@ -113,5 +121,32 @@ ranked AS (
   SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM (SELECT * FROM all_pairs UNION ALL SELECT * FROM above)
 )
 SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 200
+""",
+    "op12_collocations": r"""
+WITH texts AS (
+  SELECT row_number() OVER () AS i, coalesce(lang, 'und') AS lang,
+         string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS pieces FROM documents
+), pieces AS (SELECT i, lang, unnest(pieces) AS piece, generate_subscripts(pieces, 1) AS k FROM texts),
+lists AS (SELECT i, lang, k, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+words AS (SELECT i, lang, k, unnest(w) AS w, generate_subscripts(w, 1) AS pos FROM lists),
+runs AS (SELECT lang, w AS w1, lead(w) OVER o AS w2, lead(w, 2) OVER o AS w3 FROM words WINDOW o AS (PARTITION BY i, k ORDER BY pos)),
+totals AS (SELECT lang, count(*) AS n FROM words GROUP BY lang),
+one AS (SELECT lang, w1, count(*)::HUGEINT AS f FROM runs GROUP BY ALL),
+two AS (SELECT lang, w1, w2, count(*)::HUGEINT AS f FROM runs WHERE w2 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+three AS (SELECT lang, w1, w2, w3, count(*)::HUGEINT AS f FROM runs WHERE w3 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+longer AS (SELECT lang, w1, w2, max(f) AS f FROM (SELECT lang, w1, w2, f FROM three UNION ALL SELECT lang, w2, w3, f FROM three) GROUP BY ALL),
+found AS (
+  SELECT t.lang, t.w1 || ' ' || t.w2 AS phrase, t.f AS a, x.f AS l, y.f AS r, 1000000 * t.f * t.f // (x.f * y.f) AS score, 1 AS k
+  FROM two t JOIN one x ON x.lang = t.lang AND x.w1 = t.w1 JOIN one y ON y.lang = t.lang AND y.w1 = t.w2
+  LEFT JOIN longer g ON g.lang = t.lang AND g.w1 = t.w1 AND g.w2 = t.w2 WHERE g.f IS NULL OR 100 * g.f < 50 * t.f
+  UNION ALL
+  SELECT t.lang, t.w1 || ' ' || t.w2 || ' ' || t.w3, t.f, x.f, y.f, 1000000 * t.f * t.f // (x.f * y.f), 1
+  FROM three t JOIN one x ON x.lang = t.lang AND x.w1 = t.w1 JOIN two y ON y.lang = t.lang AND y.w1 = t.w2 AND y.w2 = t.w3
+  UNION ALL
+  SELECT t.lang, t.w1 || ' ' || t.w2 || ' ' || t.w3, t.f, x.f, y.f, 1000000 * t.f * t.f // (x.f * y.f), 2
+  FROM three t JOIN two x ON x.lang = t.lang AND x.w1 = t.w1 AND x.w2 = t.w2 JOIN one y ON y.lang = t.lang AND y.w1 = t.w3
+), cut AS (SELECT * FROM found QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM cut)
+SELECT r.lang, r.rank, r.phrase, r.a::BIGINT AS a, r.l::BIGINT AS l, r.r::BIGINT AS r, t.n, r.score::BIGINT AS score FROM ranked r JOIN totals t USING (lang) WHERE rank <= 2000
 """,
 }
