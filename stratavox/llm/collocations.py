@@ -216,7 +216,7 @@ class Tiles:
         order = np.argsort(tile, kind="stable")
         starts = np.flatnonzero(np.diff(tile[order], prepend=-1))
         rest = np.ones(len(i), bool)
-        for a, b in zip(starts, [*starts[1:], len(order)], strict=True):
+        for a, b in zip(starts, [*starts[1:], len(order)][: len(starts)], strict=True):
             own = ranked[order[a:b]]
             key = int(i[own[0]] // side), int(j[own[0]] // side)
             if key in self.dense or (b - a) * self.settings.cells >= side * side and len(self.dense) < self.settings.tiles:

@@ -295,8 +295,8 @@ def score(docs: DataFrame, labels: DataFrame, settings: LineSettings = LineSetti
     """``doc_id, held_out, score, predicted`` of every row of ``docs``.
 
     A null text is empty; an empty text is one empty line and gets that line's score.
-    Labels other than 0 and 1 and labels without document are left out; a document with
-    both labels counts as bad. Repeated rows are scored each. Only doc_id and text are read
+    Labels other than 0 and 1 are left out; labels without document only count towards the
+    share of their class; a document with both labels counts as bad. Repeated rows are scored each. Only doc_id and text are read
     of ``docs``. An empty table gives an empty table.
     """
     docs = columns(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))

@@ -216,7 +216,7 @@ def test_line_quality_of_held_out_documents(spark):
     assert len(found) == len(rows) and all(0 <= r.score <= 1 for r in found.values())
     held = [k for k in range(400) if found[k].held_out]
     assert 40 < len(held) < 130 and sum(found[k].predicted == quality[k] for k in held) >= 0.97 * len(held)
-    turned = spark.createDataFrame([(k, 1 - q if found[k].held_out else q) for k, q in enumerate(quality)], "doc_id long, quality int")
+    turned = spark.createDataFrame([*((k, 1 - q if found[k].held_out else q) for k, q in enumerate(quality)), (401, 2), (9999, 0)], "doc_id long, quality int")
     assert {r.doc_id: r.score for r in line_quality.score(docs, turned).collect()} == {k: r.score for k, r in found.items()}
     assert line_quality.score(docs.where("false"), labels).count() == 0
     assert {r.predicted for r in line_quality.score(docs, labels.where("quality = 1")).collect()} == {1}
