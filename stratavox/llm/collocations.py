@@ -158,10 +158,22 @@ def bit_field(frame: DataFrame, names: list[str], bits: int) -> np.ndarray:
 
 
 def top(frame: DataFrame, names: list[str], most: int) -> dict[str, list[np.ndarray]]:
-    """By language, the codes of its share of the ``most`` most frequent rows, most frequent first."""
+    """By language, the codes of the most frequent rows, most frequent first: in all at most ``most``.
+
+    Eighths of powers of two part the counts, so that the least count comes from a table of
+    fixed size and no task sends rows that others outdo.
+    """
+    step = F.floor(F.log2("n") * 8)
+    left, least = most, None
+    for row in sorted(frame.groupBy(step.alias("step")).count().collect(), reverse=True):
+        left -= row["count"]
+        if left < 0:
+            break
+        least = row.step
     held: dict[str, list[tuple]] = defaultdict(list)
-    for row in frame.orderBy(F.desc("n"), "lang", *names).limit(most).collect():
-        held[row.lang].append(tuple(row[c] for c in names))
+    if least is not None:
+        for row in sorted(frame.where(step >= least).select("n", "lang", *names).collect(), key=lambda r: (-r.n, *r[1:])):
+            held[row.lang].append(tuple(row[c] for c in names))
     return {lang: [np.array(x, np.int64) for x in zip(*rows, strict=True)] for lang, rows in held.items()}
 
 
