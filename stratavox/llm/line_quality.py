@@ -111,6 +111,19 @@ def measured(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return out, per_text, np.maximum(length, 1)
 
 
+def parts(texts: list[bytes]) -> Iterator[list[bytes]]:
+    """The texts in parts of about a megabyte, so that what is measured together has a bound beside the longest text."""
+    held, size = [], 0
+    for text in texts:
+        held.append(text)
+        size += len(text)
+        if size > 1_000_000:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 class LineField:
     """A fitted field of two states, 0 bad and 1 good, and the logistic function of a document."""
 
@@ -167,6 +180,9 @@ class LineField:
 
     def quality(self, texts: list[bytes]) -> np.ndarray:
         """Log odds of the length-weighted mean marginal of each text."""
+        return np.concatenate([self.quality_of_part(part) for part in parts(texts)]) if texts else np.zeros(0)
+
+    def quality_of_part(self, texts: list[bytes]) -> np.ndarray:
         measures, per_text, length = measured(texts)
         good, _, _ = self.marginals(self.potentials(self.places(measures, per_text)), per_text)
         at = np.cumsum(per_text) - per_text
@@ -174,8 +190,6 @@ class LineField:
         return np.log(mean / (1 - mean))
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
-        if not texts:
-            return np.zeros(0)
         return 1 / (1 + np.exp(-np.clip(self.document[0] + self.document[1] * self.quality(texts), -30, 30)))
 
     def fit(self, places: np.ndarray, per_text: np.ndarray, state: np.ndarray) -> None:
@@ -243,7 +257,7 @@ def fit(texts: list[bytes], good: list[int], shares: tuple[float, float] = (1.0,
     if len(set(label[for_field].tolist())) < 2 or len(set(label[~for_field].tolist())) < 2:
         for_field[:] = True
     own = [t for t, k in zip(texts, for_field, strict=True) if k]
-    measures, per_text, _ = measured(own)
+    measures, per_text = (np.concatenate(x) for x in list(zip(*map(measured, parts(own)), strict=True))[:2])
     steps = np.arange(1, settings.bins) / settings.bins
     for k in range(MEASURES):  # half of the bounds by rank, so that rare high values have bins of their own
         values = np.unique(measures[:, k])
@@ -304,14 +318,7 @@ def score(docs: DataFrame, labels: DataFrame, settings: LineSettings = LineSetti
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values, texts, size = [], [], 0
-            for x in batch.column(2):
-                texts.append(x.as_py() or b"")
-                size += len(texts[-1])
-                if size > 1_000_000:  # texts are measured together up to about a megabyte
-                    values.append(model.scores(texts))
-                    texts, size = [], 0
-            values = np.concatenate([*values, model.scores(texts)])
+            values = model.scores([x or b"" for x in batch.column(2).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(values, pa.float64())], names=["doc_id", "held_out", "score"])
 
     out = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("binary").alias("text"))
