@@ -43,7 +43,7 @@ def validate_graphs(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     contact = nodes.where("kind = 'contact'").select("graph_id", "node_id", F.explode("between").alias("unit"))
     found.append(violation(contact.join(units.distinct(), ["graph_id", "unit"], "left_anti").select("graph_id", "node_id").distinct(), "contact_unit_missing", "node_id"))
     fault = nodes.where("kind = 'fault'").select("graph_id", F.col("node_id").alias("fault"), F.explode("surface_points").alias("node_id"))
-    found.append(violation(fault.join(ids, key, "left_anti").select("graph_id", "fault").distinct(), "fault_point_missing", "fault"))
+    found.append(violation(fault.join(ids.where("node_kind = 'contact'"), key, "left_anti").select("graph_id", "fault").distinct(), "fault_point_missing", "fault"))
     typed = edges.join(ids.select("graph_id", F.col("node_id").alias("source"), F.col("node_kind").alias("source_kind")), ["graph_id", "source"]).join(ids.select("graph_id", F.col("node_id").alias("target"), F.col("node_kind").alias("target_kind")), ["graph_id", "target"])
     found.append(violation(typed.where("kind = 'within' and not (source_kind = 'sample' and target_kind = 'stratigraphic_unit')"), "within_types", "edge_id"))
     found.append(violation(typed.where("kind = 'at' and not (source_kind = 'sample' and target_kind = 'location')"), "at_types", "edge_id"))

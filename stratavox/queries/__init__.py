@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import assays, geology, logs, pieces, reports, rows
+from . import assays, geology, logs, pieces, realisations, reports, rows
 
-QUERIES = {**assays.QUERIES, **geology.QUERIES, **logs.QUERIES, **pieces.QUERIES, **reports.QUERIES, **rows.QUERIES}
-ORACLES = {**assays.ORACLES, **geology.ORACLES, **logs.ORACLES, **pieces.ORACLES, **reports.ORACLES, **rows.ORACLES}
+QUERIES = {**assays.QUERIES, **geology.QUERIES, **logs.QUERIES, **pieces.QUERIES, **realisations.QUERIES, **reports.QUERIES, **rows.QUERIES}
+ORACLES = {**assays.ORACLES, **geology.ORACLES, **logs.ORACLES, **pieces.ORACLES, **realisations.ORACLES, **reports.ORACLES, **rows.ORACLES}

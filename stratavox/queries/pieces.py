@@ -113,12 +113,12 @@ def gr3_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.overlies_cycles(n.where(target.isNotNull()).select("graph_id", "kind", name(F.col("k")).alias("source"), name(target).alias("target")))
 
 
-@query("SELECT p_partkey, 'triangular' AS name, p_size::DOUBLE AS lo, p_size * 2.0 AS hi, p_size * 1.5 AS mode FROM part")
+@query("""SELECT p_partkey, 'triangular' AS name, p_size::DOUBLE AS "left", p_size * 2.0 AS "right", p_size * 1.5 AS mode FROM part""")
 def un5_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.col("p_size").cast("double")
     u = uncertainty.interval_as_distribution(size, 2 * size, "triangular")
     part = table(spark, sf_dir, "part").select("p_partkey", u.alias("u"))
-    return part.select("p_partkey", "u.name", *[F.element_at("u.params", F.lit(k)).alias(k) for k in ("lo", "hi", "mode")])
+    return part.select("p_partkey", "u.name", *[F.element_at("u.params", F.lit(k)).alias(k) for k in ("left", "right", "mode")])
 
 
 @query("SELECT p_partkey, round(p_retailprice, 4) AS x, p_size::DOUBLE AS std_x, round((p_size + 2 * p_size) / 2.0, 4) AS y, 0.0::DOUBLE AS std_y FROM part")

@@ -177,9 +177,3 @@ def un1_uncertain_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(parsed.select("p_partkey", "u.kind", "u.valid", uncertainty.nominal(F.col("u")).alias("nominal"), uncertainty.variance(F.col("u")).alias("variance")))
 
 
-@query()
-def un4_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    size = F.col("p_size").cast("double")
-    params = F.create_map(F.lit("lo"), size, F.lit("hi"), 2 * size, F.lit("mean"), F.col("p_retailprice"), F.lit("std"), size, F.lit("mu"), F.lit(0.1), F.lit("sigma"), F.lit(0.2), F.lit("a"), F.lit(2.0), F.lit("b"), F.lit(3.0))
-    kind = F.element_at(F.array(*map(F.lit, ("normal", "uniform", "triangular", "lognormal", "beta"))), (F.col("p_partkey") % 5 + 1).cast("int"))
-    return rounded(table(spark, sf_dir, "part").select("p_partkey", kind.alias("kind"), uncertainty.sample(kind, params, F.col("p_partkey"), 7).alias("draw")))
