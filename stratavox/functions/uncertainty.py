@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from . import draws
 
@@ -168,7 +168,7 @@ def sample_category(u: Column, seed: int, *key: Column | str) -> Column:
     return F.when(u["kind"] == "categorical", F.coalesce(found["found"], F.try_element_at(F.map_keys(u["probs"]), F.lit(-1))))
 
 
-@F.pandas_udf("number double, dip double, azimuth double")
+@F.pandas_udf(StructType([StructField(name, DoubleType()) for name in ("number", "dip", "azimuth")]))
 def _rare(name: pd.Series, p: pd.Series, q: pd.Series, r: pd.Series, s: pd.Series, first: pd.Series) -> pd.DataFrame:
     """Draws whose inverse has no closed form, in arrays over all rows of a batch."""
     out = np.full((len(name), 3), np.nan)

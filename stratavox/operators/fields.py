@@ -89,17 +89,6 @@ def integrate_subcells(samples: DataFrame) -> DataFrame:
     return samples.groupBy("voxel_id", "unit").agg(F.sum(F.col("membership") * F.col("weight")).alias("membership"), F.bool_and("weak").alias("weak"))
 
 
-def bandwidth_check(contacts: DataFrame, bandwidth: float, most_ratio: float = 4.0) -> DataFrame:
-    """Units whose half median nearest-neighbour distance differs from the bandwidth by over the ratio; units of at least four contacts."""
-    a = contacts.select("unit", F.col("contact_id").alias("i"), "x", "y", "z")
-    b = contacts.select("unit", F.col("contact_id").alias("j"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("z").alias("z2"))
-    d = F.sqrt((F.col("x") - F.col("x2")) ** 2 + (F.col("y") - F.col("y2")) ** 2 + (F.col("z") - F.col("z2")) ** 2)
-    nearest = a.join(b, "unit").where("i <> j").groupBy("unit", "i").agg(F.min(d).alias("d"))
-    half = nearest.groupBy("unit").agg((F.median("d") / 2).alias("suggested"), F.count("*").alias("n")).where("n >= 4")
-    ratio = F.greatest(F.col("suggested") / bandwidth, F.lit(bandwidth) / F.nullif(F.col("suggested"), F.lit(0.0)))
-    return half.withColumn("ratio", ratio).where(F.col("ratio") > most_ratio)
-
-
 def voxel_count_drop(field: DataFrame, prior: DataFrame, threshold: float) -> DataFrame:
     """Units of both fields that lost more than a share of their voxels."""
     count = lambda df, name: df.where("most_likely >= 0").groupBy("most_likely").agg(F.count("*").alias(name))

@@ -174,25 +174,6 @@ def provenance_of(nodes: DataFrame) -> DataFrame:
     return nodes.select("graph_id", "node_id", "provenance", "metadata")
 
 
-def apply_patches(nodes: DataFrame, ops: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes after ``ops (graph_id, op_seq, op, node_id, kind, p_exists)``, and the ops in conflict.
-
-    Per node the last operation decides; ``update`` keeps what it leaves null. An add of an
-    id that exists at that time and a change of one that doesn't are conflicts.
-    """
-    key = ["graph_id", "node_id"]
-    base = nodes.select(*key, F.lit(True).alias("existed"))
-    w = Window.partitionBy(*key).orderBy("op_seq")
-    alive = F.lag(F.col("op") != "remove").over(w)
-    checked = ops.join(base, key, "left").withColumn("there", F.coalesce(alive, F.col("existed"), F.lit(False)))
-    bad = ((F.col("op") == "add") & F.col("there")) | (F.col("op").isin("update", "replace", "remove") & ~F.col("there"))
-    conflicts = checked.where(bad).select(*key, "op_seq", "op")
-    last = ops.groupBy(*key).agg(F.max_by(F.struct("op", "kind", "p_exists"), "op_seq").alias("o"))
-    joined = nodes.select(*key, "kind", "p_exists").join(last, key, "full_outer").where("o is null or o.op <> 'remove'")
-    new = lambda c: F.when(F.col("o.op").isin("add", "replace"), F.col(f"o.{c}")).otherwise(F.coalesce(f"o.{c}", c)).alias(c)
-    return joined.select(*key, new("kind"), new("p_exists")), conflicts
-
-
 def graph_digest(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``graph_id, digest`` of content, whatever the order of the rows."""
     part = lambda df, tag: df.select("graph_id", F.sha2(F.concat(F.lit(tag), F.to_json(F.struct(*sorted(c for c in df.columns if c != "graph_id")))), 256).alias("h"))
