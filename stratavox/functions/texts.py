@@ -93,8 +93,8 @@ def exact_repetition(text: Column, run: int = 3, least: int = 100) -> Column:
     return F.get(starts, F.lit(0))
 
 
-def detect_repetition(text: Column, run: int = 3, window: int = 8, ratio: float = 0.95, least: int = 100) -> Column:
-    """``start, kind, preview`` of the first repetition: a run of near-equal neighbours, else as many within a window."""
+def detect_repetition(text: Column, run: int = 3, window: int = 5, ratio: float = 0.95, least: int = 100) -> Column:
+    """``start, kind, preview`` of the first repetition: a run of near-equal neighbours, else a paragraph that ``run - 1`` of the ``window`` before it (at least ``run``) are near to; ``start`` is the first of them."""
 
     @F.pandas_udf("start int, kind string, preview string")
     def scan(lists: pd.Series) -> pd.DataFrame:
@@ -110,7 +110,9 @@ def detect_repetition(text: Column, run: int = 3, window: int = 8, ratio: float
         for parts in lists:
             parts = [] if parts is None else list(parts)
             found = next(((k, "adjacent") for k in range(len(parts) - run + 1) if all(near(parts[j], parts[j + 1]) for j in range(k, k + run - 1))), None)
-            found = found or next(((k, "window") for k in range(len(parts)) if sum(near(parts[k], x) for x in parts[k + 1 : k + window]) >= run - 1), None)
+            back = max(window, run)
+            alike = (([j for j in range(max(0, k - back), k) if near(parts[j], parts[k])][: run - 1], k) for k in range(len(parts)))
+            found = found or next(((min([*near_ones, k]), "window") for near_ones, k in alike if len(near_ones) >= run - 1), None)
             rows.append((found[0], found[1], parts[found[0]][:80]) if found else (None, None, None))
         return pd.DataFrame(rows, columns=["start", "kind", "preview"]).astype({"start": "Int32"})
 

@@ -42,7 +42,7 @@ def _tried(experiments: DataFrame) -> DataFrame:
 
 
 def crossbreed_pairs(experiments: DataFrame, most: int = 5, prefer_orthogonal: bool = True) -> DataFrame:
-    """``a, b, mutual_info, score`` of the best pairs of admitted experiments that no record has combined.
+    """``a, b, mutual_info, score`` of the best pairs of admitted experiments that no record has combined, ``a`` the one of higher value (of lower id on ties).
 
     The score is the values' sum less the mean of the two look-ups of their mutual
     information. Every two admitted rows are paired, so the table should be a bounded one.
@@ -55,7 +55,9 @@ def crossbreed_pairs(experiments: DataFrame, most: int = 5, prefer_orthogonal: b
     shared = (look("info_a", F.col("layer_b")) + look("info_b", F.col("layer_a"))) / 2 if prefer_orthogonal else F.lit(0.0)
     scored = pairs.select("a", "b", "value_a", "value_b", shared.alias("mutual_info"), (F.col("value_a") + F.col("value_b") - shared).alias("score"))
     best = F.greatest("value_a", "value_b")
-    return scored.orderBy(F.desc("score"), best.desc(), "a", "b").limit(most).select("a", "b", "mutual_info", "score")
+    first = scored.orderBy(F.desc("score"), best.desc(), "a", "b").limit(most)
+    later = F.col("value_b") > F.col("value_a")
+    return first.select(F.when(later, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(later, F.col("a")).otherwise(F.col("b")).alias("b"), "mutual_info", "score")
 
 
 def crossbreed_best(experiments: DataFrame, mi_index: DataFrame) -> DataFrame:

@@ -110,10 +110,10 @@ def reduce_ensemble(fields: DataFrame, n: int, units: int, least: float) -> Data
 
 
 def check_column_order(field: DataFrame, ranks: DataFrame) -> DataFrame:
-    """Cells whose unit ranks above the unit on top of it (``ranks (unit, rank)``, 0 on top); unknown units are skipped."""
-    ranked = field.where("most_likely >= 0").join(F.broadcast(ranks.select(F.col("unit").alias("most_likely"), "rank")), "most_likely")
+    """``ix, iy, breaks``: columns with a unit that ranks above the unit on top of it (``ranks (unit, rank)``, 0 on top), and how many; unknown units are skipped."""
+    ranked = field.where("most_likely >= 0").join(ranks.select(F.col("unit").alias("most_likely"), "rank"), "most_likely")
     above = F.lag("rank").over(Window.partitionBy("ix", "iy").orderBy(F.desc("iz")))
-    return ranked.withColumn("above", above).where("rank < above").select("ix", "iy", "iz", "most_likely", "rank", "above")
+    return ranked.withColumn("above", above).where("rank < above").groupBy("ix", "iy").agg(F.count("*").alias("breaks"))
 
 
 def check_bulk_volume(field: DataFrame, bounds: DataFrame, cell_volume: float) -> DataFrame:
@@ -203,8 +203,8 @@ def align_fields(reference: DataFrame, candidate: DataFrame, units_a: list[str],
     return joined.select("voxel_id", "in_a", (F.col("in_a") & F.col("in_b") & (total(F.col("p")) > 0) & (total(F.col("q")) > 0)).alias("shared"), scaled("p").alias("p"), scaled("q").alias("q"))
 
 
-def divergence(aligned: DataFrame, epsilon: float = 0.01, sample_size: float = 1.0, weighted: bool = True) -> DataFrame:
-    """One row: mean smoothed divergence in bits of q from p over the shared cells, times the sample size.
+def divergence(aligned: DataFrame, epsilon: float = 0.01, sample_size: float = 1.0, weighted: bool = True, by: list[str] | None = None) -> DataFrame:
+    """One row (with ``by``, one for each key): mean smoothed divergence in bits of q from p over the shared cells, times the sample size.
 
     Weighted (the forward form): each cell counts by what its smoothed reference leaves certain, and
     is capped at log2(1 / epsilon). Without shared cells infinite if the reference has any, else 0.
@@ -214,8 +214,8 @@ def divergence(aligned: DataFrame, epsilon: float = 0.01, sample_size: float = 1
     bits = F.aggregate(F.zip_with(smooth("p"), smooth("q"), lambda a, b: a * F.log2(a / b)), F.lit(0.0), lambda s, x: s + x)
     if weighted:
         bits = F.least(bits * (1 - normalised_entropy(smooth("p"), F.lit(True))), F.log2(F.lit(1 / epsilon)))
-    sums = aligned.agg(F.avg(F.when(F.col("shared"), bits)).alias("m"), F.coalesce(F.bool_or("in_a"), F.lit(False)).alias("some"))
-    return sums.select(F.when(F.col("m").isNotNull(), F.col("m") * sample_size).when(F.col("some"), F.lit(float("inf"))).otherwise(0.0).alias("loss"))
+    sums = aligned.groupBy(*(by or [])).agg(F.avg(F.when(F.col("shared"), bits)).alias("m"), F.coalesce(F.bool_or("in_a"), F.lit(False)).alias("some"))
+    return sums.select(*(by or []), F.when(F.col("m").isNotNull(), F.col("m") * sample_size).when(F.col("some"), F.lit(float("inf"))).otherwise(0.0).alias("loss"))
 
 
 def annealed_thresholds(candidates: DataFrame, initial: float, steady: float, window: int, least_pool: int, warm_up: int) -> DataFrame:

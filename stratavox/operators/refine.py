@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import fields
+
 EDIT_BITS = 4.321928094887363  # log2(20): a fixed value, bits of one edit
 
 
@@ -72,31 +74,134 @@ def near_duplicates(candidates: DataFrame, pool: DataFrame, scale: float, thresh
     return structural_distance(a, b, scale, threshold).where(F.col("distance") < epsilon).join(pairs, "pair_id").select("candidate", "member", "distance")
 
 
-def structural_edit_cost(candidate: DataFrame, reference: DataFrame, scale: float, threshold: float) -> DataFrame:
-    """``pair_id, added, modified, deleted, cost``: bits for elements without a match on either side and for moved ones."""
-    matched = greedy_match(candidate, reference, scale, threshold).groupBy("pair_id").agg(F.sum(F.least(F.lit(1.0), "distance")).alias("modified"), F.count("*").alias("m"))
-    sizes = candidate.groupBy("pair_id").agg(F.count("*").alias("na")).join(reference.groupBy("pair_id").agg(F.count("*").alias("nb")), "pair_id", "full_outer")
-    out = sizes.join(matched, "pair_id", "left").fillna(0, ["na", "nb", "m", "modified"])
-    out = out.select("pair_id", (F.col("na") - F.col("m")).alias("added"), "modified", (F.col("nb") - F.col("m")).alias("deleted"))
-    return out.withColumn("cost", EDIT_BITS * (F.col("added") + F.col("modified") + F.col("deleted")))
+def rescaled(name: str) -> Column:
+    """Probabilities over their sum; null where that is 0."""
+    whole = F.nullif(fields.total(F.col(name)), F.lit(0.0))
+    return F.transform(name, lambda x: x / whole)
 
 
-def score_candidates(candidates: DataFrame) -> DataFrame:
-    """Adds ``score``: infinite with any failed gate, else edit cost and the mean of both forward losses.
+def best_distance(left: DataFrame, right: DataFrame, scale: float, threshold: float, name: str) -> DataFrame:
+    """``left`` with ``name``: distance to the nearest element of ``right`` of its pair, kind and role, many to one; null if none is within the threshold.
 
-    Columns: ``gates`` (array of failed gates), ``edit_cost, loss_a, loss_b``.
+    A distance is at least the places' distance over the scale, so elements meet only in cubes of
+    the side ``scale * threshold`` and their neighbours.
+    """
+    key = ["pair_id", "kind", "role"]
+    side = scale * threshold
+    cell = lambda c: F.floor(F.col(c) / side) if side > 0 else F.col(c)
+    near = right.select(*key, *[cell(c).alias(f"b{c}") for c in "xyz"], *[F.col(c).alias(f"{c}2") for c in "xyz"], F.col("attrs").alias("attrs2"))
+    spread = left
+    for c in "xyz":
+        around = F.explode(F.sequence(cell(c) - 1, cell(c) + 1)) if side > 0 else F.col(c)
+        spread = spread.withColumn(f"b{c}", around)
+    met = spread.join(near, [*key, "bx", "by", "bz"]).withColumn("d", element_distance(scale)).where(F.col("d") <= threshold)
+    return left.join(met.groupBy(*key, "element").agg(F.min("d").alias(name)), [*key, "element"], "left")
+
+
+def structural_edit_cost(candidate: DataFrame, reference_a: DataFrame, reference_b: DataFrame, scale: float = 1.0, threshold: float = 10.0, bits: float = EDIT_BITS, distance_bits: float = 1.0, residual: float = 0.1) -> DataFrame:
+    """Edit cost in bits of each ``pair_id``'s candidate elements against two references.
+
+    Columns: ``elements, added, modified, distance, deleted, split_merge`` and the bits of each term, with their sum in
+    ``loss_bits``. An element whose nearest one in either reference is within the threshold is modified by
+    that distance, whether or not others have the same nearest; else it is added. Elements that the references share (one to one, by
+    greedy matches) and that the candidate has neither of are deleted. By kind and role, one element for several of a
+    reference is a merge, several for one are splits. Every element also costs a residual share.
     """
-    score = F.when(F.size("gates") > 0, F.lit(float("inf"))).otherwise(F.col("edit_cost") + (F.col("loss_a") + F.col("loss_b")) / 2)
-    return candidates.withColumns({"score": score, "feasible": F.size("gates") <= 0})
+    key = ["pair_id", "kind", "role"]
+    either = reference_a.unionByName(reference_b)
+    matched = best_distance(candidate, either, scale, threshold, "d").groupBy("pair_id").agg(F.count("*").alias("elements"), F.count_if(F.col("d").isNull()).alias("added"), F.count("d").alias("modified"), F.sum("d").alias("distance"))
+    shared = greedy_match(reference_a, reference_b, scale, threshold)
+    lost = lambda reference, name: best_distance(reference, candidate, scale, threshold, "d").where("d is null").select("pair_id", F.col("element").alias(name))
+    deleted = shared.join(lost(reference_a, "element"), ["pair_id", "element"]).join(lost(reference_b, "element2"), ["pair_id", "element2"]).groupBy("pair_id").agg(F.count("*").alias("deleted"))
+    count = lambda df, name: df.groupBy(key).agg(F.count("*").alias(name))
+    counts = count(candidate, "n").join(count(reference_a, "na"), key, "full_outer").join(count(reference_b, "nb"), key, "full_outer").fillna(0, ["n", "na", "nb"])
+    source = F.greatest("na", "nb")
+    turned = counts.groupBy("pair_id").agg(F.sum(F.when((source > 1) & (F.col("n") == 1), 1).when((source == 1) & (F.col("n") > 1), F.col("n") - 1).otherwise(0)).alias("split_merge"))
+    out = turned.join(matched, "pair_id", "left").join(deleted, "pair_id", "left").fillna(0, ["elements", "added", "modified", "distance", "deleted"])
+    terms = {"residual_absolute_bits": residual * bits * F.col("elements"), "added_bits": bits * F.col("added"), "modification_bits": distance_bits * F.col("distance"), "consensus_deleted_bits": bits * F.col("deleted"), "split_merge_bits": bits * F.col("split_merge")}
+    return out.withColumns(terms).withColumn("loss_bits", sum((F.col(t) for t in terms), F.lit(0.0)))
+
+
+#: Names of the gates, in their order.
+GATES = ("coverage_a", "coverage_b", "dedup", "schema_validity", "stratigraphic_consistency", "domain_closure", "voxel_stratigraphic_order")
 
 
 def gate_failures(checks: DataFrame, least_coverage: float, dedup_epsilon: float) -> DataFrame:
-    """Adds ``gates``: names of the checks that a candidate fails."""
-    tests = {
-        "coverage_a": F.col("coverage_a") < least_coverage, "coverage_b": F.col("coverage_b") < least_coverage, "duplicate": F.col("nearest") < dedup_epsilon, "schema": F.col("violations") > 0,
-        "stratigraphy": ~F.col("feasible_order"), "closure": F.col("open_cells") > 0, "column_order": F.col("order_breaks") > 0,
-    }
-    return checks.withColumn("gates", F.array_compact(F.array(*[F.when(F.coalesce(t, F.lit(False)), F.lit(n)) for n, t in tests.items()])))
+    """Adds ``gates``: names of the checks that a candidate fails; a check that is null does not fail."""
+    tests = (
+        F.col("coverage_a") < least_coverage, F.col("coverage_b") < least_coverage, F.col("nearest") < dedup_epsilon, F.col("violations") > 0, ~F.col("feasible_order"), F.col("open_cells") > 0, F.col("order_breaks") > 0,
+    )
+    return checks.withColumn("gates", F.array_compact(F.array(*[F.when(F.coalesce(t, F.lit(False)), F.lit(n)) for n, t in zip(GATES, tests, strict=True)])))
+
+
+def score_candidates(candidate: DataFrame, reference_a: DataFrame, reference_b: DataFrame, fields_: DataFrame, checks: DataFrame, least_coverage: float = 0.75, dedup_epsilon: float = 0.1, scale: float = 1.0, threshold: float = 10.0) -> DataFrame:
+    """``pair_id, gates, score_bits, structural_bits, fit_bits, coverage_a, coverage_b, reverse_kl_a_bits, reverse_kl_b_bits, added_bits, residual_absolute_bits, flags``.
+
+    Candidates and both references as elements of a ``pair_id``, and as fields in one table ``(pair_id, voxel_id, role, probs,
+    in_domain)`` with the roles ``candidate, a, b`` over one catalogue of units. ``checks`` has the other gates' inputs (those of
+    ``gate_failures`` but the coverages) by ``pair_id``. A failed gate makes all bits infinite; else the score is the edit cost and the mean
+    of both forward losses. All candidates are scored at once.
+    """
+    role = lambda name, p, inside: fields_.where(F.col("role") == name).select("pair_id", "voxel_id", F.col("probs").alias(p), F.col("in_domain").alias(inside))
+    losses = checks.select("pair_id")
+    for name in ("a", "b"):
+        both = role(name, "p", "in_a").join(role("candidate", "q", "in_b"), ["pair_id", "voxel_id"], "left")
+        some = lambda c: F.coalesce(fields.total(F.col(c)), F.lit(0.0)) > 0
+        shared = F.coalesce(F.col("in_a") & F.col("in_b"), F.lit(False)) & some("p") & some("q")
+        rows = both.select("pair_id", "voxel_id", "in_a", "in_b", shared.alias("shared"), rescaled("p").alias("p"), rescaled("q").alias("q"))
+        cover = rows.groupBy("pair_id").agg(F.coalesce(F.try_divide(F.count_if(F.col("in_a") & F.col("in_b")).cast("double"), F.count_if("in_a")), F.lit(1.0)).alias(f"coverage_{name}"))
+        forward = fields.divergence(rows, by=["pair_id"]).withColumnRenamed("loss", f"fit_{name}_bits")
+        turned = rows.select("pair_id", F.coalesce("in_b", F.lit(False)).alias("in_a"), "shared", F.col("q").alias("p"), F.col("p").alias("q"))
+        back = fields.divergence(turned, weighted=False, by=["pair_id"]).withColumnRenamed("loss", f"reverse_kl_{name}_bits")
+        losses = losses.join(cover, "pair_id", "left").join(forward, "pair_id", "left").join(back, "pair_id", "left")
+    cost = structural_edit_cost(candidate, reference_a, reference_b, scale, threshold).select("pair_id", "added", "loss_bits", "added_bits", "residual_absolute_bits")
+    known = gate_failures(checks.join(losses, "pair_id").fillna(1.0, ["coverage_a", "coverage_b"]), least_coverage, dedup_epsilon).join(cost, "pair_id", "left")
+    failed, infinite = F.size("gates") > 0, F.lit(float("inf"))
+    fit = (F.col("fit_a_bits") + F.col("fit_b_bits")) / 2
+    open_ = lambda c, name: F.when(~failed, c).alias(name)
+    return known.select(
+        "pair_id", "gates", F.when(failed, infinite).otherwise(F.col("loss_bits") + fit).alias("score_bits"), F.when(failed, infinite).otherwise(F.col("loss_bits")).alias("structural_bits"), F.when(failed, infinite).otherwise(fit).alias("fit_bits"),
+        "coverage_a", "coverage_b", *[open_(F.col(c), c) for c in ("reverse_kl_a_bits", "reverse_kl_b_bits", "added_bits", "residual_absolute_bits")], F.when(~failed & (F.col("added") > 0), F.array(F.lit("added_structural_elements"))).otherwise(F.array().cast("array<string>")).alias("flags"),
+    )
+
+
+def graph_reward(episodes: DataFrame) -> DataFrame:
+    """Adds ``value, success, admitted, gate_failures`` (with what is missing), ``bootstrap_active, warmup_active, calibration_error_bits``.
+
+    Columns: ``workflow_kind`` (``regular`` or ``bootstrap``), ``passed_gates, score_bits, t_steady, admission_threshold, execute_status, budget_exhausted_step,
+    reported`` (a metric was reported), ``candidate_submitted, seed_submitted, predicted_passed_gates, predicted_score_bits, cheating_detected, gate_failures,
+    episode_count, x_warmup_episodes``. A bootstrap episode that passes is worth a half. A regular one is worth 1 up to the steady threshold,
+    then falls in proportion to 0 at twice that; a failed execution leaves it at least a tenth. Then any of these make it 0 and no
+    success: a spent budget, anything missing, a tampered dataset, a crashed worker.
+    """
+    bootstrap, passed = F.col("workflow_kind") == "bootstrap", F.coalesce("passed_gates", F.lit(False))
+    regular = F.col("workflow_kind") == "regular"
+    score, steady = F.col("score_bits"), F.col("t_steady")
+    success = F.when(bootstrap, passed).otherwise(passed & F.coalesce(score <= F.col("admission_threshold"), F.lit(False)))
+    line = F.greatest(F.lit(0.0), 1 - F.try_divide(score - steady, steady))
+    value = F.when(bootstrap, F.when(passed, 0.5).otherwise(0.0)).when(~passed, 0.0).when(score <= steady, 1.0).otherwise(F.coalesce(line, F.lit(0.0)))
+    value = F.when(regular & F.coalesce(F.col("execute_status").isin("unparameterisable", "engine_failed"), F.lit(False)) & ~success, F.greatest(value, F.lit(0.1))).otherwise(value)
+    absent = [
+        ("missing_report_metric", ~F.coalesce("reported", F.lit(False))), ("missing_candidate_submit", regular & ~F.coalesce("candidate_submitted", F.lit(False))), ("missing_seed_submit", bootstrap & ~F.coalesce("seed_submitted", F.lit(False))),
+        ("missing_predicted_passed_gates", bootstrap & F.col("predicted_passed_gates").isNull()), ("missing_predicted_score_bits", regular & F.col("predicted_score_bits").isNull()),
+    ]
+    missing = F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in absent]))
+    crashed = F.exists(F.coalesce("gate_failures", F.array().cast("array<string>")), lambda g: g.endswith("worker_crash"))
+    void = F.col("budget_exhausted_step").isNotNull() | (F.size(missing) > 0) | F.coalesce(F.col("cheating_detected") == "dataset_tampered", F.lit(False)) | crashed
+    finite = F.coalesce("reported", F.lit(False)) & (F.abs("score_bits") < float("inf"))
+    return episodes.withColumns(
+        {
+            "value": F.when(void, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), value))), "success": ~void & success, "admitted": ~void & success, "gate_failures": F.concat(F.coalesce("gate_failures", F.array().cast("array<string>")), missing),
+            "bootstrap_active": bootstrap, "warmup_active": regular & (F.col("episode_count") < F.col("x_warmup_episodes")), "calibration_error_bits": F.when(finite, F.abs(F.col("predicted_score_bits") - score)),
+        }
+    )
+
+
+def feature_reward(episodes: DataFrame, full: float = 1000.0) -> DataFrame:
+    """Adds ``value, success, no_feature`` from ``bic_delta, admitted``: no layer is worth 0, a rejected one a tenth, an admitted one its fall in BIC over ``full``, at most 1."""
+    none, good = F.col("bic_delta").isNull(), F.coalesce("admitted", F.lit(False))
+    gain = F.least(F.lit(1.0), F.greatest(F.lit(0.0), -F.col("bic_delta") / full))
+    return episodes.withColumns({"value": F.when(none, 0.0).when(good, gain).otherwise(0.1), "success": ~none & good, "no_feature": none})
 
 
 def reference_pair(pool: DataFrame, name: str) -> DataFrame:

@@ -63,15 +63,21 @@ def generation_rates(metrics: DataFrame) -> DataFrame:
 def most_frequent(rows: DataFrame, key: str, value: str, position: str, name: str) -> DataFrame:
     """``key, name``: each key's most frequent non-empty value, the first seen on ties, else ``unknown``."""
     counted = rows.where(F.col(value).isNotNull() & (F.col(value) != "")).groupBy(key, F.col(value).alias("v")).agg(F.count("*").alias("n"), F.min(position).alias("first"))
-    best = counted.groupBy(key).agg(F.max_by("v", F.struct("n", -F.col("first"))).alias(name))
+    best = counted.groupBy(key).agg(F.min_by("v", F.struct(-F.col("n"), "first")).alias(name))
     return rows.select(key).distinct().join(best, key, "left").withColumn(name, F.coalesce(name, F.lit("unknown")))
 
 
-def run_summary(metrics: DataFrame, runs: DataFrame) -> DataFrame:
-    """A row for each run, runs without metrics included: calls, success, phases, retries, tokens, latency, rates and memory.
+#: Fields of a run document that a summary keeps.
+RUN_FIELDS = ("status", "started_at", "ended_at", "harness_type", "harness_profile", "harness_class", "task_class", "task_name", "config_path", "model_name", "commit_id", "git_dirty", "total_wall_clock_seconds")
+
+
+def run_summary(metrics: DataFrame, runs: DataFrame, position: str = "inference_id") -> DataFrame:
+    """A row for each run, runs without metrics included: what its document says (null where it lacks a field), calls, success, phases, retries, tokens, latency, rates and memory.
 
     Throughput is the ratio of totals; mean and median rates are of single calls, and a mean
-    rate without samples is 0. ``generation_count`` is the number of calls with a total rate.
+    rate or a throughput without samples is 0. A call's total tokens are those logged, else prompt and completion tokens.
+    ``generation_count`` is the number of calls with a total rate. The model is the calls' most frequent one (their own,
+    else that of their usage), else the document's; of equally frequent ones the first by ``position``.
     """
     rated = generation_rates(metrics)
     call = F.col("metric_type") == "inference"
@@ -85,7 +91,7 @@ def run_summary(metrics: DataFrame, runs: DataFrame) -> DataFrame:
         F.count_if(phase).alias("phases"),
         F.coalesce(F.sum(F.when(phase, F.col("duration_ms"))), F.lit(0.0)).alias("phase_duration_ms"),
         F.coalesce(F.sum(F.when(phase, F.col("retry_count"))), F.lit(0)).alias("retries"),
-        F.coalesce(F.sum(of(usage["total_tokens"])), F.lit(0)).alias("total_tokens"),
+        F.coalesce(F.sum(of(F.coalesce(usage["total_tokens"], F.coalesce(usage["prompt_tokens"], F.lit(0)) + F.coalesce(usage["completion_tokens"], F.lit(0))))), F.lit(0)).alias("total_tokens"),
         F.count(of(F.col("total_rate"))).alias("generation_count"),
         F.max(of(F.col("total_rate"))).alias("peak_total_rate"),
         F.coalesce(F.sum(of(usage["prompt_tokens"])), F.lit(0)).alias("prompt_tokens"),
@@ -96,10 +102,14 @@ def run_summary(metrics: DataFrame, runs: DataFrame) -> DataFrame:
     ]
     by_run = rated.groupBy("run_id").agg(*aggregates)
     tags = [normalise_tags(F.col(c)).alias(c) for c in ("hardware_tags", "load_tags") if c in runs.columns]
-    out = runs.select("run_id", "task_name", "model_name", "status", "total_wall_clock_seconds", *tags).join(by_run, "run_id", "left")
-    seen = rated.where(call & F.col("model").isNotNull())
+    out = runs.select("run_id", *[F.col(c) if c in runs.columns else F.lit(None).alias(c) for c in RUN_FIELDS], *tags).join(by_run, "run_id", "left")
+    seen = rated.where(call)
+    if "model" in dict(seen.select("usage.*").dtypes):
+        seen = seen.withColumn("model", F.coalesce(F.nullif("model", F.lit("")), "usage.model"))
     for name in [c for c in ("model", "backend") if c in rated.columns]:
-        out = out.join(most_frequent(seen, "run_id", name, "event_id", name), "run_id", "left").withColumn(name, F.coalesce(name, F.lit("unknown")))
+        out = out.join(most_frequent(seen, "run_id", name, position, name), "run_id", "left").withColumn(name, F.coalesce(name, F.lit("unknown")))
+    if "model" in rated.columns:
+        out = out.withColumn("model", F.when((F.col("model") == "unknown") & (F.col("model_name") != ""), F.col("model_name")).otherwise(F.col("model")))
     counts = ["calls", "successful_calls", "failed_calls", "phases", "phase_duration_ms", "retries", "total_tokens", "generation_count", "prompt_tokens", "completion_tokens", "latency_ms", *[f"mean_{r}" for r in RATES]]
     out = out.withColumns({c: F.coalesce(c, F.lit(0)) for c in counts})
     seconds = F.nullif(F.col("latency_ms") / 1000, F.lit(0.0))
@@ -107,8 +117,8 @@ def run_summary(metrics: DataFrame, runs: DataFrame) -> DataFrame:
         {
             "success_rate": F.coalesce(F.try_divide("successful_calls", "calls"), F.lit(0.0)),
             "mean_latency_ms": F.coalesce(F.try_divide("latency_ms", "calls"), F.lit(0.0)),
-            "output_throughput": F.col("completion_tokens") / seconds,
-            "total_throughput": (F.col("prompt_tokens") + F.col("completion_tokens")) / seconds,
+            "output_throughput": F.coalesce(F.col("completion_tokens") / seconds, F.lit(0.0)),
+            "total_throughput": F.coalesce((F.col("prompt_tokens") + F.col("completion_tokens")) / seconds, F.lit(0.0)),
         }
     )
 
@@ -161,16 +171,17 @@ def queue_depth_by_model(calls: DataFrame) -> DataFrame:
 def benchmarks_by(calls: DataFrame, keys: list[Column], tags: Column | None = None) -> DataFrame:
     """Counts, success rate, latency and rates by keys; with ``tags``, a call counts once for each of its tags.
 
-    Percentiles are exact and interpolate between neighbours.
+    ``generation_count`` is the number of calls with a total rate. Means without samples are 0, medians, percentiles and peaks
+    null. Percentiles are exact and interpolate between neighbours.
     """
     rated = generation_rates(calls)
     if tags is not None:
         rated = rated.withColumn("tag", F.explode(normalise_tags(tags)))
         keys = [*keys, F.col("tag")]
     return rated.groupBy(*keys).agg(
-        F.count("*").alias("calls"), F.avg(F.when(F.col("success"), 1.0).otherwise(0.0)).alias("success_rate"),
-        F.avg("latency_ms").alias("mean_latency_ms"), F.median("latency_ms").alias("median_latency_ms"), F.percentile("latency_ms", 0.95).alias("p95_latency_ms"),
-        *[f(r).alias(f"{n}_{r}") for r in RATES for n, f in (("mean", F.avg), ("median", F.median), ("peak", F.max))],
+        F.count_distinct(F.nullif(F.col("run_id").cast("string"), F.lit(""))).alias("run_count"), F.count("*").alias("calls"), F.count("total_rate").alias("generation_count"), F.avg(F.when(F.col("success"), 1.0).otherwise(0.0)).alias("success_rate"),
+        F.coalesce(F.avg("latency_ms"), F.lit(0.0)).alias("mean_latency_ms"), F.median("latency_ms").alias("median_latency_ms"), F.percentile("latency_ms", 0.95).alias("p95_latency_ms"),
+        *[f(r).alias(f"{n}_{r}") for r in RATES for n, f in (("mean", lambda c: F.coalesce(F.avg(c), F.lit(0.0))), ("median", F.median), ("peak", F.max))],
     )
 
 
@@ -204,30 +215,51 @@ def episode_metrics(calls: DataFrame) -> DataFrame:
     """``episode_id``: time, calls, tokens, output rate, and peak, mean and median context."""
     usage = F.col("usage")
     grouped = calls.groupBy("episode_id").agg(
-        F.sum("latency_ms").alias("inference_ms"), F.count("*").alias("calls"), F.sum(usage["prompt_tokens"]).alias("prompt_tokens"), F.sum(usage["completion_tokens"]).alias("completion_tokens"),
+        F.coalesce(F.sum("latency_ms"), F.lit(0.0)).alias("inference_ms"), F.count("*").alias("calls"), F.coalesce(F.sum(usage["prompt_tokens"]), F.lit(0)).alias("prompt_tokens"), F.coalesce(F.sum(usage["completion_tokens"]), F.lit(0)).alias("completion_tokens"),
         F.max(usage["prompt_tokens"]).alias("peak_context"), F.avg(usage["prompt_tokens"]).alias("mean_context"), F.median(usage["prompt_tokens"]).alias("median_context"),
     )
     return grouped.withColumn("output_rate", F.try_divide("completion_tokens", F.nullif(F.col("inference_ms") / 1000, F.lit(0.0))))
 
 
-def generation_rollup(episodes: DataFrame) -> DataFrame:
-    """``generation_id``: counts, success, wall clock, rates by hour and minute, utilisation, tokens a success; absent inputs stay null."""
-    hours = lambda: F.nullif(F.col("wall_seconds") / 3600, F.lit(0.0))
-    seconds = lambda c: F.unix_micros(F.try_to_timestamp(c)) / 1e6
+#: What a generation takes from its episodes, by how; null where no episode has it.
+ROLLUP = {
+    "average_output_tokens_per_second": ("average_output_tokens_per_second", "mean"), "average_inference_duty_cycle": ("inference_duty_cycle", "mean"), "peak_gpu_utilization_pct": ("peak_gpu_utilization_pct", "max"),
+    "peak_cpu_utilization_pct": ("peak_cpu_utilization_pct", "max"), "average_gpu_utilization_pct": ("avg_gpu_utilization_pct", "mean"), "average_cpu_utilization_pct": ("avg_cpu_utilization_pct", "mean"),
+    "peak_kv_cache_usage_pct": ("peak_kv_cache_usage_pct", "max"), "avg_kv_cache_usage_pct": ("avg_kv_cache_usage_pct", "mean"), "peak_num_requests_running": ("peak_num_requests_running", "max"),
+    "peak_num_requests_waiting": ("peak_num_requests_waiting", "max"), "total_container_overhead_seconds": ("container_overhead_seconds", "sum"), "total_inference_seconds": ("total_inference_ms", "seconds"),
+    "total_episode_execution_seconds": ("episode_execution_seconds", "sum"), "peak_context_tokens": ("peak_context_tokens", "max"), "avg_context_tokens": ("avg_context_tokens", "mean"), "median_context_tokens": ("median_context_tokens", "median"),
+}
+
+
+def generation_rollup(generations: DataFrame, episodes: DataFrame) -> DataFrame:
+    """A row for each of ``generations (generation_id, started_at, completed_at)`` from its episodes.
+
+    Wall clock and rates are of the generation's own start and end, null without both; rates are null where no time went by.
+    Episodes have ``success, score, duration_seconds, training_rows`` (a number), ``total_input_tokens, total_output_tokens`` and
+    columns of ``ROLLUP``; absent columns and inputs stay null. Tokens a success divide input and output tokens of all episodes.
+    """
+    how = {"mean": F.avg, "max": F.max, "sum": F.sum, "median": F.median, "seconds": lambda c: F.sum(F.col(c) / 1000)}
+    has = lambda c: c in episodes.columns
+    tokens = [F.sum(c).alias(c) if has(c) else F.lit(None).cast("long").alias(c) for c in ("total_input_tokens", "total_output_tokens")]
     grouped = episodes.groupBy("generation_id").agg(
-        F.count("*").alias("episodes"), F.count_if("success").alias("successes"), F.sum(F.size("raw_training_rows")).alias("rows"), F.sum("duration_seconds").alias("duration_seconds"),
-        (F.max(seconds("completed_at")) - F.min(seconds("started_at"))).alias("wall_seconds"), F.sum("completion_tokens").alias("completion_tokens"), F.avg("score").alias("mean_score"), F.max("score").alias("best_score"),
-        F.avg("gpu_util_mean").alias("gpu_util_mean"), F.max("gpu_util_peak").alias("gpu_util_peak"), F.median("median_context").alias("median_context"),
-    )
-    return grouped.withColumns(
+        F.count("*").alias("total_episodes_run"), F.count_if("success").alias("total_successful"), F.sum(F.coalesce("training_rows", F.lit(0))).alias("training_row_count"), F.sum(F.when(F.col("success"), F.coalesce("score", F.lit(0.0)))).alias("total_score"),
+        F.sum("duration_seconds").alias("total_agent_seconds"), *[how[kind](source).alias(name) for name, (source, kind) in ROLLUP.items() if has(source)], *tokens,
+    )
+    out = generations.select("generation_id", "started_at", "completed_at").join(grouped, "generation_id", "left").fillna(0, ["total_episodes_run", "total_successful", "training_row_count", "total_score", "total_agent_seconds"])
+    out = out.withColumns({name: F.lit(None).cast("double") for name, (source, _) in ROLLUP.items() if not has(source)})
+    seconds = lambda c: F.unix_micros(F.try_to_timestamp(F.col(c).cast("string"))) / 1e6
+    out = out.withColumn("generation_wall_clock_seconds", seconds("completed_at") - seconds("started_at"))
+    spent = F.when(F.col("generation_wall_clock_seconds") > 0, F.col("generation_wall_clock_seconds"))
+    some = F.col("total_input_tokens").isNotNull() | F.col("total_output_tokens").isNotNull()
+    total = F.when(some, F.coalesce("total_input_tokens", F.lit(0)) + F.coalesce("total_output_tokens", F.lit(0)))
+    rate = lambda c, unit: F.col(c) * unit / spent
+    return out.withColumns(
         {
-            "success_rate": F.try_divide("successes", "episodes"),
-            "episodes_per_hour": F.col("episodes") / hours(),
-            "successes_per_hour": F.col("successes") / hours(),
-            "tokens_per_minute": F.col("completion_tokens") / F.nullif(F.col("wall_seconds") / 60, F.lit(0.0)),
-            "tokens_per_success": F.try_divide("completion_tokens", "successes"),
+            "success_rate": F.coalesce(F.try_divide("total_successful", "total_episodes_run"), F.lit(0.0)), "episodes_per_hour": rate("total_episodes_run", 3600), "training_rows_per_hour": rate("training_row_count", 3600),
+            "episodes_per_minute": rate("total_episodes_run", 60), "training_rows_per_minute": rate("training_row_count", 60), "total_tokens": total, "tokens_per_successful_episode": F.try_divide(total, "total_successful"),
+            **{c: F.when(some, F.coalesce(c, F.lit(0))) for c in ("total_input_tokens", "total_output_tokens")},
         }
-    )
+    )
 
 
 def space_freed(measurements: DataFrame) -> DataFrame:
@@ -241,12 +273,20 @@ def utilisation_summary(samples: DataFrame, gauges: list[str]) -> DataFrame:
     return samples.groupBy("episode_id").agg(*[f(g).alias(f"{n}_{g}") for g in gauges for n, f in (("mean", F.avg), ("peak", F.max), ("samples", F.count))])
 
 
+#: Names of the gauges and counters of each backend.
+GAUGES = {
+    "vllm": {"vllm:kv_cache_usage_perc": "kv_cache_usage", "vllm:num_requests_running": "num_requests_running", "vllm:num_requests_waiting": "num_requests_waiting", "vllm:prompt_tokens_total": "total_prompt_tokens", "vllm:generation_tokens_total": "total_generation_tokens"},
+    "sglang": {"sglang:token_usage": "kv_cache_usage", "sglang:num_running_reqs": "num_requests_running", "sglang:num_queue_reqs": "num_requests_waiting", "sglang:prompt_tokens_total": "total_prompt_tokens", "sglang:gen_throughput_total": "total_generation_tokens"},
+}
+
+
 def parse_scrapes(scrapes: DataFrame, text: str = "body", gauges: dict[str, str] | None = None) -> DataFrame:
-    """A row for each sample of a scrape: ``name, labels, value``, and ``gauge`` for known names.
+    """A row for each sample of a scrape: ``name, labels, value``, and ``gauge`` for names of ``gauges`` (those of both backends).
 
-    Comments, blank lines and lines without a number are left out. Gauges whose name ends
-    in ``_perc`` are shares and become percentages.
+    Comments, blank lines and lines without a number are left out. The cache's usage is a
+    share and becomes a percentage, whatever the backend calls it.
     """
+    gauges = GAUGES["vllm"] | GAUGES["sglang"] if gauges is None else gauges
     line = r"^([A-Za-z_:][A-Za-z0-9_:]*)(?:\{(.*)\})?\s+(\S+)(?:\s+\S+)?$"
     keep = [c for c in scrapes.columns if c != text]
     rows = scrapes.select(*keep, F.explode(F.split(F.col(text), r"\r?\n")).alias("line")).withColumn("line", F.trim("line")).where(~F.col("line").startswith("#") & F.col("line").rlike(line))
@@ -254,8 +294,9 @@ def parse_scrapes(scrapes: DataFrame, text: str = "body", gauges: dict[str, str]
     inner = F.regexp_extract("line", line, 2)
     labels = F.map_from_arrays(F.regexp_extract_all(inner, F.lit(pairs), F.lit(1)), F.regexp_extract_all(inner, F.lit(pairs), F.lit(2)))
     out = rows.select(*keep, F.regexp_extract("line", line, 1).alias("name"), labels.alias("labels"), F.expr(r"try_cast(regexp_extract(line, '" + line.replace("\\", "\\\\") + "', 3) as double)").alias("value")).where("value is not null and not isnan(value)")
-    known = F.create_map(*[F.lit(x) for pair in (gauges or {}).items() for x in pair]) if gauges else F.create_map().cast("map<string,string>")
-    return out.withColumns({"gauge": F.try_element_at(known, F.col("name")), "value": F.when(F.col("name").endswith("_perc"), F.col("value") * 100).otherwise(F.col("value"))})
+    known = F.create_map(*[F.lit(x) for pair in gauges.items() for x in pair]) if gauges else F.create_map().cast("map<string,string>")
+    out = out.withColumn("gauge", F.try_element_at(known, F.col("name")))
+    return out.withColumn("value", F.when(F.coalesce(F.col("gauge") == "kv_cache_usage", F.lit(False)), F.col("value") * 100).otherwise(F.col("value")))
 
 
 def counter_deltas(samples: DataFrame, keys: list[str], ts: str = "ts") -> DataFrame:

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 Transform = tuple[str, Callable[[DataFrame], DataFrame]]
-#: The scopes that a row may have.
-SCOPES = ("episode", "step", "turn", "group")
+#: Fixed value: the scope that every row has.
+SCOPE = "whole_episode"
 
 
 def prompt_text(messages):  # noqa: ANN001, ANN201
@@ -45,18 +45,25 @@ def enrich_rows(episodes: DataFrame) -> DataFrame:
     return out.select("row.row_id", "episode_id", "generation_id", "episode_index", "index", "row.prompt", "row.response", F.coalesce("row.step", F.lit("unknown")).alias("step"), "score")
 
 
-def validate_rows(rows: DataFrame, required: list[str]) -> DataFrame:
-    """``row_id, rule, detail``: a row for each violation."""
+def validate_rows(rows: DataFrame, required: list[str], source_row_ids: DataFrame | None = None) -> DataFrame:
+    """``row_id, rule, detail``: a row for each violation.
+
+    Rules: ``missing_field`` of ``required``; ``bad_row_id``, a null or empty id; ``duplicate_row_id``; ``bad_scope``, an
+    ``episode_score_scope`` other than ``whole_episode``; ``episode_mismatch``, an ``episode_id`` other than its group's ``group_episode_id``; ``bad_parent``,
+    an empty ``parent_row_id``; ``unknown_parent``, one that is no row's id and none of ``source_row_ids (row_id)``. A null parent is none.
+    """
     found = [rows.where(F.col(c).isNull()).select("row_id", F.lit("missing_field").alias("rule"), F.lit(c).alias("detail")) for c in required]
-    found.append(rows.where(~F.coalesce(F.col("row_id").rlike(r"^[^:]+:[0-9]+$"), F.lit(False))).select("row_id", F.lit("bad_row_id"), F.col("row_id")))
-    found.append(rows.groupBy("row_id").agg(F.count("*").alias("n")).where("row_id is not null and n > 1").select("row_id", F.lit("duplicate_row_id"), F.col("n").cast("string")))
-    if "scope" in rows.columns:
-        found.append(rows.where(~F.col("scope").isin(*SCOPES)).select("row_id", F.lit("bad_scope"), F.col("scope")))
-    if "episode_id" in rows.columns:
-        found.append(rows.where(F.substring_index("row_id", ":", 1) != F.col("episode_id")).select("row_id", F.lit("episode_mismatch"), F.col("episode_id")))
+    rule = lambda test, name, detail: rows.where(test).select("row_id", F.lit(name), F.col(detail).cast("string"))
+    found.append(rule(F.coalesce(F.col("row_id") == "", F.lit(True)), "bad_row_id", "row_id"))
+    found.append(rows.groupBy("row_id").agg(F.count("*").alias("n")).where("row_id <> '' and n > 1").select("row_id", F.lit("duplicate_row_id"), F.col("n").cast("string")))
+    found.append(rule(~F.col("episode_score_scope").eqNullSafe(SCOPE), "bad_scope", "episode_score_scope"))
+    found.append(rule(~F.col("episode_id").eqNullSafe(F.col("group_episode_id")), "episode_mismatch", "episode_id"))
     if "parent_row_id" in rows.columns:
-        parents = rows.select(F.col("row_id").alias("parent_row_id")).distinct()
-        found.append(rows.where("parent_row_id is not null").join(parents, "parent_row_id", "left_anti").select("row_id", F.lit("unknown_parent"), F.col("parent_row_id")))
+        found.append(rule(F.col("parent_row_id") == "", "bad_parent", "parent_row_id"))
+        known = rows.select(F.col("row_id").alias("parent_row_id"))
+        if source_row_ids is not None:
+            known = known.unionAll(source_row_ids.select(F.col("row_id").alias("parent_row_id")))
+        found.append(rows.where("parent_row_id <> ''").join(known.distinct(), "parent_row_id", "left_anti").select("row_id", F.lit("unknown_parent"), F.col("parent_row_id")))
     out = found[0]
     for x in found[1:]:
         out = out.unionAll(x)

@@ -55,10 +55,10 @@ def fb12_count_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fields.voxel_count_drop(field(spark, sf_dir, 2), field(spark, sf_dir), 0.01).select("most_likely", "before", "after")
 
 
-@query(f"WITH {F0}, r AS (SELECT *, lag(unit) OVER (PARTITION BY ix, iy ORDER BY iz DESC) AS above FROM f WHERE unit >= 0) SELECT ix, iy, iz, unit::INT AS rank, above::INT AS above FROM r WHERE unit < above")
+@query(f"WITH {F0}, r AS (SELECT *, lag(unit) OVER (PARTITION BY ix, iy ORDER BY iz DESC) AS above FROM f WHERE unit >= 0) SELECT ix, iy, count(*)::BIGINT AS breaks FROM r WHERE unit < above GROUP BY ix, iy")
 def ch1_column_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = spark.createDataFrame([(k, k) for k in range(UNITS)], "unit int, rank int")
-    return fields.check_column_order(field(spark, sf_dir), ranks).select("ix", "iy", "iz", "rank", "above")
+    return fields.check_column_order(field(spark, sf_dir), ranks)
 
 
 @query(f"WITH {F0}, v AS (SELECT unit, count(*) * 2.0 AS volume, min(voxel_id) AS first_voxel FROM f GROUP BY unit) SELECT unit::INT AS unit, round(volume, 4)::DOUBLE AS volume, first_voxel FROM v WHERE unit >= 0 AND (volume < 10.0 OR volume > 60.0)")

@@ -46,12 +46,12 @@ def mx4_run_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"WITH {CALLS}, r AS (SELECT c_custkey AS run_id FROM customer), g AS (SELECT run_id, count(*) AS calls, count(*) FILTER (WHERE ok) AS good, sum(k) AS k, sum(latency_ms) AS ms, avg({RATE}) AS mean_rate, median({RATE}) AS median_rate, max(latency_ms) AS peak, count({RATE}) AS rated, max({RATE}) AS top_rate FROM c GROUP BY run_id) "
-    "SELECT r.run_id, coalesce(calls, 0)::BIGINT AS calls, coalesce(good, 0)::BIGINT AS successful_calls, coalesce(k, 0)::BIGINT AS completion_tokens, round(coalesce(ms, 0.0), 3) AS latency_ms, round(coalesce(good / calls, 0.0), 4) AS success_rate, round(k / nullif(ms / 1000, 0), 3) AS output_throughput, round(coalesce(mean_rate, 0.0), 3) AS mean_output_rate, coalesce(calls, 0)::BIGINT - coalesce(good, 0)::BIGINT AS failed_calls, 3 * coalesce(k, 0)::BIGINT AS total_tokens, coalesce(rated, 0)::BIGINT AS generation_count, round(3 * top_rate, 3) AS peak_total_rate, round(median_rate, 3) AS median_output_rate, round(peak, 3) AS peak_host_memory_mb FROM r LEFT JOIN g ON r.run_id = g.run_id"
+    f"WITH {CALLS}, r AS (SELECT c_custkey AS run_id, c_name AS name FROM customer), g AS (SELECT run_id, count(*) AS calls, count(*) FILTER (WHERE ok) AS good, sum(k) AS k, sum(latency_ms) AS ms, avg({RATE}) AS mean_rate, median({RATE}) AS median_rate, max(latency_ms) AS peak, count({RATE}) AS rated, max({RATE}) AS top_rate FROM c GROUP BY run_id) "
+    "SELECT r.run_id, coalesce(calls, 0)::BIGINT AS calls, coalesce(good, 0)::BIGINT AS successful_calls, coalesce(k, 0)::BIGINT AS completion_tokens, round(coalesce(ms, 0.0), 3) AS latency_ms, round(coalesce(good / calls, 0.0), 4) AS success_rate, round(coalesce(k / nullif(ms / 1000, 0), 0), 3) AS output_throughput, round(coalesce(mean_rate, 0.0), 3) AS mean_output_rate, coalesce(calls, 0)::BIGINT - coalesce(good, 0)::BIGINT AS failed_calls, 3 * coalesce(k, 0)::BIGINT AS total_tokens, coalesce(rated, 0)::BIGINT AS generation_count, round(3 * top_rate, 3) AS peak_total_rate, round(median_rate, 3) AS median_output_rate, round(peak, 3) AS peak_host_memory_mb, coalesce((SELECT arg_min(model, n) FROM (SELECT model, -count(*) * 1000000000 + min(event_id) AS n FROM c WHERE c.run_id = r.run_id GROUP BY model)), r.name) AS model FROM r LEFT JOIN g ON r.run_id = g.run_id"
 )
 def mx5_run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = runlogs.run_summary(calls(spark, sf_dir), runs(spark, sf_dir))
-    return out.select("run_id", "calls", "successful_calls", F.col("completion_tokens").cast("long").alias("completion_tokens"), F.round("latency_ms", 3).alias("latency_ms"), F.round("success_rate", 4).alias("success_rate"), *[F.round(c, 3).alias(c) for c in ("output_throughput", "mean_output_rate", "median_output_rate", "peak_host_memory_mb", "peak_total_rate")], "failed_calls", F.col("total_tokens").cast("long").alias("total_tokens"), "generation_count")
+    out = runlogs.run_summary(calls(spark, sf_dir), runs(spark, sf_dir), "event_id")
+    return out.select("run_id", "model", "calls", "successful_calls", F.col("completion_tokens").cast("long").alias("completion_tokens"), F.round("latency_ms", 3).alias("latency_ms"), F.round("success_rate", 4).alias("success_rate"), *[F.round(c, 3).alias(c) for c in ("output_throughput", "mean_output_rate", "median_output_rate", "peak_host_memory_mb", "peak_total_rate")], "failed_calls", F.col("total_tokens").cast("long").alias("total_tokens"), "generation_count")
 
 
 @query(f"WITH {CALLS} SELECT model, count(DISTINCT run_id)::BIGINT AS runs, count(*)::BIGINT AS calls, round(avg(latency_ms), 3) AS mean_latency_ms, round(median(latency_ms), 3) AS median_latency_ms, round(sum(k) / (sum(latency_ms) / 1000), 3) AS output_throughput, round(avg({RATE}), 3) AS mean_output_rate FROM c GROUP BY model")
@@ -80,11 +80,11 @@ def mx10_queue_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(runlogs.queue_depth_by_model(calls(spark, sf_dir)).select("model", "mean_running", "peak_running", "mean_waiting", "peak_waiting", "runs_running"))
 
 
-@query(f"WITH {CALLS}, t AS (SELECT c.*, unnest(['seg-' || lower(c_mktsegment), 'all']) AS tag FROM c JOIN customer ON run_id = c_custkey) SELECT tag, count(*)::BIGINT AS calls, round(avg(CASE WHEN ok THEN 1.0 ELSE 0.0 END), 4) AS success_rate, round(median(latency_ms), 3) AS median_latency_ms, round(quantile_cont(latency_ms, 0.95), 3) AS p95_latency_ms, round(max({RATE}), 3) AS peak_output_rate FROM t GROUP BY tag")
+@query(f"WITH {CALLS}, t AS (SELECT c.*, unnest(['seg-' || lower(c_mktsegment), 'all']) AS tag FROM c JOIN customer ON run_id = c_custkey) SELECT tag, count(DISTINCT run_id)::BIGINT AS run_count, count(*)::BIGINT AS calls, count(3 * ({RATE}))::BIGINT AS generation_count, round(coalesce(avg(latency_ms), 0), 3) AS mean_latency_ms, round(avg(CASE WHEN ok THEN 1.0 ELSE 0.0 END), 4) AS success_rate, round(median(latency_ms), 3) AS median_latency_ms, round(quantile_cont(latency_ms, 0.95), 3) AS p95_latency_ms, round(max({RATE}), 3) AS peak_output_rate FROM t GROUP BY tag")
 def mx11_benchmarks_by_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
     tagged = calls(spark, sf_dir).join(runs(spark, sf_dir).select("run_id", "hardware_tags"), "run_id")
     out = runlogs.benchmarks_by(tagged, [], F.col("hardware_tags"))
-    return out.select("tag", "calls", F.round("success_rate", 4).alias("success_rate"), *[F.round(c, 3).alias(c) for c in ("median_latency_ms", "p95_latency_ms", "peak_output_rate")])
+    return out.select("tag", "run_count", "calls", "generation_count", F.round("success_rate", 4).alias("success_rate"), *[F.round(c, 3).alias(c) for c in ("mean_latency_ms", "median_latency_ms", "p95_latency_ms", "peak_output_rate")])
 
 
 @query("SELECT c_custkey AS run_id, ['seg-' || lower(c_mktsegment), 'all'] AS tags FROM customer")
@@ -104,10 +104,10 @@ def mx2_unmatched_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runlogs.unmatched_runs(calls(spark, sf_dir), runs(spark, sf_dir).where("run_id % 2 = 0"))
 
 
-@query(f"WITH {CALLS} SELECT run_id AS episode_id, round(sum(latency_ms), 3) AS inference_ms, count(*)::BIGINT AS calls, max(2 * k)::BIGINT AS peak_context, round(avg(2 * k), 3) AS mean_context, round(median(2 * k), 3) AS median_context, round(sum(k) / nullif(sum(latency_ms) / 1000, 0), 3) AS output_rate FROM c GROUP BY run_id")
+@query(f"WITH {CALLS} SELECT run_id AS episode_id, round(sum(latency_ms), 3) AS inference_ms, count(*)::BIGINT AS calls, coalesce(sum(2 * k), 0)::BIGINT AS prompt_tokens, coalesce(sum(k), 0)::BIGINT AS completion_tokens, max(2 * k)::BIGINT AS peak_context, round(avg(2 * k), 3) AS mean_context, round(median(2 * k), 3) AS median_context, round(sum(k) / nullif(sum(latency_ms) / 1000, 0), 3) AS output_rate FROM c GROUP BY run_id")
 def mx16_episode_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = runlogs.episode_metrics(calls(spark, sf_dir).withColumnRenamed("run_id", "episode_id"))
-    return rounded(out.select("episode_id", "inference_ms", "calls", "peak_context", "mean_context", "median_context", "output_rate"), 3)
+    return rounded(out.select("episode_id", "inference_ms", "calls", "prompt_tokens", "completion_tokens", "peak_context", "mean_context", "median_context", "output_rate"), 3)
 
 
 @query("SELECT event_id, round(CASE WHEN value >= b THEN value - b WHEN b IS NOT NULL THEN value END, 4) AS delta FROM (SELECT event_id, value, lag(value) OVER (PARTITION BY user_id ORDER BY ts) AS b FROM events)")
@@ -115,11 +115,11 @@ def mx21_counter_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(runlogs.counter_deltas(table(spark, sf_dir, "events"), ["user_id"]).select("event_id", "delta"))
 
 
-@query("SELECT event_id, 'latency' AS name, value FROM events UNION ALL SELECT event_id, 'cache_perc', value * 100 FROM events")
+@query("SELECT event_id, 'latency' AS name, NULL AS gauge, value FROM events UNION ALL SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'vllm:kv_cache_usage_perc' ELSE 'sglang:token_usage' END, 'kv_cache_usage', value * 100 FROM events UNION ALL SELECT event_id, 'sglang:num_queue_reqs', 'num_requests_waiting', 3 FROM events UNION ALL SELECT event_id, 'other_perc', NULL, 0.5 FROM events")
 def mx20_parse_scrapes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    body = F.concat(F.lit('# HELP x\nlatency{model="'), "event_type", F.lit('",le="+Inf"} '), F.col("value").cast("string"), F.lit("\n\nbad line here too\nnovalue NaN\ncache_perc "), F.col("value").cast("string"), F.lit(" 1700000"))
+    body = F.concat(F.lit('# HELP x\nlatency{model="'), "event_type", F.lit('",le="+Inf"} '), F.col("value").cast("string"), F.lit("\n\nbad line here too\nnovalue NaN\nother_perc 0.5\nsglang:num_queue_reqs 3\n"), F.when(F.col("event_id") % 2 == 0, "vllm:kv_cache_usage_perc ").otherwise("sglang:token_usage "), F.col("value").cast("string"), F.lit(" 1700000"))
     scrapes = table(spark, sf_dir, "events").select("event_id", body.alias("body"))
-    return runlogs.parse_scrapes(scrapes).select("event_id", "name", "value")
+    return runlogs.parse_scrapes(scrapes).select("event_id", "name", "gauge", "value")
 
 
 @query("SELECT user_id AS uri, max(event_id)::BIGINT AS pos, arg_max(event_type, event_id) AS kind FROM events GROUP BY user_id")
@@ -173,10 +173,10 @@ def st5_evict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs.evict_candidates(records, ["F", "P"], "2030-01-01", 0, total * 8 // 10).select("uri", "size_bytes")
 
 
-@query("SELECT o_orderkey AS uri, CASE WHEN o_orderstatus = 'O' AND o_orderdate < DATE '1998-01-01' THEN CASE WHEN o_orderkey % 3 + 1 >= 2 THEN 'failed' ELSE 'queued' END WHEN o_orderstatus = 'O' THEN 'claimed' ELSE 'done' END AS status, (o_orderkey % 3 + CASE WHEN o_orderstatus = 'O' AND o_orderdate < DATE '1998-01-01' THEN 1 ELSE 0 END)::BIGINT AS retry_count FROM orders")
+@query("SELECT o_orderkey AS uri, CASE WHEN o_orderstatus = 'O' AND o_orderdate < DATE '1998-01-01' THEN CASE WHEN o_orderkey % 4 >= 2 THEN 'failed' ELSE 'queued' END WHEN o_orderstatus = 'O' THEN 'claimed' ELSE 'done' END AS status, (o_orderkey % 4 + CASE WHEN o_orderstatus = 'O' AND o_orderdate < DATE '1998-01-01' AND o_orderkey % 4 < 2 THEN 1 ELSE 0 END)::BIGINT AS retry_count, CASE WHEN NOT (o_orderstatus = 'O' AND o_orderdate < DATE '1998-01-01' AND o_orderkey % 4 < 2) THEN 'c' || o_custkey END AS claim_id FROM orders")
 def st6_leases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("uri"), F.when(F.col("o_orderstatus") == "O", "claimed").otherwise("done").alias("status"), (F.col("o_orderkey") % 3).alias("retry_count"), F.lit(2).alias("max_retries"), F.col("o_orderdate").alias("lease_expires_at"))
-    return logs.expire_leases(records, F.lit("1998-01-01").cast("timestamp")).select("uri", "status", "retry_count")
+    records = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("uri"), F.when(F.col("o_orderstatus") == "O", "claimed").otherwise("done").alias("status"), (F.col("o_orderkey") % 4).alias("retry_count"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("claim_id"), F.lit(2).alias("max_retries"), F.col("o_orderdate").alias("lease_expires_at"))
+    return logs.expire_leases(records, F.lit("1998-01-01").cast("timestamp")).select("uri", "status", "retry_count", "claim_id")
 
 
 @query("WITH m AS (SELECT user_id, event_id, event_type IN ('error', 'view') AS bad, count(*) FILTER (WHERE event_type NOT IN ('error', 'view')) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS island FROM events), r AS (SELECT user_id, island, count(*) FILTER (WHERE bad) AS n FROM m GROUP BY 1, 2) SELECT user_id, max(n)::BIGINT AS streak, max(n) >= 3 AS tripped FROM r GROUP BY user_id")

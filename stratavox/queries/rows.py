@@ -24,20 +24,21 @@ def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns as rows: some ids repeated, some out of form, some without text, with unknown parents."""
     c = table(spark, sf_dir, "conversations")
     odd = F.col("conv_id") % 17
-    row_id = F.when(odd == 3, F.concat(F.col("conv_id").cast("string"), F.lit("-x"))).when(odd == 5, F.concat(F.col("conv_id").cast("string"), F.lit(":0"))).otherwise(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")))
+    row_id = F.when((odd == 3) & (F.col("turn") == 0), F.lit("")).when(odd == 3, F.concat(F.col("conv_id").cast("string"), F.lit("-x:1:"), F.col("turn").cast("string"))).when(odd == 5, F.concat(F.col("conv_id").cast("string"), F.lit(":0"))).otherwise(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")))
     parent = F.when(F.col("turn") > 0, F.concat_ws(":", F.col("conv_id").cast("string"), (F.col("turn") - 1).cast("string")))
-    return c.select(row_id.alias("row_id"), F.col("conv_id").cast("string").alias("episode_id"), "turn", F.when(odd != 7, F.col("text")).alias("prompt"), F.when(F.col("role") == "user", "turn").otherwise("other").alias("scope"), parent.alias("parent_row_id"), F.col("role").alias("step"))
+    return c.select(row_id.alias("row_id"), F.col("conv_id").cast("string").alias("episode_id"), "turn", F.when(odd != 7, F.col("text")).alias("prompt"), F.when(F.col("role") == "user", "whole_episode").when(F.col("role") == "system", F.lit(None)).otherwise("turn").alias("episode_score_scope"), F.when(odd != 9, F.col("conv_id").cast("string")).otherwise("other").alias("group_episode_id"), F.when(odd != 11, parent).otherwise("").alias("parent_row_id"), F.col("role").alias("step"))
 
 
-ROWS = "r AS (SELECT CASE WHEN conv_id % 17 = 3 THEN conv_id || '-x' WHEN conv_id % 17 = 5 THEN conv_id || ':0' ELSE conv_id || ':' || turn END AS row_id, conv_id::VARCHAR AS episode_id, turn, CASE WHEN conv_id % 17 <> 7 THEN text END AS prompt, CASE WHEN role = 'user' THEN 'turn' ELSE 'other' END AS scope, CASE WHEN turn > 0 THEN conv_id || ':' || (turn - 1) END AS parent_row_id, role AS step FROM conversations)"
+ROWS = "r AS (SELECT CASE WHEN conv_id % 17 = 3 AND turn = 0 THEN '' WHEN conv_id % 17 = 3 THEN conv_id || '-x:1:' || turn WHEN conv_id % 17 = 5 THEN conv_id || ':0' ELSE conv_id || ':' || turn END AS row_id, conv_id::VARCHAR AS episode_id, turn, CASE WHEN conv_id % 17 <> 7 THEN text END AS prompt, CASE WHEN role = 'user' THEN 'whole_episode' WHEN role <> 'system' THEN 'turn' END AS scope, CASE WHEN conv_id % 17 = 9 THEN 'other' ELSE conv_id::VARCHAR END AS grp, CASE WHEN conv_id % 17 = 11 THEN '' WHEN turn > 0 THEN conv_id || ':' || (turn - 1) END AS parent_row_id, role AS step FROM conversations)"
 
 
 @query(
-    f"WITH {ROWS}, v AS (SELECT row_id, 'missing_field' AS rule FROM r WHERE prompt IS NULL UNION ALL SELECT row_id, 'bad_row_id' FROM r WHERE NOT regexp_full_match(row_id, '[^:]+:[0-9]+') UNION ALL SELECT row_id, 'duplicate_row_id' FROM r GROUP BY row_id HAVING count(*) > 1 "
-    "UNION ALL SELECT row_id, 'bad_scope' FROM r WHERE scope <> 'turn' UNION ALL SELECT row_id, 'episode_mismatch' FROM r WHERE split_part(row_id, ':', 1) <> episode_id UNION ALL SELECT row_id, 'unknown_parent' FROM r WHERE parent_row_id IS NOT NULL AND parent_row_id NOT IN (SELECT row_id FROM r)) SELECT rule, count(*)::BIGINT AS violations, count(DISTINCT row_id)::BIGINT AS rows FROM v GROUP BY rule"
+    f"WITH {ROWS}, v AS (SELECT row_id, 'missing_field' AS rule FROM r WHERE prompt IS NULL UNION ALL SELECT row_id, 'bad_row_id' FROM r WHERE row_id = '' UNION ALL SELECT row_id, 'duplicate_row_id' FROM r WHERE row_id <> '' GROUP BY row_id HAVING count(*) > 1 "
+    "UNION ALL SELECT row_id, 'bad_scope' FROM r WHERE scope IS DISTINCT FROM 'whole_episode' UNION ALL SELECT row_id, 'episode_mismatch' FROM r WHERE grp <> episode_id UNION ALL SELECT row_id, 'bad_parent' FROM r WHERE parent_row_id = '' UNION ALL SELECT row_id, 'unknown_parent' FROM r WHERE parent_row_id <> '' AND parent_row_id NOT IN (SELECT row_id FROM r) AND parent_row_id NOT IN (SELECT conv_id || ':' || turn FROM conversations WHERE conv_id % 17 = 3 AND conv_id % 2 = 0)) SELECT rule, count(*)::BIGINT AS violations, count(DISTINCT row_id)::BIGINT AS rows FROM v GROUP BY rule"
 )
 def tr3_validate_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = training.validate_rows(rows(spark, sf_dir), ["row_id", "episode_id", "prompt"])
+    source = table(spark, sf_dir, "conversations").where("conv_id % 17 = 3 and conv_id % 2 = 0").select(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("row_id"))
+    found = training.validate_rows(rows(spark, sf_dir), ["row_id", "episode_id", "prompt"], source)
     return found.groupBy("rule").agg(F.count("*").alias("violations"), F.count_distinct("row_id").alias("rows"))
 
 
@@ -112,7 +113,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
 RECORDS = "x AS (SELECT s_suppkey AS k, printf('e%05d', s_suppkey) AS id, s_nationkey AS n, s_acctbal / 1000 AS v, -s_acctbal AS d, s_acctbal > 5000 AS ok, s_name AS name FROM supplier)"
 
 
-@query(f"WITH {RECORDS}, p AS (SELECT a.id AS a, b.id AS b, ((CASE WHEN b.n = (a.n + 1) % 25 THEN 0.5 ELSE 0 END) + (CASE WHEN a.n = (b.n + 1) % 25 THEN 0.5 ELSE 0 END)) / 2 AS mi, a.v + b.v AS s, greatest(a.v, b.v) AS g FROM x a JOIN x b ON a.k < b.k WHERE a.ok AND b.ok AND NOT (a.k % 2 = 0 AND b.k = a.k + 1)) SELECT a, b, round(mi, 4) AS mutual_info, round(s - mi, 4) AS score FROM p ORDER BY s - mi DESC, g DESC, a, b LIMIT 5")
+@query(f"WITH {RECORDS}, p AS (SELECT a.id AS a, b.id AS b, ((CASE WHEN b.n = (a.n + 1) % 25 THEN 0.5 ELSE 0 END) + (CASE WHEN a.n = (b.n + 1) % 25 THEN 0.5 ELSE 0 END)) / 2 AS mi, a.v + b.v AS s, greatest(a.v, b.v) AS g, a.v AS va, b.v AS vb FROM x a JOIN x b ON a.k < b.k WHERE a.ok AND b.ok AND NOT (a.k % 2 = 0 AND b.k = a.k + 1)) SELECT CASE WHEN vb > va THEN b ELSE a END AS a, CASE WHEN vb > va THEN a ELSE b END AS b, round(mi, 4) AS mutual_info, round(s - mi, 4) AS score FROM (SELECT * FROM p ORDER BY s - mi DESC, g DESC, a, b LIMIT 5)")
 def kg3_crossbreed_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(experiments.crossbreed_pairs(records(spark, sf_dir)))
 

@@ -78,14 +78,16 @@ def evict_candidates(registry: DataFrame, kinds: list[str], now: str, ttl_second
 
 
 def expire_leases(records: DataFrame, now: Column) -> DataFrame:
-    """Claims whose lease is over go back to the queue with one more retry, or fail at the last."""
+    """Claims whose lease is over go back to the queue with one more retry and without a claim; those without retries left fail as they are."""
     over = (F.col("status") == "claimed") & (F.col("lease_expires_at") < now)
-    again = F.col("retry_count") + 1
+    over = F.coalesce(over, F.lit(False))
+    last = F.col("retry_count") >= F.col("max_retries")
+    again = over & ~last
     return records.withColumns(
         {
-            "status": F.when(over & (again >= F.col("max_retries")), "failed").when(over, "queued").otherwise(F.col("status")),
-            "retry_count": F.when(over, again).otherwise(F.col("retry_count")),
-            "lease_expires_at": F.when(~F.coalesce(over, F.lit(False)), F.col("lease_expires_at")),
+            "status": F.when(over & last, "failed").when(again, "queued").otherwise(F.col("status")),
+            "retry_count": F.when(again, F.col("retry_count") + 1).otherwise(F.col("retry_count")),
+            **{c: F.when(~again, F.col(c)) for c in ("claim_id", "lease_expires_at") if c in records.columns},
         }
     )
 

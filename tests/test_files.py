@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stratavox.grid import Grid, grid_cells
-from stratavox.operators import refine
+from stratavox.operators import refine, runlogs
 from stratavox.sources import files
 
 GRID = Grid((0.0, 0.0, 0.0), (2.0, 2.0, 3.0), (2, 2, 3))
@@ -84,9 +84,29 @@ def test_structural_comparison(spark):
     b = spark.createDataFrame([("p", "7", "k", "node", 0.0, 0.0, 5.5, {}), ("p", "8", "k", "node", 9.0, 0.0, 0.0, {"u": "y"}), ("p", "9", "other", "node", 9.0, 0.0, 0.0, {"u": "x"})], schema)
     assert [(r.element, r.element2, r.distance) for r in refine.greedy_match(a, b, 1.0, 0.9).collect()] == [("1", "7", 0.5)]
     assert refine.structural_distance(a, b, 1.0, 0.9).first().distance == pytest.approx((0.5 + 1 + 2) / 3)
-    cost = refine.structural_edit_cost(a, b, 1.0, 0.9).first()
-    assert (cost.added, cost.deleted, cost.modified) == (1, 2, 0.5)
+    cost = refine.structural_edit_cost(a, b, b.where("element <> '8'"), 1.0, 0.9).first()
+    assert (cost.elements, cost.added, cost.modified, cost.distance, cost.deleted, cost.split_merge) == (2, 1, 1, 0.5, 1, 0)
+    assert cost.loss_bits == pytest.approx(4.321928 * (0.2 + 1 + 1) + 0.5)
+    crowd = a.unionAll(a.withColumn("element", F.concat("element", F.lit("'"))))
+    assert (lambda c: (c.modified, c.split_merge))(refine.structural_edit_cost(crowd, b.where("kind = 'other'"), b.where("element = '7'"), 1.0, 0.9).first()) == (2, 3)
     graph = a.withColumnRenamed("pair_id", "graph_id")
     near = graph.withColumn("z", F.col("z") + 0.01).withColumn("graph_id", F.lit("q"))
     far = graph.withColumn("z", F.col("z") + 8.0).withColumn("graph_id", F.lit("f"))
     assert [(r.candidate, r.member) for r in refine.near_duplicates(graph, near.unionAll(far), 1.0, 0.9, 0.1).collect()] == [("p", "q")]
+
+
+def test_summary_of_metrics_that_were_read(spark, tmp_path):
+    """The reader's own columns are enough: fallbacks of tokens, model and throughput, and fields that a document lacks."""
+    lines = [
+        {"metric_type": "inference", "inference_id": "i2", "run_id": "r", "success": True, "latency_ms": 500.0, "usage": {"prompt_tokens": 3, "completion_tokens": 4, "model": "m2"}, "backend": "b"},
+        {"metric_type": "inference", "inference_id": "i1", "run_id": "r", "success": False, "usage": {"prompt_tokens": 10, "completion_tokens": 5, "total_tokens": 20, "model": "m1"}}, {"metric_type": "phase", "run_id": "r", "retry_count": 2, "duration_ms": 7.0},
+        {"metric_type": "inference", "inference_id": "i3", "run_id": "s", "model": ""},
+    ]
+    (tmp_path / "metrics_1.jsonl").write_text("\n".join(map(json.dumps, lines)) + "\nno json\n")
+    runs = spark.createDataFrame([("r", "named", True), ("s", "named", None), ("t", None, None)], "run_id string, model_name string, git_dirty boolean")
+    got = {r.run_id: r for r in runlogs.run_summary(files.read_metrics(spark, f"file://{tmp_path}"), runs).collect()}
+    r, s, t = (got[k] for k in "rst")
+    assert (r.calls, r.successful_calls, r.total_tokens, r.prompt_tokens, r.completion_tokens, r.retries, r.phase_duration_ms, r.generation_count) == (2, 1, 27, 13, 9, 2, 7.0, 1)
+    assert (r.model, r.backend, r.output_throughput, r.git_dirty, r.started_at) == ("m1", "b", 18.0, True, None)
+    assert (s.model, s.backend, s.calls, s.total_tokens, s.output_throughput, s.mean_total_rate) == ("named", "unknown", 1, 0, 0.0, 0.0)
+    assert (t.model, t.calls, t.success_rate, t.median_total_rate) == ("unknown", 0, 0.0, None)

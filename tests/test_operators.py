@@ -158,9 +158,9 @@ def test_rates_and_tags(spark):
 
 
 def test_scrapes(spark):
-    body = '# HELP a\nvllm:kv_cache_usage_perc{model="x",note="a \\"b\\""} 0.42\nrunning 2\n\nbad\nhist_bucket{le="+Inf"} 3 1700\nodd NaN\n'
-    rows = runlogs.parse_scrapes(spark.createDataFrame([(1, body)], "id int, body string"), gauges={"running": "num_requests_running"}).collect()
-    assert [(r.name, r.value) for r in rows] == [("vllm:kv_cache_usage_perc", 42.0), ("running", 2.0), ("hist_bucket", 3.0)]
+    body = '# HELP a\nvllm:kv_cache_usage_perc{model="x",note="a \\"b\\""} 0.42\nvllm:num_requests_running 2\n\nbad\nhist_bucket{le="+Inf"} 3 1700\nodd NaN\n'
+    rows = runlogs.parse_scrapes(spark.createDataFrame([(1, body)], "id int, body string")).collect()
+    assert [(r.name, r.value) for r in rows] == [("vllm:kv_cache_usage_perc", 42.0), ("vllm:num_requests_running", 2.0), ("hist_bucket", 3.0)]
     assert rows[0].labels["model"] == "x" and rows[1].gauge == "num_requests_running"
 
 
@@ -179,9 +179,13 @@ def test_texts(spark):
 
 
 def test_rows_and_logs(spark):
-    rows = spark.createDataFrame([("e:0", "e", None, "turn"), ("e:0", "e", "e:0", "turn"), ("bad", "e", "e:9", "odd")], "row_id string, episode_id string, parent_row_id string, scope string")
-    rules = [r.rule for r in training.validate_rows(rows, ["scope"]).collect()]
-    assert sorted(rules) == ["bad_row_id", "bad_scope", "duplicate_row_id", "episode_mismatch", "unknown_parent"]
+    whole = "whole_episode"
+    given = [("ep:1:0", "ep:1", "ep:1", None, whole), ("x", "e", "e", "ep:1:0", whole), ("x", "e", "e", "src", whole), ("y", "e", "f", "gone", None), ("", "e", "e", "", "turn"), ("z", None, None, None, whole)]
+    rows = spark.createDataFrame(given, "row_id string, episode_id string, group_episode_id string, parent_row_id string, episode_score_scope string")
+    rules = sorted((r.row_id, r.rule) for r in training.validate_rows(rows, ["episode_id"], spark.createDataFrame([("src",)], "row_id string")).collect())
+    assert rules == [("", "bad_parent"), ("", "bad_row_id"), ("", "bad_scope"), ("x", "duplicate_row_id"), ("y", "bad_scope"), ("y", "episode_mismatch"), ("y", "unknown_parent"), ("z", "missing_field")]
+    claims = spark.createDataFrame([(1, "claimed", 2, 3, "c"), (2, "claimed", 3, 3, "c"), (3, "queued", 0, 3, None)], "k int, status string, retry_count int, max_retries int, claim_id string").withColumn("lease_expires_at", F.lit("2020-01-01").cast("timestamp"))
+    assert [(r.status, r.retry_count, r.claim_id) for r in logs.expire_leases(claims, F.lit("2021-01-01").cast("timestamp")).orderBy("k").collect()] == [("queued", 3, None), ("failed", 3, "c"), ("queued", 0, None)]
     with pytest.raises(Exception, match="row without step"):
         training.keep_workflow_steps(spark.createDataFrame([("a", None)], "row_id string, step string"), ["x"]).collect()
     log = spark.createDataFrame([(1, "a", "x"), (2, "b", "y"), (3, "a", "z")], "pos long, uri string, status string")
