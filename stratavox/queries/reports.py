@@ -130,13 +130,6 @@ def rf15_reference_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return refine.reference_pair(pool, "task")
 
 
-@query()
-def rf8_structural_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each nation's suppliers against those of the next nation as structural elements."""
-    s = table(spark, sf_dir, "supplier")
-    element = lambda shift: s.select(((F.col("s_nationkey") + shift) % 25).alias("pair_id"), F.col("s_name").alias("element"), F.lit("sample").alias("kind"), F.lit("node").alias("role"), (F.col("s_acctbal") / 1000).alias("x"), (F.col("s_suppkey") % 10).cast("double").alias("y"), F.lit(0.0).alias("z"), F.create_map(F.lit("even"), (F.col("s_suppkey") % 2 == 0).cast("string")).alias("attrs"))
-    return rounded(refine.structural_distance(element(0), element(1), 5.0, 1.0))
-
 
 REWARDS = (
     "e AS (SELECT o_orderkey AS k, o_orderkey % 5 = 0 AS boot, o_orderkey % 3 > 0 AS passed, CASE WHEN o_orderkey % 31 = 0 THEN 'infinity'::DOUBLE ELSE o_totalprice / 1021 END AS score, 100.0 AS steady, CASE WHEN o_orderkey % 4 = 0 THEN 50.0 ELSE 250.0 END AS threshold, o_orderkey % 13 = 1 AS failed, o_orderkey % 17 = 2 AS spent, o_orderkey % 19 <> 3 AS reported, "
@@ -221,3 +214,14 @@ def rf11_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = refine.score_candidates(*[elements(spark, sf_dir, k) for k in range(3)], parts[0].unionAll(parts[1]).unionAll(parts[2]), checks, scale=2.0, threshold=2.0)
     score = F.when(F.col("score_bits") == float("inf"), "inf").otherwise(F.format_string("%.3f", "score_bits"))
     return out.select("pair_id", "gates", F.round("coverage_a", 4).alias("coverage_a"), F.round("coverage_b", 4).alias("coverage_b"), score.alias("score"), F.round("reverse_kl_a_bits", 3).alias("reverse_kl_a_bits"), (F.size("flags") > 0).alias("flagged"))
+
+
+@query(f"WITH {ELEMENTS} SELECT p AS pair_id, m.a AS element, m.b AS element2, round(m.d, 4) AS distance FROM g")
+def rf6_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(refine.greedy_match(elements(spark, sf_dir, 1), elements(spark, sf_dir, 2), 2.0, 2.0))
+
+
+@query(f"WITH {ELEMENTS}, s AS (SELECT p, count(*) FILTER (WHERE role = 1) AS na, count(*) FILTER (WHERE role = 2) AS nb FROM el WHERE role > 0 GROUP BY p), t AS (SELECT p, sum(m.d) AS d, count(*) AS m FROM g GROUP BY p) SELECT s.p AS pair_id, round((coalesce(t.d, 0) + na + nb - 2 * coalesce(t.m, 0)) / greatest(na, nb), 4) AS distance FROM s LEFT JOIN t ON t.p = s.p")
+def rf8_structural_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The suppliers of one nation against those of the next as structural elements."""
+    return rounded(refine.structural_distance(elements(spark, sf_dir, 1), elements(spark, sf_dir, 2), 2.0, 2.0))
