@@ -72,7 +72,10 @@ def ch3_domain_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fields.check_domain_closure(field(spark, sf_dir))
 
 
-@query()
+@query(
+    f"WITH RECURSIVE {F0}, c AS (SELECT voxel_id AS v, ix, iy, iz, unit FROM f WHERE unit >= 0), adj AS (SELECT a.v AS a, b.v AS b FROM c a JOIN c b ON a.unit = b.unit AND abs(a.ix - b.ix) + abs(a.iy - b.iy) + abs(a.iz - b.iz) = 1), reach(a, b) AS (SELECT v, v FROM c UNION SELECT r.a, j.b FROM reach r JOIN adj j ON r.b = j.a), "
+    "root AS (SELECT a, min(b) AS root FROM reach GROUP BY a) SELECT unit::INT AS unit, count(DISTINCT root)::BIGINT AS blobs FROM c JOIN root ON root.a = c.v GROUP BY unit HAVING count(DISTINCT root) > 1"
+)
 def ch4_orphan_blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fields.check_orphan_blobs(field(spark, sf_dir), CELLS)
 
@@ -179,7 +182,15 @@ def gr7_graph_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.graph_diff(a.drop("c_custkey"), within.where("edge_seq % 6 <> 0"), b.drop("c_custkey"), within.where("edge_seq % 4 <> 0"))
 
 
-@query()
+@query(
+    f"""WITH {SUPPLIERS}, j AS (
+  SELECT n_regionkey AS graph_id, 'n{{"kind":"location","node_id":"n' || n_nationkey || '","node_seq":' || n_nationkey || ',"p_exists":0.9}}' AS j FROM nation UNION ALL SELECT DISTINCT n_regionkey, 'n{{"kind":"stratigraphic_unit","node_id":"u","node_seq":-1,"p_exists":0.9}}' FROM nation
+  UNION ALL SELECT graph_id, 'n{{"kind":"sample","node_id":"s' || k || '","node_seq":' || (k + 1000) || ',"p_exists":0.9}}' FROM s
+  UNION ALL SELECT graph_id, 'e{{"edge_id":"a' || k || '","edge_seq":' || k || ',"kind":"at","source":"s' || k || '","target":"' || CASE WHEN k % 11 = 0 THEN 'gone' ELSE 'n' || n END || '"}}' FROM s WHERE k % 10 <> 0
+  UNION ALL SELECT graph_id, 'e{{"edge_id":"w' || k || '","edge_seq":' || k || ',"kind":"within","source":"s' || k || '","target":"u"}}' FROM s
+), h AS (SELECT graph_id, sha256(j) AS h FROM j)
+SELECT graph_id, sha256(concat_ws(',', count(*), sum(('0x' || h[1:15])::HUGEINT), sum(('0x' || h[16:30])::HUGEINT), sum(('0x' || h[31:45])::HUGEINT), sum(('0x' || h[46:60])::HUGEINT))) AS digest FROM h GROUP BY graph_id"""
+)
 def gr12_graph_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.graph_digest(nodes(spark, sf_dir), edges(spark, sf_dir))
 
