@@ -156,6 +156,7 @@ def score_candidates(candidate: DataFrame, reference_a: DataFrame, reference_b:
         losses = losses.join(cover, "pair_id", "left").join(forward, "pair_id", "left").join(back, "pair_id", "left")
     cost = structural_edit_cost(candidate, reference_a, reference_b, scale, threshold).select("pair_id", "added", "loss_bits", "added_bits", "residual_absolute_bits")
     known = gate_failures(checks.join(losses, "pair_id").fillna(1.0, ["coverage_a", "coverage_b"]), least_coverage, dedup_epsilon).join(cost, "pair_id", "left")
+    known = known.fillna(0, ["added", "loss_bits", "added_bits", "residual_absolute_bits"])  # no elements in any of the three
     failed, infinite = F.size("gates") > 0, F.lit(float("inf"))
     fit = (F.col("fit_a_bits") + F.col("fit_b_bits")) / 2
     open_ = lambda c, name: F.when(~failed, c).alias(name)

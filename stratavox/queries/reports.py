@@ -199,7 +199,7 @@ CELL_FIELDS = (
 
 
 @query(
-    f"WITH {ELEMENTS}, {CELL_FIELDS} SELECT k.p AS pair_id, gates, round(ca, 4) AS coverage_a, round(cb, 4) AS coverage_b, CASE WHEN len(gates) > 0 THEN 'inf' ELSE printf('%.3f', bits + fit) END AS score, CASE WHEN len(gates) = 0 THEN round(ra, 3) END AS reverse_kl_a_bits, len(gates) = 0 AND added > 0 AS flagged FROM k JOIN cost ON cost.p = k.p"
+    f"WITH {ELEMENTS}, {CELL_FIELDS} SELECT k.p AS pair_id, gates, round(ca, 4) AS coverage_a, round(cb, 4) AS coverage_b, CASE WHEN len(gates) > 0 THEN 'inf' ELSE printf('%.3f', coalesce(bits, 0) + fit) END AS score, CASE WHEN len(gates) = 0 THEN round(ra, 3) END AS reverse_kl_a_bits, len(gates) = 0 AND coalesce(added, 0) > 0 AS flagged FROM k LEFT JOIN cost ON cost.p = k.p"
 )
 def rf11_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates with their two references as elements and fields: vectors are cells, their dimensions units."""
