@@ -1,14 +1,16 @@
 """Benchmark passages in documents, found by CGK embedding and bit-sampling LSH.
 
-The CGK random walk reads a window word by word: at each step it writes the current word
-and moves on or stays, by a random bit of that word and step. Windows a few edits apart
-fall back into step and so differ in few of the written symbols: edit distance becomes
-Hamming distance. Repeated samples of a few steps, over several walks, are the LSH keys.
-
-Every item is represented by all its windows, a document by every ``stride``-th window of
-the sizes that items need, so a copied passage always has aligned windows. Candidates are
-verified by the exact edit distance of the item to the best matching stretch of the text.
-Items travel to the tasks in blocks of bounded size; documents are not shuffled.
+The CGK random walk reads a window character by character: at each step it marks the current
+character and moves on or stays, by a random bit of that character and step. Windows a few edits
+apart fall back into step and so differ in few of the marks: edit distance becomes Hamming
+distance. Repeated samples of a few steps, over several walks, are the LSH keys.
+
+An item may differ in a fifth of its characters, and then no walk over the whole of it stays in
+step. So its windows are short, by its size: every place of an item begins one, and every
+``stride``-th place of a text. An item is a candidate where one of its many windows meets the
+text and the bytes beside the window agree as well, and candidates are verified by the exact edit
+distance of the item to the best matching stretch of the text. Items travel to the tasks in blocks of bounded size; documents are not
+shuffled.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SpanHasher, columns, word_bounds
+from .common import columns
 
 
 def _folding() -> bytes:
@@ -37,181 +39,186 @@ FOLD = _folding()
 
 @dataclass(frozen=True)
 class LeakSettings:
-    #: Window sizes in words with their strides; an item takes the largest size that leaves ``room`` words.
-    sizes: tuple[tuple[int, int], ...] = ((4, 1), (6, 4), (12, 4))
-    room: int = 6
-    walks: int = 3
-    samples: int = 4
-    sampled_steps: int = 7
+    #: ``(least bytes of an item, steps of a walk, sampled steps, stride in the text, bytes that agree)``, by falling size; a walk reads about half as many bytes as it has steps.
+    windows: tuple[tuple[int, int, int, int, int], ...] = ((96, 34, 14, 3, 11), (48, 22, 10, 2, 10), (0, 16, 8, 1, 8))
+    walks: int = 1
+    samples: int = 2
+    #: A met window counts if of so many bytes on both sides of it, in step with the item's, enough agree.
+    beside: int = 16
     #: A text holds an item if their edit distance is at most this share of the item's length.
     distance: float = 0.2
     #: Items of fewer words stand in many texts by chance and are not searched.
     least_words: int = 4
-    block_items: int = 5_000
+    block_items: int = 2_000
     seed: int = 23
 
-    def size(self, words: int) -> tuple[int, int]:
-        fitting = [s for s in self.sizes if s[0] + (self.room if s[1] > 1 else 0) <= words]
-        return fitting[-1] if fitting else self.sizes[0]
+    def window(self, size: int) -> int:
+        """Which kind of window an item of ``size`` bytes takes."""
+        return next(k for k, (least, *_) in enumerate(self.windows) if size >= least)
 
 
-def folded_words(text: str | None) -> list[bytes]:
-    """Lower-case words without ASCII punctuation; a null text has none."""
-    return (text or "").encode().translate(FOLD).split()
+def folded(text: str | None) -> bytes:
+    """Lower-case words without ASCII punctuation, joined by one space; a null text has none."""
+    return b" ".join((text or "").encode().translate(FOLD).split())
 
 
 class Walks:
-    """LSH keys of windows of word hashes."""
+    """LSH keys of windows of bytes."""
 
-    PAD = np.uint64(0x9E3779B97F4A7C15)
+    BLOCK = 1 << 15
 
     def __init__(self, settings: LeakSettings) -> None:
-        self.settings = settings
         rng = np.random.default_rng(settings.seed)
-        self.turn = [np.uint64(int(x) * 2 + 1) for x in rng.integers(1, 2**62, settings.walks)]
-        self.fold = np.uint64(int(rng.integers(1, 2**62)) * 2 + 1)
-        self.steps = {
-            size: [[set(rng.choice(2 * size, min(settings.sampled_steps, 2 * size), replace=False).tolist()) for _ in range(settings.samples)] for _ in range(settings.walks)]
-            for size, _ in settings.sizes
-        }
-
-    def keys(self, words: np.ndarray, start: np.ndarray, size: int) -> Iterator[np.ndarray]:
-        """Keys of the windows that begin at ``start``, one array for each sample of each walk.
-
-        ``words`` ends with as many pads as a walk has steps, and so does each text in it.
-        """
-        for walk, turn in enumerate(self.turn):
-            mixed = words * turn
-            bits = (mixed >> np.uint64(32)).astype(np.uint32)
-            at = start.astype(np.int32)
-            samples = self.steps[size][walk]
-            keys = [np.full(len(start), 1 + size + 64 * (walk * 16 + k), np.uint64) for k in range(len(samples))]
-            for step in range(1 + max(max(s) for s in samples)):
-                wanted = [key for key, steps in zip(keys, samples, strict=True) if step in steps]
-                if wanted:
-                    symbol = mixed.take(at)
-                    for key in wanted:
-                        key *= self.fold
-                        key += symbol
-                at += (bits.take(at) >> np.uint32(step % 32)) & np.uint32(1)
-            for key in keys:
-                key ^= key >> np.uint64(29)
-                key *= self.turn[0]
-                yield key
-
-    def padded(self, lengths: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Words of several texts with pads behind each, and where each text begins."""
-        pads = 2 * max(self.steps)
-        begin = np.cumsum(lengths + pads) - lengths - pads
-        out = np.full(int(lengths.sum()) + pads * len(lengths), self.PAD, np.uint64)
-        out[np.arange(len(words)) + np.repeat(np.arange(len(lengths)) * pads, lengths)] = words
-        return out, begin
-
-
-def substring_distance(item: str, text: str) -> tuple[int, int]:
-    """Smallest edit distance of ``item`` to any stretch of ``text``, and where the best stretch ends."""
-    chars = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-    ramp = np.arange(len(chars) + 1)
-    row = np.zeros(len(chars) + 1, np.int64)
-    for k, c in enumerate(np.frombuffer(item.encode("utf-32-le"), np.uint32), 1):
-        best = np.empty_like(row)
-        best[0] = k
-        best[1:] = np.minimum(row[:-1] + (chars != c), row[1:] + 1)
-        row = np.minimum.accumulate(best - ramp) + ramp
-    return int(row.min()), int(row.argmin())
-
-
-def may_match(item: str, text: str, share: float) -> bool:
-    """False where the text lacks more of the item's trigrams than the allowed edits could break."""
-    held = {text[k : k + 3] for k in range(len(text) - 2)}
-    lost = sum(item[k : k + 3] not in held for k in range(len(item) - 2))
-    return lost <= 3 * share * len(item)
+        longest = max(steps for _, steps, *_ in settings.windows)
+        self.pad = longest + settings.beside
+        self.move = rng.integers(0, 2, (settings.walks, longest, 256), np.int64)
+        self.mark = rng.integers(0, 2**64, (settings.walks, longest, 256), np.uint64)
+        self.sampled = [[[set(rng.choice(steps, taken, replace=False).tolist()) for _ in range(settings.samples)] for _ in range(settings.walks)] for _, steps, taken, *_ in settings.windows]
+        self.first = rng.integers(0, 2**64, (len(settings.windows), settings.walks, settings.samples), np.uint64)
+
+    def joined(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes of several texts with zeros around each, and where each text begins."""
+        lengths = np.array([len(x) + self.pad for x in parts])
+        return np.frombuffer(bytes(self.pad).join([b"", *parts, b""]), np.uint8), np.cumsum(lengths) - lengths + self.pad
+
+    def keys(self, data: np.ndarray, start: np.ndarray, window: int) -> Iterator[tuple[int, np.ndarray]]:
+        """``(k, keys of the windows from start[k] on)`` by blocks, for each sample of each walk."""
+        for k in range(0, len(start), self.BLOCK):
+            for walk, samples in enumerate(self.sampled[window]):
+                at = start[k : k + self.BLOCK].copy()
+                keys = [np.full(len(at), x, np.uint64) for x in self.first[window][walk]]
+                for step in range(1 + max(map(max, samples))):
+                    read = data.take(at).astype(np.intp)
+                    wanted = [key for key, steps in zip(keys, samples, strict=True) if step in steps]
+                    if wanted:
+                        mark = self.mark[walk][step].take(read)
+                        for key in wanted:
+                            key ^= mark
+                    at += self.move[walk][step].take(read)
+                for key in keys:
+                    yield k, key
+
+
+def stretch_distance(item: str, text: str, most: float = np.inf) -> int:
+    """Smallest edit distance of ``item`` to any stretch of ``text``, by bit vectors over the item's places (Myers, 1999).
+
+    Once the rest of the text can't bring it to ``most`` any more, the least one so far.
+    """
+    n = len(item)
+    places: dict[str, int] = {}
+    for k, c in enumerate(item):
+        places[c] = places.get(c, 0) | 1 << k
+    whole, last = (1 << n) - 1, 1 << n - 1
+    up, down, now = whole, 0, n
+    least = now
+    for left, c in zip(range(len(text), 0, -1), text, strict=True):
+        if now - left > most:
+            break
+        same = places.get(c, 0)
+        across = same | down
+        level = ((same & up) + up & whole) ^ up | same
+        rise = down | ~(level | up) & whole
+        fall = up & level
+        if rise & last:
+            now += 1
+        elif fall & last:
+            now -= 1
+            least = min(least, now)
+        rise = rise << 1 & whole
+        up = (fall << 1 | ~(across | rise)) & whole
+        down = rise & across
+    return least
 
 
 class LeakFinder:
     """One block of items, ready to search texts."""
 
-    FILTER = 22
-
     def __init__(self, items: list[tuple[int, str]], settings: LeakSettings) -> None:
         self.settings = settings
-        self.hasher = SpanHasher(settings.seed)
         self.walks = Walks(settings)
-        self.items = []
-        keys, item, offset = [], [], []
-        self.sizes: dict[int, int] = {}
-        for item_id, text in items:
-            words = folded_words(text)
-            if len(words) < settings.least_words:
-                continue
-            size, stride = settings.size(len(words))
-            self.sizes[size] = stride
-            hashes, _ = self.walks.padded(np.array([len(words)]), self.hashes(words))
-            start = np.arange(len(words) - size + 1)
-            for k in self.walks.keys(hashes, start, size):
-                keys.append(k)
-                item.append(np.full(len(start), len(self.items)))
-                offset.append(start)
-            self.items.append((item_id, b" ".join(words).decode(errors="replace"), len(words)))
-        self.keys = np.concatenate(keys) if keys else np.empty(0, np.uint64)
-        order = np.argsort(self.keys)
-        self.keys = self.keys[order]
-        self.item = (np.concatenate(item) if item else np.empty(0, np.int64))[order]
-        self.offset = (np.concatenate(offset) if offset else np.empty(0, np.int64))[order]
-        self.present = np.zeros(1 << self.FILTER, bool)
-        self.present[(self.keys >> np.uint64(64 - self.FILTER)).astype(np.int64)] = True
-
-    def hashes(self, words: list[bytes]) -> np.ndarray:
-        data, start, end = word_bounds(words)
-        return self.hasher.spans(self.hasher.prefix(data), start, end)
-
-    def candidates(self, words: list[list[bytes]]) -> set[tuple[int, int, int]]:
-        """(text, item, first word of the item in the text) of texts taken together."""
-        lengths = np.array([len(w) for w in words])
-        found: set[tuple[int, int, int]] = set()
-        if not lengths.sum() or not len(self.keys):
-            return found
-        hashes, begin = self.walks.padded(lengths, self.hashes([w for own in words for w in own]))
-        for size, stride in self.sizes.items():
-            windows = -(-lengths // stride)
-            text = np.repeat(np.arange(len(words)), windows)
-            place = (np.arange(len(text)) - np.repeat(np.cumsum(windows) - windows, windows)) * stride
-            for keys in self.walks.keys(hashes, begin[text] + place, size):
-                at = np.flatnonzero(self.present[(keys >> np.uint64(64 - self.FILTER)).astype(np.int64)])
-                if len(at):
-                    low = np.searchsorted(self.keys, keys[at])
-                    high = np.searchsorted(self.keys, keys[at], side="right")
-                    for k, a, b in zip(at[high > low].tolist(), low[high > low].tolist(), high[high > low].tolist(), strict=True):
-                        found.update((int(text[k]), int(self.item[x]), int(place[k] - self.offset[x])) for x in range(a, b))
-        return found
-
-    def find(self, texts: list[str | None], group_words: int = 100_000) -> list[list[tuple[int, int, int]]]:
+        kept = [(i, x) for i, x in ((i, folded(t)) for i, t in items) if x.count(b" ") + 1 >= settings.least_words]
+        self.items = [(i, x.decode(errors="replace"), len(x)) for i, x in kept]
+        self.data, begin = self.walks.joined([x for _, x in kept])
+        self.begin = begin
+        self.index: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for window, (_, steps, *_) in enumerate(settings.windows):
+            own = [k for k, (_, _, n) in enumerate(self.items) if settings.window(n) == window]
+            if own:
+                many = np.array([max(1, self.items[k][2] - steps // 2 + 1) for k in own])
+                item = np.repeat(np.array(own), many)
+                offset = np.arange(len(item)) - np.repeat(np.cumsum(many) - many, many)
+                found = list(self.walks.keys(self.data, begin[item] + offset, window))
+                keys = np.concatenate([x for _, x in found])
+                place = np.concatenate([np.arange(k, k + len(x)) for k, x in found])
+                order = np.argsort(keys, kind="stable")
+                self.index[window] = keys[order], item[place[order]].astype(np.int32), offset[place[order]].astype(np.int32)
+        self.shift, self.present = 0, None
+
+    def filter(self) -> tuple[np.uint64, np.ndarray]:
+        """Which leading bits of keys occur; made in the task, so that it does not travel."""
+        if self.present is None:
+            bits = max(16, int(sum(len(x) for x, _, _ in self.index.values())).bit_length() + 4)
+            self.shift = np.uint64(64 - bits)
+            self.present = np.zeros(1 << bits, bool)
+            for keys, _, _ in self.index.values():
+                self.present[(keys >> self.shift).astype(np.intp)] = True
+        return self.shift, self.present
+
+    def alike(self, data: np.ndarray, at: np.ndarray, of: np.ndarray, window: int) -> np.ndarray:
+        """Whether enough of the bytes around windows at ``at`` agree with the items' around ``of``."""
+        wide = self.settings.beside
+        _, reach, _, _, agree = self.settings.windows[window]
+        reach //= 2
+        same = np.zeros(len(at), np.int8)
+        for k in (*range(-wide, 0), *range(reach, reach + wide)):
+            read = data.take(at + k)
+            same += (read == self.data.take(of + k)) & (read > 0)
+        return same >= agree
+
+    def candidates(self, parts: list[bytes]) -> np.ndarray:
+        """Distinct ``(text, item, eighth of the item's first byte in the text)`` of texts taken together."""
+        data, begin = self.walks.joined(parts)
+        lengths = np.array([len(x) for x in parts])
+        shift, present = self.filter()
+        met = [np.empty((0, 3), np.int64)]
+        for window, (keys, item, offset) in self.index.items():
+            stride = self.settings.windows[window][3]
+            many = -(-lengths // stride)
+            text = np.repeat(np.arange(len(parts)), many)
+            place = (np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many)) * stride
+            for k, found in self.walks.keys(data, begin[text] + place, window):
+                at = np.flatnonzero(present.take((found >> shift).astype(np.intp)))
+                low = np.searchsorted(keys, found[at])
+                times = np.searchsorted(keys, found[at], side="right") - low
+                total = int(times.sum())
+                if total:
+                    hit = np.repeat(low - np.cumsum(times) + times, times) + np.arange(total)
+                    own = np.repeat(at + k, times)
+                    alike = self.alike(data, begin[text[own]] + place[own], self.begin[item[hit]] + offset[hit], window)
+                    own, hit = own[alike], hit[alike]
+                    met.append(np.unique(np.stack([text[own], item[hit], (place[own] - offset[hit]) >> 3], axis=1), axis=0))
+        return np.unique(np.concatenate(met), axis=0)
+
+    def find(self, texts: list[str | None], group_bytes: int = 1_000_000) -> list[list[tuple[int, int, int]]]:
         """For each text its leaks ``(item_id, edit distance, item length)``, the best of each item."""
         out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-        words = [folded_words(t) for t in texts]
+        parts = [folded(t) for t in texts]
         at = 0
-        while at < len(words):
+        while at < len(parts):
             to, total = at, 0
-            while to < len(words) and (to == at or total + len(words[to]) <= group_words):
-                total += len(words[to])
+            while to < len(parts) and (to == at or total + len(parts[to]) <= group_bytes):
+                total += len(parts[to])
                 to += 1
             best: dict[tuple[int, int], int] = {}
-            tried: set[tuple[int, int, int]] = set()
-            for text, item, first in sorted(self.candidates(words[at:to])):
-                _, target, n = self.items[item]
-                if best.get((text, item)) == 0 or (text, item, first // 4) in tried:
+            for text, item, eighth in self.candidates(parts[at:to]).tolist():
+                if best.get((text, item)) == 0:
                     continue
-                tried.add((text, item, first // 4))
-                slack = max(4, n // 4)
-                own = words[at + text]
-                stretch = b" ".join(own[max(0, first - slack) : max(0, first + n + slack)]).decode(errors="replace")
-                if target in stretch:
-                    distance = 0
-                elif not may_match(target, stretch, self.settings.distance):
-                    continue
-                else:
-                    distance = substring_distance(target, stretch)[0]
-                if distance <= self.settings.distance * len(target):
+                _, target, size = self.items[item]
+                slack = 12 + size // 4
+                stretch = parts[at + text][max(0, 8 * eighth - slack) : max(0, 8 * eighth + size + slack)]
+                least = self.settings.distance * len(target)
+                distance = stretch_distance(target, stretch.decode(errors="replace"), least)
+                if distance <= least:
                     best[text, item] = min(distance, best.get((text, item), distance))
             for (text, item), distance in sorted(best.items()):
                 out[at + text].append((self.items[item][0], distance, len(self.items[item][1])))
@@ -249,7 +256,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, settings: LeakSettings = LeakSe
 
 
 def filter_documents(docs: DataFrame, benchmark: DataFrame, settings: LeakSettings = LeakSettings(), text: str = "text") -> DataFrame:
-    """The rows of ``docs`` without leaks, with all their columns; nothing is shuffled."""
+    """The rows of ``docs`` without leaks, with all their columns; nothing is shuffled.
+
+    Null and empty texts hold no item and stay; texts of any length are searched whole;
+    repeated rows stay or go together; an empty table on either side changes nothing.
+    Other columns are carried and not read, whatever their names.
+    """
     place = docs.columns.index(text)
     for finder in finders(benchmark, settings):
 

@@ -148,7 +148,7 @@ def test_decontamination(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     bench = spark.createDataFrame([*items, (77, None), (None, "some text without id that is long enough"), (78, "two words")], "item_id long, text string")
     got = {(r.doc_id, r.item_id): r.distance for r in decontamination.leaks(docs, bench).collect()}
-    folded = lambda t: b" ".join(decontamination.folded_words(t)).decode()
+    folded = lambda t: decontamination.folded(t).decode()
     want = {}
     for d, t in rows:
         for i, x in items:
@@ -164,6 +164,34 @@ def test_decontamination(spark):
     assert {(r.doc_id, r.item_id): r.distance for r in decontamination.leaks(docs, bench, many).collect()} == got
 
 
+def test_stretch_distance():
+    rng = random.Random(3)
+    for _ in range(400):
+        a, b = ("".join(rng.choice("abcé") for _ in range(rng.randrange(low, 25))) for low in (1, 0))
+        want = edit_distance_in(a, b)
+        assert decontamination.stretch_distance(a, b) == want
+        assert (decontamination.stretch_distance(a, b, 3) <= 3) == (want <= 3)
+
+
+@pytest.mark.parametrize(("words", "share", "least"), [(5, 10, 0.8), (8, 15, 0.9), (12, 15, 0.9), (20, 18, 0.9), (40, 18, 0.9)])
+def test_decontamination_recall_of_edited_characters(words, share, least):
+    """Characters replaced, doubled and dropped anywhere in the item; in one very long text and in short ones."""
+    rng = random.Random(words)
+    items = [(k, prose(rng, words, 3000)) for k in range(60)]
+    finder = decontamination.LeakFinder(items, decontamination.LeakSettings())
+    texts, allowed = [], []
+    for _, item in items:
+        letters = list(item)
+        for k in rng.sample(range(len(letters)), len(letters) * share // 100):
+            letters[k] = rng.choice(["", "ab", *"efghij"])
+        texts.append(f"{prose(rng, 30, 3000)} {''.join(letters)} {prose(rng, 30, 3000)}")
+        target = decontamination.folded(item).decode()
+        allowed.append(decontamination.stretch_distance(target, decontamination.folded(texts[-1]).decode()) <= 0.2 * len(target))
+    for found in (finder.find(texts), finder.find([" ".join(texts)]) * 60):
+        hits = sum(k in [x[0] for x in f] for k, f in enumerate(found) if allowed[k])
+        assert sum(allowed) >= 20 and hits >= least * sum(allowed)
+
+
 def luhn(digits):
     total = 0
     for k, c in enumerate(reversed(digits)):
