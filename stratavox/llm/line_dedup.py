@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WHITESPACE, columns, map_batches, partitions, texts, written
+from .common import WHITESPACE, columns, map_batches, partitions, texts, unused, written
 from .cuckoo import CuckooFilter
 
 LOWER = {k: k + 32 for k in range(65, 91)}
@@ -168,9 +168,11 @@ def indexed(docs: DataFrame, rules: LineRules, batches: int = 2, doc_id: str = "
     return index
 
 
-def _cut(docs: DataFrame, rules: LineRules, batches: int, doc_id: str, text: str) -> DataFrame:
-    drops = indexed(docs, rules, batches, doc_id, text).dropped(rules).groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_list(F.struct(*KEY)).alias("__drop"))
-    return docs.join(drops, F.col(f"`{doc_id}`").cast("long") == F.col("__doc"), "left").drop("__doc")
+def _cut(docs: DataFrame, rules: LineRules, batches: int, doc_id: str, text: str, drop: str) -> DataFrame:
+    """``docs`` with the keys that each row loses in a column ``drop``, null where none."""
+    (holder,) = unused(docs, "holder")
+    drops = indexed(columns(docs, doc_id, text), rules, batches, doc_id, text).dropped(rules).groupBy(F.col("doc_id").alias(holder)).agg(F.collect_list(F.struct(*KEY)).alias(drop))
+    return docs.join(drops, F.col(f"`{doc_id}`").cast("long") == F.col(holder), "left").drop(holder)
 
 
 def _kept_lines(value: str | None, drops: list[dict] | None, rules: LineRules) -> tuple[int, list[str]]:
@@ -189,7 +191,7 @@ def dedup_lines(docs: DataFrame, rules: LineRules = LineRules(), batches: int =
     are one holder, each loses its lines by the same rule; a null doc_id holds no key and
     loses no line. Other columns are not read.
     """
-    joined = _cut(columns(docs, doc_id, text).toDF("doc_id", "text"), rules, batches, "doc_id", "text")
+    joined = _cut(columns(docs, doc_id, text).toDF("doc_id", "text"), rules, batches, "doc_id", "text", "gone")
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = [_kept_lines(t, d, rules) for t, d in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
@@ -199,15 +201,16 @@ def dedup_lines(docs: DataFrame, rules: LineRules = LineRules(), batches: int =
             names=["doc_id", "n_lines", "n_dropped", "kept_sha256", "kept_text"],
         )
 
-    return map_batches(joined.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "__drop"), cut, "doc_id long, n_lines long, n_dropped long, kept_sha256 string, kept_text string")
+    return map_batches(joined.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "gone"), cut, "doc_id long, n_lines long, n_dropped long, kept_sha256 string, kept_text string")
 
 
 def rewrite_documents(docs: DataFrame, rules: LineRules = LineRules(), batches: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with repeated lines taken out of ``text``; all rows and other columns stay."""
-    joined = _cut(docs, rules, batches, doc_id, text)
+    """``docs`` with repeated lines taken out of ``text``; all rows and other columns stay, whatever their names."""
+    (gone,) = unused(docs, "gone")
+    joined = _cut(docs, rules, batches, doc_id, text, gone)
 
     @F.pandas_udf("string")
     def kept(values: pd.Series, drops: pd.Series) -> pd.Series:
         return pd.Series([v if d is None or not len(d) else "\n".join(_kept_lines(v, d, rules)[1]) for v, d in zip(values, drops, strict=True)], dtype=object)
 
-    return joined.withColumn(text, F.when(F.col("__drop").isNull(), F.col(f"`{text}`")).otherwise(kept(F.col(f"`{text}`"), F.col("__drop")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return joined.withColumn(text, F.when(F.col(gone).isNull(), F.col(f"`{text}`")).otherwise(kept(F.col(f"`{text}`"), F.col(gone)))).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SpanHasher, connected_components, packed, unpacked, written
+from .common import SpanHasher, connected_components, packed, unpacked, unused, written
 
 
 @dataclass(frozen=True)
@@ -594,15 +594,16 @@ def keep_one(docs: DataFrame, settings: JaccardSettings = JaccardSettings(), doc
     """
     found = written(joined_rows(docs, settings, doc_id, text).where("n_shingles > 0"), "join")
     first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("th") == F.col("first.th"))
-    key = [F.col("doc_id").alias("__d"), F.col("th").alias("__t")]
-    hashed = docs.withColumn("__th", F.xxhash64(F.col(f"`{text}`")))
+    key_id, key_text, hashed_text = unused(docs, "key_id", "key_text", "hashed_text")
+    key = [F.col("doc_id").alias(key_id), F.col("th").alias(key_text)]
+    hashed = docs.withColumn(hashed_text, F.xxhash64(F.col(f"`{text}`")))
 
     def among(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
-        return rows.join(keys, F.col(f"`{doc_id}`").cast("long").eqNullSafe(F.col("__d")) & (F.col("__th") == F.col("__t")), how)
+        return rows.join(keys, F.col(f"`{doc_id}`").cast("long").eqNullSafe(F.col(key_id)) & (F.col(hashed_text) == F.col(key_text)), how)
 
     left = among(hashed, found.where(~first).select(*key).distinct(), "left_anti")
-    again = found.where(first).groupBy(*key).count().where("count > 1").select("__d", "__t")
+    again = found.where(first).groupBy(*key).count().where(F.col("count") > 1).select(key_id, key_text)
     if again.take(1):
         again = written(again, "repeated")
-        left = among(left, again, "left_anti").unionAll(among(left, again, "left_semi").dropDuplicates([doc_id, "__th"]))
-    return left.drop("__th")
+        left = among(left, again, "left_anti").unionAll(among(left, again, "left_semi").dropDuplicates([doc_id, hashed_text]))
+    return left.drop(hashed_text)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, map_batches, texts, written
+from .common import columns, map_batches, texts, unused, written
 
 SYMBOLS = b"#*$%&|<>"
 STATS = "doc_id long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long"
@@ -154,14 +154,16 @@ def filter_documents(docs: DataFrame, rules: HostRules = HostRules(), text: str
     """The rows of ``docs`` that are kept, with all their columns.
 
     Texts are not shuffled where the hosts' verdicts are small: a row's own failures are
-    computed beside it. Rows with equal doc_id are judged each by their own text.
+    computed beside it. Rows with equal doc_id are judged each by their own text. Nulls are
+    judged as in ``judge``; other columns are carried, whatever their names.
     """
-    bad = host_rates(written(flagged(document_stats(docs, text, doc_id, host, rules.window), rules), "quality-stats")).where(F.col("rate") > rules.host_rate).select(F.col("host").alias("__bad_host"))
+    verdict, bad_host = unused(docs, "verdict", "bad_host")
+    bad = host_rates(written(flagged(document_stats(docs, text, doc_id, host, rules.window), rules), "quality-stats")).where(F.col("rate") > rules.host_rate).select(F.col("host").alias(bad_host))
     if bad.count() <= rules.broadcast_hosts:
         bad = F.broadcast(bad)
     from_text = verdict_column(text, rules)
-    marked = docs.withColumn("__v", from_text).join(bad, F.col(f"`{host}`").cast("string").eqNullSafe(F.col("__bad_host")), "left")
-    return marked.where((F.col("__v") == 0) | ((F.col("__v") == 1) & F.col("__bad_host").isNull())).select(*[F.col(f"`{c}`") for c in docs.columns])
+    marked = docs.withColumn(verdict, from_text).join(bad, F.col(f"`{host}`").cast("string").eqNullSafe(F.col(bad_host)), "left")
+    return marked.where((F.col(verdict) == 0) | ((F.col(verdict) == 1) & F.col(bad_host).isNull())).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def verdict_column(text: str, rules: HostRules):
