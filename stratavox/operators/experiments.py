@@ -41,32 +41,66 @@ def _tried(experiments: DataFrame) -> DataFrame:
     return first.select("a", F.explode("p").alias("b")).where("a < b").distinct()
 
 
+def _reaching(values: DataFrame, value: str, most: int, slack: Column, scored) -> DataFrame:
+    """Rows of ``values`` that can stand in one of the ``most`` best pairs, whose score is at most both values' sum and ``slack``.
+
+    The pairs of the highest values give a score to reach; a row that misses it even with the
+    highest value of all is left out. The first rows double until they give enough pairs.
+    """
+    taken, whole = 32 + most, values.count()
+    while taken < whole:
+        first = values.orderBy(F.desc(value)).limit(taken)
+        found = scored(first).select("score").orderBy(F.desc("score")).limit(most).agg(F.count("score").alias("n"), F.min("score").alias("least")).first()
+        if found.n == most:
+            top = values.agg(F.max(value).alias("top"), slack.alias("slack")).first()
+            return values.where(F.col(value) + F.lit(top.top) + F.lit(top.slack) >= F.lit(found.least) - F.lit(1e-9 * (1 + abs(found.least))))
+        taken *= 2
+    return values
+
+
 def crossbreed_pairs(experiments: DataFrame, most: int = 5, prefer_orthogonal: bool = True) -> DataFrame:
     """``a, b, mutual_info, score`` of the best pairs of admitted experiments that no record has combined, ``a`` the one of higher value (of lower id on ties).
 
     The score is the values' sum less the mean of the two look-ups of their mutual
-    information. Every two admitted rows are paired, so the table should be a bounded one.
+    information. Only rows that can reach the last of the best scores are paired.
     """
-    kept = admitted(experiments).select("experiment_id", "feature_layer_name", F.coalesce("predicted_value", F.lit(0.0)).alias("value"), "mutual_info")
-    a = kept.select(F.col("experiment_id").alias("a"), F.col("feature_layer_name").alias("layer_a"), F.col("value").alias("value_a"), F.col("mutual_info").alias("info_a"))
-    b = kept.select(F.col("experiment_id").alias("b"), F.col("feature_layer_name").alias("layer_b"), F.col("value").alias("value_b"), F.col("mutual_info").alias("info_b"))
-    pairs = a.join(b, F.col("a") < F.col("b")).join(_tried(experiments).toDF("ta", "tb"), (F.col("a") == F.col("ta")) & (F.col("b") == F.col("tb")), "left_anti")
     look = lambda info, layer: F.coalesce(F.try_element_at(info, layer), F.lit(0.0))
     shared = (look("info_a", F.col("layer_b")) + look("info_b", F.col("layer_a"))) / 2 if prefer_orthogonal else F.lit(0.0)
-    scored = pairs.select("a", "b", "value_a", "value_b", shared.alias("mutual_info"), (F.col("value_a") + F.col("value_b") - shared).alias("score"))
+    tried = _tried(experiments).toDF("ta", "tb")
+    kept = admitted(experiments).select("experiment_id", "feature_layer_name", F.coalesce("predicted_value", F.lit(0.0)).alias("value"), "mutual_info")
+    lowest = F.coalesce(F.min(F.array_min(F.map_values("mutual_info"))), F.lit(0.0)) if prefer_orthogonal else F.lit(0.0)
+    kept = _reaching(kept, "value", most, -F.least(lowest, F.lit(0.0)), lambda rows: _scored_pairs(rows, tried, shared))
+    scored = _scored_pairs(kept, tried, shared)
     best = F.greatest("value_a", "value_b")
     first = scored.orderBy(F.desc("score"), best.desc(), "a", "b").limit(most)
     later = F.col("value_b") > F.col("value_a")
     return first.select(F.when(later, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(later, F.col("a")).otherwise(F.col("b")).alias("b"), "mutual_info", "score")
 
 
+def _scored_pairs(kept: DataFrame, tried: DataFrame, shared: Column) -> DataFrame:
+    """Pairs of rows that no record has combined, ``a < b``, with their score."""
+    a = kept.select(F.col("experiment_id").alias("a"), F.col("feature_layer_name").alias("layer_a"), F.col("value").alias("value_a"), F.col("mutual_info").alias("info_a"))
+    b = kept.select(F.col("experiment_id").alias("b"), F.col("feature_layer_name").alias("layer_b"), F.col("value").alias("value_b"), F.col("mutual_info").alias("info_b"))
+    pairs = a.join(b, F.col("a") < F.col("b")).join(tried, (F.col("a") == F.col("ta")) & (F.col("b") == F.col("tb")), "left_anti")
+    return pairs.select("a", "b", "value_a", "value_b", shared.alias("mutual_info"), (F.col("value_a") + F.col("value_b") - shared).alias("score"))
+
+
 def crossbreed_best(experiments: DataFrame, mi_index: DataFrame) -> DataFrame:
-    """The best pair of successes by absolute gains less indexed mutual information (``pair_id, mi, pos``; the last row of a pair wins)."""
+    """The best pair of successes by absolute gains less indexed mutual information (``pair_id, mi, pos``; the last row of a pair wins).
+
+    Only rows that can reach the best score are paired.
+    """
     good = experiments.where("bic_delta < 0").select("experiment_id", F.abs("bic_delta").alias("gain"))
-    a, b = good.toDF("a", "gain_a"), good.toDF("b", "gain_b")
     newest = mi_index.groupBy("pair_id").agg(F.max_by("mi", "pos").alias("mi"))
-    pairs = a.join(b, F.col("a") < F.col("b")).withColumn("pair_id", F.concat_ws("_", "a", "b")).join(newest, "pair_id", "left")
-    return pairs.select("a", "b", (F.col("gain_a") + F.col("gain_b") - F.coalesce("mi", F.lit(0.0))).alias("score")).orderBy(F.desc("score"), "a", "b").limit(1)
+
+    def scored(rows: DataFrame) -> DataFrame:
+        a, b = rows.toDF("a", "gain_a"), rows.toDF("b", "gain_b")
+        pairs = a.join(b, F.col("a") < F.col("b")).withColumn("pair_id", F.concat_ws("_", "a", "b")).join(newest, "pair_id", "left")
+        return pairs.select("a", "b", (F.col("gain_a") + F.col("gain_b") - F.coalesce("mi", F.lit(0.0))).alias("score"))
+
+    lowest = newest.agg(F.min("mi").alias("mi")).first().mi
+    reaching = _reaching(good, "gain", 1, F.lit(max(0.0, -(lowest or 0.0))), scored)
+    return scored(reaching).orderBy(F.desc("score"), "a", "b").limit(1)
 
 
 def mi_index_for_new(experiments: DataFrame, new: DataFrame) -> DataFrame:

@@ -290,3 +290,33 @@ def test_entry_works_without_the_corpus_part():
     code = "import sys; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; print(len(e.queries()) > 60, 'pipeline' in e.queries())"
     out = subprocess.run([sys.executable, "-c", code], cwd=REPO, capture_output=True, text=True)
     assert out.stdout.split() == ["True", "False"], out.stderr
+
+
+@pytest.mark.parametrize("orthogonal", [True, False])
+def test_best_pairs_equal_those_of_all_pairs(spark, orthogonal):
+    """More rows than are paired at first, negative information, ties, tried pairs and nulls."""
+    rng = random.Random(5)
+    rows = []
+    for k in range(160):
+        info = {f"l{rng.randrange(160)}": rng.choice([-3.0, 0.5, 2.0]) for _ in range(4)}
+        parents = [f"e{rng.randrange(8):03}" for _ in range(2)] if k % 3 == 0 else None
+        rows.append((f"e{k:03}", f"l{k}", None if k % 11 == 0 else float(rng.randrange(30)), k % 7 > 0, -float(rng.randrange(1, 40)), info if k % 5 else None, parents))
+    table = spark.createDataFrame(rows, "experiment_id string, feature_layer_name string, predicted_value double, admitted boolean, bic_delta double, mutual_info map<string, double>, parent_experiments array<string>")
+    tried = {tuple(sorted(set(r[6]))) for r in rows if r[6] and len(set(r[6])) == 2}
+    pairs = []
+    good = [r for r in rows if r[3]]
+    for i, a in enumerate(good):
+        for b in good[i + 1 :]:
+            shared = ((a[5] or {}).get(b[1], 0.0) + (b[5] or {}).get(a[1], 0.0)) / 2 if orthogonal else 0.0
+            x, y = a[2] or 0.0, b[2] or 0.0
+            if (a[0], b[0]) not in tried:
+                pairs.append((-(x + y - shared), -max(x, y), *((b[0], a[0]) if y > x else (a[0], b[0])), a[0], b[0]))
+    want = [(p[2], p[3], -p[0]) for p in sorted(pairs, key=lambda p: (p[0], p[1], p[4], p[5]))[:5]]
+    assert [(r.a, r.b, r.score) for r in experiments.crossbreed_pairs(table, 5, orthogonal).collect()] == want
+    index = spark.createDataFrame([("e001_e002", -90.0, 1), ("e003_e004", -200.0, 1), ("e003_e004", 5.0, 2)], "pair_id string, mi double, pos int")
+    best = experiments.crossbreed_best(table, index).first()
+    assert (best.a, best.b, best.score) == ("e001", "e002", 90 - rows[1][4] - rows[2][4])
+    top = sorted((r[4], r[0]) for r in rows)[:2]
+    best = experiments.crossbreed_best(table, index.where("mi > 0")).first()
+    assert best.score == -top[0][0] - top[1][0]
+    assert experiments.crossbreed_pairs(table.limit(0)).count() == 0 and experiments.crossbreed_best(table.limit(0), index.limit(0)).count() == 0
