@@ -164,6 +164,27 @@ def test_decontamination(spark):
     assert {(r.doc_id, r.item_id): r.distance for r in decontamination.leaks(docs, bench, many).collect()} == got
 
 
+CLASHING = ["verdict", "Bad_Host", "holder", "GONE", "key_id", "key_text", "hashed_text", "__v", "__drop", "__doc", "__th", "count", "h1"]
+
+
+def test_filters_carry_columns_of_any_name(spark):
+    rng = random.Random(11)
+    line, copy = "a line that three documents hold", prose(rng, 60, 3000)
+    texts = [f"{prose(rng, 30, 3000)}\n{line}" for _ in range(3)] + [copy, copy, copy + " end", "short", "", None]
+    plain = spark.createDataFrame([(k, t, "s") for k, t in enumerate(texts)], "doc_id long, text string, source string")
+    wide = plain.select("*", *[F.concat(F.lit(c), F.col("doc_id").cast("string")).alias(c) for c in CLASHING])
+    bench = spark.createDataFrame([(1, copy)], "item_id long, text string")
+    steps = [(quality_rules.filter_documents, {0, 1, 2, 3, 4, 5}), (line_dedup.rewrite_documents, set(range(9))), (ngram_join.keep_one, {0, 1, 2, 3, 6, 7, 8}), (lambda d: decontamination.filter_documents(d, bench), {0, 1, 2, 6, 7, 8})]
+    for step, kept in steps:
+        got = step(wide)
+        assert got.columns == wide.columns
+        rows = {r.doc_id: r for r in got.collect()}
+        assert rows.keys() == kept
+        assert all(r[c] == f"{c}{k}" for k, r in rows.items() for c in CLASHING)
+    lines = {r.doc_id: r.text for r in line_dedup.rewrite_documents(wide).collect()}
+    assert [line in lines[k] for k in range(3)] == [False, False, True]
+
+
 def test_stretch_distance():
     rng = random.Random(3)
     for _ in range(400):
