@@ -104,10 +104,15 @@ def export_rows(episodes: DataFrame, transforms: list[Transform]) -> tuple[DataF
 
 
 def publish_rows(rows: DataFrame, folder: str) -> str:
-    """Writes rows as a new export and then points ``latest`` to it; an export is never overwritten."""
+    """Writes rows as a new export and then points ``latest`` to it; an export is never overwritten.
+
+    The content hash is that of the number of rows and of sums of four 60-bit parts of their digests, so no task meets all rows.
+    """
     export = f"export-{uuid.uuid4().hex}"
     rows.write.mode("error").json(f"{folder}/exports/{export}")
-    content = row_hash(rows).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.left("h", F.lit(16)))), ","), 256).alias("content_hash"), F.count("*").alias("rows"))
+    piece = lambda k: F.conv(F.substring("h", 15 * k + 1, 15), 16, 10).cast("decimal(20,0)")
+    sums = row_hash(rows).agg(F.count("*").alias("rows"), *[F.coalesce(F.sum(piece(k)), F.lit(0)).alias(f"s{k}") for k in range(4)])
+    content = sums.withColumn("content_hash", F.sha2(F.concat_ws(",", *[F.col(c).cast("string") for c in ("rows", "s0", "s1", "s2", "s3")]), 256))
     content.select(F.lit(export).alias("export_id"), "content_hash", "rows").coalesce(1).write.mode("overwrite").json(f"{folder}/latest")
     return export
 

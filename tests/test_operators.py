@@ -200,6 +200,12 @@ def test_published_exports(spark, tmp_path):
     second = training.publish_rows(rows, f"file://{tmp_path}")
     latest = spark.read.json(f"file://{tmp_path}/latest").first()
     assert first != second == latest.export_id and latest.rows == 2
+    hashes = {latest.content_hash}
+    for change, new in ((rows.orderBy(F.desc("row_id")), 0), (rows.limit(1), 1), (rows.unionAll(rows), 1), (rows.limit(0), 1)):
+        training.publish_rows(change, f"file://{tmp_path}")
+        hashes.add(spark.read.json(f"file://{tmp_path}/latest").first().content_hash)
+        assert new or len(hashes) == 1
+    assert len(hashes) == 4
     assert spark.read.json(f"file://{tmp_path}/exports/{first}").count() == 2
 
 
