@@ -7,13 +7,18 @@ into coordinates, in which a squared-hinge support vector machine is trained on
 labelled sentences. For scoring, landmarks and weights collapse, without loss, into one
 table of weights by subsequence.
 
-Sentences inherit the label of their document. A document's score is a logistic function
-of its highest string scores, fitted on the same training documents.
+Sentences inherit the label of their document; one that a clean document holds too is
+clean. Strings that stand mostly in toxic sentences are the positive examples, together with
+virtual ones that hold a gap or one more letter; clean strings that come out high join the
+negative ones, round by round. A document's score is a logistic function of its highest
+string scores, fitted on a third of the training documents, whose strings the machine has
+not met. Its weights are not negative: one more insult never lowers a score.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -61,16 +66,26 @@ class ToxicitySettings:
     toxic_documents: int = 1500
     clean_documents: int = 3000
     document_chars: int = 30_000
-    strings: int = 24_000
-    landmarks: int = 192
+    strings: int = 48_000
+    landmarks: int = 384
     decay: float = 0.7
     span: int = 7
     ridge: float = 1e-5
-    #: Toxic sentences that a string must stand in to count as an example.
+    #: Toxic sentences that a string must stand in to count as an example: at least this
+    #: many, and this share of the toxic documents.
     support: int = 5
+    support_share: float = 0.025
+    #: Log-odds of such a string, and the weight of its virtual examples against its own.
+    odds: float = 3.0
+    virtual: float = 0.3
+    #: Rounds of fitting; each adds clean strings whose value is above ``margin``.
+    turns: int = 3
+    margin: float = -0.6
     #: Share of the toxic documents in the weights of the logistic function.
-    toxic_share: float = 0.35
+    toxic_share: float = 0.15
     threshold: float = 0.3
+    #: One part of this many of the sample fits the logistic function, the others the machine.
+    parts: int = 3
     seed: int = 11
 
 
@@ -156,7 +171,7 @@ class StringMachine:
             top = sorted((known[w] for w in words), reverse=True)[:3]
             n = sum(words.values())
             high = sum(c for w, c in words.items() if known[w] > 0)
-            row[:] = 1, (max(top[0], -3) if top else -3), (max(top[-1], -3) if len(top) == 3 else -3), high / np.sqrt(n + 1)
+            row[:] = 1, (np.clip(top[0], -3, 1) if top else -3), (np.clip(top[-1], -3, 1) if len(top) == 3 else -3), high / np.sqrt(n + 1)
         return out
 
     def scores(self, texts: list[bytes], known: dict[bytes, float]) -> np.ndarray:
@@ -167,13 +182,22 @@ class StringMachine:
 def fit(texts: list[bytes], toxic: list[int], settings: ToxicitySettings = ToxicitySettings()) -> StringMachine:
     """Machine from labelled texts. With labels of one class only, every score is low."""
     rng = np.random.default_rng(settings.seed)
+    # Copies of a document hold the same sentences: each distinct one counts once, as toxic if no clean document holds it.
+    sentences: dict[bytes, int] = {}
+    aside = np.array([zlib.crc32(t) % settings.parts == 0 for t in texts], bool)
+    target = np.array(toxic, np.float64)
+    if len(set(target[aside])) < 2 or len(set(target[~aside])) < 2:
+        aside[:] = False
+    for text, label in zip((t for t, a in zip(texts, aside, strict=True) if not a), target[~aside].astype(int).tolist(), strict=True):
+        for sentence in SENTENCE.split(text):
+            words = b" ".join(strings(sentence))
+            sentences[words] = min(label, sentences.get(words, 1))
     totals = Counter(), Counter()
     counts = [0, 0]
-    for text, label in zip(texts, toxic, strict=True):
-        for sentence in SENTENCE.split(text):
-            units = {p for w in strings(sentence) for p in pieces(w) if len(p) >= min(ORDERS)}
-            totals[label].update(units)
-            counts[label] += bool(units)
+    for sentence, label in sentences.items():
+        units = {p for w in sentence.split() for p in pieces(w) if len(p) >= min(ORDERS)}
+        totals[label].update(units)
+        counts[label] += bool(units)
     empty = {order: np.zeros(SIZE**order + 1, np.float32) for order in ORDERS}
     if not all(counts):
         return StringMachine(settings, empty, -1.0)
@@ -181,16 +205,16 @@ def fit(texts: list[bytes], toxic: list[int], settings: ToxicitySettings = Toxic
     odds = lambda w: np.log((totals[1][w] + 0.2) / counts[1]) - np.log((totals[0][w] + 0.2) / counts[0])
     vocabulary = sorted(set(totals[0]) | set(totals[1]))
     strength = np.array([abs(odds(w)) * np.log1p(totals[0][w] + totals[1][w]) for w in vocabulary])
+    support = max(settings.support, settings.support_share * target[~aside].sum())
     # A string of few sentences tells little: without clean support it is left to its neighbours.
-    label = np.array([1.0 if odds(w) > 1.5 and totals[1][w] >= settings.support else -1.0 if totals[0][w] and odds(w) < 0.7 else 0.0 for w in vocabulary])
+    label = np.array([1.0 if odds(w) > settings.odds and totals[1][w] >= support else -1.0 if totals[0][w] and odds(w) < 0.7 else 0.0 for w in vocabulary])
     vocabulary, strength, label = [w for w, k in zip(vocabulary, label, strict=True) if k], strength[label != 0], label[label != 0]
     if not (label > 0).any() or not (label < 0).any():
         return StringMachine(settings, empty, -1.0)
     order = np.argsort(-strength, kind="stable")
     half = settings.strings // 2
     chosen = np.concatenate([order[:half], rng.permutation(order[half:])[:half]])
-    items, y, weight = [vocabulary[k] for k in chosen], label[chosen], np.minimum(strength[chosen], 8.0)
-    weight = np.where(y > 0, weight / weight[y > 0].sum() if (y > 0).any() else 0, weight / max(1e-9, weight[y < 0].sum()))
+    items, y, pull = [vocabulary[k] for k in chosen], label[chosen], np.minimum(strength[chosen], 8.0)
 
     positive = [k for k in np.argsort(-strength[chosen] * (y > 0), kind="stable")[: settings.landmarks * 2 // 3] if y[k] > 0]
     negative = [k for k in rng.permutation(len(items)) if y[k] < 0][: settings.landmarks - len(positive)]
@@ -228,30 +252,53 @@ def fit(texts: list[bytes], toxic: list[int], settings: ToxicitySettings = Toxic
     values, vectors = np.linalg.eigh(kernel(marks).astype(np.float64))
     keep = values > 1e-6 * values.max()
     root = vectors[:, keep] / np.sqrt(values[keep])
-    x = np.concatenate([kernel(items) @ root, np.ones((len(items), 1))], axis=1)
-    beta = np.zeros(x.shape[1])
+    coordinates = lambda of: np.concatenate([kernel(of) @ root, np.ones((len(of), 1))], axis=1)
+    for k in np.flatnonzero(y > 0):  # virtual examples: the string with a gap or with one more letter at each inner place
+        made = [items[k][:at] + more + items[k][at:] for at in range(1, len(items[k])) for more in (b"\x1f", bytes([97 + int(rng.integers(26))]))]
+        items += made
+        y, pull = np.append(y, np.ones(len(made))), np.append(pull, np.full(len(made), settings.virtual * pull[k] / max(1, len(made))))
+    x = coordinates(items)
+    others = [w for w, k in zip(vocabulary, label, strict=True) if k < 0]
     penalty = settings.ridge * np.eye(x.shape[1])
     penalty[-1, -1] = 1e-8
-    for _ in range(30):  # Newton steps of the squared hinge
-        inside = y * (x @ beta) < 1
-        xi, wi = x[inside], weight[inside]
-        new = np.linalg.solve((xi * wi[:, None]).T @ xi + penalty, (xi * wi[:, None]).T @ y[inside])
-        if np.abs(new - beta).max() < 1e-8:
-            break
-        beta = new
-    collapsed = root @ beta[:-1]
-    for size in ORDERS:
-        empty[size][:-1] = (rows[size] @ collapsed)[columns_of[size][:-1]]
-    machine = StringMachine(settings, empty, float(beta[-1]))
-
-    features, target = machine.highest(texts, {}), np.array(toxic, np.float64)
+    for turn in range(settings.turns):
+        weight = np.where(y > 0, pull / pull[y > 0].sum(), pull / max(1e-9, pull[y < 0].sum()))
+        beta = np.zeros(x.shape[1])
+        for _ in range(30):  # Newton steps of the squared hinge
+            inside = y * (x @ beta) < 1
+            xi, wi = x[inside], weight[inside]
+            new = np.linalg.solve((xi * wi[:, None]).T @ xi + penalty, (xi * wi[:, None]).T @ y[inside])
+            if np.abs(new - beta).max() < 1e-8:
+                break
+            beta = new
+        collapsed = root @ beta[:-1]
+        tables = {size: empty[size].copy() for size in ORDERS}
+        for size in ORDERS:
+            tables[size][:-1] = (rows[size] @ collapsed)[columns_of[size][:-1]]
+        machine = StringMachine(settings, tables, float(beta[-1]))
+        if turn + 1 < settings.turns:  # clean strings that come out highest join the examples
+            value = machine.decide(others)
+            worst = [k for k in np.argsort(-value, kind="stable")[: settings.strings // 8] if value[k] > settings.margin]
+            if not worst:
+                break
+            x = np.concatenate([x, coordinates([others[k] for k in worst])])
+            y, pull = np.append(y, -np.ones(len(worst))), np.append(pull, np.full(len(worst), 8.0))
+
+    if aside.any():  # documents whose strings the machine has not met weigh its values
+        texts, target = [t for t, a in zip(texts, aside, strict=True) if a], target[aside]
+    features = machine.highest(texts, {})
     share = np.where(target > 0, settings.toxic_share / max(1, target.sum()), (1 - settings.toxic_share) / max(1, (1 - target).sum()))
-    theta = np.zeros(features.shape[1])
-    for _ in range(50):  # Newton steps of the logistic function
-        p = 1 / (1 + np.exp(-np.clip(features @ theta, -30, 30)))
-        slope = features.T @ (share * (p - target)) + 2e-3 * theta * [0, 1, 1, 1]
-        curve = (features * (share * p * (1 - p))[:, None]).T @ features + 2e-3 * np.diag([1e-3, 1, 1, 1])
-        theta = theta - np.linalg.solve(curve, slope)
+    used = np.ones(features.shape[1], bool)
+    while True:  # a string may not lower a document's score: features with a negative weight go
+        theta, f = np.zeros(features.shape[1]), features[:, used]
+        for _ in range(50):  # Newton steps of the logistic function
+            p = 1 / (1 + np.exp(-np.clip(f @ theta[used], -30, 30)))
+            slope = f.T @ (share * (p - target)) + (2e-3 * theta * [0, 1, 1, 1])[used]
+            curve = (f * (share * p * (1 - p))[:, None]).T @ f + 2e-3 * np.diag(np.array([1e-3, 1, 1, 1])[used])
+            theta[used] -= np.linalg.solve(curve, slope)
+        if (theta[1:] >= 0).all():
+            break
+        used &= np.append(True, theta[1:] >= 0)
     machine.document = theta
     return machine
 

@@ -292,6 +292,24 @@ def test_toxicity(spark):
     assert toxicity.score(docs.limit(0), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).count() == 0
 
 
+def test_toxic_strings_tolerate_gaps_and_never_lower_a_score():
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice(["an", "er", "th", "ou", "in", "re", "ti"]) for _ in range(3))
+    sentence = lambda: " ".join(word() for _ in range(12)) + ". "
+    clean = ["".join(sentence() for _ in range(rng.randrange(2, 9))) for _ in range(300)]
+    # Each insult in sentences of its own; ten copies of one toxic text teach nothing more than one does.
+    toxic = ["".join(sentence() for _ in range(rng.randrange(1, 6))) + f"Such a {rng.choice(['blockhead', 'scoundrel'])} and {word()} {rng.choice(['blockhead', 'scoundrel'])}." for _ in range(100)]
+    copied = "quibblers " + sentence()
+    texts = clean + toxic + [toxic[0] + copied] * 10
+    machine = toxicity.fit([t.encode() for t in texts], [0] * 300 + [1] * 110)
+    assert (machine.document[1:] >= 0).all()
+    decide = lambda w: machine.decide([w])[0]
+    assert decide(b"quibblers") < 0.5 < min(decide(w) for w in (b"blockhead", b"bl\x1fockhead", b"blockzhead", b"scoun\x1fdrel", b"scxoundrel"))
+    for text in ["", *clean[:40], *toxic[:40]]:
+        before, after = machine.scores([text.encode(), (text + " blockhead").encode()], {})
+        assert after >= before
+
+
 def test_collapsed_machine_is_the_kernel_expansion():
     rng = random.Random(1)
     texts = [" ".join("".join(rng.choice("abcde") for _ in range(6)) for _ in range(20)) + (" zyxwv zyxwv" if k % 2 else "") for k in range(60)]
