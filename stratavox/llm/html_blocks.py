@@ -19,10 +19,25 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 SPACE = frozenset("br wbr img input hr".split())
 
 
+class Element:
+    """An open element: its tag, the words of its class, id and role, and the element around it.
+
+    ``slots`` and ``main`` are what a reader finds out about the whole path down to here.
+    """
+
+    __slots__ = ("tag", "marks", "up", "depth", "slots", "main")
+
+    def __init__(self, tag: str, marks: list[str], up: Element | None) -> None:
+        self.tag, self.marks, self.up = tag, marks, up
+        self.depth: int = up.depth + 1 if up else 1
+        self.slots: int | None = None
+        self.main: bool | None = None
+
+
 class Block(NamedTuple):
     text: str
-    #: Tags above the block from the root, each with the words of its class, id and role.
-    path: tuple[tuple[str, ...], ...]
+    #: The innermost element around the block; the whole path up to the root hangs on it.
+    path: Element | None
     #: Share of the characters that stand in links.
     linked: float
 
@@ -35,29 +50,39 @@ def blocks(page: str | None) -> list[Block]:
     """
     page = page or ""
     found: list[Block] = []
-    stack: list[tuple[str, ...]] = []
+    stack: list[Element] = []
+    #: Where each tag, and any element that is not inline, is open in the stack.
+    places: dict[str, list[int]] = {}
+    outer: list[int] = []
     parts: list[str] = []
-    path: tuple[tuple[str, ...], ...] | None = None
+    path: Element | None = None
+    inside = False
     linked = 0
-    links = 0
 
     def add(raw: str) -> None:
-        nonlocal path, linked
+        nonlocal path, inside, linked
         if raw:
             parts.append(raw)
-            if path is None and not raw.isspace():
-                path = tuple(stack[:8] + stack[8:][-24:])
-            if links:
+            if not inside and not raw.isspace():
+                path, inside = stack[-1] if stack else None, True
+            if places.get("a"):
                 linked += len(raw)
 
     def flush() -> None:
-        nonlocal parts, path, linked
+        nonlocal parts, path, inside, linked
         if parts:
             raw = "".join(parts)
             text = " ".join(html.unescape(raw).split())
             if text:
-                found.append(Block(text, path or (), min(1.0, linked / max(1, len(raw.strip())))))
-        parts, path, linked = [], None, 0
+                found.append(Block(text, path, min(1.0, linked / max(1, len(raw.strip())))))
+        parts, path, inside, linked = [], None, False, 0
+
+    def close(k: int) -> None:
+        """Ends the elements from place ``k`` of the stack on."""
+        while len(stack) > k:
+            places[stack.pop().tag].pop()
+        while outer and outer[-1] >= k:
+            outer.pop()
 
     at = 0
     for m in TOKEN.finditer(page):
@@ -76,31 +101,24 @@ def blocks(page: str | None) -> list[Block]:
         inline = tag in INLINE
         if not inline:
             flush()
+        last = outer[-1] if outer else -1
         if m["end"]:
-            for k in range(len(stack) - 1, max(-1, len(stack) - 65), -1):
-                if stack[k][0] == tag:
-                    links -= sum(x[0] == "a" for x in stack[k:])
-                    del stack[k:]
-                    break
-                if inline and stack[k][0] not in INLINE:
-                    break
+            if places.get(tag) and not (inline and places[tag][-1] < last):
+                close(places[tag][-1])
             continue
-        if not inline and stack:
-            for k in range(len(stack) - 1, max(-1, len(stack) - 33), -1):
-                name = stack[k][0]
-                if name == "p" or name == tag and tag in ("li", "dt", "dd", "td", "th", "tr", "option"):
-                    links -= sum(x[0] == "a" for x in stack[k:])
-                    del stack[k:]
-                    break
-                if name not in INLINE:
-                    break
+        if not inline and outer:
+            name = stack[last].tag
+            if name == "p" or name == tag and tag in ("li", "dt", "dd", "td", "th", "tr", "option"):
+                close(last)
         marks: list[str] = []
         if m["attrs"]:
             for _, a, b, c in ATTRIBUTE.findall(m["attrs"]):
-                marks += WORD.findall((a or b or c).lower())[:8]
+                marks += WORD.findall((a or b or c).lower())
         if m["attrs"][-1:] != "/":
-            stack.append((tag, *marks))
-            links += tag == "a"
+            places.setdefault(tag, []).append(len(stack))
+            if not inline:
+                outer.append(len(stack))
+            stack.append(Element(tag, marks, stack[-1] if stack else None))
     add(page[at:])
     flush()
     return found

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import columns
-from .html_blocks import Block, blocks
+from .html_blocks import Block, Element, blocks
 
 TAGS, PARENT, WORDS, OTHER = 128, 32, 48, 6
 #: Names that mark what is and is not main text where a page uses them.
@@ -50,19 +50,41 @@ class Vectors:
 
     def __init__(self) -> None:
         self.words: dict[str, int] = {}
-        self.paths: dict[tuple, np.ndarray] = {}
-
-    def path(self, path: tuple[tuple[str, ...], ...]) -> np.ndarray:
-        at = self.paths.get(path)
+        self.paths: dict[tuple[int, str], np.ndarray] = {}
+        self.elements: dict[tuple[str, ...], int] = {}
+
+    def path(self, element: Element | None) -> np.ndarray:
+        """Slots of all elements around a block, and of the innermost one's tag."""
+        above = []
+        while element is not None and element.slots is None:
+            above.append(element)
+            element = element.up
+        bits = element.slots or 0 if element is not None else 0
+        for element in reversed(above):
+            bits |= self.own(element.tag, tuple(element.marks))
+            element.slots = bits
+        key = (bits, element.tag if element is not None else "")
+        at = self.paths.get(key)
         if at is None:
             if len(self.paths) > 20_000:
                 self.paths.clear()
-            slots = {slot("m" if k else "t", x, TAGS) for element in path for k, x in enumerate(element)}
-            if path:
-                slots.add(TAGS + slot("p", path[-1][0], PARENT))
-            at = self.paths[path] = np.array(sorted(slots), np.int64)
+            slots = [k for k in range(TAGS) if bits >> k & 1]
+            if element is not None:
+                slots.append(TAGS + slot("p", element.tag, PARENT))
+            at = self.paths[key] = np.array(slots, np.int64)
         return at
 
+    def own(self, tag: str, marks: tuple[str, ...]) -> int:
+        bits = self.elements.get((tag, *marks))
+        if bits is None:
+            if len(self.elements) > 20_000:
+                self.elements.clear()
+            bits = 1 << slot("t", tag, TAGS)
+            for x in marks:
+                bits |= 1 << slot("m", x, TAGS)
+            self.elements[tag, *marks] = bits
+        return bits
+
     def word(self, w: str) -> int:
         if len(self.words) > 200_000:
             self.words.clear()
@@ -70,20 +92,19 @@ class Vectors:
         return at
 
     def page(self, found: list[Block]) -> np.ndarray:
-        """One row for each block. Of a long block, words at even distances are read."""
+        """One row for each block, from all its words and all elements around it."""
         out = np.zeros((len(found), TAGS + PARENT + WORDS + OTHER), np.float32)
         known = self.words
         for row, block in zip(out, found, strict=True):
             row[self.path(block.path)] = 1.0
             words = block.text.split()
-            words = words[:: len(words) // 24 + 1]
             counts = np.bincount([known[w] if w in known else self.word(w) for w in words], minlength=WORDS)
             row[TAGS + PARENT : TAGS + PARENT + WORDS] = counts / np.sqrt(counts @ counts)
             row[-OTHER:] = (
                 np.log1p(len(block.text)) / 8,
                 block.linked,
                 sum(w[-1] in ".,;:!?" for w in words) / len(words),
-                min(1.0, len(block.path) / 12),
+                min(1.0, block.path.depth / 12) if block.path else 0.0,
                 block.text[-1] in ".!?",
                 1.0,
             )
@@ -216,15 +237,25 @@ class BlockLabeller:
 
 def label_by_markup(found: list[Block]) -> np.ndarray:
     """1 for blocks whose nearest telling element is an article or main element."""
-    out = np.zeros(len(found), np.float32)
-    for k, block in enumerate(found):
-        for tag, *marks in reversed(block.path):
-            if tag in ASIDE or not ASIDE_MARKS.isdisjoint(marks):
-                break
-            if tag in MAIN:
-                out[k] = 1
-                break
-    return out
+    return np.array([in_main(block.path) for block in found], np.float32)
+
+
+def in_main(element: Element | None) -> bool:
+    """Whether the nearest telling element is an article or main element."""
+    above, main = [], False
+    while element is not None and element.main is None:
+        above.append(element)
+        if element.tag in ASIDE or not ASIDE_MARKS.isdisjoint(element.marks):
+            break
+        if element.tag in MAIN:
+            main = True
+            break
+        element = element.up
+    else:
+        main = bool(element is not None and element.main)
+    for x in above:
+        x.main = main
+    return main
 
 
 class Layouts:
