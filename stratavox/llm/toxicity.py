@@ -252,7 +252,14 @@ def fit(texts: list[bytes], toxic: list[int], settings: ToxicitySettings = Toxic
     values, vectors = np.linalg.eigh(kernel(marks).astype(np.float64))
     keep = values > 1e-6 * values.max()
     root = vectors[:, keep] / np.sqrt(values[keep])
-    coordinates = lambda of: np.concatenate([kernel(of) @ root, np.ones((len(of), 1))], axis=1)
+
+    def coordinates(of: list[bytes]) -> np.ndarray:
+        """Nyström coordinates and a 1, in blocks of bounded size."""
+        out = np.ones((len(of), root.shape[1] + 1), np.float32)
+        for k in range(0, len(of), 4096):
+            out[k : k + 4096, :-1] = kernel(of[k : k + 4096]) @ root
+        return out
+
     for k in np.flatnonzero(y > 0):  # virtual examples: the string with a gap or with one more letter at each inner place
         made = [items[k][:at] + more + items[k][at:] for at in range(1, len(items[k])) for more in (b"\x1f", bytes([97 + int(rng.integers(26))]))]
         items += made
@@ -265,9 +272,13 @@ def fit(texts: list[bytes], toxic: list[int], settings: ToxicitySettings = Toxic
         weight = np.where(y > 0, pull / pull[y > 0].sum(), pull / max(1e-9, pull[y < 0].sum()))
         beta = np.zeros(x.shape[1])
         for _ in range(30):  # Newton steps of the squared hinge
-            inside = y * (x @ beta) < 1
-            xi, wi = x[inside], weight[inside]
-            new = np.linalg.solve((xi * wi[:, None]).T @ xi + penalty, (xi * wi[:, None]).T @ y[inside])
+            left, right = penalty.copy(), np.zeros(x.shape[1])
+            for k in range(0, len(x), 4096):
+                xi, yi = x[k : k + 4096].astype(np.float64), y[k : k + 4096]
+                wi = np.where(yi * (xi @ beta) < 1, weight[k : k + 4096], 0.0)
+                left += (xi * wi[:, None]).T @ xi
+                right += xi.T @ (wi * yi)
+            new = np.linalg.solve(left, right)
             if np.abs(new - beta).max() < 1e-8:
                 break
             beta = new
