@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -28,14 +30,23 @@ PARAMETERS = {
 }
 
 
+def held(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once a row, as a lambda's variable; a column put in many places is computed in each, and code as long as that stays uncompiled."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def parse_uncertainty(text: Column) -> Column:
     """Struct with ``kind`` and ``valid``; null text gives null.
 
     A stated kind wins, in any case; else the keys present tell it, in the order point,
     gaussian, interval, categorical, orientation, distribution.
     """
-    u = F.from_json(text, SCHEMA)
-    has = lambda *names: F.forall(F.array(*[u[n].isNotNull() for n in names]), lambda x: x)
+    return F.when(text.isNotNull(), held(F.from_json(text, SCHEMA), _described))
+
+
+def _described(u: Column) -> Column:
+    """The fields of a parsed text with their ``kind`` and whether they are ``valid``."""
+    has = lambda *names: reduce(lambda a, b: a & b, [u[n].isNotNull() for n in names])
     by_keys = (
         F.when(has("value"), "point").when(has("mean", "std"), "gaussian").when(has("lo", "hi"), "interval").when(has("probs"), "categorical")
         .when(has("dip_mean", "dip_kappa", "azimuth_mean", "azimuth_kappa"), "orientation").when(has("name", "params"), "distribution")
@@ -49,7 +60,7 @@ def parse_uncertainty(text: Column) -> Column:
         .when(kind == "orientation", u["dip_mean"].between(0, 90) & (u["dip_kappa"] > 0) & (u["azimuth_mean"] >= 0) & (u["azimuth_mean"] < 360) & (u["azimuth_kappa"] > 0))
         .when(kind == "distribution", u["name"].isin(*DISTRIBUTIONS) & u["params"].isNotNull()).otherwise(False)
     )
-    return F.when(text.isNotNull(), F.struct(kind.alias("kind"), F.coalesce(valid, F.lit(False)).alias("valid"), *[u[n].alias(n) for n in NAMES[1:]]))
+    return F.struct(kind.alias("kind"), F.coalesce(valid, F.lit(False)).alias("valid"), *[u[n].alias(n) for n in NAMES[1:]])
 
 
 def parameters(u: Column, name: str) -> dict[str, Column]:
@@ -81,6 +92,10 @@ def by_kind(u: Column, kinds: dict[str, Column], named: dict[str, Column]) -> Co
 
 def nominal(u: Column) -> Column:
     """The nominal number of a value: means, an interval's middle, a triangle's mode; null for categories and orientations."""
+    return held(u, _nominal)
+
+
+def _nominal(u: Column) -> Column:
     p = {name: parameters(u, name) for name in DISTRIBUTIONS}
     log, b = p["lognormal"], p["beta"]
     return by_kind(
@@ -119,8 +134,13 @@ def truncated_variance(mean: pd.Series, std: pd.Series, lo: pd.Series, hi: pd.Se
 
 def variance(u: Column) -> Column:
     """Variance; 0 for a point; null for intervals, categories and orientations."""
+    ends = held(u, lambda u: F.when((u["kind"] == "distribution") & (u["name"] == "truncnorm"), F.struct(*[x.alias(k) for k, x in parameters(u, "truncnorm").items()])))
+    return F.coalesce(held(u, _closed_variance), truncated_variance(*[ends[k] for k in ("mean", "std", "lo", "hi")]))
+
+
+def _closed_variance(u: Column) -> Column:
     p = {name: parameters(u, name) for name in DISTRIBUTIONS}
-    (lo, hi), t, log, b, n = (p["uniform"][k] for k in ("lo", "hi")), p["triangular"], p["lognormal"], p["beta"], p["truncnorm"]
+    (lo, hi), t, log, b = (p["uniform"][k] for k in ("lo", "hi")), p["triangular"], p["lognormal"], p["beta"]
     square = F.exp(log["sigma"] * log["sigma"])
     a, c, d = t["lo"], t["mode"], t["hi"]
     both = b["alpha"] + b["beta"]
@@ -129,7 +149,7 @@ def variance(u: Column) -> Column:
         {"point": F.lit(0.0), "gaussian": u["std"] * u["std"]},
         {
             "uniform": (hi - lo) * (hi - lo) / 12, "triangular": (a * a + c * c + d * d - a * c - a * d - c * d) / 18, "lognormal": (square - 1) * log["scale"] * log["scale"] * square,
-            "truncnorm": truncated_variance(n["mean"], n["std"], n["lo"], n["hi"]), "beta": (b["hi"] - b["lo"]) * (b["hi"] - b["lo"]) * b["alpha"] * b["beta"] / (both * both * (both + 1)),
+            "beta": (b["hi"] - b["lo"]) * (b["hi"] - b["lo"]) * b["alpha"] * b["beta"] / (both * both * (both + 1)),
         },
     )
 
@@ -148,7 +168,10 @@ def interval_as_distribution(lo: Column, hi: Column, name: str, mode: Column | N
 def sample_number(u: Column, seed: int, *key: Column | str) -> Column:
     """A number drawn of a point, gaussian, interval, uniform, triangular or lognormal value; null for others. Equal seed and key give equal numbers."""
     x, y = draws.uniform(seed, *key, F.lit("0")), draws.uniform(seed, *key, F.lit("1"))
-    z = draws.normal(x, y)
+    return held(F.struct(u.alias("u"), x.alias("x"), draws.normal(x, y).alias("z")), lambda h: _drawn(h["u"], h["x"], h["z"]))
+
+
+def _drawn(u: Column, x: Column, z: Column) -> Column:
     p, t, log = parameters(u, "uniform"), parameters(u, "triangular"), parameters(u, "lognormal")
     lo, mode, hi = t["lo"], t["mode"], t["hi"]
     rise, fall = lo + F.sqrt(x * (hi - lo) * (mode - lo)), hi - F.sqrt((1 - x) * (hi - lo) * (hi - mode))
@@ -186,18 +209,23 @@ def _rare(name: pd.Series, p: pd.Series, q: pd.Series, r: pd.Series, s: pd.Serie
     return pd.DataFrame(out, columns=["number", "dip", "azimuth"])
 
 
+def _rare_parameters(u: Column) -> Column:
+    n, b = parameters(u, "truncnorm"), parameters(u, "beta")
+    rare = F.when(u["kind"] == "orientation", "orientation").when((u["kind"] == "distribution") & u["name"].isin("truncnorm", "beta"), u["name"])
+    pick = lambda orientation, truncnorm, other: F.when(rare == "orientation", orientation).when(rare == "truncnorm", truncnorm).when(rare == "beta", other)
+    return F.struct(
+        rare.alias("name"), pick(u["dip_mean"], n["mean"], b["alpha"]).alias("p"), pick(u["dip_kappa"], n["std"], b["beta"]).alias("q"), pick(u["azimuth_mean"], n["lo"], b["lo"]).alias("r"), pick(u["azimuth_kappa"], n["hi"], b["hi"]).alias("s")
+    )
+
+
 def sample(u: Column, seed: int, *key: Column | str) -> Column:
     """One draw of a parsed value: struct ``number, category, dip, azimuth`` with those that its kind has.
 
     Equal seed and key give equal draws, wherever the row is. Truncated normal, beta and
     orientation values are drawn in arrays by an Arrow helper, all others by expressions.
     """
-    n, b = parameters(u, "truncnorm"), parameters(u, "beta")
-    rare = F.when(u["kind"] == "orientation", "orientation").when((u["kind"] == "distribution") & u["name"].isin("truncnorm", "beta"), u["name"])
-    pick = lambda orientation, truncnorm, other: F.when(rare == "orientation", orientation).when(rare == "truncnorm", truncnorm).when(rare == "beta", other)
-    drawn = _rare(
-        rare, pick(u["dip_mean"], n["mean"], b["alpha"]), pick(u["dip_kappa"], n["std"], b["beta"]), pick(u["azimuth_mean"], n["lo"], b["lo"]), pick(u["azimuth_kappa"], n["hi"], b["hi"]), draws.uniform(seed, *key, F.lit("0"))
-    )
+    rare = held(u, _rare_parameters)
+    drawn = _rare(*[rare[k] for k in ("name", *"pqrs")], draws.uniform(seed, *key, F.lit("0")))
     clean = lambda name: F.when(~F.isnan(drawn[name]), drawn[name])
     return F.struct(
         F.coalesce(sample_number(u, seed, *key), clean("number")).alias("number"), sample_category(u, seed, *key).alias("category"), clean("dip").alias("dip"), clean("azimuth").alias("azimuth")

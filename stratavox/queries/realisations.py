@@ -30,7 +30,9 @@ VARIANCE = [
 
 def values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts with a parsed uncertain value ``u``."""
-    text = F.get(F.array(*[F.replace(F.replace(F.lit(t), F.lit("%(s)s"), F.col("p_size").cast("string")), F.lit("%(v)s"), F.col("p_retailprice").cast("string")) for t in VALUES]), (F.col("p_partkey") % len(VALUES)).cast("int"))
+    text = F.get(F.array(*map(F.lit, VALUES)), (F.col("p_partkey") % len(VALUES)).cast("int"))
+    for mark, name in (("%(s)s", "p_size"), ("%(v)s", "p_retailprice")):
+        text = F.replace(text, F.lit(mark), F.col(name).cast("string"))
     return table(spark, sf_dir, "part").select("p_partkey", uncertainty.parse_uncertainty(text).alias("u"))
 
 

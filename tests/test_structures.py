@@ -27,6 +27,15 @@ def test_uncertain_values_as_stated(spark):
         assert r.n == (None if n is None else pytest.approx(n)) and r.v == (None if v is None else pytest.approx(v)), rows[r.k]
 
 
+def test_a_text_is_parsed_once_for_all_uses(spark):
+    """Each use of a parsed value took its text apart anew, hundreds of times a row."""
+    u = spark.range(3).select("id", U(F.concat(F.lit('{"value": '), F.col("id").cast("string"), F.lit("}"))).alias("u"))
+    used = u.select(uncertainty.nominal(F.col("u")).alias("n"), uncertainty.variance(F.col("u")).alias("v"), uncertainty.sample(F.col("u"), 7, "id")["number"].alias("x"))
+    plan = used._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 1
+    assert sorted((r.n, r.v, r.x) for r in used.collect()) == [(k, 0.0, k) for k in (0.0, 1.0, 2.0)]
+
+
 def test_draws_have_the_stated_moments(spark):
     texts = {
         "truncnorm": '{"name": "truncnorm", "params": {"mean": 0, "std": 1, "lo": -1, "hi": 2}}', "tail": '{"name": "truncnorm", "params": {"mean": 0, "std": 1, "lo": 5, "hi": 1e9}}', "beta": '{"name": "beta", "params": {"alpha": 0.5, "beta": 2}}',
