@@ -8,16 +8,36 @@ from itertools import combinations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import stored
+
 
 def describe_columns(df: DataFrame, names: list[str]) -> DataFrame:
-    """``column_name, n, mean, std, min, q25, q50, q75, max`` of each column, in one pass."""
-    aggregates = []
-    for c in names:
-        x = F.col(c).cast("double")
-        aggregates.append(
-            F.struct(F.lit(c).alias("column_name"), F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev(x).alias("std"), F.min(x).alias("min"), F.percentile(x, 0.25).alias("q25"), F.percentile(x, 0.5).alias("q50"), F.percentile(x, 0.75).alias("q75"), F.max(x).alias("max")).alias(c)
-        )
-    return df.agg(F.array(*aggregates).alias("all")).select(F.inline("all"))
+    """``column_name, n, mean, std, min, q25, q50, q75, max`` of each column; quantiles are exact, between two values in proportion.
+
+    Equal values are counted, distinct ones lie sorted in ranges, and only the ranges that hold a
+    wanted rank are ranked value by value, so no task holds a column.
+    """
+    number = lambda c: F.col(c).cast("double")
+    aggregates = [F.struct(F.lit(c).alias("column_name"), F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max")).alias(c) for c in names for x in [number(c)]]
+    whole = stored(df.agg(F.array(*aggregates).alias("all")).select(F.inline("all")), "describe-columns")
+    long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), number(c).alias("value")) for c in names]))).where("value is not null")
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = long.groupBy("column_name", "value").agg(F.count("*").alias("times")).repartitionByRange(ranges, "column_name", "value")
+    counts = stored(counts.withColumn("range", F.spark_partition_id()), "describe-values")
+
+    places = {f"q{int(100 * q)}": (F.col("n") - 1) * q for q in (0.25, 0.5, 0.75)}
+    wanted = whole.select("column_name", F.explode(F.array_distinct(F.array(*[f(x) for x in places.values() for f in (F.floor, F.ceil)]))).alias("place"))
+    by_range = Window.partitionBy("column_name").orderBy("range")  # a row for each range
+    sizes = counts.groupBy("column_name", "range").agg(F.sum("times").alias("size")).withColumn("start", F.sum("size").over(by_range) - F.col("size"))
+    held = wanted.join(sizes, "column_name").where((F.col("place") >= F.col("start")) & (F.col("place") < F.col("start") + F.col("size"))).select("column_name", "range", "start").distinct()
+    by_value = Window.partitionBy("column_name", "range").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counts.join(F.broadcast(held), ["column_name", "range"]).withColumn("end", F.col("start") + F.sum("times").over(by_value))
+    met = ranked.join(F.broadcast(wanted), "column_name").where((F.col("place") >= F.col("end") - F.col("times")) & (F.col("place") < F.col("end")))
+    values = met.groupBy("column_name").agg(F.map_from_entries(F.collect_list(F.struct("place", "value"))).alias("at"))
+
+    at = lambda place: F.try_element_at("at", place)
+    between = lambda x: F.when(F.floor(x) == F.ceil(x), at(F.floor(x))).otherwise((F.ceil(x) - x) * at(F.floor(x)) + (x - F.floor(x)) * at(F.ceil(x)))
+    return whole.join(values, "column_name", "left").select("column_name", "n", "mean", "std", "min", *[between(x).alias(q) for q, x in places.items()], "max")
 
 
 def aggregate_by_band(df: DataFrame, depth: str, width: float, measure: str) -> DataFrame:

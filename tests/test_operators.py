@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from stratavox import queries
 from stratavox.functions import texts, uncertainty
 from stratavox.grid import SURVEY_GRID, Grid, grid_cells
-from stratavox.operators import experiments, fields, graph, runlogs, scoring, spatial, training
+from stratavox.operators import experiments, explore, fields, graph, runlogs, scoring, spatial, training
 from stratavox.streaming import logs
 
 REPO = Path(__file__).resolve().parent.parent
@@ -217,6 +217,19 @@ def test_uncertainty(spark):
     assert got[3].c == "b"
 
 
+def test_described_columns(spark):
+    """Exact quantiles without a percentile over a whole column in one task."""
+    rows = [(None if k % 11 == 0 else float(k * k % 97), k % 3, None) for k in range(400)]
+    got = explore.describe_columns(spark.createDataFrame(rows, "a double, b int, c double").repartition(3), ["a", "b", "c"])
+    assert "percentile" not in got._jdf.queryExecution().optimizedPlan().toString()
+    found = {r.column_name: r for r in got.collect()}
+    for name, values in (("a", [r[0] for r in rows if r[0] is not None]), ("b", [r[1] for r in rows])):
+        r = found[name]
+        assert (r.n, r.min, r.max, r.mean, r.std) == (len(values), min(values), max(values), pytest.approx(np.mean(values)), pytest.approx(np.std(values, ddof=1)))
+        assert [r.q25, r.q50, r.q75] == pytest.approx(np.quantile(values, [0.25, 0.5, 0.75]).tolist())
+    assert (found["c"].n, found["c"].q50, found["c"].max) == (0, None, None)
+
+
 def test_graphs(spark):
     links = [("g", "e1", 1, "overlies", "a", "b"), ("g", "e2", 2, "overlies", "b", "c"), ("h", "e3", 1, "overlies", "x", "y"), ("h", "e4", 2, "overlies", "y", "x"), ("h", "e5", 3, "overlies", "x", "z")]
     edges = spark.createDataFrame(links, "graph_id string, edge_id string, edge_seq int, kind string, source string, target string")
