@@ -69,10 +69,14 @@ def rasterize_lines(lines: DataFrame, grid: Grid) -> DataFrame:
     keep = [c for c in lines.columns if c not in ("lon0", "lat0", "depth0", "lon1", "lat1", "depth1", "width_m")]
     # The line is straight: all samples are in range if both ends are.
     whole = grid.inside(F.col("lon0"), F.col("lat0"), F.col("depth0")) & grid.inside(F.col("lon1"), F.col("lat1"), F.col("depth1"))
-    sampled = lines.where(whole).withColumn("samples", n).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("samples") - 1)))
+    # A short row stands for up to thousands of voxels: lines are dealt out before that, and voxels known by one number.
+    dealt = lines.where(whole).repartition(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    sampled = dealt.withColumn("samples", n).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("samples") - 1)))
     share = F.col("k") / (F.col("samples") - 1)
     points = sampled.select(*keep, *[(F.col(a) + share * (F.col(b) - F.col(a))).alias(name) for a, b, name in ends], (F.col("width_m") / 2).alias("radius_m"))
-    return _spheres(points, grid, keep).distinct()
+    voxels = _spheres(points, grid, keep).select(*keep, "voxel_id").distinct()
+    _, ny, nz = grid.shape
+    return voxels.select("*", F.expr(f"int(voxel_id div {ny * nz})").alias("ix"), F.expr(f"int((voxel_id div {nz}) % {ny})").alias("iy"), F.expr(f"int(voxel_id % {nz})").alias("iz"))
 
 
 def paint_layer(ops: DataFrame, rule: str, base: DataFrame | None = None) -> DataFrame:

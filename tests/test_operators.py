@@ -230,6 +230,16 @@ def test_described_columns(spark):
     assert (found["c"].n, found["c"].q50, found["c"].max) == (0, None, None)
 
 
+def test_lines_are_dealt_out(spark):
+    """All samples of a file's lines were made in the task that reads it."""
+    line = spark.createDataFrame([(k, 117.85, -27.43, 5.0, 117.85 + k / 1000, -27.42, 9.0, 900.0) for k in range(12)], "op_id long, lon0 double, lat0 double, depth0 double, lon1 double, lat1 double, depth1 double, width_m double").coalesce(1)
+    voxels = spatial.rasterize_lines(line, SURVEY_GRID)
+    assert "Repartition" in voxels._jdf.queryExecution().optimizedPlan().toString()
+    cells = voxels.collect()
+    assert len({r.op_id for r in cells}) == 12 and len({(r.op_id, r.voxel_id) for r in cells}) == len(cells)
+    assert all(r.voxel_id == (r.ix * 200 + r.iy) * 8 + r.iz for r in cells)
+
+
 def test_graphs(spark):
     links = [("g", "e1", 1, "overlies", "a", "b"), ("g", "e2", 2, "overlies", "b", "c"), ("h", "e3", 1, "overlies", "x", "y"), ("h", "e4", 2, "overlies", "y", "x"), ("h", "e5", 3, "overlies", "x", "z")]
     edges = spark.createDataFrame(links, "graph_id string, edge_id string, edge_seq int, kind string, source string, target string")
