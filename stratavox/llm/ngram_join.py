@@ -24,10 +24,10 @@ that can't hold the overlap from their place in a list on, are left out. When al
 open lists are a bounded number for each entry, or more pivots don't help, those pairs that can
 hold the overlap are compared one by one, and that is all.
 
-Short lists have no pivot in any round: their pairs are a bounded number for each entry, and
-most are texts that share a passage and no more. Such pairs are told by a slice of the hash
-space: n-grams of one set that the other lacks there bound the overlap from above, so sets are
-fetched in whole only for pairs that the bound leaves.
+Short lists have no pivot in any round: their pairs are a bounded number for each entry (or for
+each that a pivot's members would become), and most are texts that share a passage and no more.
+Such pairs are told by a slice of the hash space: n-grams of one set that the other lacks there
+bound the overlap from above, so sets are fetched in whole only for pairs that the bound leaves.
 """
 
 from __future__ import annotations
@@ -59,6 +59,8 @@ class JaccardSettings:
     pairs_per_entry: int = 64
     #: Lists of at most so many members are short; their pairs are met without a pivot.
     short_list: int = 8
+    #: So are a pivot's open members up to this number, where they have at most half as many pairs as differing n-grams to list.
+    short_group: int = 64
     #: Share of the hash space, as one of this many slices, that bounds a pair's overlap.
     slices: int = 4
     #: Classes whose sets are fetched are sent to all executors up to this number, else joined by shuffle.
@@ -494,8 +496,14 @@ def open_pairs(lists: DataFrame) -> DataFrame:
 
 
 def short_and_long(lists: DataFrame, settings: JaccardSettings) -> tuple[DataFrame, DataFrame]:
-    """Open pairs of the short lists, and the long lists."""
-    sizes = lists.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > settings.short_list).select("key")
+    """Open pairs of the short lists, and the long lists.
+
+    Members that still hold their ``grams`` would become an entry for each; where their pairs are
+    fewer, the list is short as well.
+    """
+    n, entries = F.count("*"), F.sum(F.size("grams")) if "grams" in lists.columns else F.lit(0)
+    sizes = lists.groupBy("key").agg(n.alias("n"), entries.alias("entries")).where(F.col("n") > settings.short_list)
+    sizes = sizes.where((F.col("n") > settings.short_group) | (F.col("n") * (F.col("n") - 1) > F.col("entries"))).select("key")
     long = lists.join(sizes, "key", "left_semi")
     return written(open_pairs(lists.join(sizes, "key", "left_anti")), "heavy-short-pairs"), written(long, "heavy-long-lists")
 
@@ -532,6 +540,7 @@ def heavy_links(classes: Classes, bound: int, order: Rarity, settings: JaccardSe
         named = named.select("key", "id", "component", "reach", "excess", F.posexplode("grams").alias("place", "gram"))
         # The member nearest to the last pivot leads.
         named = named.select(F.xxhash64("key", "gram").alias("key"), "id", "component", (F.col("reach") - F.col("place") * more).alias("reach"), "excess", (-F.col("excess")).alias("weight"))
+        named = written(named, "heavy-differences")
         more_short, lists = short_and_long(written(open_lists(open_lists(named)), "heavy-lists"), settings)
         short = short.unionAll(few).unionAll(more_short)
     pairs = written(short.unionAll(open_pairs(lists)).select(F.least("id", "pivot").alias("id"), F.greatest("id", "pivot").alias("pivot")).distinct(), "heavy-pairs")

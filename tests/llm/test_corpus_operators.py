@@ -499,6 +499,23 @@ def test_ngram_join_chain_of_copies(spark):
     assert left == {c for _, _, c in brute_join(plain)}
 
 
+def test_pivot_members_with_few_pairs_are_not_listed(spark):
+    settings = ngram_join.JaccardSettings()
+    of = lambda key, members, grams: [(key, 100 * key + k, 100 * key + k, 1000, 0, [*range(grams)]) for k in range(members)]
+    named = spark.createDataFrame(of(1, 14, 100) + of(2, 14, 2) + of(3, 70, 200), "key long, id long, component long, reach long, excess long, grams array<long>")
+    few, long = ngram_join.short_and_long(named, settings)
+    assert few.count() == 14 * 13 // 2 and {r.key for r in long.collect()} == {2, 3}
+    rng = random.Random(3)
+    core, plain = prose(rng, 230, 5000).split(), []
+    for k in range(20):
+        words = list(core)
+        for at in rng.sample(range(230), 2 + k % 7):
+            words[at] = f"own{k}x{at}"
+        plain.append((k, " ".join(words)))
+    got = ngram_join.join_documents(spark.createDataFrame(plain, "doc_id long, text string"), settings)
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == brute_join(plain)
+
+
 def test_ngram_join_empty(spark):
     assert ngram_join.join_documents(empty(spark)).count() == 0
     some = ngram_join.join_documents(spark.createDataFrame([(3, None), (4, " ")], "doc_id long, text string")).collect()
