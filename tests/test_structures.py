@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from stratavox.functions import draws, uncertainty
 from stratavox.operators import bodies, composition, patches, realise
+from stratavox.queries import geology
 
 U = uncertainty.parse_uncertainty
 
@@ -157,6 +158,15 @@ def test_body_distance_has_no_cross_join(spark):
         bodies.body_distance(cells, contacts.limit(3), anchors, 1.0).collect()
 
 
+def test_thresholds_of_orders_without_keys(spark, tmp_path):
+    """As in the SQL: a null key comes last, and a pool of unknown size is not below three."""
+    rows = [(9 * k, c, 100000.0 + 50000 * k) for c in (1, 2) for k in range(1, 4)] + [(None, 1, 390000.0), (14, 2, None), (13, None, 1.0)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_totalprice double").write.parquet(str(tmp_path / "orders.parquet"))
+    inf = float("inf")
+    got = {(r.seq, r.threshold, r.admitted) for r in geology.rf12_thresholds(spark, str(tmp_path)).collect()}
+    assert got == {(9, inf, True), (18, inf, True), (27, inf, True), (None, 400000.0, True), (14, inf, None), (13, inf, True)}
+
+
 def brute_compose(support, ranks, pairs, edges):
     """Composition written as loops over the pairs (younger, older) that erode."""
     out, handled, by_older = dict(support), set(), {}
