@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SpanHasher, columns
+from .common import SpanHasher, columns, released, small_batches
 
 #: Letters and digits of ASCII. A single space between two of them always starts a pre-token.
 PLAIN = np.zeros(256, bool)
@@ -230,5 +230,5 @@ def coded(docs: DataFrame, settings: BpeSettings, doc_id: str = "doc_id", text:
                     arrays += [pa.array([np.frombuffer(x, "<i4") for x in ids], pa.list_(pa.int32())), pa.array(decoded, pa.string())]
                 yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: len(arrays)])
 
-    taken = columns(docs, doc_id, text).toDF("doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    return taken.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * full)
+    taken = columns(small_batches(docs), doc_id, text).toDF("doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
+    return taken.mapInArrow(released(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * full)

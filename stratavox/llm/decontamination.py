@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns
+from .common import columns, released, small_batches
 
 
 def _folding() -> bytes:
@@ -239,7 +239,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, settings: LeakSettings = LeakSe
     Null and empty texts hold nothing; repeated rows give repeated results; an item id with
     several texts counts by its best one. An empty table on either side gives no rows.
     """
-    taken = columns(docs, doc_id, text).toDF("doc_id", "text")
+    taken = columns(small_batches(docs), doc_id, text).toDF("doc_id", "text")
     schema = "doc_id long, item_id long, distance long, similarity double"
     out = docs.sparkSession.createDataFrame([], schema)
     for finder in finders(benchmark, settings):
@@ -251,7 +251,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, settings: LeakSettings = LeakSe
                     d, i, e, n = zip(*rows, strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(i, pa.int64()), pa.array(e, pa.int64()), pa.array([1 - a / b for a, b in zip(e, n, strict=True)], pa.float64())], names=["doc_id", "item_id", "distance", "similarity"])
 
-        out = out.unionAll(taken.withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(run, schema))
+        out = out.unionAll(taken.withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(released(run), schema))
     return out
 
 
@@ -269,5 +269,5 @@ def filter_documents(docs: DataFrame, benchmark: DataFrame, settings: LeakSettin
             for batch in batches:
                 yield batch.filter(pa.array([not found for found in finder.find(batch.column(place).to_pylist())], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = small_batches(docs).mapInArrow(released(run), docs.schema)
     return docs

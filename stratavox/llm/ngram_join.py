@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SpanHasher, connected_components, packed, unpacked, unused, written
+from .common import SpanHasher, connected_components, packed, released, small_batches, unpacked, unused, written
 
 
 @dataclass(frozen=True)
@@ -237,7 +237,7 @@ def described_sets(docs: DataFrame, settings: JaccardSettings) -> DataFrame:
         if held:
             yield common()
 
-    return docs.mapInArrow(run, "doc_id long, th long, n_shingles long, h1 long, h2 long, grams array<long>, often long")
+    return docs.mapInArrow(released(run), "doc_id long, th long, n_shingles long, h1 long, h2 long, grams array<long>, often long")
 
 
 def rarity(described: DataFrame, settings: JaccardSettings) -> Rarity:
@@ -320,7 +320,7 @@ def light_links(sets: DataFrame, bound: int, settings: JaccardSettings) -> DataF
                 h = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays([pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(owner, pa.int64()), pa.array(side, pa.int32())], names=["k1", "k2", "id", "side"])
 
-    rows = sets.where(F.col("n_shingles").between(1, bound)).select("id", "n_shingles", "grams").mapInArrow(run, "k1 long, k2 long, id long, side int")
+    rows = sets.where(F.col("n_shingles").between(1, bound)).select("id", "n_shingles", "grams").mapInArrow(released(run), "k1 long, k2 long, id long, side int")
     rows = written(rows, "light-subsets")
     star = rows.groupBy("k1", "k2").agg(F.min("id").alias("b"), F.min("side").alias("lo"), F.max("side").alias("hi"), F.count("*").alias("n"))
     star = star.where("n > 1 and (lo = 2 or lo <> hi)").select("k1", "k2", "b")
@@ -354,7 +354,7 @@ def heavy_lists(docs: DataFrame, least: int, order: Rarity, settings: JaccardSet
                     columns = np.concatenate(grams), np.repeat(ids, counts), np.repeat(sizes, counts).astype(np.int32), np.concatenate([np.arange(n, dtype=np.int32) for n in counts]), np.repeat(weights, counts).astype(np.int32), np.concatenate(common)
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["key", "id", "size", "place", "weight", "common"])
 
-    return docs.mapInArrow(run, "key long, id long, size int, place int, weight int, common boolean")
+    return docs.mapInArrow(released(run), "key long, id long, size int, place int, weight int, common boolean")
 
 
 @dataclass(frozen=True)
@@ -396,7 +396,7 @@ class Classes:
         found = rows.join(F.broadcast(wanted) if small else wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t"))).select("id", "text", "pivots")
         if self.repeated:
             found = found.dropDuplicates(["id"])
-        return found.mapInArrow(run, f"pivot long, id long, size long, grams array<{'int' if sliced else 'long'}>")
+        return found.mapInArrow(released(run), f"pivot long, id long, size long, grams array<{'int' if sliced else 'long'}>")
 
 
 def compare(pairs: DataFrame, classes: Classes, order: Rarity, settings: JaccardSettings) -> DataFrame:
@@ -435,7 +435,7 @@ def compare(pairs: DataFrame, classes: Classes, order: Rarity, settings: Jaccard
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_()), pa.array(deltas, pa.int64()), pa.array(excesses, pa.int64()), lists_of(grams)], names=["pivot", "id", "linked", "delta", "excess", "grams"])
 
     # A set has as many pivots as lists at most.
-    return met_sets(pairs, classes, settings).select("pivot", "id", F.col("grams").alias("gx"), "gp").mapInArrow(run, "pivot long, id long, linked boolean, delta long, excess long, grams array<long>")
+    return met_sets(pairs, classes, settings).select("pivot", "id", F.col("grams").alias("gx"), "gp").mapInArrow(released(run), "pivot long, id long, linked boolean, delta long, excess long, grams array<long>")
 
 
 def met_sets(pairs: DataFrame, classes: Classes, settings: JaccardSettings, sliced: bool = False) -> DataFrame:
@@ -457,7 +457,7 @@ def likely_pairs(pairs: DataFrame, classes: Classes, settings: JaccardSettings)
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["id", "pivot"]).filter(pa.array(stays, pa.bool_()))
 
     met = met_sets(pairs, classes, settings, sliced=True)
-    return met.select("id", "pivot", F.col("grams").alias("gx"), "size", "gp", "np").mapInArrow(run, "id long, pivot long")
+    return met.select("id", "pivot", F.col("grams").alias("gx"), "size", "gp", "np").mapInArrow(released(run), "id long, pivot long")
 
 
 def open_lists(lists: DataFrame) -> DataFrame:
@@ -555,7 +555,7 @@ def joined_rows(docs: DataFrame, settings: JaccardSettings, doc_id: str, text: s
     ``th`` is a hash of the text. ``first (no_id, doc_id, th)`` names the least row of the
     component, one without doc_id only where there is no other; it is null for an empty set.
     """
-    docs = taken(docs, doc_id, text)
+    docs = small_batches(taken(docs, doc_id, text))
     described = written(described_sets(docs.withColumn("th", F.xxhash64("text")), settings), "sets")
     rows = described.where("often is null").select("doc_id", "th", "n_shingles", "h1", "h2", "grams")
     least_row = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th"))

@@ -5,9 +5,12 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
+import pytest
 
 import corpus_pipeline
 from stratavox.llm import ngram_join, pii
+from stratavox.llm.common import map_batches
 
 
 def word_source(rng, shingler):
@@ -51,6 +54,22 @@ def test_pipeline_drops_copies_with_a_fifth_of_new_text(spark):
     assert [r.doc_id for r in left.collect()] == [1]
 
 
+def test_texts_go_to_python_in_small_batches(spark):
+    """A batch of whole texts is bounded by its bytes, not by 10,000 rows."""
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    docs = spark.range(0, 3000, 1, 1).selectExpr("id as doc_id", "repeat('word ', 4000) as text")
+    sizes = map_batches(docs, lambda b: pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["n", "size"]), "n long, size long").collect()
+    assert sum(r.n for r in sizes) == 3000 and max(r.size for r in sizes) < 8 << 20
+
+
+@pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
+def test_stages_of_the_pipeline_bound_their_batches(spark, sf_dir, name, stage):
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    docs = spark.createDataFrame([(1, "some words of a text", "en", "host")], "doc_id long, text string, lang string, source string")
+    stage(spark, docs, sf_dir)
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) <= 8 << 20
+
+
 def test_keep_one_knows_rows_by_id_and_text(spark):
     rng = random.Random(5)
     text = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(60))
