@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..grid import Grid
 
@@ -58,23 +62,136 @@ def rasterize_spheres(points: DataFrame, grid: Grid) -> DataFrame:
     return _spheres(points, grid, keep)
 
 
+def _spread(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``of, at``: for each place its numbers from low to high."""
+    n = np.maximum(high - low + 1, 0)
+    of = np.repeat(np.arange(len(n)), n)
+    return of, np.arange(len(of)) - (np.cumsum(n) - n)[of] + low[of]
+
+
+def _parts(sizes: np.ndarray, held: int) -> Iterator[slice]:
+    """Places in a row whose sizes add up to about ``held`` at most."""
+    cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // held)) + 1
+    yield from map(slice, [0, *cuts], [*cuts, len(sizes)])
+
+
+def _cos2(lat: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Least and greatest squared cosine of the latitudes between two."""
+    a, b = np.abs(lat[0]), np.abs(lat[1])
+    far, near = np.maximum(a, b), np.where(lat[0] * lat[1] <= 0, 0.0, np.minimum(a, b))
+    known = far < 90
+    return np.where(known, np.cos(np.radians(far)) ** 2, 0.0), np.where(known, np.cos(np.radians(near)) ** 2, 1.0)
+
+
+def line_voxels(start: np.ndarray, end: np.ndarray, radius: np.ndarray, samples: np.ndarray, grid: Grid, held: int = 500_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``line, voxel`` of each voxel with a sample of the line within the radius, in parts; the result is that of all samples.
+
+    ``start`` and ``end`` are rows of ``lon, lat, depth_m``. The samples that a voxel may have are narrowed axis by axis. Of these the
+    nearest is known from the least of a parabola, once for the least and once for the greatest cosine of their
+    latitudes; only where the two disagree, or rounding might decide, a voxel's samples are measured one by one.
+    """
+    unit = np.array([METRES_PER_DEGREE, METRES_PER_DEGREE, 1.0])
+    step, last = end - start, samples - 1
+    slack = [1e-9 * (1 + abs(a) + abs(b)) for a, b in zip(grid.origin, grid.maximum, strict=True)]
+    centres = [grid.origin[axis] + (np.arange(grid.shape[axis]) + 0.5) * grid.cell[axis] for axis in range(3)]
+    reach_m = radius * (1 + 1e-9)
+
+    def bounds(axis: int, line: np.ndarray, share: tuple, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Cells whose centre is within reach of the line between two shares of it."""
+        p, q = (start[line, axis] + s * step[line, axis] for s in share)
+        place = lambda x: (x - grid.origin[axis]) / grid.cell[axis] - 0.5
+        top = grid.shape[axis] - 1
+        return np.clip(np.ceil(place(np.minimum(p, q) - reach)), 0, top + 1).astype(np.int64), np.clip(np.floor(place(np.maximum(p, q) + reach)), -1, top).astype(np.int64)
+
+    def narrowed(axis: int, line: np.ndarray, share: tuple, reach: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Shares of the line between which a cell's centre is within reach."""
+        off, along = centres[axis][at] - start[line, axis], step[line, axis]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            a, b = (off - reach) / along, (off + reach) / along
+        level = along == 0
+        return np.maximum(share[0], np.where(level, -np.inf, np.minimum(a, b))), np.minimum(share[1], np.where(level, np.inf, np.maximum(a, b)))
+
+    def spread(axis: int, line: np.ndarray, share: tuple, reach: np.ndarray, *more: np.ndarray) -> tuple:
+        of, at = _spread(*bounds(axis, line, share, reach))
+        share = narrowed(axis, line[of], (share[0][of], share[1][of]), reach[of], at)
+        met = share[0] <= share[1]
+        return line[of][met], (share[0][met], share[1][met]), [x[of][met] for x in more] + [at[met]]
+
+    every = np.arange(len(samples))
+    line, share, (iy,) = spread(1, every, (np.zeros(len(every)), np.ones(len(every))), reach_m / METRES_PER_DEGREE + slack[1])
+    with np.errstate(divide="ignore"):
+        east = reach_m[line] / (METRES_PER_DEGREE * np.sqrt(_cos2(tuple(start[line, 1] + s * step[line, 1] for s in share))[0])) + slack[0]
+    low, high = bounds(0, line, share, east)
+    for part in _parts(np.maximum(high - low + 1, 0) * grid.shape[2], held):
+        of, between, (y, x) = spread(0, line[part], (share[0][part], share[1][part]), east[part], iy[part])
+        of, between, (y, x, z) = spread(2, of, between, reach_m[of] + slack[2], y, x)
+        r, n, v = radius[of], last[of], step[of] * unit
+        centre = np.stack([centres[0][x], centres[1][y], centres[2][z]], axis=1)
+        d = (centre - start[of]) * unit
+        first, final = np.clip(np.floor(between[0] * n) - 1, 0, n), np.clip(np.ceil(between[1] * n) + 1, 0, n)
+        squares = _cos2((start[of, 1] + first / n * step[of, 1], start[of, 1] + final / n * step[of, 1]))
+
+        def away(share: np.ndarray, w: np.ndarray, d: np.ndarray = d, v: np.ndarray = v) -> np.ndarray:
+            rest = d - share[:, None] * v
+            return w * rest[:, 0] ** 2 + rest[:, 1] ** 2 + rest[:, 2] ** 2
+
+        def nearest(w: np.ndarray, d: np.ndarray = d, v: np.ndarray = v) -> tuple[np.ndarray, np.ndarray]:
+            """The share at which the line is nearest, and its square there over that of the share."""
+            weights = np.stack([w, np.ones(len(w)), np.ones(len(w))], axis=1)
+            square = (weights * v * v).sum(axis=1)
+            return (weights * d * v).sum(axis=1) / np.where(square > 0, square, 1.0), square
+
+        def least(w: np.ndarray) -> np.ndarray:
+            k = np.floor(np.clip(nearest(w)[0] * n, first, final))
+            return np.minimum(away(k / n, w), away(np.minimum(k + 1, final) / n, w))
+
+        unsure = 1e-6 + 1e-9 * r
+        found = (r >= unsure) & (least(squares[1]) <= (r - unsure) ** 2)
+        open_ = np.flatnonzero(~found & (least(squares[0]) <= (r + unsure) ** 2))
+        w, around = squares[0][open_], (r + unsure)[open_] ** 2
+        at_best, square = nearest(w, d[open_], v[open_])
+        with np.errstate(divide="ignore", invalid="ignore"):
+            half = np.sqrt(np.maximum(around - away(at_best, w, d[open_], v[open_]), 0.0) / square)
+        short = ~(final[open_] - first[open_] > 16) | ~np.isfinite(half)
+        low_k = np.where(short, first[open_], np.clip(np.floor((at_best - half) * n[open_]) - 1, first[open_], final[open_])).astype(np.int64)
+        high_k = np.where(short, final[open_], np.clip(np.ceil((at_best + half) * n[open_]) + 1, first[open_], final[open_])).astype(np.int64)
+        for some in _parts(high_k - low_k + 1, held):
+            cell, k = _spread(low_k[some], high_k[some])
+            cell = open_[some][cell]
+            at = start[of[cell]] + (k / n[cell])[:, None] * step[of[cell]]
+            rest = (centre[cell] - at) * unit
+            rest[:, 0] *= np.cos(np.radians(at[:, 1]))
+            found[cell[np.sqrt((rest * rest).sum(axis=1)) <= r[cell]]] = True
+        yield of[found], (x[found] * grid.shape[1] + y[found]) * grid.shape[2] + z[found]
+
+
 def rasterize_lines(lines: DataFrame, grid: Grid) -> DataFrame:
     """A row for each voxel of each line, once; a line with a sample out of range gives none.
 
-    A line has ``max(10, floor(1000 * norm))`` samples with a sphere of half its width.
+    A line has ``max(10, floor(1000 * norm))`` samples with a sphere of half its width. The norm adds degrees and
+    metres, so a line that falls by 80 m has 80,000 samples; they are not made one by one.
     """
-    ends = [(f"{c}0", f"{c}1", name) for c, name in (("lon", "lon"), ("lat", "lat"), ("depth", "depth_m"))]
-    length = F.sqrt(sum(((F.col(b) - F.col(a)) * (F.col(b) - F.col(a)) for a, b, _ in ends), F.lit(0.0)))
-    n = F.greatest(F.lit(10), F.floor(length * 1000)).cast("int")
+    ends = [("lon0", "lon1"), ("lat0", "lat1"), ("depth0", "depth1")]
+    length = F.sqrt(sum(((F.col(b) - F.col(a)) * (F.col(b) - F.col(a)) for a, b in ends), F.lit(0.0)))
+    n = F.greatest(F.lit(10), F.floor(length * 1000)).cast("long")
     keep = [c for c in lines.columns if c not in ("lon0", "lat0", "depth0", "lon1", "lat1", "depth1", "width_m")]
-    # The line is straight: all samples are in range if both ends are.
-    whole = grid.inside(F.col("lon0"), F.col("lat0"), F.col("depth0")) & grid.inside(F.col("lon1"), F.col("lat1"), F.col("depth1"))
+    # The line is straight: all samples are in range if the first and the last are.
+    whole = grid.inside(*[F.col(a) for a, _ in ends]) & grid.inside(*[F.col(a) + (F.col(b) - F.col(a)) for a, b in ends]) & (F.col("width_m") >= 0) & ~F.isnan(F.col("width_m").cast("double"))
     # A short row stands for up to thousands of voxels: lines are dealt out before that, and voxels known by one number.
     dealt = lines.where(whole).repartition(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    sampled = dealt.withColumn("samples", n).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("samples") - 1)))
-    share = F.col("k") / (F.col("samples") - 1)
-    points = sampled.select(*keep, *[(F.col(a) + share * (F.col(b) - F.col(a))).alias(name) for a, b, name in ends], (F.col("width_m") / 2).alias("radius_m"))
-    voxels = _spheres(points, grid, keep).select(*keep, "voxel_id").distinct()
+    places = [c for pair in zip(*ends, strict=True) for c in pair]
+    sized = dealt.select(*keep, F.array(*[F.col(c).cast("double") for c in places], F.col("width_m").cast("double") / 2, n.cast("double")).alias("line"))
+    schema = StructType([*lines.select(*keep).schema.fields, StructField("voxel_id", LongType())])
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 1000):
+                rows = batch.slice(k, 1000)
+                numbers = rows.column(len(keep)).flatten().to_numpy(zero_copy_only=False).reshape(-1, 8)
+                for line, voxel in line_voxels(numbers[:, :3], numbers[:, 3:6], numbers[:, 6], numbers[:, 7], grid):
+                    yield pa.RecordBatch.from_arrays([*[rows.column(c).take(pa.array(line)) for c in range(len(keep))], pa.array(voxel)], [*keep, "voxel_id"])
+
+    voxels = sized.mapInArrow(go, schema).distinct()
     _, ny, nz = grid.shape
     return voxels.select("*", F.expr(f"int(voxel_id div {ny * nz})").alias("ix"), F.expr(f"int((voxel_id div {nz}) % {ny})").alias("iy"), F.expr(f"int(voxel_id % {nz})").alias("iz"))
 

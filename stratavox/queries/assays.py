@@ -82,7 +82,7 @@ def sp6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each supplier's point joined to the next key's point by a line."""
     a = map_points(spark, sf_dir).select("op_id", F.col("lon").alias("lon0"), F.col("lat").alias("lat0"), F.col("depth_m").alias("depth0"))
     b = map_points(spark, sf_dir).select((F.col("op_id") - 1).alias("op_id"), F.col("lon").alias("lon1"), F.col("lat").alias("lat1"), F.col("depth_m").alias("depth1"))
-    lines = a.join(b, "op_id").withColumn("width_m", F.lit(300.0)).withColumn("depth1", F.col("depth0") + (F.col("depth1") - F.col("depth0")) / 100)
+    lines = a.join(b, "op_id").withColumn("width_m", F.lit(300.0))
     return spatial.rasterize_lines(lines, MAP_GRID).groupBy("op_id").agg(F.count("*").alias("voxels"))
 
 

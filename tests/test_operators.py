@@ -16,6 +16,7 @@ from stratavox import queries
 from stratavox.functions import texts, uncertainty
 from stratavox.grid import SURVEY_GRID, Grid, grid_cells
 from stratavox.operators import experiments, explore, fields, graph, runlogs, scoring, spatial, training
+from stratavox.queries import assays
 from stratavox.streaming import logs
 
 REPO = Path(__file__).resolve().parent.parent
@@ -240,6 +241,51 @@ def test_lines_are_dealt_out(spark):
     assert all(r.voxel_id == (r.ix * 200 + r.iy) * 8 + r.iz for r in cells)
 
 
+def sampled_voxels(start, end, radius, grid):
+    """Voxels of a line, every sample in turn; none if a sample is out of range."""
+    start, end = np.array(start), np.array(end)
+    centres = [grid.origin[a] + (np.arange(grid.shape[a]) + 0.5) * grid.cell[a] for a in range(3)]
+    n = max(10, int(np.linalg.norm(end - start) * 1000))
+    at = start + (np.arange(n) / (n - 1))[:, None] * (end - start)
+    found = set()
+    if (at < grid.origin).any() or (at > grid.maximum).any():
+        return found
+    for p in np.array_split(at, n // 1000 + 1):
+        east = (centres[0] - p[:, :1]) * 111320 * np.cos(np.radians(p[:, 1:2]))
+        north, down = (centres[1] - p[:, 1:2]) * 111320, centres[2] - p[:, 2:]
+        i, j, k = (np.flatnonzero((np.abs(x) <= radius).any(axis=0)) for x in (east, north, down))
+        met = (np.sqrt(east[:, i, None, None] ** 2 + north[:, None, j, None] ** 2 + down[:, None, None, k] ** 2) <= radius).any(axis=0)
+        found |= {int((i[a] * grid.shape[1] + j[b]) * grid.shape[2] + k[c]) for a, b, c in zip(*np.nonzero(met), strict=True)}
+    return found
+
+
+def test_lines_go_to_the_next_point(spark, tmp_path):
+    """The query's lines ended after a hundredth of their fall."""
+    spark.createDataFrame([(k, "s", 1, 1.0) for k in range(58, 64)], "s_suppkey long, s_name string, s_nationkey int, s_acctbal double").write.parquet(str(tmp_path / "supplier.parquet"))
+    place = {r.op_id: (r.lon, r.lat, r.depth_m) for r in assays.map_points(spark, str(tmp_path)).collect()}
+    got = {r.op_id: r.voxels for r in assays.sp6_lines(spark, str(tmp_path)).collect()}
+    assert got == {k: len(sampled_voxels(place[k], place[k + 1], 150.0, assays.MAP_GRID)) for k in range(58, 63)}
+
+
+def test_lines_as_sampled(spark):
+    """Voxels that only some of many samples reach, with cosines that change along a line, are those of all samples."""
+    rng = np.random.default_rng(3)
+    wide = Grid((-10.0, -60.0, 0.0), (10.0, 85.0, 50.0), (20, 30, 6))
+    for grid, radii in ((SURVEY_GRID, (5.0, 60.0, 300.0)), (wide, (2000.0, 200000.0, 900000.0))):
+        low, high = np.array(grid.origin), np.array(grid.maximum)
+        start, end = (low + rng.random((12, 3)) * (high - low) for _ in range(2))
+        end[0], end[1, :2], end[2, 2], end[3, 1], end[4] = start[0], start[1, :2], start[2, 2], start[3, 1], start[4] + 1e-6 * (end[4] - start[4])
+        start[5], end[6] = low, high
+        start[7], end[7] = low + np.array(grid.cell) / 2, low + np.array(grid.cell) * [3.5, 0.5, 0.5]
+        width = 2 * rng.choice(radii, 12)
+        width[7], width[8] = 2 * grid.cell[1] * 111320, 0.0
+        lines = spark.createDataFrame([(f"l{k}", *map(float, start[k]), *map(float, end[k]), float(width[k])) for k in range(12)], "name string, lon0 double, lat0 double, depth0 double, lon1 double, lat1 double, depth1 double, width_m double")
+        got = {}
+        for r in spatial.rasterize_lines(lines, grid).collect():
+            got.setdefault(r.name, []).append(r.voxel_id)
+        assert {k: sorted(v) for k, v in got.items()} == {f"l{k}": sorted(v) for k in range(12) if (v := sampled_voxels(start[k], end[k], width[k] / 2, grid))}
+
+
 def test_graphs(spark):
     links = [("g", "e1", 1, "overlies", "a", "b"), ("g", "e2", 2, "overlies", "b", "c"), ("h", "e3", 1, "overlies", "x", "y"), ("h", "e4", 2, "overlies", "y", "x"), ("h", "e5", 3, "overlies", "x", "z")]
     edges = spark.createDataFrame(links, "graph_id string, edge_id string, edge_seq int, kind string, source string, target string")
